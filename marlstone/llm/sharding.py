@@ -23,11 +23,12 @@ BUCKET_ROWS = 4096
 
 
 def _ranked(rows: DataFrame, within: list[str], bucket: str, order: list, rank: str) -> DataFrame:
-    """Adds the 1-based rank of each row in ``within``, ordered by bucket, then by ``order``."""
+    """Adds the 1-based rank of each row in ``within``, ordered by bucket, then by ``order``; with ``within`` also its rows, ``_n``."""
     counts = rows.groupBy(*within, bucket).agg(F.count(F.lit(1)).alias("_in"))
     if within:
         before = W.partitionBy(*within).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
         counts = counts.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+        counts = counts.withColumn("_n", F.sum("_in").over(W.partitionBy(*within)))
     else:
         # Buckets of all rows: sums over blocks of buckets first, so that no window sees them all.
         counts = counts.withColumn("_block", F.floor(F.sqrt(F.col(bucket).cast("double"))))
@@ -40,7 +41,8 @@ def _ranked(rows: DataFrame, within: list[str], bucket: str, order: list, rank:
     keys = [*within, bucket]
     placed = W.partitionBy(*keys).orderBy(*order)
     rows = rows.withColumn(rank, F.row_number().over(placed))
-    return rows.join(counts.select(*keys, "_before"), keys).withColumn(rank, F.col(rank) + F.col("_before")).drop("_before")
+    added = ["_before", "_n"] if within else ["_before"]
+    return rows.join(counts.select(*keys, *added), keys).withColumn(rank, F.col(rank) + F.col("_before")).drop("_before")
 
 
 def interleave(rows: DataFrame, shards: int = 16, source: str | Column = "source", key: str | Column = "doc_id", seed: int = 17, tie: tuple = ()) -> DataFrame:
@@ -55,16 +57,14 @@ def interleave(rows: DataFrame, shards: int = 16, source: str | Column = "source
     key = F.col(key) if isinstance(key, str) else key
     rows = rows.withColumn("_source", F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("")))
     rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), key))
-    per_source = rows.groupBy("_source").agg(F.count(F.lit(1)).alias("_n"))
-    total = rows.agg(F.count(F.lit(1)).alias("_all"))
-    per_source = per_source.crossJoin(F.broadcast(total))  # one row
-    rows = rows.join(per_source, "_source")
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("_all"))))  # one row
     uniform = F.shiftrightunsigned("_h", 11) / F.lit(float(1 << 53))
-    rows = rows.withColumn("_bucket", F.floor(uniform * F.ceil(F.col("_n") / BUCKET_ROWS)))
+    buckets = F.ceil(F.col("_all") / BUCKET_ROWS)
+    rows = rows.withColumn("_bucket", F.floor(uniform * buckets))
     rows = _ranked(rows, ["_source"], "_bucket", ["_h", *tie], "_rank").drop("_bucket")
     fraction = (F.col("_rank") - 0.5) / F.col("_n")
     rows = rows.withColumn("_fraction", fraction)
-    rows = rows.withColumn("_bucket", F.floor(F.col("_fraction") * F.ceil(F.col("_all") / BUCKET_ROWS)))
+    rows = rows.withColumn("_bucket", F.floor(F.col("_fraction") * buckets))
     rows = _ranked(rows, [], "_bucket", ["_fraction", "_source", "_h", *tie], "_place").drop("_bucket")
     place = F.col("_place") - 1
     # The first place of shard s is ceil(s * all / shards).
