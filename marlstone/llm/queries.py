@@ -31,10 +31,17 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import Settings, near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), Settings(words=3, percent=85))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_output": op2_token_output,
         "op6_sharding": op6_sharding,
+        "op7_minhash": op7_minhash,
         "op9_quality": op9_quality,
     }
 
