@@ -37,11 +37,18 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), Settings(words=3, percent=85))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_output": op2_token_output,
         "op6_sharding": op6_sharding,
         "op7_minhash": op7_minhash,
+        "op8_decontamination": op8_decontamination,
         "op9_quality": op9_quality,
     }
 

@@ -60,10 +60,14 @@ def keyed(x: np.ndarray | int, seed: int) -> np.ndarray:
         return mix(mix(x + np.uint64(seed % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x2545F4914F6CDD1D))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets from 0) for runs of rows of at most ``most`` bytes, or of one row. Null is empty."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets from 0) for runs of rows of at most ``most`` bytes, or of one row. Null is empty.
+
+    lower: letters of all scripts in lower case.
+    """
     col = batch.column(batch.schema.get_field_index(column))
     col = pc.fill_null(col.cast(pa.large_string()), "")
+    col = pc.utf8_lower(col) if lower else col
     if not len(col):
         return
     offsets = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8)
