@@ -43,6 +43,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_output": op2_token_output,
@@ -50,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_minhash": op7_minhash,
         "op8_decontamination": op8_decontamination,
         "op9_quality": op9_quality,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
