@@ -55,10 +55,17 @@ def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embeddings": op1_embeddings,
         "op2_token_output": op2_token_output,
+        "op4_licenses": op4_licenses,
         "op6_sharding": op6_sharding,
         "op7_minhash": op7_minhash,
         "op8_decontamination": op8_decontamination,
