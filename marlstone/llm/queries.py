@@ -61,11 +61,18 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embeddings": op1_embeddings,
         "op2_token_output": op2_token_output,
         "op4_licenses": op4_licenses,
+        "op5_html": op5_html,
         "op6_sharding": op6_sharding,
         "op7_minhash": op7_minhash,
         "op8_decontamination": op8_decontamination,
