@@ -5,18 +5,19 @@
 2. A representative gets MinHash samples; bands of samples are bucket keys. With each key goes
    an odd sketch: the samples folded into a bitmap by parity. The XOR of two bitmaps has about
    as many set bits as the samples differ, which tells high similarities apart precisely.
-3. Buckets with more than one member are searched for links with the sketches alone. The first
-   pass links a tight bucket through few members: a member takes all that it surely links
-   with, so a large group of near copies costs about one comparison a copy, not one a pair.
-   What is proposed is confirmed on the full sets, and components are formed.
-4. The second pass proposes every remaining pair of a bucket that may link and whose members
-   are in different components; these are confirmed too. So no pair of a bucket is dropped
-   but those whose sketches are far below the threshold, and no pair within a component is
-   expanded.
-
-Pairs that share no band are not found: at the threshold that is below one in 250,000 pairs,
-and above it less. Members of a bucket are streamed in sorted order; a bucket is held as 48
-bytes for each member.
+3. Within a bucket the sketches alone join members into families: each member in turn takes
+   those not yet taken that are not far below the threshold. A tight bucket is joined by a
+   few members, and at most one link for each member leaves it. Families are components of
+   these links over all buckets, so every pair that may link is inside one family.
+4. Within a family all pairs are decided on the full sets, in blocks: shingles that only one
+   member has are only counted, the others form a small matrix whose products are the exact
+   intersections. No pair leaves the task, only links enough to connect what is connected. A
+   large family is cut into parts by hash, and every two parts meet in a task of their own,
+   so no task holds more than two parts of bounded size.
+5. Components of the confirmed links give the result.
+
+Pairs that share no band are not found: at the threshold that is below one in a million pairs,
+and above it less.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, small
+from .covertree import Links
 from .storage import Scratch
 from .textkernel import BLANKS, LOWER, grams, hash_spans, keyed, mix, slices, spans
 
@@ -38,8 +40,8 @@ from .textkernel import BLANKS, LOWER, grams, hash_spans, keyed, mix, slices, sp
 class Settings:
     """words: in a shingle. Link: ``100 * intersection >= percent * union``. bands, rows: of MinHash samples.
 
-    margin: pairs whose sketches estimate a similarity further than this below the threshold are not confirmed
-    (five standard deviations).
+    margin: pairs whose sketches estimate a similarity further than this below the threshold don't join families
+    (five standard deviations). part_rows, part_shingles: of a part of a family, about.
     """
 
     words: int = 3
@@ -47,6 +49,8 @@ class Settings:
     bands: int = 24
     rows: int = 4
     margin: float = 0.25
+    part_rows: int = 4096
+    part_shingles: int = 1 << 22
     seed: int = 23
 
     @property
@@ -180,26 +184,22 @@ def _groups(keys: np.ndarray) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
-def _keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose key occurs more than once."""
-    for batch in whole_groups(batches):
-        keys = batch.column(0).to_numpy()
-        same = np.concatenate([[False], keys[1:] == keys[:-1], [False]])
-        keep = same[:-1] | same[1:]
-        if keep.any():
-            yield batch.filter(pa.array(keep))
-
-
 def _sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), _BITS // 64)
 
 
-def _sure_links(s: Settings):
-    """First pass: each member in turn takes the members not yet taken whose estimate reaches the threshold."""
-    t = s.percent / 100
+def _family_links(s: Settings):
+    """Each member of a bucket in turn takes the members not yet taken that its sketch is near enough to."""
+    low = s.percent / 100 - s.margin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches):
+            keys = batch.column(0).to_numpy()
+            same = np.concatenate([[False], keys[1:] == keys[:-1], [False]])
+            shared = same[:-1] | same[1:]
+            if not shared.any():
+                continue
+            batch = batch.filter(pa.array(shared))
             keys, reps, bits = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _sketches(batch.column(2))
             one, two = [], []
             for a, b in _groups(keys):
@@ -208,7 +208,7 @@ def _sure_links(s: Settings):
                     front, left = [left[0]], left[1:]
                     while front and len(left):
                         u = front.pop()
-                        near = similarity(np.bitwise_count(bits[left] ^ bits[u]).sum(1), s.samples) >= t
+                        near = similarity(np.bitwise_count(bits[left] ^ bits[u]).sum(1), s.samples) >= low
                         got, left = left[near], left[~near]
                         one.append(np.full(len(got), reps[u]))
                         two.append(reps[got])
@@ -218,31 +218,6 @@ def _sure_links(s: Settings):
     return run
 
 
-def _cross_links(s: Settings):
-    """Second pass: pairs from different components that are not far below the threshold."""
-    low = s.percent / 100 - s.margin
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in whole_groups(batches):
-            keys, reps, bits, comp = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _sketches(batch.column(2)), batch.column(3).to_numpy()
-            one, two = [], []
-            for a, b in _groups(keys):
-                order = a + np.argsort(comp[a:b], kind="stable")
-                edge = np.flatnonzero(np.concatenate([[True], comp[order][1:] != comp[order][:-1], [True]]))
-                for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                    rest = order[y:]
-                    for u in order[x:y] if len(rest) else ():
-                        near = rest[similarity(np.bitwise_count(bits[rest] ^ bits[u]).sum(1), s.samples) >= low]
-                        one.append(np.full(len(near), reps[u]))
-                        two.append(reps[near])
-                        if sum(map(len, one)) > 1 << 18:
-                            yield _pairs(one, two)
-                            one, two = [], []
-            yield _pairs(one, two)
-
-    return run
-
-
 def _pairs(one: list, two: list) -> pa.RecordBatch:
     a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (one, two))
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -257,15 +232,77 @@ def _sets(s: Settings):
     return run, "rep long, shingles binary"
 
 
-def _confirm(s: Settings):
+def _parts(s: Settings):
+    """Rows for each two parts of a family that a member has to be in: family, pair, side, rep, shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * both >= s.percent * (len(x) + len(y) - both)
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            rep, family, parts = (batch.column(k).to_numpy() for k in (0, 2, 3))
+            own = (keyed(rep.view(np.uint64), 31) % parts.astype(np.uint64)).astype(np.int64)
+            row = np.repeat(np.arange(len(rep)), parts)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+            pair = np.minimum(own[row], other) << 31 | np.maximum(own[row], other)
+            rows = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(family[row]), pa.array(pair), pa.array((own[row] > other).astype(np.int8)), batch.column(0).take(rows), batch.column(1).take(rows)], names=["family", "pair", "side", "rep", "shingles"])
+
+    return run, "family long, pair long, side byte, rep long, shingles binary"
+
+
+def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int, block: int = 1024, columns: int = 4096) -> np.ndarray:
+    """Links enough to connect the sets that are connected by links (two rows of numbers); with sides, by links across them."""
+    sizes = np.array([len(x) for x in sets])
+    links = Links(len(sets), np.ones(len(sets), np.int64))
+    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = often[code] > 1
+    number = np.cumsum(often > 1) - 1
+    row, code = row[shared], number[code[shared]]
+    n = int((often > 1).sum())
+    first = np.searchsorted(row, np.arange(len(sets) + 1))
+    left = np.arange(len(sets)) if side is None else np.flatnonzero(side == 0)
+    right = left if side is None else np.flatnonzero(side == 1)
+
+    def dense(rows: np.ndarray, lo: int) -> np.ndarray:
+        out = np.zeros((len(rows), min(columns, n - lo)), np.float32)
+        at = np.concatenate([np.arange(first[r], first[r + 1]) for r in rows])
+        of = np.repeat(np.arange(len(rows)), first[rows + 1] - first[rows])
+        inside = (code[at] >= lo) & (code[at] < lo + out.shape[1])
+        out[of[inside], code[at][inside] - lo] = 1
+        return out
+
+    for i in range(0, len(left), block):
+        p = left[i : i + block]
+        for j in range(i if side is None else 0, len(right), block):
+            q = right[j : j + block]
+            inside = side is None and i == j
+            both = np.zeros((len(p), len(q)))
+            for lo in range(0, n, columns):
+                x = dense(p, lo)
+                both += x @ (x if inside else dense(q, lo)).T
+            mask = 100 * both >= percent * (sizes[p][:, None] + sizes[q] - both)
+            if inside:
+                np.fill_diagonal(mask, False)
+                q = p
+            if mask.any():
+                links.some_of(p, q, mask)
+    edges = np.concatenate([np.zeros((2, 0), np.int64), *links.edges], axis=1)
+    return np.unique(edges[:, edges[0] != edges[1]], axis=1)
+
+
+def _decide(s: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches):
+            pair = batch.column(1).to_numpy()
+            order = np.argsort(pair, kind="stable")
+            edge = np.flatnonzero(np.concatenate([[True], np.diff(pair[order]) != 0, [True]]))
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                at = pa.array(order[a:b])
+                rep, side = batch.column(3).take(at).to_numpy(), batch.column(2).take(at).to_numpy()
+                sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(4).take(at)]
+                k = int(pair[order[a]])
+                if len(sets) > 1:
+                    e = linked(sets, None if k >> 31 == k & 0x7FFFFFFF else side, s.percent)
+                    yield _pairs([rep[e[0]]], [rep[e[1]]])
 
     return run
 
@@ -287,24 +324,18 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
     classes = usable.groupBy("set1", "set2").agg(F.min("doc_id").alias("rep"))
     reps = usable.groupBy("set1", "set2").agg(F.min(F.struct("doc_id", "samples")).alias("x")).select("x.doc_id", "x.samples")
     banded = reps.mapInArrow(*_bands(s)).repartition("key").sortWithinPartitions("key")
-    members = scratch.save(banded.mapInArrow(_keep_shared, "key long, rep long, sketch binary"), "members")
-    ids = scratch.save(members.select("rep").distinct(), "ids")
-    texts = docs.join(small(ids.withColumnRenamed("rep", "doc_id"), ids.count()), "doc_id", "left_semi")
-    sets = scratch.save(texts.mapInArrow(*_sets(s)), "sets")
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = pairs.where("a <> b").distinct()
-        a, b = (sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-        rows = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
-        return scratch.save(rows.mapInArrow(_confirm(s), "a long, b long"), name)
-
-    grouped = members.repartition("key").sortWithinPartitions("key")
-    first = confirmed(grouped.mapInArrow(_sure_links(s), "a long, b long"), "links1")
-    named = components(first, scratch, "first")
-    grouped = members.join(named, members["rep"] == named["node"], "left").select("key", "rep", "sketch", F.coalesce("component", "rep").alias("component"))
-    grouped = grouped.repartition("key").sortWithinPartitions("key")
-    second = confirmed(grouped.mapInArrow(_cross_links(s), "a long, b long"), "links2")
-    named = components(first.unionByName(second), scratch, "all")
+    near = banded.mapInArrow(_family_links(s), "a long, b long").distinct()
+    families = scratch.save(components(near, scratch, "near").withColumnRenamed("component", "family"), "families")
+    n_members = families.count()
+    texts = docs.join(small(families.select(F.col("node").alias("doc_id")), n_members), "doc_id", "left_semi")
+    sets = scratch.save(texts.mapInArrow(*_sets(s)).dropDuplicates(["rep", "shingles"]), "sets")
+    sized = sets.select("rep", F.octet_length("shingles").alias("bytes")).join(families, sets["rep"] == families["node"]).groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("n") / s.part_rows), F.ceil(F.col("bytes") / (8 * s.part_shingles)), F.lit(1)).cast("long")
+    placed = families.join(sized.where("n > 1").select("family", parts.alias("parts")), "family")
+    rows = sets.join(small(placed, n_members), sets["rep"] == placed["node"]).select("rep", "shingles", "family", "parts")
+    rows = rows.mapInArrow(*_parts(s)).repartition("family", "pair").sortWithinPartitions("family")
+    links = scratch.save(rows.mapInArrow(_decide(s), "a long, b long"), "links")
+    named = components(links, scratch, "links")
     classes = classes.join(named, classes["rep"] == named["node"], "left").select("set1", "set2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set1", "set2").join(classes, ["set1", "set2"], "left")
     # Rows of one doc_id with different texts are one node; a text without words takes no part.
