@@ -67,10 +67,20 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import Settings, encode
+
+    columns = ("n_tokens", "ids_crc32", "decoded_crc32", "lossless")
+    return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), Settings(seed=29, dropout=0.1), columns)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embeddings": op1_embeddings,
         "op2_token_output": op2_token_output,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_licenses": op4_licenses,
         "op5_html": op5_html,
         "op6_sharding": op6_sharding,

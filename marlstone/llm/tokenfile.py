@@ -197,14 +197,7 @@ class WordCache:
             if not np.array_equal(ends_at[cut - 1], want):
                 raise RuntimeError("a token stands across a chunk's end")
             sizes[part] = np.diff(cut, prepend=0)
-        at = np.zeros(len(keys), np.int64)
-        at[order] = len(self.pool) + np.cumsum(sizes[order]) - sizes[order]
-        self.pool = np.concatenate([self.pool, *ids])
-        merged = np.concatenate([self.keys, keys])
-        by = np.argsort(merged, kind="stable")
-        self.keys = merged[by]
-        self.at = np.concatenate([self.at, at])[by]
-        self.size = np.concatenate([self.size, sizes])[by]
+        self.learn(keys[order], sizes[order], np.concatenate(ids))
 
     def ids(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of ids of each."""
@@ -212,7 +205,11 @@ class WordCache:
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         starts = self.cuts(buf, offsets)
         ends = np.append(starts[1:], len(buf))
-        h = hash_spans(buf, starts, ends)
+        per_chunk, ids = self.resolve(hash_spans(buf, starts, ends), lambda keys, new: self._add(keys, buf, starts[new], ends[new]))
+        return ids, np.diff(per_chunk[np.searchsorted(starts, offsets)])
+
+    def resolve(self, h: np.ndarray, add: Callable[[np.ndarray, np.ndarray], None]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each chunk start, and all ids; add(keys, chunks) makes those that are not known yet known."""
         keys, one, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.keys) > self.most:
             self.clear()
@@ -220,14 +217,22 @@ class WordCache:
         known = where < len(self.keys)
         known[known] = self.keys[where[known]] == keys[known]
         if not known.all():
-            new = one[~known]
-            self._add(keys[~known], buf, starts[new], ends[new])
+            add(keys[~known], one[~known])
             where = np.searchsorted(self.keys, keys)
         size, at = self.size[where][back], self.at[where][back]
         total = np.cumsum(size)
         take = np.arange(total[-1]) + np.repeat(at - total + size, size)
-        per_chunk = np.concatenate([[0], total])
-        return self.pool[take], np.diff(per_chunk[np.searchsorted(starts, offsets)])
+        return np.concatenate([[0], total]), self.pool[take]
+
+    def learn(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Adds chunks with so many ids each, one after another."""
+        at = len(self.pool) + np.cumsum(sizes) - sizes
+        self.pool = np.concatenate([self.pool, ids.astype(np.uint32)])
+        merged = np.concatenate([self.keys, keys])
+        by = np.argsort(merged, kind="stable")
+        self.keys = merged[by]
+        self.at = np.concatenate([self.at, at])[by]
+        self.size = np.concatenate([self.size, sizes])[by]
 
 
 def _byte_tokens(tokenizer) -> np.ndarray:
