@@ -27,12 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import small
 from .fmindex import FMIndex
 from .storage import Scratch
 from .neardup import whole_groups
-from .textkernel import BLANKS, grams, hash_spans, room, slices, spans
+from .textkernel import BLANKS, grams, hash_spans, keyed, room, slices, spans
 
 #: Bytes of a word's hash in a segment.
 _WORD = 6
@@ -83,16 +84,22 @@ def _find_anchors(s: Settings):
                 at, h, _, _ = anchors(words, first, s)
                 doc = np.searchsorted(first, at, "right") - 1
                 rows = pa.array(lo + doc)
-                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at - first[doc]).astype(np.int32))], names=["anchor", "doc", "text_hash", "at"])
+                # One row of each anchor meets those of other tasks; its further rows here are known to recur and go anywhere.
+                _, one, back, often = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                known = often[back] > 1
+                rest = np.ones(len(h), bool)
+                rest[one] = False
+                key = np.where(rest, keyed(h.view(np.uint64) + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 13).view(np.int64), h)
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((at - first[doc]).astype(np.int32)), pa.array(known)], names=["anchor", "doc", "text_hash", "at", "known"])
 
-    return run, "anchor long, doc long, text_hash long, at int"
+    return run, "anchor long, doc long, text_hash long, at int, known boolean"
 
 
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in whole_groups(batches):
         keys = batch.column(0).to_numpy()
         same = np.concatenate([[False], keys[1:] == keys[:-1], [False]])
-        keep = same[:-1] | same[1:]
+        keep = same[:-1] | same[1:] | batch.column(4).to_numpy(zero_copy_only=False)
         if keep.any():
             yield batch.filter(pa.array(keep)).select([1, 2, 3])
 
@@ -212,7 +219,7 @@ def _cut(held: list[pa.RecordBatch], s: Settings, settle) -> Iterator[pa.RecordB
         lo = hi
 
 
-def _keep_words(s: Settings):
+def _keep_words(s: Settings, carried: list[T.StructField]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -231,13 +238,17 @@ def _keep_words(s: Settings):
                 kept = b" ".join(words)
                 rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()))
             n, gone, sha, kept = zip(*rows, strict=True) if rows else ([],) * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["doc", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string()), *batch.columns[4:]]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return run, "doc long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    schema = T.StructType.fromDDL("doc long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    for f in carried:
+        schema = schema.add(f)
+    return run, schema
 
 
-def remove_repeats(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept_text of every row of ``documents`` (doc_id, text).
+def remove_repeats(documents: DataFrame, settings: Settings = Settings(), carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and kept_text of every row of ``documents`` (doc_id, text), and the columns in ``carry``.
 
     Kept words are joined by one blank. A null text has no words. An earlier start is one in a
     smaller doc_id, or at an earlier word under the same doc_id; so identical rows don't remove
@@ -246,7 +257,8 @@ def remove_repeats(documents: DataFrame, settings: Settings = Settings()) -> Dat
     s = settings
     last = F.lit((1 << 63) - 1)
     scratch = Scratch(documents.sparkSession, "substrings")
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc"), F.xxhash64("text").alias("text_hash"), "text")
+    docs_columns = (F.coalesce(F.col("doc_id").cast("long"), last).alias("doc"), F.xxhash64("text").alias("text_hash"), F.col("text"))
+    docs = documents.select(*docs_columns)
     keys = ["doc", "text_hash"]
     # Later copies of whole texts.
     sums = docs.where(F.octet_length("text") > 2 * s.window - 2).select("doc", "text_hash", F.xxhash64(F.lit(7), "text").alias("second"))
@@ -264,5 +276,8 @@ def remove_repeats(documents: DataFrame, settings: Settings = Settings()) -> Dat
     gone = segments.mapInArrow(*_search(s)).groupBy(*keys).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     gone = scratch.save(gone, "ranges")
     marked = small(copies.withColumn("copy", F.lit(True)), n_copies)
-    out = docs.join(marked, keys, "left").join(gone, keys, "left").select("doc", "text", "copy", "ranges").mapInArrow(*_keep_words(s))
-    return out.select(F.when(F.col("doc") < last, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text")
+    if carry:
+        docs = documents.select(*docs_columns, *(F.col(c).alias(f"c_{c}") for c in carry))
+    fields = [docs.schema[f"c_{c}"] for c in carry]
+    out = docs.join(marked, keys, "left").join(gone, keys, "left").select("doc", "text", "copy", "ranges", *(f.name for f in fields)).mapInArrow(*_keep_words(s, fields))
+    return out.select(F.when(F.col("doc") < last, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text", *(F.col(f"c_{c}").alias(c) for c in carry))
