@@ -42,10 +42,10 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     A text that loses no word stays as it is; another one becomes its kept words, joined by one blank.
     """
-    found = substrings.remove_repeats(docs.withColumn("whole", F.col("text")), carry=("whole", "lang", "source", "n_chars"))
-    cut = F.col("n_removed") > 0
-    out = found.where("n_words > n_removed OR n_words = 0").withColumn("text", F.when(cut, F.col("kept_text")).otherwise(F.col("whole")))
-    return out.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    found = substrings.remove_repeats(docs, carry=("lang", "source", "n_chars"))
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    out = found.where("n_words > n_removed OR n_words = 0")
+    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

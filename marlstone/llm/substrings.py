@@ -236,7 +236,7 @@ def _keep_words(s: Settings, carried: list[T.StructField]):
                     gone = np.cumsum(step)[:n] > 0
                     words = [x for x, g in zip(words, gone.tolist(), strict=True) if not g]
                 kept = b" ".join(words)
-                rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()))
+                rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if len(words) < n else text.as_py() or ""))
             n, gone, sha, kept = zip(*rows, strict=True) if rows else ([],) * 4
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string()), *batch.columns[4:]]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
@@ -250,7 +250,8 @@ def _keep_words(s: Settings, carried: list[T.StructField]):
 def remove_repeats(documents: DataFrame, settings: Settings = Settings(), carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text of every row of ``documents`` (doc_id, text), and the columns in ``carry``.
 
-    Kept words are joined by one blank. A null text has no words. An earlier start is one in a
+    The checksum is of the kept words joined by one blank; kept_text is that too, or the text
+    itself where no word goes. A null text has no words. An earlier start is one in a
     smaller doc_id, or at an earlier word under the same doc_id; so identical rows don't remove
     one another's words. A null doc_id comes after all others. Other columns are ignored.
     """
