@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .textkernel import NON_ALNUM, hash_spans, mix, slices, spans
 
-#: Fixed masks; 1 looks at a word. Any 13 words with one replaced agree on one of them somewhere, as do most with two.
+#: Fixed masks; 1 looks at a word. Any 13 words with one of them replaced agree under one of the masks somewhere.
 MASKS = ("11111111", "1110110111", "110111010111", "111010011001111")
 
 
@@ -206,24 +206,42 @@ def _with_index(documents: DataFrame, rows: list[tuple], s: Settings) -> DataFra
 def _joined(documents: DataFrame, items: DataFrame, size: int, s: Settings) -> DataFrame:
     """For a large benchmark: candidate pairs from a join of seed hashes, then the overlaps of each document with its candidates."""
 
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    least = min(map(len, s.masks))
+
+    def seeds(runs: tuple[int, ...], whole: bool):
+        """Seed hashes of each text: of all masks, and of the given short runs of words (whole: only if the text is no longer)."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo, hi, buf, offsets in slices(batch, "text", lower=True):
+                    words, first = word_hashes(buf, offsets)
+                    sizes = np.diff(first)
+                    text = np.repeat(np.arange(lo, hi), sizes)
+                    left = np.repeat(first[1:], sizes) - np.arange(len(words))
+                    for number, mask in [*enumerate(s.masks), *((100 + n, "1" * n) for n in runs)]:
+                        h = seed_hashes(words, mask, number)
+                        ok = left[: len(h)] >= len(mask)
+                        if whole and number >= 100:
+                            ok &= np.repeat(sizes, sizes)[: len(h)] == len(mask)
+                        at = np.flatnonzero(ok)
+                        pairs = np.unique(np.stack([text[at].astype(np.uint64), h[at]]), axis=1)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[0].astype(np.int64))), pa.array(pairs[1].view(np.int64))], names=["id", "h"])
+
+        return run, "id long, h long"
+
+    def short_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offsets in slices(batch, "text", lower=True):
-                words, first = word_hashes(buf, offsets)
-                text = np.repeat(np.arange(lo, hi), np.diff(first))
-                left = np.repeat(first[1:], np.diff(first)) - np.arange(len(words))
-                for k, mask in enumerate(s.masks):
-                    h = seed_hashes(words, mask, k)
-                    at = np.flatnonzero(left[: len(h)] >= len(mask))
-                    pairs = np.unique(np.stack([text[at].astype(np.uint64), h[at]]), axis=1)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[0].astype(np.int64))), pa.array(pairs[1].view(np.int64))], names=["id", "h"])
+            for _, _, buf, offsets in slices(batch, "text", lower=True):
+                n = np.unique(np.diff(word_hashes(buf, offsets)[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(n[(n > 0) & (n < least)].astype(np.int64))], names=["n"])
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
     items = items.withColumn("row", F.xxhash64("item_id", "text"))
-    a = docs.select("row", "text").mapInArrow(seeds, "id long, h long").withColumnRenamed("id", "doc_row")
-    b = items.select("row", "text").mapInArrow(seeds, "id long, h long").withColumnRenamed("id", "item_row")
+    # Numbers of words below a mask's: a handful.
+    runs = tuple(sorted(r["n"] for r in items.select("text").mapInArrow(short_sizes, "n long").distinct().collect()))
+    a = docs.select("row", "text").mapInArrow(*seeds(runs, False)).withColumnRenamed("id", "doc_row")
+    b = items.select("row", "text").mapInArrow(*seeds(tuple(range(1, least)), True)).withColumnRenamed("id", "item_row")
     pairs = a.join(b, "h").select("doc_row", "item_row").distinct()
-    # Items of fewer words than a mask are few and short; they go the broadcast way if they fit, by blocks otherwise.
     rows = pairs.join(docs, pairs["doc_row"] == docs["row"]).drop("row").join(items.withColumnRenamed("text", "item"), pairs["item_row"] == items["row"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
