@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows that a bucket holds on average.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 
 
 def _ranked(rows: DataFrame, within: list[str], bucket: str, order: list, rank: str) -> DataFrame:
@@ -56,9 +56,9 @@ def interleave(rows: DataFrame, shards: int = 16, source: str | Column = "source
     source = F.col(source) if isinstance(source, str) else source
     key = F.col(key) if isinstance(key, str) else key
     rows = rows.withColumn("_source", F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("")))
-    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), key))
+    rows = rows.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 1))
     rows = rows.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("_all"))))  # one row
-    uniform = F.shiftrightunsigned("_h", 11) / F.lit(float(1 << 53))
+    uniform = F.shiftright("_h", 10) / F.lit(float(1 << 53))
     buckets = F.ceil(F.col("_all") / BUCKET_ROWS)
     rows = rows.withColumn("_bucket", F.floor(uniform * buckets))
     rows = _ranked(rows, ["_source"], "_bucket", ["_h", *tie], "_rank").drop("_bucket")

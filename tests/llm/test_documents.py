@@ -178,7 +178,7 @@ def test_sharding_mixture(spark):
     df = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).alias("source"))
     got = sharding.interleave(df, 16).withColumn("h", F.xxhash64(F.lit(17), F.col("doc_id"))).collect()
     sources = {}
-    for r in sorted(got, key=lambda r: (r["h"] % (1 << 64), r["doc_id"])):
+    for r in sorted(got, key=lambda r: (r["h"] % (1 << 64) >> 1, r["doc_id"])):
         sources.setdefault(r["source"], []).append(r)
     order = sorted(((i + 0.5) / len(v), f"={s}", r["doc_id"]) for s, v in sources.items() for i, r in enumerate(v))
     place = {d: i for i, (_, _, d) in enumerate(order)}
