@@ -4,7 +4,8 @@
 2. A row's fractional rank is ``(rank - 1/2) / rows of its source``, so every source is
    spread evenly over the interval from 0 to 1.
 3. All rows are ordered by fractional rank and cut into runs whose lengths differ by one
-   at most. Each run then holds every source in proportion, up to one row or two.
+   at most. Each run then holds every source in proportion, up to one row and
+   the source's share of as many rows as there are sources.
 
 No source and no run is ever ranked in one task. Ranks come from two steps: rows are dealt
 to buckets of the ordering key, each bucket is ranked by itself, and the counts of the
