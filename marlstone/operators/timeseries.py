@@ -47,27 +47,24 @@ def holding_outcome(decisions: DataFrame, bars: DataFrame, benchmark: DataFrame,
     are null. The benchmark (date, close) is taken by its own rows, not by the asset's dates.
     alpha is the difference of the returns.
     """
-    last = F.date_add(F.col("_d"), rows + buffer - 1)
-    decisions = decisions.withColumn("_d", F.col("date")).withColumn("_id", F.struct("symbol", "date"))
+    decisions = decisions.withColumn("_d", F.col("date"))
     keys = decisions.select("symbol", "_d").distinct()
+    window = F.explode(F.sequence("_d", F.date_add("_d", rows + buffer - 1))).alias("_date")
 
-    def path(prices: DataFrame, on: list, name: str) -> DataFrame:
-        joined = keys.join(prices, on).groupBy("symbol", "_d")
-        return joined.agg(F.array_sort(F.collect_list(F.struct("_date", "close"))).alias(name))
+    def path(starts: DataFrame, prices: DataFrame, on: list[str], name: str) -> DataFrame:
+        """The closes of the window of each start: its days are listed, so the join is on equal dates."""
+        joined = starts.select("*", window).join(prices, [*on, "_date"])
+        return joined.groupBy(*on, "_d").agg(F.array_sort(F.collect_list(F.struct("_date", "close"))).alias(name))
 
-    a = bars.select(F.col("symbol").alias("_s"), F.col("date").alias("_date"), "close")
-    b = benchmark.select(F.col("date").alias("_date"), "close")
-    inside = (F.col("_date") >= F.col("_d")) & (F.col("_date") <= last)
-    assets = path(a, [(F.col("_s") == F.col("symbol")) & inside], "_a")
-    days = keys.select("_d").distinct()
-    bench = days.join(b, inside).groupBy("_d").agg(F.array_sort(F.collect_list(F.struct("_date", "close"))).alias("_b"))
+    assets = path(keys, bars.select("symbol", F.col("date").alias("_date"), "close"), ["symbol"], "_a")
+    bench = path(keys.select("_d").distinct(), benchmark.select(F.col("date").alias("_date"), "close"), [], "_b")
     out = decisions.join(assets, ["symbol", "_d"], "left").join(bench, "_d", "left")
     n = lambda c: F.coalesce(F.size(c), F.lit(0))
     size_a, size_b = F.when(F.col("_a").isNull(), 0).otherwise(n("_a")), F.when(F.col("_b").isNull(), 0).otherwise(n("_b"))
     out = out.withColumn("days", F.when((size_a >= 2) & (size_b >= 2), F.least(F.lit(rows), size_a - 1, size_b - 1)))
     gain = lambda c: (F.get(c, F.col("days"))["close"] - F.get(c, F.lit(0))["close"]) / F.get(c, F.lit(0))["close"]
     out = out.withColumn("raw", F.when(F.col("days").isNotNull(), gain(F.col("_a")))).withColumn("alpha", F.col("raw") - F.when(F.col("days").isNotNull(), gain(F.col("_b"))))
-    return out.drop("_d", "_id", "_a", "_b")
+    return out.drop("_d", "_a", "_b")
 
 
 def change_over_window(points: DataFrame, by: tuple[str, ...] = ("series",), date: str = "date", value: str = "value") -> DataFrame:
