@@ -248,19 +248,46 @@ def _parts(s: Settings):
     return run, "family long, pair long, side byte, rep long, shingles binary"
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int, block: int = 1024, columns: int = 4096) -> np.ndarray:
-    """Links enough to connect the sets that are connected by links (two rows of numbers); with sides, by links across them."""
+def _light_pairs(code: np.ndarray, row: np.ndarray, most: int) -> np.ndarray:
+    """Every two rows (the smaller first) that share a shingle which at most ``most`` rows have, once for each such shingle."""
+    by = np.lexsort((row, code))
+    code, row = code[by], row[by]
+    found = [np.zeros((2, 0), np.int64)]
+    for d in range(1, most):
+        same = np.flatnonzero(code[d:] == code[:-d])
+        if not len(same):
+            break
+        found.append(np.stack([row[same], row[same + d]]))
+    return np.concatenate(found, axis=1)
+
+
+def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int, block: int = 1024, columns: int = 4096, light: int = 24) -> np.ndarray:
+    """Links enough to connect the sets that are connected by links (two rows of numbers); with sides, by links across them.
+
+    Intersections are exact: shingles of one set count for its size alone, those of a few sets
+    (up to ``light``) are counted pair by pair, the others by products of 0/1 matrices.
+    """
     sizes = np.array([len(x) for x in sets])
     links = Links(len(sets), np.ones(len(sets), np.int64))
     _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), sizes)
-    shared = often[code] > 1
-    number = np.cumsum(often > 1) - 1
-    row, code = row[shared], number[code[shared]]
-    n = int((often > 1).sum())
-    first = np.searchsorted(row, np.arange(len(sets) + 1))
+    some = (often[code] > 1) & (often[code] <= light)
+    pairs = _light_pairs(code[some], row[some], light)
     left = np.arange(len(sets)) if side is None else np.flatnonzero(side == 0)
     right = left if side is None else np.flatnonzero(side == 1)
+    if side is not None:
+        pairs = pairs[:, side[pairs[0]] != side[pairs[1]]]
+        swap = side[pairs[0]] == 1
+        pairs = np.where(swap, pairs[::-1], pairs)
+        place = np.zeros(len(sets), np.int64)
+        place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+        pairs = place[pairs]
+    pairs = pairs[:, np.argsort(pairs[0], kind="stable")]
+    heavy = often > light
+    number = np.cumsum(heavy) - 1
+    row, code = row[heavy[code]], number[code[heavy[code]]]
+    n = int(heavy.sum())
+    first = np.searchsorted(row, np.arange(len(sets) + 1))
 
     def dense(rows: np.ndarray, lo: int) -> np.ndarray:
         out = np.zeros((len(rows), min(columns, n - lo)), np.float32)
@@ -272,10 +299,14 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None, percent: int, block:
 
     for i in range(0, len(left), block):
         p = left[i : i + block]
+        own = pairs[:, slice(*np.searchsorted(pairs[0], (i, i + len(p))))]
         for j in range(i if side is None else 0, len(right), block):
             q = right[j : j + block]
             inside = side is None and i == j
-            both = np.zeros((len(p), len(q)))
+            a, b = own[:, (own[1] >= j) & (own[1] < j + len(q))]
+            both = np.bincount((a - i) * len(q) + b - j, minlength=len(p) * len(q)).reshape(len(p), len(q)).astype(float)
+            if inside:
+                both += both.T
             for lo in range(0, n, columns):
                 x = dense(p, lo)
                 both += x @ (x if inside else dense(q, lo)).T

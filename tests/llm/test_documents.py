@@ -257,3 +257,25 @@ def test_merging_together_is_merging_one_by_one():
     keys = np.arange(len(words), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     together, one = (pieces.PieceCache(model, pieces.Settings(dropout=0.3, longest=n)).segment(words, keys) for n in (48, 0))
     assert (together[0] == one[0]).all() and (together[1] == one[1]).all()
+
+
+@pytest.mark.parametrize("light", [1, 3, 24])
+@pytest.mark.parametrize("sided", [False, True])
+def test_linked_sets(light, sided):
+    """Blocks of any size and both ways of counting give the components of all pairs."""
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 62, (3, 60), np.uint64)
+    sets = []
+    for i in range(90):
+        s = base[i % 3].copy()
+        s[r.integers(0, 60, r.integers(0, 9))] = r.integers(0, 40, 1, np.uint64)
+        sets.append(np.unique(s))
+    side = r.integers(0, 2, 90) if sided else None
+
+    def link(a, b):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        return (side is None or side[a] != side[b]) and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both)
+
+    want = cases.component_ids(list(range(90)), link)
+    e = neardup.linked(sets, side, 85, block=16, columns=32, light=light)
+    assert cases.component_ids(list(range(90)), lambda a, b: bool(((e[0] == a) & (e[1] == b) | (e[0] == b) & (e[1] == a)).any())) == want
