@@ -60,35 +60,35 @@ def ewm(df: DataFrame, sources: dict[str, tuple[str, float]], by=("symbol",), or
 
     With q = 1 - alpha, a row at place j of its block has the sum P_j = q**j * sum(x_i * q**-i) of
     the block so far, and the weighted sum is P_j + q**(j + 1) * (E_1 + q**BLOCK * E_2 + ...) over
-    the block sums E of earlier blocks. Blocks further back than three weigh nothing in double
-    precision at decays of 1/14 and faster; slower ones take as many as they need.
+    the block sums E of earlier blocks, which are lags by whole blocks of the last row of the
+    block before. Blocks that weigh nothing in double precision are left out. All of it is windows
+    over one distribution by series: the input is computed once.
     """
-    place = F.row_number().over(_series(by, order))
-    df = df.withColumn("_n", place).withColumn("_block", F.floor((F.col("_n") - 1) / BLOCK)).withColumn("_j", ((F.col("_n") - 1) % BLOCK).cast("double"))
+    series = _series(by, order)
+    df = df.withColumn("_n", F.row_number().over(series)).withColumn("_block", F.floor((F.col("_n") - 1) / BLOCK)).withColumn("_j", ((F.col("_n") - 1) % BLOCK).cast("double"))
     inside = W.partitionBy(*by, "_block").orderBy("_n").rowsBetween(W.unboundedPreceding, 0)
     sums = {}
     for name, (column, alpha) in sources.items():
         q = 1 - alpha
         sums[f"_p_{name}"] = F.pow(F.lit(q), F.col("_j")) * F.sum(F.col(column) * F.pow(F.lit(q), -F.col("_j"))).over(inside)
     df = df.withColumns(sums)
-    ends = df.where(F.col("_j") == BLOCK - 1).select(*by, (F.col("_block") + 1).alias("_block"), *(F.col(f"_p_{n}").alias(f"_e_{n}") for n in sources))
-    earlier = W.partitionBy(*by).orderBy("_block")
-    carried = {}
+    ends = {}
     for name, (_, alpha) in sources.items():
         q, back = (1 - alpha) ** BLOCK, 1
-        total = F.col(f"_e_{name}")
+        total = F.col(f"_p_{name}")
         while q**back > 1e-18:
-            total = total + q**back * F.coalesce(F.lag(f"_e_{name}", back).over(earlier), F.lit(0.0))
+            total = total + q**back * F.coalesce(F.lag(f"_p_{name}", back * BLOCK).over(series), F.lit(0.0))
             back += 1
-        carried[f"_c_{name}"] = total
-    ends = ends.withColumns(carried).select(*by, "_block", *carried)
-    df = df.join(ends, [*by, "_block"], "left")
+        ends[f"_e_{name}"] = F.when(F.col("_j") == BLOCK - 1, total)
+    df = df.withColumns(ends)
+    before = series.rowsBetween(W.unboundedPreceding, -1)
     out = {}
     for name, (_, alpha) in sources.items():
         q = 1 - alpha
-        total = F.col(f"_p_{name}") + F.pow(F.lit(q), F.col("_j") + 1) * F.coalesce(F.col(f"_c_{name}"), F.lit(0.0))
+        carried = F.coalesce(F.last(f"_e_{name}", True).over(before), F.lit(0.0))
+        total = F.col(f"_p_{name}") + F.pow(F.lit(q), F.col("_j") + 1) * carried
         out[name] = total * alpha / (1 - F.pow(F.lit(q), F.col("_n").cast("double")))
-    extra = ["_n", "_block", "_j", *(f"_p_{n}" for n in sources), *(f"_c_{n}" for n in sources)]
+    extra = ["_n", "_block", "_j", *(f"_{k}_{n}" for n in sources for k in "pe")]
     return df.withColumns(out).drop(*extra)
 
 

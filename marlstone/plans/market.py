@@ -20,7 +20,7 @@ def _bars(symbol: str) -> str:
 
 BARS = f"bars AS ({_bars('event_type')})"
 USERS = f"users AS ({_bars('user_id')})"
-_KEY = "(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)"
+_KEY = "(l_orderkey, l_linenumber, l_extendedprice, l_quantity)"
 LINES = f"""lines AS (SELECT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS date, arg_min(l_extendedprice / l_quantity, {_KEY}) AS open, max(l_extendedprice / l_quantity) AS high,
     min(l_extendedprice / l_quantity) AS low, arg_max(l_extendedprice / l_quantity, {_KEY}) AS close, CAST(sum(l_quantity) AS DOUBLE) AS volume FROM lineitem GROUP BY 1, 2)"""
 
