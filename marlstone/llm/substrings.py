@@ -128,14 +128,16 @@ def _segments(s: Settings):
                 keep = known[near] == place
                 h, a, b = h[keep], a[keep], b[keep]
                 doc = np.searchsorted(first, a, "right") - 1
+                # Settled segments only pass through the shards, so they go anywhere.
+                anywhere = keyed(h.view(np.uint64) + a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 17).view(np.int64)
                 data = words.view(np.uint8).reshape(-1, 8)[:, :_WORD].tobytes()
                 out = []
-                for x, y, key, d in zip(a.tolist(), b.tolist(), h.tolist(), doc.tolist(), strict=True):
+                for x, y, key, other, d in zip(a.tolist(), b.tolist(), h.tolist(), anywhere.tolist(), doc.tolist(), strict=True):
                     text = data[x * _WORD : (y - 1 + s.window) * _WORD]
                     me, it = (docs[lo + d], x - int(first[d])), hash(text)
                     earlier = sent.get(it)
                     if earlier is not None and earlier < me:
-                        text = None
+                        key, text = other, None
                     else:
                         if len(sent) > 1 << 20:
                             sent.clear()
