@@ -99,3 +99,18 @@ def classify_notice(message: Column) -> Column:
     limit = m.contains("rate limit") | m.contains("call frequency") | m.contains("requests per") | m.contains("higher api call")
     key = m.contains("api key") | m.contains("apikey")
     return F.when(limit, "rate_limited").when(key, "not_configured").when(message.isNotNull(), "other")
+
+
+def first_match(value: Column, exact: dict[str, str], patterns: dict[str, str], default: str) -> Column:
+    """The entry of an exact name, else of the first pattern that is found in it, else the default."""
+    out = F.when(F.lit(False), default)
+    for name, result in exact.items():
+        out = out.when(value == name, result)
+    for pattern, result in patterns.items():
+        out = out.when(value.rlike(pattern), result)
+    return out.otherwise(default)
+
+
+def in_order(names: Column, order: list[str]) -> Column:
+    """The known names of an array, in the canonical order."""
+    return F.filter(F.array(*(F.lit(n) for n in order)), lambda n: F.array_contains(names, n))
