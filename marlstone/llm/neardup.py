@@ -366,7 +366,8 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
     rows = sets.join(small(placed, n_members), sets["rep"] == placed["node"]).select("rep", "shingles", "family", "parts")
     rows = rows.mapInArrow(*_parts(s)).repartition("family", "pair").sortWithinPartitions("family")
     links = scratch.save(rows.mapInArrow(_decide(s), "a long, b long"), "links")
-    named = components(links, scratch, "links")
+    named = components(links, scratch, "linked")
+    scratch.drop("sets", "families", "links")
     classes = classes.join(named, classes["rep"] == named["node"], "left").select("set1", "set2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set1", "set2").join(classes, ["set1", "set2"], "left")
     # Rows of one doc_id with different texts are one node; a text without words takes no part.

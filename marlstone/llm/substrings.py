@@ -278,6 +278,7 @@ def remove_repeats(documents: DataFrame, settings: Settings = Settings(), carry:
     segments = segments.repartition("anchor").sortWithinPartitions("anchor")
     gone = segments.mapInArrow(*_search(s)).groupBy(*keys).agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     gone = scratch.save(gone, "ranges")
+    scratch.drop("places", "sums")
     marked = small(copies.withColumn("copy", F.lit(True)), n_copies)
     if carry:
         docs = documents.select(*docs_columns, *(F.col(c).alias(f"c_{c}") for c in carry))
