@@ -3,14 +3,16 @@
 Encoding follows the agenda of BPE: of all neighbouring symbols whose union is a piece, the
 best-scored (leftmost of equal ones) is merged, until none is left. With dropout each candidate
 merge is skipped for good if a keyed hash of it falls below the rate. The key is made of the
-seed, the word, a variant number that the document and the word's place choose, and the
-candidate's span, so a run can be repeated exactly on any cluster, while the same word is
-segmented in several ways over a corpus.
+seed, the word, the document, the word's place in it and the candidate's span, so a run can be
+repeated exactly on any cluster, while every occurrence of a word draws for itself.
 
 No piece goes on after white space, so a text falls into words (with the blanks before them)
-that are encoded each by itself; a word and variant are encoded once for each process and then
-looked up. Words that are not known yet are merged together, one merge a step for all of
-them, in numpy; very long ones go through a heap.
+that are encoded each by itself. What is looked up are runs of a word under a given set of
+skipped candidates: their ids and all candidates that came up. An occurrence starts at the run
+that skips none and tests the candidates under its own key; if it skips some of them, it goes on
+to the run without these, until a run has no further candidate that it skips. That run is its
+own: all choices in it are those of its key. Runs that are not known yet are merged together,
+one merge a step for all of them, in numpy; very long words go through a heap, each occurrence.
 
 Decoding puts the pieces' texts together. It gives back every text exactly, also unknown
 characters (by bytes) and the blank sign itself, which is always taken by bytes.
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,12 +40,12 @@ _NONE = np.iinfo(np.int32).max
 
 @dataclass(frozen=True)
 class Settings:
-    """dropout: rate of skipped candidates. variants: segmentations of a word, at most. longest: symbols of a word that numpy takes."""
+    """dropout: rate of skipped candidates. longest: symbols of a word that numpy takes. looked_up: symbols of a word whose runs are kept."""
 
     seed: int = 29
     dropout: float = 0.1
-    variants: int = 4
     longest: int = 48
+    looked_up: int = 6
 
 
 class Model:
@@ -124,16 +126,31 @@ class Model:
         return self.parts[take].tobytes()[1:]
 
 
-def skipped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, rate: float) -> np.ndarray:
-    """Whether the candidate that joins the symbols start to middle and middle to end of a word is skipped."""
+def span_codes(start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for the candidate that joins the symbols start to middle and middle to end of a word."""
+    with np.errstate(over="ignore"):
+        return mix(start.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + middle.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + end.astype(np.uint64))
+
+
+def skipped(key: np.ndarray, codes: np.ndarray, rate: float) -> np.ndarray:
+    """Whether the candidates of these codes are skipped under the keys."""
     if rate <= 0:
-        return np.zeros(np.shape(key), bool)
+        return np.zeros(np.shape(codes), bool)
     with np.errstate(over="ignore"):
-        span = start.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + middle.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + end.astype(np.uint64)
-        return mix(key + mix(span)) >> np.uint64(11) < np.uint64(rate * (1 << 53))
+        return mix(key + codes) >> np.uint64(11) < np.uint64(rate * (1 << 53))
+
+
+def ragged(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """at, at + 1 and so on, size of them, for all one after another."""
+    total = np.cumsum(size)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(at - total + size, size)
 
 
-def merge_together(model: Model, symbols: np.ndarray, lengths: np.ndarray, keys: np.ndarray, rate: float) -> np.ndarray:
+#: Of the candidates of words (numbers, codes), those that are skipped.
+Skip = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def merge_together(model: Model, symbols: np.ndarray, lengths: np.ndarray, words: np.ndarray, skip: Skip) -> np.ndarray:
     """Merges all words (rows of symbols, padded) in step; returns the symbols, -2 where one was merged into its left."""
     n, width = symbols.shape
     out = np.full((n, width), -2, np.int32)
@@ -152,7 +169,7 @@ def merge_together(model: Model, symbols: np.ndarray, lengths: np.ndarray, keys:
         m = model.merged(s[row, left], s[row, right])
         rank = np.where(m >= 0, model.rank[m], _NONE)
         can = np.flatnonzero(m >= 0)
-        drop = skipped(keys[row[can]], left[can], right[can], ends[row[can], right[can]], rate)
+        drop = skip(words[row[can]], span_codes(left[can], right[can], ends[row[can], right[can]]))
         rank[can[drop]] = _NONE
         best[row, left], piece[row, left] = rank, m
 
@@ -166,7 +183,7 @@ def merge_together(model: Model, symbols: np.ndarray, lengths: np.ndarray, keys:
             live = np.flatnonzero(go)
             if not len(live):
                 return out
-            alive, s, ends, before, best, piece, lengths, keys, at = alive[live], s[live], ends[live], before[live], best[live], piece[live], lengths[live], keys[live], at[live]
+            alive, s, ends, before, best, piece, lengths, words, at = alive[live], s[live], ends[live], before[live], best[live], piece[live], lengths[live], words[live], at[live]
         row = np.arange(len(at))
         right = ends[row, at]
         after = ends[row, right]
@@ -182,7 +199,7 @@ def merge_together(model: Model, symbols: np.ndarray, lengths: np.ndarray, keys:
         consider(more, back[more])
 
 
-def merge_one(model: Model, symbols: np.ndarray, key: int, rate: float) -> np.ndarray:
+def merge_one(model: Model, symbols: np.ndarray, word: int, skip: Skip) -> np.ndarray:
     """The same for one word of any length, with a heap as the agenda."""
     n = len(symbols)
     s, ends, before = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
@@ -192,10 +209,10 @@ def merge_one(model: Model, symbols: np.ndarray, key: int, rate: float) -> np.nd
         right = np.array([ends[x] for x in left])
         last = np.array([ends[x] for x in right])
         m = model.merged(np.array([s[x] for x in left]), np.array([s[x] for x in right]))
-        drop = skipped(np.full(len(left), key, np.uint64), left, right, last, rate)
-        for x, y, z, p, d in zip(left.tolist(), right.tolist(), last.tolist(), m.tolist(), drop.tolist(), strict=True):
-            if p >= 0 and not d:
-                heapq.heappush(agenda, (int(model.rank[p]), x, y, z, p))
+        can = np.flatnonzero(m >= 0)
+        can = can[~skip(np.full(len(can), word), span_codes(left[can], right[can], last[can]))]
+        for x, y, z, p in zip(left[can].tolist(), right[can].tolist(), last[can].tolist(), m[can].tolist(), strict=True):
+            heapq.heappush(agenda, (int(model.rank[p]), x, y, z, p))
 
     if n > 1:
         consider(np.arange(n - 1))
@@ -213,52 +230,91 @@ def merge_one(model: Model, symbols: np.ndarray, key: int, rate: float) -> np.nd
 
 
 class PieceCache(WordCache):
-    """Ids of words by word and variant."""
+    """Runs of words by the word and what was skipped: ids, and codes of the candidates that came up."""
 
     def __init__(self, model: Model, settings: Settings, most: int = 1 << 21):
         self.model, self.settings, self.most = model, settings, most
         self.clear()
 
-    def segment(self, words: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def clear(self) -> None:
+        super().clear()
+        self.codes = np.zeros(0, np.uint64)
+        self.codes_at = np.zeros(0, np.int64)
+        self.codes_size = np.zeros(0, np.int64)
+
+    def merge(self, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, skip: Skip) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each word (code points, the blank as itself), and all ids."""
-        rate = self.settings.dropout
-        lengths = np.array([len(w) for w in words])
-        found: list = [None] * len(words)
+        if not len(starts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        first = np.cumsum(lengths) - lengths
+        chars = points[ragged(starts, lengths)]
+        symbols = self.model.char[chars]
         by = np.argsort(lengths, kind="stable")
-        at = 0
+        sorted_lengths = lengths[by]
+        at = int(np.searchsorted(sorted_lengths, 1, "right"))  # one symbol is as it is
         while at < len(by):
-            width = int(lengths[by[at]])
+            width = int(sorted_lengths[at])
             if width > self.settings.longest:
                 i = int(by[at])
-                found[i] = merge_one(self.model, self.model.char[words[i]], int(keys[i]), rate)
+                own = slice(first[i], first[i] + width)
+                symbols[own] = merge_one(self.model, symbols[own], i, skip)
                 at += 1
                 continue
-            width = max(8, -(-width // 8) * 8)
-            stop = int(np.searchsorted(lengths[by], width, "right"))
-            stop = min(stop, at + 65536)
+            width = -(-width // 4) * 4
+            stop = min(int(np.searchsorted(sorted_lengths, width, "right")), at + 16384)
             part = by[at:stop]
-            rows = np.full((len(part), width), -2, np.int32)
             n = lengths[part]
-            rows[np.repeat(np.arange(len(part)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = self.model.char[np.concatenate([words[i] for i in part])]
-            merged = merge_together(self.model, rows, n, keys[part], rate)
-            for i, row in zip(part.tolist(), merged, strict=True):
-                found[i] = row
+            rows = np.full((len(part), width), -2, np.int32)
+            inside = np.arange(width) < n[:, None]
+            own = ragged(first[part], n)
+            rows[inside] = symbols[own]
+            symbols[own] = merge_together(self.model, rows, n, part, skip)[inside]
             at = stop
-        sizes = np.zeros(len(words), np.int64)
-        out = []
-        for i, (w, row) in enumerate(zip(words, found, strict=True)):
-            row = row[: len(w)]
-            kept = row[row != -2]
-            if len(kept) and (kept.min() < 0 or kept.max() >= self.model.size):
-                ids = []
-                for p, c in zip(row.tolist(), w.tolist(), strict=True):
-                    if p == -2:
-                        continue
-                    ids += [p] if 0 <= p < self.model.size else self.model.bytes[list(chr(c).encode())].tolist()
-                kept = np.array(ids)
-            sizes[i] = len(kept)
-            out.append(kept)
-        return sizes, np.concatenate(out) if out else np.zeros(0, np.int64)
+        kept = symbols != -2
+        size = kept.astype(np.int64)
+        odd = np.flatnonzero(kept & ((symbols < 0) | (symbols >= self.model.size)))
+        spelt = [chr(c).encode() for c in chars[odd].tolist()]
+        size[odd] = [len(x) for x in spelt]
+        ids = np.repeat(symbols, size).astype(np.int64)
+        if len(odd):
+            ids[ragged((np.cumsum(size) - size)[odd], size[odd])] = self.model.bytes[np.frombuffer(b"".join(spelt), np.uint8)]
+        return np.add.reduceat(size, first), ids
+
+    def segment(self, words: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word under its key, and all ids."""
+        lengths = np.array([len(w) for w in words], np.int64)
+        return self.merge(np.concatenate(words), np.cumsum(lengths) - lengths, lengths, self._own(keys))
+
+    def _own(self, keys: np.ndarray) -> Skip:
+        return lambda word, codes: skipped(keys[word], codes, self.settings.dropout)
+
+    def _add(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, word: np.ndarray, code: np.ndarray) -> None:
+        """Makes runs known: each of a word without the candidates given for it (numbers of words, codes)."""
+        names = mix(np.arange(len(keys), dtype=np.uint64))
+        without = np.unique(names[word] ^ code)
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def skip(word: np.ndarray, codes: np.ndarray) -> np.ndarray:
+            if self.settings.dropout <= 0:
+                return np.zeros(len(codes), bool)
+            drop = np.zeros(len(codes), bool)
+            if len(without):
+                pair = names[word] ^ codes
+                where = np.searchsorted(without, pair)
+                drop = without[np.minimum(where, len(without) - 1)] == pair
+            seen.append((word[~drop], codes[~drop]))
+            return drop
+
+        sizes, ids = self.merge(points, starts, lengths, skip)
+        of = np.concatenate([x for x, _ in seen]) if seen else np.zeros(0, np.int64)
+        codes = np.concatenate([x for _, x in seen]) if seen else np.zeros(0, np.uint64)
+        count = np.bincount(of, minlength=len(keys))
+        codes = codes[np.argsort(of, kind="stable")]
+        by = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
+        self.codes_at = np.concatenate([self.codes_at, len(self.codes) + np.cumsum(count) - count])[by]
+        self.codes_size = np.concatenate([self.codes_size, count])[by]
+        self.codes = np.concatenate([self.codes, codes])
+        self.learn(keys, sizes, ids)
 
     def encode_texts(self, buf: np.ndarray, offsets: np.ndarray, doc_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's start (and the end)."""
@@ -276,19 +332,52 @@ class PieceCache(WordCache):
         ends = np.append(starts[1:], len(points))
         chunk = np.searchsorted(starts, first)
         number = np.arange(len(starts)) - np.repeat(chunk[:-1], np.diff(chunk))
-        s = self.settings
         with np.errstate(over="ignore"):
-            variant = keyed(np.repeat(doc_keys, np.diff(chunk)) + number.astype(np.uint64), s.seed) % np.uint64(max(1, s.variants))
-            if s.dropout <= 0:
-                variant[:] = 0
-            h = mix(hash_spans(points, starts, ends) + keyed(variant, s.seed + 1))
-
-        def add(keys: np.ndarray, new: np.ndarray) -> None:
-            words = [points[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-            self.learn(keys, *self.segment(words, keys))
-
-        per_chunk, ids = self.resolve(h, add)
-        return ids, per_chunk[chunk]
+            run = hash_spans(points, starts, ends)
+            keys = mix(run + keyed(np.repeat(doc_keys, np.diff(chunk)) + number.astype(np.uint64), self.settings.seed))
+        size, at, pool = self.runs(points, starts, ends - starts, run, keys)
+        return pool[ragged(at, size)], np.concatenate([[0], np.cumsum(size)])[chunk]
+
+    def runs(self, points: np.ndarray, starts: np.ndarray, lengths: np.ndarray, run: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of ids of each word under its key, where they start, and the pool that they are in. run: hashes of the words."""
+        if len(self.keys) > self.most:
+            self.clear()
+        rate = self.settings.dropout
+        size, at = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        brief = lengths <= self.settings.looked_up if rate > 0 else np.ones(len(starts), bool)
+        todo, run = np.flatnonzero(brief), run[brief]
+        left_out: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(todo):
+            asked, one, back = np.unique(run, return_index=True, return_inverse=True)
+            where = np.searchsorted(self.keys, asked)
+            known = where < len(self.keys)
+            known[known] = self.keys[where[known]] == asked[known]
+            if not known.all():
+                new = todo[one[~known]]
+                number = np.full(len(starts), -1)
+                number[new] = np.arange(len(new))
+                own = [(number[w][number[w] >= 0], c[number[w] >= 0]) for w, c in left_out]
+                word, code = (np.concatenate(x) for x in zip(*own, strict=True)) if own else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+                self._add(asked[~known], points, starts[new], lengths[new], word, code)
+                where = np.searchsorted(self.keys, asked)
+            where = where[back]
+            size[todo], at[todo] = self.size[where], self.at[where]
+            count = self.codes_size[where]
+            codes = self.codes[ragged(self.codes_at[where], count)]
+            hit = np.flatnonzero(skipped(np.repeat(keys[todo], count), codes, rate))
+            if not len(hit):
+                break
+            of, codes = np.searchsorted(np.cumsum(count), hit, "right"), codes[hit]
+            left_out.append((todo[of], codes))
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            on = of[first]
+            with np.errstate(over="ignore"):
+                run = mix(run[on] + np.add.reduceat(mix(codes), first))
+            todo = todo[on]
+        long = np.flatnonzero(~brief)
+        size[long], ids = self.merge(points, starts[long], lengths[long], self._own(keys[long]))
+        at[long] = len(self.pool) + np.cumsum(size[long]) - size[long]
+        return size, at, np.concatenate([self.pool, ids.astype(np.uint32)]) if len(long) else self.pool
 
 
 _caches: dict[tuple, PieceCache] = {}
@@ -300,8 +389,8 @@ def encode(documents: DataFrame, model_path: str, settings: Settings = Settings(
 
     columns: ids; n_tokens; ids_crc32 (of the ids as little-endian unsigned 32-bit integers);
     decoded (the text that the ids give back), decoded_crc32 (of its UTF-8), lossless (whether
-    it is the text). A null or empty text has no ids and decodes to the empty text. Variants
-    are chosen by doc_id; rows with a null one count as id 0.
+    it is the text). A null or empty text has no ids and decodes to the empty text. Dropout is
+    keyed by doc_id and place; rows with a null doc_id count as id 0.
     """
     fields = [T.StructField("doc_id", T.LongType()), *(T.StructField(c, _COLUMNS[c]) for c in columns)]
 

@@ -259,6 +259,32 @@ def test_merging_together_is_merging_one_by_one():
     assert (together[0] == one[0]).all() and (together[1] == one[1]).all()
 
 
+def test_every_occurrence_draws_for_itself(spark):
+    """A frequent word has as many segmentations as its candidates give, and looked-up runs are those of each key."""
+    path = P.path("piece_bpe_32k.model")
+    df = spark.createDataFrame([(1, "international " * 3000)], "doc_id long, text string")
+    ids = df.transform(lambda d: pieces.encode(d, path)).first()["ids"]
+    model = pieces.Model(path)
+    found, word = set(), []
+    for i in ids:
+        if word and model.parts[model.part_at[i]] == 32:
+            found.add(tuple(word))
+            word = []
+        word.append(i)
+    assert len(found) > 20
+    words = [np.array([ord(c) for c in " " + w], np.uint32) for w in cases.words(60, 78) + ["öffentlichkeit", "a", "☃☃ß", "international", "x" * 70]] * 40
+    keys = pieces.keyed(np.arange(len(words)), 5)
+    lengths = np.array([len(w) for w in words])
+    starts, points = np.cumsum(lengths) - lengths, np.concatenate(words)
+    run = pieces.hash_spans(points, starts, starts + lengths)
+    for looked_up in (8, 48):
+        cache = pieces.PieceCache(model, pieces.Settings(dropout=0.3, looked_up=looked_up))
+        sizes, want = cache.segment(words, keys)
+        for _ in range(2):  # while runs are made known, and when they are known
+            size, at, pool = cache.runs(points, starts, lengths, run, keys)
+            assert (size == sizes).all() and (pool[pieces.ragged(at, size)] == want).all()
+
+
 @pytest.mark.parametrize("light", [1, 3, 24])
 @pytest.mark.parametrize("sided", [False, True])
 def test_linked_sets(light, sided):
