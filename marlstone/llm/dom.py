@@ -12,9 +12,11 @@ _WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 #: Fixed values of the HTML standard.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page. The first have raw content, up to their end tag.
+#: Elements whose content is no text of the page. The first have raw content, up to their end tag. Of all but code, those
+#: without an end tag are as if their start tag were not there. The head needs no rule: all that can stand in it is here or void.
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
-SKIPPED = frozenset("head noscript template svg math canvas object audio video select button datalist map".split())
+CODE = frozenset("script style".split())
+SKIPPED = frozenset("noscript template svg math canvas object audio video select button datalist map".split())
 #: Start tags that end an open paragraph.
 ENDS_P = BLOCKS - frozenset("body html caption tbody td tfoot th thead tr legend option optgroup".split())
 #: For a start tag: open elements that it ends, and those that the search for them stops at.
@@ -66,6 +68,35 @@ def squeeze(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
+def raw_end(source: str, tag: str, at: int) -> int | None:
+    """Where the end tag of a raw element ends whose content starts at ``at``."""
+    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+    return end.end() if end else None
+
+
+def skipped_ends(source: str, tag: str, at: int) -> tuple[dict[int, int], bool]:
+    """Ends of the skipped elements of a tag by where their content starts, from that at ``at`` on; whether all of the source was read.
+
+    Reading stops where that element ends. Those without an end tag are left out.
+    """
+    found: dict[int, int] = {}
+    still = [at]
+    while still:
+        m = _TOKEN.search(source, at)
+        if not m:
+            return found, True
+        at = m.end()
+        name = (m[2] or "").lower()
+        closed = (m[3] or "").rstrip().endswith("/")
+        if name == tag and m[1]:
+            found[still.pop()] = at
+        elif name == tag and not closed:
+            still.append(at)
+        elif name in RAW and not m[1] and not closed:
+            at = raw_end(source, name, at) or at
+    return found, False
+
+
 def parse(source: str) -> tuple[Node, list[str], list[Node]]:
     """The root, all texts in page order, and the node of each."""
     root = Node("#root", frozenset(), None)
@@ -73,9 +104,8 @@ def parse(source: str) -> tuple[Node, list[str], list[Node]]:
     texts: list[str] = []
     owners: list[Node] = []
     held: list[str] = []
-    link = skip = 0
-    skip_tag = ""
-    linked = 0
+    link = linked = 0
+    known: dict[str, dict[int, int]] = {}  # ends of skipped elements, of tags that were read to the end of the source
 
     def flush() -> None:
         nonlocal held, linked
@@ -97,7 +127,7 @@ def parse(source: str) -> tuple[Node, list[str], list[Node]]:
     while at < size:
         m = _TOKEN.search(source, at)
         stop = m.start() if m else size
-        if stop > at and not skip:
+        if stop > at:
             text = source[at:stop]
             held.append(text)
             if link:
@@ -109,16 +139,6 @@ def parse(source: str) -> tuple[Node, list[str], list[Node]]:
         if tag is None:
             continue
         tag, ending, attributes = tag.lower(), bool(m[1]), m[3] or ""
-        if skip:
-            if tag == skip_tag:
-                skip += -1 if ending else 0 if attributes.rstrip().endswith("/") else 1
-            elif skip_tag == "head" and not ending and tag == "body":
-                skip = 0
-            if skip or tag != "body":
-                if not ending and tag in RAW:
-                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                    at = end.end() if end else size
-                continue
         if ending:
             if tag == "a":
                 link = max(0, link - 1)
@@ -132,12 +152,16 @@ def parse(source: str) -> tuple[Node, list[str], list[Node]]:
                     flush()
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            at = end.end() if end else size
+            at = raw_end(source, tag, at) or (size if tag in CODE else at)
             held.append(" ")
         elif tag in SKIPPED:
             if not attributes.rstrip().endswith("/"):
-                skip, skip_tag = 1, tag
+                ends = known.get(tag)
+                if ends is None:
+                    ends, whole = skipped_ends(source, tag, at)
+                    if whole:
+                        known[tag] = ends
+                at = ends.get(at, at)
         elif tag == "a":
             link = 1
         elif tag in ("br", "wbr", "img"):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import covertree, embeddings, htmltext
+from marlstone.llm import covertree, dom, embeddings, htmltext
 from marlstone.llm.dom import parse
 
 from . import cases
@@ -25,6 +25,27 @@ def test_extract(spark):
     assert htmltext.extract(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("tag", "svg math button select object video audio canvas noscript template datalist map title textarea iframe".split())
+def test_unclosed_elements_do_not_cut_the_page(tag):
+    """What is never ended takes nothing with it; what is ended still goes."""
+    read = lambda source: parse(source)[1]
+    assert read(f"<p>One</p><{tag} class=x><p>Two</p><div>Three</div>") == ["One", "Two", "Three"]
+    assert read(f"<p>One</p><{tag}>gone</{tag}><p>Two</p>") == ["One", "Two"]
+    if tag not in dom.RAW:
+        assert read(f"<p>One</p><{tag}><p>Two</p><{tag}>gone<{tag}>gone</{tag}></{tag}><{tag}><p>Three</p><{tag}/>") == ["One", "Two", "Three"]
+        assert read(f"<{tag}><script>'</{tag}>'</script>gone<title/></{tag}><p>One") == ["One"]
+        assert len(read(f"<{tag}><p>x" * 20000)) == 20000
+
+
+def test_head_without_tags(spark):
+    body = BOILER + PAGE[PAGE.index("<article>") :]
+    pages = [f"<head><title>T</title>{body}", f"<html><head><meta charset=x><style>p{{}}</style><noscript>no</noscript><link href=/x>{body}", f"<head><title>T</title></head>{body}"]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("url", F.lit("u"))
+    want = "Head & line\nFirst par agraph here.\nSecond <one>, with words and é."
+    assert {r["text"] for r in htmltext.extract(df).collect()} == {want}
+    assert parse("<head><title>T</title>Bare <b>text</b><h1>H</h1>")[1] == ["Bare text", "H"]
+
+
 def test_generated_pages():
     """Held-out pages of the generator: most come out exactly, nearly all of the text is right."""
     g, model = htmltext.Generator(12345), htmltext.train()
