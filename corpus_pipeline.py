@@ -19,10 +19,14 @@ from marlstone.llm.storage import Scratch
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """docs but for the doc_ids of ``gone``, which is written first; broadcast if its counted rows are within the bound."""
-    gone = Scratch(docs.sparkSession, "pipeline").save(gone.select("doc_id").where("doc_id IS NOT NULL").distinct(), name)
-    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*COLUMNS)
+#: Names a row by what it holds, whether it has a doc_id or not.
+_ROW = "xxhash64(doc_id, text)"
+
+
+def _without(docs: DataFrame, gone: DataFrame, name: str, key: str = "doc_id") -> DataFrame:
+    """docs but for those whose key is a doc_id of ``gone``, which is written first; broadcast if its counted rows are within the bound."""
+    gone = Scratch(docs.sparkSession, "pipeline").save(gone.select(F.col("doc_id").alias("_key")).where("_key IS NOT NULL").distinct(), name)
+    return docs.withColumn("_key", F.expr(key)).join(small(gone, gone.count()), "_key", "left_anti").select(*COLUMNS)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +53,10 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't overlap with a benchmark item."""
-    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found, "leaks")
+    """Documents that don't overlap with a benchmark item, each row by itself: rows without a doc_id, too."""
+    rows = docs.select(F.expr(_ROW).alias("doc_id"), "text")
+    found = decontam.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found, "leaks", _ROW)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

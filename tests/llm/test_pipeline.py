@@ -49,3 +49,14 @@ def test_odd_rows(spark):
     empty = cases.frame(spark, extra=False).where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, FOLDER).count() == 0
+
+
+def test_leaks_without_an_id(spark):
+    """A row with a null doc_id goes if its own text overlaps, and only then."""
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").orderBy("item_id").first()["text"]
+    clean = " ".join(cases.words(60, 91))
+    rows = [(None, f"{clean} {item}"), (None, clean), (1, f"{item} {clean}"), (2, clean), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], cases.SCHEMA)
+    got = corpus_pipeline.drop_benchmark_leaks(spark, docs, FOLDER)
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(None, clean), (2, clean), (None, None)], key=repr)
