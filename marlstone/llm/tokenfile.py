@@ -7,9 +7,10 @@ each 512-bit block) turns a place in one level into a place in the next with one
 a population count of at most eight words. So one token costs a step for each of its bytes,
 wherever it stands.
 
-File layout, little-endian: magic ``MDAC0001``; unsigned 64-bit counts of documents, tokens
-and levels; for each document its id (signed 64-bit) and, with one entry more, the place of
-its first token (unsigned 64-bit); for each level its length, its chunks (padded to 8 bytes),
+File layout, little-endian: magic ``MDAC0002``; unsigned 64-bit counts of documents, tokens
+and levels; for each document its id (signed 64-bit); a bitmap in 64-bit words of the documents
+without an id; for each document, with one entry more, the place of its first token
+(unsigned 64-bit); for each level its length, its chunks (padded to 8 bytes),
 its bitmap in 64-bit words, and its rank directory (unsigned 64-bit). The last level has
 neither bitmap nor directory.
 """
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 from .storage import Scratch
 from .textkernel import hash_spans, slices
 
-MAGIC = b"MDAC0001"
+MAGIC = b"MDAC0002"
 _BLOCK = 512
 
 
@@ -48,8 +49,16 @@ def _bitmap(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, np.concatenate([np.zeros(1, np.uint64), np.cumsum(counts, dtype=np.uint64)])
 
 
-def encode_file(doc_ids: np.ndarray, first: np.ndarray, ids: np.ndarray) -> bytes:
-    """The file of documents whose tokens are ``ids[first[i]:first[i + 1]]``."""
+def _flags(bits: np.ndarray) -> bytes:
+    """Bits in whole 64-bit words."""
+    padded = np.zeros(-(-len(bits) // 64) * 64, np.uint8)
+    padded[: len(bits)] = bits
+    return np.packbits(padded, bitorder="little").tobytes()
+
+
+def encode_file(doc_ids: np.ndarray, first: np.ndarray, ids: np.ndarray, unnamed: np.ndarray | None = None) -> bytes:
+    """The file of documents whose tokens are ``ids[first[i]:first[i + 1]]``; unnamed: which of them have no id."""
+    unnamed = np.zeros(len(doc_ids), bool) if unnamed is None else unnamed
     levels, rest = [], ids.astype(np.uint32)
     while True:
         chunk, rest = (rest & 0xFF).astype(np.uint8), rest >> 8
@@ -58,7 +67,7 @@ def encode_file(doc_ids: np.ndarray, first: np.ndarray, ids: np.ndarray) -> byte
         if not more.any():
             break
         rest = rest[more]
-    out = [MAGIC, struct.pack("<QQQ", len(doc_ids), len(ids), len(levels)), doc_ids.astype("<i8").tobytes(), first.astype("<u8").tobytes()]
+    out = [MAGIC, struct.pack("<QQQ", len(doc_ids), len(ids), len(levels)), np.where(unnamed, 0, doc_ids).astype("<i8").tobytes(), _flags(unnamed), first.astype("<u8").tobytes()]
     for k, (chunk, more) in enumerate(levels):
         out += [struct.pack("<Q", len(chunk)), chunk.tobytes(), b"\0" * (-len(chunk) % 8)]
         if k + 1 < len(levels):
@@ -77,6 +86,9 @@ class TokenFile:
         at = 32
         self.doc_ids = np.frombuffer(data, "<i8", docs, at)
         at += 8 * docs
+        flags = np.frombuffer(data, np.uint8, -(-docs // 64) * 8, at)
+        self.unnamed = np.unpackbits(flags, bitorder="little")[:docs].astype(bool)
+        at += len(flags)
         self.first = np.frombuffer(data, "<u8", docs + 1, at).astype(np.int64)
         at += 8 * (docs + 1)
         self.levels = []
@@ -250,14 +262,15 @@ _caches: dict[str, WordCache] = {}
 def byte_bpe_cache(path: str) -> WordCache:
     """The cache of this process for a byte-level BPE file of the tokenizers library.
 
-    Strings of special tokens in a text are ordinary text.
+    A special token's string in a text is that token, as in the library's own call: it has no
+    white space, so it stands inside one chunk, and what stands before and after it is cut
+    where it is in the whole text.
     """
     if path not in _caches:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
 
         def encode(texts: list[str]) -> list[np.ndarray]:
             return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -273,43 +286,50 @@ def write_file(uri: str, data: bytes) -> None:
     temporary = f"{os.path.dirname(path)}/_{os.path.basename(path)}.{uuid.uuid4().hex}"
     with fs.open_output_stream(temporary) as out:
         out.write(data)
-    fs.move(temporary, path)
+    try:
+        fs.move(temporary, path)
+    except OSError:  # some stores don't rename over a file that an earlier try of the task has left
+        if fs.get_file_info(path).type == pafs.FileType.NotFound:
+            raise
+        fs.delete_file(path)
+        fs.move(temporary, path)
 
 
 def write_tokens(documents: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = 2, partitions: int | None = None, file_tokens: int = 1 << 23) -> list[dict]:
     """Writes the ids of all texts in ascending doc_id order; returns the manifest, one entry for each file.
 
-    A null text has no ids but the end id; rows with a null doc_id come first, as id -1 (the
-    file cannot hold null). Rows with equal ids follow one another in the order of their
+    A null text has no ids but the end id; rows with a null doc_id come first, marked in the
+    file as having none. An empty table gives a manifest without files. Rows with equal ids follow one another in the order of their
     texts. A file holds whole documents, and a new one begins after ``file_tokens`` tokens, so
     memory stays bounded however large a partition is (but for one text longer than that).
     """
     spark = documents.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), F.octet_length("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = byte_bpe_cache(tokenizer_path)
         part, k = TaskContext.get().partitionId(), 0
-        docs, counts, parts, held = [], [], [], 0
+        docs, missing, counts, parts, held = [], [], [], [], 0
         end = np.array([] if end_id is None else [end_id], np.uint32)
 
         def flush() -> pa.RecordBatch:
-            nonlocal docs, counts, parts, held, k
+            nonlocal docs, missing, counts, parts, held, k
             first = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
             name = f"tokens-{part:06d}-{k:05d}.dac"
-            write_file(f"{folder}/{name}", encode_file(np.concatenate(docs), first, np.concatenate(parts)))
+            write_file(f"{folder}/{name}", encode_file(np.concatenate(docs), first, np.concatenate(parts), np.concatenate(missing)))
             out = pa.RecordBatch.from_pydict({"name": [name], "n_docs": [len(first) - 1], "n_tokens": [int(first[-1])]})
-            docs, counts, parts, held, k = [], [], [], 0, k + 1
+            docs, missing, counts, parts, held, k = [], [], [], [], 0, k + 1
             return out
 
         for batch in batches:
-            doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
+            doc_ids, unnamed = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False)
             for lo, hi, buf, offsets in slices(batch, "text"):
                 ids, n_ids = cache.ids(buf, offsets)
                 ids = np.insert(ids, np.repeat(np.cumsum(n_ids), len(end)), np.tile(end, hi - lo))
                 docs.append(doc_ids[lo:hi])
+                missing.append(unnamed[lo:hi])
                 counts.append(n_ids + len(end))
                 parts.append(ids)
                 held += len(ids)
@@ -347,7 +367,9 @@ def read_tokens(spark, folder: str, files: list[dict]) -> DataFrame:
                     ids = file.document(i)
                     crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
                     last.append(int(ids[-1]) if len(ids) else -1)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (file.doc_ids, file.first[:-1] + first, np.diff(file.first), crc, last)], names=[f.name for f in schema])
+                doc_ids = pa.array(file.doc_ids, pa.int64(), mask=file.unnamed)
+                rest = (pa.array(x, pa.int64()) for x in (file.first[:-1] + first, np.diff(file.first), crc, last))
+                yield pa.RecordBatch.from_arrays([doc_ids, *rest], names=[f.name for f in schema])
 
     return content.mapInArrow(run, schema)
 

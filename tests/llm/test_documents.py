@@ -193,7 +193,6 @@ def test_token_files(spark, docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     got, start = by_id(tokenfile.tokenize_documents(docs, P.path("byte_bpe_50k.json"))), 0
     for i in sorted(TEXTS):
         ids = [*tokenizer.encode(TEXTS[i] or "", add_special_tokens=False).ids, 2]
@@ -202,6 +201,21 @@ def test_token_files(spark, docs):
     assert tokenfile.tokenize_documents(docs.where("false"), P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_token_files_without_ids(spark):
+    """A null doc_id stays null and comes first; -1 is an id like any other; rows of one id stay apart."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = [(None, "no id <|endoftext|> here"), (-1, "minus one"), (-5, None), (None, ""), (7, "twice"), (7, "another")]
+    got = tokenfile.tokenize_documents(spark.createDataFrame(rows, "doc_id long, text string"), P.path("byte_bpe_50k.json")).collect()
+    ids = lambda t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+    want = sorted((repr(i), zlib.crc32(np.array(ids(t), "<u4").tobytes())) for i, t in rows)
+    assert sorted((repr(r["doc_id"]), r["ids_crc32"]) for r in got) == want
+    got.sort(key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, None, -5, -1, 7, 7]
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:k]) for k in range(6)]
+
+
 def test_token_file_random_access():
     ids = np.random.default_rng(0).zipf(1.2, 9000) % 70_000_000
     first = np.array([0, 0, 10, 8000, 9000])
@@ -212,7 +226,7 @@ def test_token_file_random_access():
         file.token(9000)
 
 
-WHITE = ["  a  b \n c", "a  b　 c", "don't  I'll\tx \n y", "x\u0085 y", "trail  ", "a\r\n b", "\x1c a\x1d b", "😀 😀  hi", "<|endoftext|> x", "\n\n  x", "￾ b", "a\x7f b"]
+WHITE = ["  a  b \n c", "a  b　 c", "don't  I'll\tx \n y", "x\u0085 y", "trail  ", "a\r\n b", "\x1c a\x1d b", "😀 😀  hi", "<|endoftext|> x", "x <|endoftext|> y", "x  <|endoftext|>  y", "a<|endoftext|>b\n<|endoftext|>", "<|endoftext|><|endoftext|> <|endoftext", "\n\n  x", "￾ b", "a\x7f b"]
 
 
 def test_chunks_encode_like_whole_texts():
@@ -222,7 +236,6 @@ def test_chunks_encode_like_whole_texts():
     from marlstone.llm.textkernel import slices
 
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     cache = tokenfile.byte_bpe_cache(P.path("byte_bpe_50k.json"))
     for _, _, buf, offsets in slices(pa.RecordBatch.from_pydict({"text": WHITE}), "text"):
         ids, n = cache.ids(buf, offsets)
