@@ -24,21 +24,20 @@ BUCKET_ROWS = 512
 
 
 def _ranked(rows: DataFrame, within: list[str], bucket: str, order: list, rank: str) -> DataFrame:
-    """Adds the 1-based rank of each row in ``within``, ordered by bucket, then by ``order``; with ``within`` also its rows, ``_n``."""
+    """Adds the 1-based rank of each row in ``within`` (all rows if that is empty), ordered by bucket, then by ``order``; with ``within`` also its rows, ``_n``.
+
+    The widest window is over the blocks of one source: the root of its buckets' number.
+    """
     counts = rows.groupBy(*within, bucket).agg(F.count(F.lit(1)).alias("_in"))
-    if within:
-        before = W.partitionBy(*within).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-        counts = counts.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
-        counts = counts.withColumn("_n", F.sum("_in").over(W.partitionBy(*within)))
-    else:
-        # Buckets of all rows: sums over blocks of buckets first, so that no window sees them all.
-        counts = counts.withColumn("_block", F.floor(F.sqrt(F.col(bucket).cast("double"))))
-        blocks = counts.groupBy("_block").agg(F.sum("_in").alias("_sum"))
-        sums = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-        blocks = blocks.select("_block", F.coalesce(F.sum("_sum").over(sums), F.lit(0)).alias("_ahead"))
-        inside = W.partitionBy("_block").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-        counts = counts.withColumn("_own", F.coalesce(F.sum("_in").over(inside), F.lit(0))).join(blocks, "_block")
-        counts = counts.withColumn("_before", F.col("_ahead") + F.col("_own"))
+    # Sums over blocks of buckets first, so that no window sees all buckets, whatever share of the rows one source holds.
+    counts = counts.withColumn("_block", F.floor(F.sqrt(F.col(bucket).cast("double"))))
+    blocks = counts.groupBy(*within, "_block").agg(F.sum("_in").alias("_sum"))
+    every = W.partitionBy(*within)
+    blocks = blocks.withColumn("_ahead", F.coalesce(F.sum("_sum").over(every.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    blocks = blocks.withColumn("_n", F.sum("_sum").over(every)).drop("_sum")
+    inside = W.partitionBy(*within, "_block").orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("_own", F.coalesce(F.sum("_in").over(inside), F.lit(0))).join(blocks, [*within, "_block"])
+    counts = counts.withColumn("_before", F.col("_ahead") + F.col("_own"))
     keys = [*within, bucket]
     placed = W.partitionBy(*keys).orderBy(*order)
     rows = rows.withColumn(rank, F.row_number().over(placed))
@@ -77,7 +76,10 @@ def interleave(rows: DataFrame, shards: int = 16, source: str | Column = "source
 def shard_documents(documents: DataFrame, shards: int = 16, seed: int = 17) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document, under the law ``rows``.
 
-    The text is reduced to its size and checksum in the scan; it is never shuffled.
+    The text is reduced to its size and checksum in the scan; it is never shuffled. A null text
+    has size 1 and checksum 0. A null source is a source of its own. Rows with a null doc_id are
+    dealt like others, in the order of their size and checksum. Repeated rows each get a place;
+    an empty table gives an empty table. Other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select(
