@@ -8,7 +8,8 @@ goes through a logistic calibration fitted on labelled documents that the dictio
 have not seen.
 
 What is fitted is small (two dictionaries and a few weights) and comes from a bounded sample
-of labelled documents, see :class:`Settings`; scoring reads every text as a whole.
+of labelled documents, see :class:`Settings`; only texts for the dictionaries come to the driver,
+of bounded length. Calibration and scoring read every text as a whole, on the executors.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ class Settings:
 
     dictionary_docs: int = 1200  #: labelled documents of each class for its dictionary, at most
     calibration_docs: int = 2500  #: further ones of each class for the calibration, at most
-    longest_sample: int = 1 << 18  #: labelled texts of more bytes are not used for fitting
+    longest_sample: int = 16 << 10  #: labelled texts of more bytes are not used for the dictionaries (so at most 40 MB come to the driver)
     dictionary_bytes: int = 96 << 10
     block_bytes: int = 2048
     level: int = 1
@@ -68,6 +69,9 @@ def _dictionary(texts: list[bytes], settings: Settings) -> bytes:
         return b"".join(samples)[-settings.dictionary_bytes :]
 
 
+_FEATURES = 7
+
+
 class _Sizes:
     """Compressed sizes of texts under both dictionaries."""
 
@@ -132,32 +136,58 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
         return Model(b"", b"", (6.0 if counts.get(0, 0) == 0 else -6.0,), settings)
     most = settings.dictionary_docs + settings.calibration_docs
     order = F.xxhash64(F.lit(5), F.col("doc_id"))
-    ids = None
+    ids: dict[int, list[int]] = {}
     for q in (0, 1):
-        some = known.where(F.col("q") == q).select("doc_id", "q").orderBy(order, "doc_id").limit(most)
-        ids = some if ids is None else ids.unionByName(some)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.join(F.broadcast(ids), "doc_id").where(F.octet_length("text") <= settings.longest_sample)  # ids: at most 2 * most rows
-    rows = sorted({(r["doc_id"], r["q"], r["text"]) for r in rows.collect()}, key=lambda r: (zlib.crc32(b"%d" % r[0]), r))
-    by_class = {q: [r[2].encode() for r in rows if r[1] == q] for q in (0, 1)}
-    if not by_class[0] or not by_class[1]:
-        return Model(b"", b"", (6.0 if by_class[1] or not by_class[0] else -6.0,), settings)
-    cut = {q: min(settings.dictionary_docs, max(1, len(t) // 2)) for q, t in by_class.items()}
-    good, bad = (_dictionary(by_class[q][: cut[q]], settings) for q in (1, 0))
-    sizes = _Sizes(good, bad, settings)
-    rest = [(t, q) for q in (0, 1) for t in by_class[q][cut[q] :] or by_class[q]]
-    x = _expand(np.array([sizes.features(t) for t, _ in rest]))
-    y = np.array([q for _, q in rest], float)
+        some = known.where(F.col("q") == q).select("doc_id").orderBy(order, "doc_id").limit(most).collect()
+        ids[q] = sorted((r["doc_id"] for r in some), key=lambda i: (zlib.crc32(b"%d" % i), i))
+    cut = {q: min(settings.dictionary_docs, max(1, len(v) // 2)) for q, v in ids.items()}
+    good, bad = (_dictionary(_texts(documents, ids[q][: cut[q]], settings), settings) for q in (1, 0))
+    if not good or not bad:
+        return Model(b"", b"", (6.0 if good or not bad else -6.0,), settings)
+    of = {i: q for q in (0, 1) for i in ids[q][cut[q] :] or ids[q]}
+    rows = _measured(documents, good, bad, of, settings)
+    x, y = _expand(np.array([r[1:] for r in rows], float)), np.array([of[r[0]] for r in rows], float)
+    if not 0 < y.sum() < len(y):
+        return Model(b"", b"", (6.0 if y.sum() else -6.0,), settings)
     w = _logistic(x, y, settings.ridge)
     # The sample is taken by class; the intercept moves to the labelled shares.
     w[-1] += np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum()))
     return Model(good, bad, tuple(float(v) for v in w), settings)
 
 
+def _chosen(documents: DataFrame, ids: list[int]) -> DataFrame:
+    """doc_id and text of the documents with one of a bounded number of ids; rows that are alike count once."""
+    known = F.broadcast(documents.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return rows.join(known, "doc_id").distinct()
+
+
+def _texts(documents: DataFrame, ids: list[int], settings: Settings) -> list[bytes]:
+    rows = _chosen(documents, ids).where(F.octet_length("text") <= settings.longest_sample).collect()
+    return [r["text"].encode() for r in sorted(rows, key=lambda r: (zlib.crc32(b"%d" % r["doc_id"]), r["doc_id"], r["text"]))]
+
+
+def _measured(documents: DataFrame, good: bytes, bad: bytes, of: dict[int, int], settings: Settings) -> list[tuple]:
+    """doc_id and features of the documents of the calibration: whole texts of any length, measured where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = _Sizes(good, bad, settings)
+        for batch in batches:
+            for lo, hi, buf, offsets in slices(batch, "text"):
+                data = memoryview(np.ascontiguousarray(buf))
+                rows = [sizes.features(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                columns = [pa.array([float(r[k]) for r in rows], pa.float64()) for k in range(_FEATURES)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], names=["doc_id", *(f"f{k}" for k in range(_FEATURES))])
+
+    schema = "doc_id long, " + ", ".join(f"f{k} double" for k in range(_FEATURES))
+    return sorted(tuple(r) for r in _chosen(documents, list(of)).mapInArrow(run, schema).collect())
+
+
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """Adds ``score`` (0 to 1, higher: better) and ``predicted`` (1 from the threshold on); columns of these names are replaced.
 
-    A null text is scored as an empty one. Every row gets its score from its text alone.
+    A null text is scored as an empty one. Every row gets its score from its text alone, so
+    repeated rows have equal scores and a null doc_id changes nothing; an empty table gives an empty table.
     """
     kept = [c for c in documents.columns if c not in ("score", "predicted")]
     sent = documents.sparkContext.broadcast(model) if hasattr(documents, "sparkContext") else documents.sparkSession.sparkContext.broadcast(model)
@@ -183,7 +213,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
+    """doc_id, held_out, score and predicted of every document; a null doc_id is not held out. Other columns are ignored."""
     model = fit(documents, labels, settings)
     scored = score(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
