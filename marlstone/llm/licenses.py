@@ -99,7 +99,7 @@ class Index:
         for t, w in enumerate(self.words):
             rarest = sorted(set(w.tolist()), key=lambda h: (-self.idf[h], h))[: s.rare]
             posts += [(h, t, p) for p, h in enumerate(w.tolist()) if h in rarest]
-        self.need = [min(2, len(set(w.tolist()))) for w in self.words]
+        self.need = np.array([min(2, len(set(w.tolist()))) for w in self.words])
         posts.sort()
         self.hash = np.array([p[0] for p in posts], np.uint64)
         self.template = np.array([p[1] for p in posts], np.int64)
@@ -124,28 +124,43 @@ class Index:
         template, start, place = self.template[which][order], start[order], self.place[which][order]
         found: dict[str, float] = {}
         edge = np.flatnonzero(np.concatenate([[True], (template[1:] != template[:-1]) | (np.diff(start) > s.slack), [True]]))
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            t = int(template[a])
-            if len(np.unique(place[a:b])) < self.need[t]:
-                continue
-            for x in np.unique(start[a:b]).tolist():
-                score = self.verify(words, x, t)
-                if score > found.get(self.labels[t], 0):
-                    found[self.labels[t]] = score
+        # Groups of near starts on which enough different rare words of a template agree.
+        group = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+        pairs = np.unique(np.stack([group, place]), axis=1)[0]
+        agreed = np.bincount(pairs, minlength=len(edge) - 1)
+        keep = agreed[group] >= self.need[template]
+        for t in np.unique(template[keep]).tolist():
+            score = self.verify(words, np.unique(start[keep & (template == t)]), t)
+            if score > found.get(self.labels[t], 0):
+                found[self.labels[t]] = score
         return found
 
-    def verify(self, words: np.ndarray, start: int, t: int) -> float:
-        """The share of the template's words near their places, 0 if it is too small or a key phrase is missing."""
+    def verify(self, words: np.ndarray, starts: np.ndarray, t: int) -> float:
+        """The largest share of the template's words near their places at one of the starts (sorted) that has all key phrases; 0 if it is too small."""
         s, w = self.settings, self.words[t]
-        lo = max(0, start - s.slack)
-        part = words[lo : max(0, start + len(w) + s.slack)]
-        near = np.zeros(len(w), bool)
-        for e in range(-s.slack, s.slack + 1):
-            p = start + np.arange(len(w)) + e
-            ok = (p >= 0) & (p < len(words))
-            near[ok] |= words[p[ok]] == w[ok]
-        share = float(near.mean())
-        return share if share >= s.coverage and all(len(places(part, k)) for k in self.keys[t]) else 0.0
+        n = len(w)
+        phrases = [(places(words, k), len(k)) for k in self.keys[t]]
+        if not all(len(p) for p, _ in phrases):
+            return 0.0
+        padded = np.concatenate([np.zeros(n + s.slack, np.uint64), words, np.zeros(n + s.slack, np.uint64)])
+        real = np.zeros(len(padded), bool)
+        real[n + s.slack : n + s.slack + len(words)] = True
+        best = 0.0
+        for at in range(0, len(starts), 4096):  # bounds the memory of very many starts
+            some = starts[at : at + 4096]
+            ok = np.ones(len(some), bool)
+            for p, size in phrases:  # a phrase that begins and ends within the template's reach
+                k = np.searchsorted(p, np.maximum(0, some - s.slack))
+                ok &= (k < len(p)) & (p[np.minimum(k, len(p) - 1)] + size <= some + n + s.slack)
+            some = some[ok]
+            if not len(some):
+                continue
+            near = np.zeros((len(some), n), bool)
+            spot = some[:, None] + np.arange(n) + n + s.slack
+            for e in range(-s.slack, s.slack + 1):
+                near |= (padded[spot + e] == w) & real[spot + e]
+            best = max(best, float(near.mean(1).max()))
+        return best if best >= s.coverage else 0.0
 
 
 def places(words: np.ndarray, phrase: np.ndarray) -> np.ndarray:
@@ -167,7 +182,8 @@ def scan(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     base_labels and labels are empty strings where there are none. score is the coverage of the
     best template, at least ``base_score`` where a base phrase stands, else 0. A null text is
-    empty. Other columns are ignored; every row is judged by itself.
+    empty. A null doc_id stays null; every row is judged by itself, repeated ones alike. An
+    empty table gives an empty table. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -124,6 +124,60 @@ def test_license_templates(spark, text, labels):
     assert licenses.scan(df).first()["labels"] == labels
 
 
+def brute_labels(text: str) -> set:
+    """Labels of every template for which some start has enough words near, two of its rarest words there, and all key phrases."""
+    s, w = licenses.Settings(), re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", cases.lower(text))
+    templates = [(t[0], t[1].split(), [k.split() for k in t[2]]) for t in licenses.TEMPLATES]
+    df = {}
+    for _, words, _ in templates:
+        for x in set(words):
+            df[x] = df.get(x, 0) + 1
+    found = set()
+    for label, words, keys in templates:
+        hashed = {x: int(licenses.words_of(x.encode())[0]) for x in words}
+        rare = set(sorted(set(words), key=lambda x: (-np.log((1 + len(templates)) / df[x]), hashed[x]))[: s.rare])
+        posts = {(q - p, p) for q, x in enumerate(w) if x in rare for p, y in enumerate(words) if y == x}
+        for start in {a for a, _ in posts}:
+            # All posts that hang together by gaps within the slack.
+            run, grown = {start}, True
+            while grown:
+                new = {a for a, _ in posts if any(abs(a - b) <= s.slack for b in run)}
+                grown, run = new != run, new
+            if len({p for a, p in posts if a in run}) < min(2, len(set(words))):
+                continue
+            near = sum(any(0 <= start + j + e < len(w) and w[start + j + e] == x for e in range(-s.slack, s.slack + 1)) for j, x in enumerate(words))
+            part = w[max(0, start - s.slack) : max(0, start + len(words) + s.slack)]
+            if near / len(words) >= s.coverage and all(any(part[i : i + len(k)] == k for i in range(len(part))) for k in keys):
+                found.add(label)
+    return found
+
+
+def test_license_labels_against_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    texts = []
+    for k in range(60):
+        _, notice, _ = licenses.TEMPLATES[k % len(licenses.TEMPLATES)]
+        words = notice.split()
+        for _ in range(r.randint(0, 3)):  # words put in, left out, or replaced
+            i = r.randrange(len(words))
+            words[i : i + r.randint(0, 1)] = r.choice(([], ["the"], ["license"], ["zz", "yy"]))
+        texts.append(" ".join(cases.words(r.randint(0, 9), k) + words * r.randint(1, 2) + cases.words(r.randint(0, 9), k + 99)))
+    got = by_id(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        assert set(filter(None, got[i]["labels"].split(","))) - set(filter(None, got[i]["base_labels"].split(","))) == brute_labels(t) - set(filter(None, got[i]["base_labels"].split(","))), t
+
+
+def test_a_notice_repeated_very_often():
+    import time
+
+    index, words = licenses.Index(licenses.Settings()), licenses.words_of(b"apache license version 2 0 " * 20000)
+    began = time.time()
+    assert index.match(words, index.lookup(words)) == {}
+    assert time.time() - began < 5
+
+
 def test_decontamination(spark, docs):
     item = cases.words(40, 21)
     swapped = [w if i % 9 else "zz" for i, w in enumerate(item)]
