@@ -4,19 +4,30 @@ from __future__ import annotations
 
 import html
 import re
-
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|aria-label|itemprop|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+from bisect import bisect_right
+
+# One attribute: a name, and a value that may be quoted. A quote opens a string only where a value begins; one that is never
+# closed ends with the tag.
+_ATTR = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|["'][^>]*+)?+)?+"""
+_TOKEN = re.compile(
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTR})*+)(?:>|\Z)", re.S
+)
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|["'][^>]*+)?+)?+""")
+_NAMED = frozenset("class id role aria-label itemprop".split())
 _WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 
 #: Fixed values of the HTML standard.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page. The first have raw content, up to their end tag. Of all but code, those
-#: without an end tag are as if their start tag were not there. The head needs no rule: all that can stand in it is here or void.
+#: Elements whose content is no text of the page: code, the title and frames, whose content is raw up to their end tag, fields of
+#: forms, and templates, which are not shown. Of all but code, those without an end tag are as if their start tag were not there.
+#: The head needs no rule: all that can stand in it is here or void. Any other element's text is judged: formulas, drawings and
+#: what stands in for a medium are part of the block that they stand in.
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 CODE = frozenset("script style".split())
-SKIPPED = frozenset("noscript template svg math canvas object audio video select button datalist map".split())
+SKIPPED = frozenset("template select button datalist".split())
+#: Open elements that the search for an open paragraph stops at.
+SCOPE = frozenset("td th caption table".split())
 #: Start tags that end an open paragraph.
 ENDS_P = BLOCKS - frozenset("body html caption tbody td tfoot th thead tr legend option optgroup".split())
 #: For a start tag: open elements that it ends, and those that the search for them stops at.
@@ -58,7 +69,7 @@ def attribute_tokens(attributes: str) -> tuple[frozenset, bool]:
             hidden = True
         elif name == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-        else:
+        elif name in _NAMED:
             words.update(w.lower() for w in _WORD.findall(value))
     return frozenset(words), hidden
 
@@ -101,6 +112,7 @@ def parse(source: str) -> tuple[Node, list[str], list[Node]]:
     """The root, all texts in page order, and the node of each."""
     root = Node("#root", frozenset(), None)
     stack: list[tuple[str, Node]] = [("#root", root)]
+    open_at: dict[str, list[int]] = {}  # places in the stack of the open elements of each tag, so no search walks the stack
     texts: list[str] = []
     owners: list[Node] = []
     held: list[str] = []
@@ -119,10 +131,20 @@ def parse(source: str) -> tuple[Node, list[str], list[Node]]:
                 owners.append(node)
         held, linked = [], 0
 
+    def push(tag: str, node: Node) -> None:
+        open_at.setdefault(tag, []).append(len(stack))
+        stack.append((tag, node))
+
     def close(to: int) -> None:
         flush()
+        for tag, _ in reversed(stack[to:]):
+            open_at[tag].pop()
         del stack[to:]
 
+    def innermost(tags) -> int:
+        """The place of the innermost open element of the tags, 0 if there is none."""
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
     at, size = 0, len(source)
     while at < size:
         m = _TOKEN.search(source, at)
@@ -145,7 +167,7 @@ def parse(source: str) -> tuple[Node, list[str], list[Node]]:
             elif tag == "br":
                 held.append(" ")
             elif tag in BLOCKS:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
+                k = innermost((tag,))
                 if k and tag not in ("html", "body"):
                     close(k)
                 else:
@@ -169,27 +191,23 @@ def parse(source: str) -> tuple[Node, list[str], list[Node]]:
         elif tag in BLOCKS:
             flush()
             if tag in ("html", "body"):
-                if tag == "body" and all(t != "body" for t, _ in stack):
+                if tag == "body" and not open_at.get("body"):
                     words, hidden = attribute_tokens(attributes)
-                    stack.append((tag, Node(tag, words, stack[-1][1], hidden)))
+                    push(tag, Node(tag, words, stack[-1][1], hidden))
                 continue
             if tag in ENDS_P:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p"), 0)
-                if k:
+                k = innermost(("p",))
+                if k > innermost(SCOPE):
                     close(k)
             if tag in ENDS:
                 shut, bound = ENDS[tag]
-                k = len(stack) - 1
-                lowest = 0
-                while k > 0 and stack[k][0] not in bound:
-                    if stack[k][0] in shut:
-                        lowest = k
-                    k -= 1
-                if lowest:
-                    close(lowest)
+                k = innermost(bound)
+                inside = [places[i] for t in shut if (places := open_at.get(t)) and (i := bisect_right(places, k)) < len(places)]
+                if inside:
+                    close(min(inside))
             if tag not in VOID:
                 words, hidden = attribute_tokens(attributes) if attributes else (frozenset(), False)
-                stack.append((tag, Node(tag, words, stack[-1][1], hidden)))
+                push(tag, Node(tag, words, stack[-1][1], hidden))
             link = 0
     flush()
     return root, texts, owners

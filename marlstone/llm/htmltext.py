@@ -45,6 +45,7 @@ _TAGS = {
     "dialog": 11, "table": 12, "tr": 12, "td": 12, "th": 12, "tbody": 12, "thead": 12, "blockquote": 13, "pre": 13, "figure": 13, "figcaption": 13, "address": 14, "body": 15, "#root": 15,
 }
 _N_TAGS = 17
+_SYLLABLES = "an er th ou ti on sh be le mi ra é ü st na ko".split()
 _MARKS = frozenset(".,;:!?")
 _BOILER_TAGS = frozenset((7, 9, 10, 11))
 
@@ -186,7 +187,7 @@ class Generator:
         r = self.r
         out = []
         for _ in range(n):
-            w = "".join(r.choice(("an", "er", "th", "ou", "ti", "on", "sh", "be", "le", "mi", "ra", "é", "ü", "st", "na", "ko")) for _ in range(r.randint(1, 4)))
+            w = "".join(r.choices(_SYLLABLES, k=r.randint(1, 4)))
             out.append(w + (r.choice((",", ".", "!", ";")) if r.random() < 0.12 else ""))
         return " ".join(out).capitalize()
 
@@ -195,7 +196,8 @@ class Generator:
         kind = self.r.random()
         w = self.words(n).split()
         if kind < 0.4:
-            return " ".join(x + self.r.choice(("***", "###", "&amp;&amp;&amp;", "$$$", "%%%")) for x in w)
+            mark = self.r.choice("*#$%@~^+=_") * self.r.randint(1, 4)
+            return " ".join(x + (mark if self.r.random() < 0.7 else "") for x in w)
         return " ".join(w).upper() if kind < 0.7 else " | ".join(w)
 
     def line(self, a: int, b: int) -> str:
@@ -243,7 +245,7 @@ class Generator:
             tag = r.choice(("div", "div", "aside", "section", "p"))
             return f"<{tag}{r.choice((' class=ad', ' class=\"ad\"', ' id=\"ads\"', ' class=\"advert banner\"', ' class=\"sponsored\"', ' class=\"promo\"'))}>{body if tag == 'p' or r.random() < 0.5 else f'<p>{body}</p>'}</{tag}>"
         if k == "footer":
-            return f"<footer{r.choice(('', '', self.attr('footer')))}>{r.choice((f'&copy; site.example &middot; {w(r.randint(2, 30))}', f'<p>&copy; {w(r.randint(2, 14))}</p>{self.links(3)}', f'<div>{w(r.randint(4, 30))}</div>'))}</footer>"
+            return f"<footer{r.choice(('', '', self.attr('footer')))}>{r.choice((f'© {r.randint(1990, 2030)} {w(r.randint(1, 30))}', f'{w(2)} | {w(r.randint(2, 20))}', f'<p>&copy; {w(r.randint(2, 14))}</p>{self.links(3)}', f'<div>{w(r.randint(4, 30))}</div>'))}</footer>"
         if k == "divfooter":
             return f'<div{self.attr("footer", "copyright", "legal", "bottom")}><p>{w(r.randint(3, 30))}</p>{r.choice(("", self.links(3)))}</div>'
         if k == "comments":
@@ -266,7 +268,7 @@ class Generator:
         if k < 0.66:
             a, b = r.choice(((1, 3), (5, 30), (20, 120)))
             text = self.line(a, b)
-            return f"<p{x}>{r.choice((text, f'<b>{text}<br>', f'{text} <a href=/q>{self.words(2)}</a> {self.words(3)}', f'<em>{text}</em>'))}" + r.choice(("</p>", "</p>", ""))
+            return f"<p{x}>{r.choice((text, f'<strong>{text}</strong>', f'<i>{text}', f'{text}<br>{self.words(4)}', f'{text} <a href=/q>{self.words(2)}</a> {self.words(3)}', f'<em>{text}</em>'))}" + r.choice(("</p>", "</p>", ""))
         if k < 0.74:
             return f"<h{(h := r.randint(2, 4))}{x}>{self.line(1, 8)}</h{h}>"
         if k < 0.82:
@@ -337,8 +339,11 @@ _FIELDS = "page_id long, url string, text string, n_chars long"
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html; other columns are ignored).
 
-    Blocks of the article in page order, one in a line; white space in a block is one blank. A
-    null or empty page has an empty text. Every row is judged by itself.
+    Blocks of the article in page order, one in a line; white space in a block is one blank.
+    Fields of forms (select, button, datalist, textarea), templates, code, the title and frames
+    are never text; all other text is judged by its nodes. A null or empty page has an empty
+    text. Null ids and urls stay null; every row is judged by itself, repeated ones alike, and
+    an empty table gives an empty table.
     """
     sent = pages.sparkSession.sparkContext.broadcast(train())  # some 100 KB
 
