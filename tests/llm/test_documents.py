@@ -48,10 +48,36 @@ def test_near_duplicates_in_a_chain(spark):
         texts[100 - i] = " ".join(base)
         base = [*base[:i], f"w{i}", *base[i + 1 :]]
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for settings in (neardup.Settings(), neardup.Settings(part_rows=7)):
+    for settings in (neardup.Settings(), neardup.Settings(part_rows=7), neardup.Settings(part_rows=7, most_rows=3, bucket_rows=4, samples_of=5)):
         assert {i: r["component_id"] for i, r in by_id(neardup.near_duplicates(df, settings)).items()} == cases.near_duplicates(texts, 3, 85)
 
 
+def test_near_duplicates_in_large_groups(spark):
+    """Copies of a few bases, all in hot buckets and large families: leaders first, the rest in parts."""
+    import random
+
+    r = random.Random(8)
+    texts = {}
+    for i in range(240):
+        w = cases.words(90, 300 + i % 3)
+        for _ in range(r.choice((0, 1, 2, 3, 9))):
+            w[r.randrange(90)] = f"x{r.randrange(10**6)}"
+        texts[1000 - i] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = cases.near_duplicates(texts, 3, 85)
+    assert len(set(want.values())) > 20
+    for settings in (neardup.Settings(part_rows=16, most_rows=16, bucket_rows=20, samples_of=8), neardup.Settings(part_rows=16, most_rows=16, bucket_rows=20, samples_of=0, part_shingles=500)):
+        assert {i: x["component_id"] for i, x in by_id(neardup.near_duplicates(df, settings)).items()} == want
+
+
+def test_one_id_with_several_texts(spark):
+    """Is one document: what its texts link with is connected through it."""
+    a, b = " ".join(cases.words(50, 1)), " ".join(cases.words(50, 2))
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b), (7, ""), (7, b + " end")], "doc_id long, text string")
+    got = sorted((x["doc_id"], x["component_id"], x["kept"]) for x in neardup.near_duplicates(df).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (7, 7, True), (9, 3, False)]
+
+
 def test_near_duplicates_empty(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], EMPTY)).count() == 0
 
