@@ -1,5 +1,8 @@
 """A compressed FM-index over sequences of words: Burrows-Wheeler transform in a wavelet matrix.
 
+What is kept is the wavelet matrix, two bitmaps that mark where groups of suffixes with the same
+first words begin, and one value for each group; the suffix order is dropped once these are built.
+
 All searches of a call move together, one word a step, as numpy operations over the whole set
 of searches; the bitmaps of the wavelet matrix are packed, with a rank directory over them.
 """
@@ -18,7 +21,9 @@ class Bitmap:
         self.words = np.packbits(padded, bitorder="little").view(np.uint64)
         counts = np.bitwise_count(self.words)
         self.ranks = np.cumsum(counts, dtype=np.int64) - counts
-        self.zeros = len(bits) - int(counts.sum())
+        self.ones = int(counts.sum())
+        self.size = len(bits)
+        self.zeros = len(bits) - self.ones
 
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Set bits before each place."""
@@ -27,6 +32,16 @@ class Bitmap:
         return self.ranks[at] + np.bitwise_count(self.words[at] & mask)
 
 
+    def select(self, k: np.ndarray) -> np.ndarray:
+        """The place of each k-th set bit, counted from 0; the number of bits where there is none."""
+        inside = k < self.ones
+        k = np.where(inside, k, 0)
+        at = np.searchsorted(self.ranks, k, "right") - 1
+        bits = np.unpackbits(self.words[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        among = np.cumsum(bits, axis=1, dtype=np.uint8) == (k - self.ranks[at] + 1)[:, None]
+        return np.where(inside, at * 64 + among.argmax(1), self.size)
+
+
 class WaveletMatrix:
     """Occurrences of a symbol before a place, in one step for each bit of the symbol."""
 
@@ -57,10 +72,11 @@ class FMIndex:
     """An index of word sequences that gives capped matching statistics of sequences streamed through it.
 
     words: all sequences in a row (any integers). first: where each starts, and the end.
-    length: what a match is capped at, 17 to 32 words.
+    length: what a match is capped at, 17 to 32 words. values: a number for each word; of the words
+    that full-length matches of one group start at, the index keeps the least as ``least``.
     """
 
-    def __init__(self, words: np.ndarray, first: np.ndarray, length: int):
+    def __init__(self, words: np.ndarray, first: np.ndarray, length: int, values: np.ndarray | None = None):
         if not 16 < length <= 32:
             raise ValueError("length must be 17 to 32")
         self.length = length
@@ -69,21 +85,24 @@ class FMIndex:
         # A separator after each sequence, all different and before all words in order.
         seq = np.repeat(np.arange(n_seq), sizes)
         n = len(words) + n_seq
-        self.place = np.arange(len(words)) + seq  # of each word in the indexed text
+        place = np.arange(len(words)) + seq  # of each word in the indexed text
         text = np.zeros(n, np.int64)
-        text[self.place] = codes + 1
+        text[place] = codes + 1
         rank = np.empty(n, np.int64)
-        rank[self.place] = codes + n_seq
+        rank[place] = codes + n_seq
         ends = first[1:] + np.arange(n_seq)
         rank[ends] = np.arange(n_seq)
-        order, self._rank16 = self._suffixes(rank, n)
-        self.order = order
+        order, rank16 = self._suffixes(rank, n)
         self.matrix = WaveletMatrix(text[order - 1], len(self.alphabet) + 1)  # order 0 takes the last separator
         counts = np.bincount(codes, minlength=len(self.alphabet))
         self.before = np.concatenate([[0, n_seq], n_seq + np.cumsum(counts)])[: len(self.alphabet) + 1]
         self.n = n
-        self.shorter = self._groups(length - 1)
-        self.full = self._groups(length)
+        self.shorter = Bitmap(self._new(order, rank16, length - 1))
+        new = self._new(order, rank16, length)
+        self.full = Bitmap(new)
+        at = np.full(n, np.iinfo(np.int64).max)
+        at[place] = np.arange(len(words)) if values is None else values
+        self.least = np.minimum.reduceat(at[order], np.flatnonzero(new))
 
     @staticmethod
     def _suffixes(rank: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,19 +124,12 @@ class FMIndex:
             order = np.argsort(rank, kind="stable")
             k *= 2
 
-    def _groups(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each suffix in order: the group of those with the same first words; starts and ends of the groups."""
-        padded = np.concatenate([self._rank16, np.full(16, -1)])
-        a, b = padded[self.order], padded[self.order + length - 16]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        starts = np.flatnonzero(new)
-        return np.cumsum(new) - 1, starts, np.append(starts[1:], self.n)
-
-    def group_least(self, values: np.ndarray) -> np.ndarray:
-        """For each group of equal full-length matches, the least value of the words they start at."""
-        at = np.full(self.n, np.iinfo(np.int64).max)
-        at[self.place] = values
-        return np.minimum.reduceat(at[self.order], self.full[1])
+    @staticmethod
+    def _new(order: np.ndarray, rank16: np.ndarray, length: int) -> np.ndarray:
+        """Of each suffix in order: whether its first words differ from those of the one before."""
+        padded = np.concatenate([rank16, np.full(16, -1)])
+        a, b = padded[order], padded[order + length - 16]
+        return np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
 
     def search(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Streams sequences backward through the index.
@@ -137,13 +149,13 @@ class FMIndex:
             place = at[live]
             full = live[size[live] == self.length]
             if len(full):  # the first words of a full match, one fewer: a group that is known beforehand
-                g = self.shorter[0][lo[full]]
-                lo[full], hi[full], size[full] = self.shorter[1][g], self.shorter[2][g], self.length - 1
+                g = self.shorter.rank(lo[full] + 1) - 1
+                lo[full], hi[full], size[full] = self.shorter.select(g), self.shorter.select(g + 1), self.length - 1
             c = code[place]
             self._extend(live, c, lo, hi, size, words, place)
             stat[place] = size[live]
             done = size[live] == self.length
-            group[place[done]] = self.full[0][lo[live[done]]]
+            group[place[done]] = self.full.rank(lo[live[done]] + 1) - 1
             at[live] -= 1
             live = live[at[live] >= first[:-1][live]]
         return stat, group

@@ -101,6 +101,37 @@ def test_substrings(spark, docs):
             assert got[i]["kept_text"] == (kept if any(gone) else TEXTS[i] or "")
 
 
+def test_substrings_around_a_frequent_line(spark):
+    """A line that stands in every text among other words, and longer runs that recur around it: keys grow until they are rare."""
+    import random
+
+    r, line = random.Random(6), cases.words(9, 700)
+    pool = [cases.words(8, 710 + i) for i in range(3)]
+    texts = {}
+    for i in range(80):
+        w = []
+        for k in range(3):
+            w += cases.words(12, 1000 + 10 * i + k) + (r.choice(pool) if r.random() < 0.7 else []) + line + (r.choice(pool) if r.random() < 0.7 else [])
+        texts[200 - i] = ("\n" if i % 2 else "  ").join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = cases.kept_words(texts)
+    assert sum(map(sum, (g for _, g in want.values()))) > 500
+    for settings in (substrings.Settings(key_rows=20), substrings.Settings(key_rows=0), substrings.Settings(key_rows=3, shard_words=100)):
+        got = by_id(substrings.remove_repeats(df, settings))
+        for i, (w, gone) in want.items():
+            kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+            assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (sum(gone), hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_words_whose_hashes_agree_are_told_apart(monkeypatch):
+    buf = np.frombuffer(b"ab cd ab ef cd", np.uint8)
+    begin, end = np.array([0, 3, 6, 9, 12]), np.array([2, 5, 8, 11, 14])
+    for hashes in ([1, 2, 1, 3, 2], [1, 1, 1, 1, 1], [7, 7, 7, 9, 7]):
+        monkeypatch.setattr(substrings, "hash_spans", lambda *_, h=hashes: np.array(h, np.uint64))
+        codes = substrings.word_codes(buf, begin, end).tolist()
+        assert codes[0] == codes[2] and codes[1] == codes[4] and len(set(codes)) == 3
+
+
 def test_substrings_repeated_and_null_ids(spark):
     text = " ".join(cases.words(30, 8))
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (0, " ".join(cases.words(25, 7)))], "doc_id long, text string")
