@@ -4,9 +4,9 @@ A level's nodes are centres further apart than its radius, each with the points
 radius; the next level halves the radius, and a node's centre is one of its children's centres
 again. Two nodes are compared by their centres and the true distance to their furthest points:
 pairs that are too far are dropped whole, pairs whose points are all near enough are counted
-whole, others are split. Where a level doesn't compress (its centres would be most of its
-points, as in high dimensions without clusters) the points stay in one leaf, and leaves are
-compared in blocks.
+whole, others are split. Where a level stops compressing (each further centre would cover little
+but itself, as in high dimensions without clusters) the points that are left stay in one leaf,
+and leaves are compared in blocks.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-#: Centres that one node may have; the points that they don't cover stay in a leaf.
-_FANOUT = 48
-_LEAF = 128
+#: A level goes on as long as so many centres in a row cover twice as many points.
+_CENTRES = 64
+_LEAF = 32
 _EPS = 1e-6
 
 
@@ -45,17 +45,21 @@ def build(x: np.ndarray, points: np.ndarray | None = None, centre: np.ndarray |
     while radius > least and node.reach <= radius:
         radius /= 2
     rest, first = points, True
-    for _ in range(_FANOUT):
-        if not len(rest):
+    while len(rest):
+        before = len(rest)
+        for _ in range(_CENTRES):
+            if not len(rest):
+                break
+            c = centre if first else x[rest[0]]
+            first = False
+            near = _distance(x[rest], c) <= radius
+            if near.any():
+                node.children.append(build(x, rest[near], c, radius / 2, least))
+            rest = rest[~near]
+        if before - len(rest) < 2 * _CENTRES and len(rest):
             break
-        c = centre if first else x[rest[0]]
-        first = False
-        near = _distance(x[rest], c) <= radius
-        if near.any():
-            node.children.append(build(x, rest[near], c, radius / 2, least))
-        rest = rest[~near]
-    if len(rest) > 0.9 * len(points):  # no compression here
-        node.children = []
+    if len(rest) == len(points) or len(node.children) > len(points) // 2:
+        node.children = []  # no compression here
     elif len(rest):
         c = x[rest[0]]
         node.children.append(Node(rest, c, float(_distance(x[rest], c).max(initial=0))))
@@ -69,6 +73,7 @@ class Links:
         self.count = np.zeros(n, np.int64)
         self.weights = weights
         self.edges: list[np.ndarray] = []
+        self.compared = 0  # pairs of points that were multiplied
 
     def all_of(self, a: np.ndarray, b: np.ndarray) -> None:
         """Every pair of the two (the same points: every pair within, but not a point with itself)."""
@@ -133,6 +138,7 @@ def _compare(x: np.ndarray, low: np.ndarray, a: np.ndarray, b: np.ndarray, cosin
         for j in range(i if same else 0, len(b), 1024):
             q = b[j : j + 1024]
             inside = same and i == j
+            links.compared += len(p) * (len(p) - 1) // 2 if inside else len(p) * len(q)
             maybe = low[p] @ low[q].T >= cosine - 1e-4
             if inside:
                 np.fill_diagonal(maybe, False)

@@ -5,12 +5,14 @@
    too many classes is split by hash, so a crowded region fills several cells.
 3. Two cells meet in one task if any of their members can be near enough: a vector is sent to
    meet a cell only if its distance to the cell's pivot is within the cell's radius and the link
-   distance. Each task builds cover trees of both sides and walks them together.
+   distance, and it stands no further from the plane between the two pivots than that distance.
+   Each task builds cover trees of both sides and walks them together.
 4. A task returns the weight that each vector links with there, and links enough to connect what
    is connected; no list of all pairs is made. Counts are added up and components formed.
 
 The result is exact. Where vectors have many dimensions and no clusters, no metric bound
-separates cells at this distance and every two cells meet, in blocks.
+separates cells at this distance and every two cells meet, in blocks. So cells are as large as a
+task may hold, but for small tables, where there are enough of them for all cores.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .components import components
+from .components import components, small
 from .covertree import Links, build, dual
 from .neardup import whole_groups
 from .storage import Scratch
@@ -32,16 +35,20 @@ from .textkernel import keyed
 
 @dataclass(frozen=True)
 class Settings:
-    """cosine: of a link, at least. cell_rows: classes of a cell, about. sample: vectors that pivots are chosen from, at most."""
+    """cosine: of a link, at least. cell_rows, cell_bytes: of a cell, at most, about. sample: vectors that pivots are chosen from, at
+    most; they decide where vectors meet, not which link.
+    """
 
     cosine: float = 0.95
-    cell_rows: int = 4096
+    cell_rows: int = 1 << 16
+    cell_bytes: int = 16 << 20
     sample: int = 4096
     most_pivots: int = 1024
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+def _matrix(column: pa.Array, dim: int, kind: str) -> np.ndarray:
+    """Rows of doubles from vectors kept as bytes of the type they came in."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.float64).reshape(-1, dim)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -61,72 +68,86 @@ def _pivots(x: np.ndarray, n: int) -> np.ndarray:
     return x[chosen]
 
 
-def _assign(pivots: np.ndarray, dim: int):
+def _assign(pivots: np.ndarray, dim: int, kind: str):
+    """Vectors as bytes, with their cell and the distance to its pivot."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                x = _unit(_matrix(part.column(2), dim))
+                flat = part.column(3).flatten().to_numpy(zero_copy_only=False).astype(kind)
+                x = _unit(flat.astype(np.float64).reshape(-1, dim))
                 cos = x @ pivots.T
                 cell = cos.argmax(1)
                 d = np.sqrt(np.maximum(0, 2 - 2 * cos[np.arange(len(x)), cell]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(d)], names=["rep", "weight", "embedding", "cell", "distance"])
+                data = pa.array([v.tobytes() for v in flat.reshape(-1, dim)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], data, pa.array(cell.astype(np.int32)), pa.array(d)], names=["rep", "v1", "weight", "vector", "cell", "distance"])
 
-    return run, "rep long, weight long, embedding array<double>, cell int, distance double"
+    return run, "rep long, v1 long, weight long, vector binary, cell int, distance double"
 
 
-def _meet(pivots: np.ndarray, cells: list[tuple[int, float, int]], far: float, dim: int):
-    """Rows for each two (split) cells that a vector has to meet in: key, side, rep, weight, embedding."""
+def _meet(pivots: np.ndarray, cells: list[tuple[int, float, int]], far: float, dim: int, kind: str):
+    """Rows for each two (split) cells that a vector has to meet in: key, side, rep, v1, weight, vector."""
     parts = np.array([c[2] for c in cells], np.int64)
     base = np.cumsum(parts) - parts  # a split cell's first number
     of = np.repeat(np.arange(len(cells)), parts)
     where = {c[0]: k for k, c in enumerate(cells)}
     centre = pivots[[c[0] for c in cells]]
     radius = np.array([c[1] for c in cells])
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (centre @ centre.T)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                x = _unit(_matrix(part.column(2), dim))
-                k = np.array([where[c] for c in part.column(3).to_pylist()])
-                rep = part.column(0).to_numpy()
-                own = base[k] + (keyed(rep.view(np.uint64), 3) % parts[k].astype(np.uint64)).astype(np.int64)
-                near = np.sqrt(np.maximum(0, 2 - 2 * (x @ centre.T))) <= radius + far + 1e-6
-                near[np.arange(len(x)), k] = True
+                x = _unit(_matrix(part.column(3), dim, kind))
+                k = np.array([where[c] for c in part.column(4).to_pylist()])
+                one = np.arange(len(x))
+                h = keyed(part.column(0).to_numpy().view(np.uint64) ^ part.column(1).to_numpy().view(np.uint64), 3)
+                own = base[k] + (h % parts[k].astype(np.uint64)).astype(np.int64)
+                cos = x @ centre.T
+                near = np.sqrt(np.maximum(0, 2 - 2 * cos)) <= radius + far + 1e-6
+                # A member y of a cell is nearer to its pivot q than to p: (x - y)(p - q) >= x(p - q).
+                near &= cos[one, k][:, None] - cos <= far * apart[k] + 1e-6
+                near[one, k] = True
                 row, other = np.nonzero(near[:, of])
                 a, b = np.minimum(own[row], other), np.maximum(own[row], other)
                 side = (own[row] > other).astype(np.int8)
                 rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(a << 32 | b), pa.array(side), *(part.column(c).take(rows) for c in range(3))], names=["key", "side", "rep", "weight", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(a << 32 | b), pa.array(side), *(part.column(c).take(rows) for c in range(4))], names=["key", "side", "rep", "v1", "weight", "vector"])
+
+    return run, "key long, side byte, rep long, v1 long, weight long, vector binary"
 
-    return run, "key long, side byte, rep long, weight long, embedding array<double>"
 
+def _walk(cosine: float, dim: int, kind: str):
+    """For each vector the weight that it links with here; and links enough to connect those that are connected."""
 
-def _walk(cosine: float, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches):
             keys = batch.column(0).to_numpy()
             edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 part = batch.slice(lo, hi - lo)
-                side, rep, weight = part.column(1).to_numpy(), part.column(2).to_numpy(), part.column(3).to_numpy()
-                x = _unit(_matrix(part.column(4), dim))
-                links = Links(len(x), weight)
+                side, rep, v1, weight = (part.column(c).to_numpy() for c in (1, 2, 3, 4))
                 key = int(keys[lo])
-                if key >> 32 == key & 0xFFFFFFFF:
+                inside = key >> 32 == key & 0xFFFFFFFF
+                if not inside and (not side.any() or side.all()):
+                    continue
+                x = _unit(_matrix(part.column(5), dim, kind))
+                links = Links(len(x), weight)
+                if inside:
                     tree = build(x)
                     dual(x, tree, tree, cosine, links)
-                elif side.any() and not side.all():
+                else:
                     dual(x, build(x, np.flatnonzero(side == 0)), build(x, np.flatnonzero(side == 1)), cosine, links)
                 some = np.flatnonzero(links.count)
-                yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(links.count[some]), pa.array(np.full(len(some), None), pa.int64())], names=["rep", "links", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(v1[some]), pa.array(links.count[some]), pa.array(np.full(len(some), None), pa.int64())], names=["rep", "v1", "links", "other"])
                 if links.edges:
                     e = np.unique(np.concatenate(links.edges, axis=1), axis=1)
                     e = e[:, e[0] != e[1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[e[1]]), pa.array(np.zeros(e.shape[1], np.int64)), pa.array(rep[e[0]])], names=["rep", "links", "other"])
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[e[1]]), pa.array(v1[e[1]]), pa.array(np.zeros(e.shape[1], np.int64)), pa.array(rep[e[0]])], names=["rep", "v1", "links", "other"])
 
-    return run, "rep long, links long, other long"
+    return run, "rep long, v1 long, links long, other long"
 
 
 def near_duplicate_vectors(embeddings: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -136,11 +157,15 @@ def near_duplicate_vectors(embeddings: DataFrame, settings: Settings = Settings(
     equal vectors among them. Vectors that are null, empty, zero, or hold null or non-finite
     components link with nothing, and vectors of different lengths don't link. Rows with the
     same vec_id count as several vectors in n_links and are one in component_id. A row with a
-    null vec_id links with nothing, has a null component_id and is kept.
+    null vec_id links with nothing, has a null component_id and is kept. An empty table gives an
+    empty table.
     """
     s = settings
-    scratch = Scratch(embeddings.sparkSession, "vectors")
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    spark = embeddings.sparkSession
+    scratch = Scratch(spark, "vectors")
+    single = isinstance(embeddings.schema["embedding"].dataType, T.ArrayType) and isinstance(embeddings.schema["embedding"].dataType.elementType, T.FloatType)
+    element, kind = ("float", "<f4") if single else ("double", "<f8")
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{element}>").alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     valid = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda v: v != 0)
     rows = rows.withColumn("valid", F.coalesce(valid, F.lit(False)))
@@ -150,24 +175,35 @@ def near_duplicate_vectors(embeddings: DataFrame, settings: Settings = Settings(
     counts = {r[0]: r[1] for r in classes.groupBy(F.size("embedding")).count().collect()}  # lengths of vectors: few
     found = None
     far = float(np.sqrt(2 - 2 * s.cosine))
+    at_least = int(np.ceil(np.sqrt(6 * spark.sparkContext.defaultParallelism)))
     for dim, n in sorted(counts.items()):
-        own = classes.where(F.size("embedding") == dim).select("rep", "weight", "embedding")
-        sample = own.select("embedding", "rep").orderBy(F.xxhash64(F.lit(11), "rep"), "rep").limit(s.sample).collect()
-        pivots = _pivots(_unit(np.array([r[0] for r in sample], float)), min(s.most_pivots, -(-n // s.cell_rows)))
-        assigned = scratch.save(own.mapInArrow(*_assign(pivots, dim)), f"assigned-{dim}")
+        own = classes.where(F.size("embedding") == dim).select("rep", "v1", "weight", "embedding")
+        most = max(1, min(s.cell_rows, s.cell_bytes // (dim * int(kind[-1]))))
+        n_cells = max(-(-n // most), min(at_least, -(-n // 1024)))
+        most = -(-n // n_cells)
+        sample = own.select("embedding", "rep").orderBy(F.xxhash64(F.lit(11), "rep"), "rep", "v1").limit(s.sample).collect()
+        pivots = _pivots(_unit(np.array([r[0] for r in sample], float)), min(s.most_pivots, n_cells))
+        assigned = scratch.save(own.mapInArrow(*_assign(pivots, dim, kind)), f"assigned-{dim}")
         # One row for each pivot.
-        cells = sorted((r["cell"], r["radius"], -(-r["n"] // s.cell_rows)) for r in assigned.groupBy("cell").agg(F.max("distance").alias("radius"), F.count(F.lit(1)).alias("n")).collect())
-        met = assigned.mapInArrow(*_meet(pivots, cells, far, dim)).repartition("key").sortWithinPartitions("key").mapInArrow(*_walk(s.cosine, dim))
+        cells = sorted((r["cell"], r["radius"], -(-r["n"] // most)) for r in assigned.groupBy("cell").agg(F.max("distance").alias("radius"), F.count(F.lit(1)).alias("n")).collect())
+        met = assigned.mapInArrow(*_meet(pivots, cells, far, dim, kind)).repartition("key").sortWithinPartitions("key").mapInArrow(*_walk(s.cosine, dim, kind))
         found = met if found is None else found.unionByName(met)
     if found is None:
-        found = classes.select("rep", F.lit(0).cast("long").alias("links"), F.lit(None).cast("long").alias("other"))
+        found = classes.select("rep", "v1", F.lit(0).cast("long").alias("links"), F.lit(None).cast("long").alias("other"))
     found = scratch.save(found, "found")
-    # Equal vectors under different ids are linked through their class; the same id in two classes joins them.
-    named = components(found.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")), scratch)
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = classes.select("v1", "v2", "rep", "weight").join(links, "rep", "left").join(named.withColumnRenamed("node", "rep"), "rep", "left")
+    # Equal vectors under different ids are linked through their class; several vectors of one id join their classes.
+    links = found.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b"))
+    many = rows.where("valid").groupBy("vec_id").agg(F.min("v1").alias("a1"), F.max("v1").alias("b1"), F.min("v2").alias("a2"), F.max("v2").alias("b2")).where("a1 < b1 OR a2 < b2").select("vec_id")
+    many = scratch.save(many, "many")
+    if n_many := many.count():
+        of = rows.where("valid").join(small(many, n_many), "vec_id").select("vec_id", "v1", "v2").join(classes.select("v1", "v2", "rep"), ["v1", "v2"])
+        links = links.unionByName(of.join(of.groupBy("vec_id").agg(F.min("rep").alias("a")), "vec_id").select("a", F.col("rep").alias("b")).where("a < b").distinct())
+    named = components(links, scratch)
+    counted = scratch.save(found.groupBy("rep", "v1").agg(F.sum("links").alias("links")).where("links > 0"), "counted")
+    scratch.drop("found", "many", *(f"assigned-{dim}" for dim in counts))
+    classes = classes.select("v1", "v2", "rep", "weight").join(counted, ["rep", "v1"], "left").join(named.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("v1", "v2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("vec_id", "valid", "v1", "v2").join(classes, ["v1", "v2"], "left")
-    component = F.when(F.col("valid"), F.least("component_id", "vec_id")).otherwise(F.col("vec_id"))
+    component = F.when(F.col("valid"), F.col("component_id")).otherwise(F.col("vec_id"))
     out = out.select("vec_id", F.when(F.col("valid"), F.col("n_links")).otherwise(0).alias("n_links"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -55,6 +55,25 @@ def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def _times(share: float):
+    return lambda x: x * share
+
+
+def planted_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1's operator where links are many: each vector with two more that lean towards the next one, so chains form."""
+    from pyspark.sql import functions as F
+
+    from .embeddings import near_duplicate_vectors
+
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("w"))
+    both = e.join(after, "vec_id")
+    for k, share in ((1, 0.2), (2, 0.35)):
+        towards = F.zip_with("embedding", F.transform("w", _times(share)), lambda v, w: v + w)
+        e = e.unionByName(both.select((F.col("vec_id") + k * 1_000_000).alias("vec_id"), towards.alias("embedding")))
+    return near_duplicate_vectors(e)
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan
 
@@ -88,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_quality": op9_quality,
         "op10_substring_dedup": op10_substring_dedup,
+        "planted_vector_links": planted_vector_links,
     }
 
 
@@ -99,6 +119,10 @@ OP1_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS
     n AS (SELECT a, count(*) AS n FROM links GROUP BY a), m AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
     SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m.b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m.b, vec_id)) AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id"""
 
+_PLANTED = """o AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT x.vec_id, list_zip(x.e, y.e) AS z FROM o x JOIN o y ON y.vec_id = x.vec_id + 1),
+    planted AS (SELECT vec_id, e AS embedding FROM o UNION ALL SELECT vec_id + 1000000, list_transform(z, lambda v: v[1] + 0.2::DOUBLE * v[2]) FROM p UNION ALL SELECT vec_id + 2000000, list_transform(z, lambda v: v[1] + 0.35::DOUBLE * v[2]) FROM p)"""
+PLANTED_SQL = OP1_SQL.replace("FROM embeddings", "FROM planted").replace("WITH RECURSIVE v AS", f"WITH RECURSIVE {_PLANTED}, v AS")
+
 #: Shared shingles counted for every two documents that have any.
 OP7_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
     s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) >= 3 THEN array_to_string(w[i:i + 2], ' ') ELSE array_to_string(w, ' ') END AS g FROM w, unnest(range(1, greatest(len(w) - 1, 2))) AS u(i) WHERE len(w) > 0),
@@ -118,4 +142,4 @@ OP10_SQL = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''),
 
 def oracle_sql() -> dict[str, str]:
     """SQL counterparts where SQL can express a query and runs over whole tables; the others are tested against plain Python."""
-    return {"op1_embeddings": OP1_SQL, "op7_minhash": OP7_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op1_embeddings": OP1_SQL, "planted_vector_links": PLANTED_SQL, "op7_minhash": OP7_SQL, "op10_substring_dedup": OP10_SQL}

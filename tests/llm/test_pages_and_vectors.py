@@ -141,6 +141,33 @@ def test_vectors(spark):
     assert embeddings.near_duplicate_vectors(vectors(spark, rows[:1]).where("false")).count() == 0
 
 
+def test_one_id_with_several_vectors(spark):
+    a, b, c = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0], [0.0, 1.0, 0.05]
+    rows = [(3, a), (5, a), (5, b), (9, c), (7, [0.0, 0.0, 1.0]), (5, b)]
+    got = sorted((g["vec_id"], g["n_links"], g["component_id"]) for g in embeddings.near_duplicate_vectors(vectors(spark, rows)).collect())
+    assert got == [(3, 1, 3), (5, 1, 3), (5, 2, 3), (5, 2, 3), (7, 0, 7), (9, 2, 3)]
+
+
+def test_double_vectors(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(90, 12))
+    x[30:60] = x[0] + r.normal(size=(30, 12)) * 0.1
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows)
+    got = embeddings.near_duplicate_vectors(df, embeddings.Settings(cell_rows=7)).collect()
+    assert {g["vec_id"]: (g["n_links"], g["component_id"]) for g in got} == want
+
+
+def test_most_pairs_of_clusters_are_never_compared():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(200, 32))[r.integers(0, 200, 4000)] + 0.05 * r.normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links, tree = covertree.Links(len(x), np.ones(len(x), np.int64)), covertree.build(x)
+    covertree.dual(x, tree, tree, 0.95, links)
+    assert (links.count == (x @ x.T >= 0.95).sum(1) - 1).all() and links.compared < 0.1 * 4000 * 3999 / 2
+
+
 @pytest.mark.parametrize("spread", [0.02, 0.2, 3.0])
 def test_cover_tree(spread):
     """The traversal finds what all pairs find, in clusters of any tightness."""
