@@ -44,7 +44,7 @@ class Settings:
     """words: in a shingle. Link: ``100 * intersection >= percent * union``. bands, rows: of MinHash samples.
 
     margin: pairs whose sketches estimate a similarity further than this below the threshold don't join families
-    (five standard deviations). part_rows: members of a part, about, up to 16 parts; larger families have larger parts, up to
+    (five standard deviations). part_rows: members of a part, about, up to 24 parts; larger families have larger parts, up to
     most_rows. part_shingles: of a part of a family, about. bucket_rows: of a bucket that one task takes, at most. samples_of: a
     family's members that its leader is chosen by, about.
     """
@@ -54,7 +54,7 @@ class Settings:
     bands: int = 24
     rows: int = 4
     margin: float = 0.25
-    part_rows: int = 256
+    part_rows: int = 128
     most_rows: int = 4096
     part_shingles: int = 1 << 22
     bucket_rows: int = 4096
@@ -482,7 +482,7 @@ def _decide_sketches(s: Settings):
 
 
 def _n_parts(s: Settings, n: Column) -> Column:
-    rows = F.least(F.lit(s.most_rows), F.greatest(F.lit(s.part_rows), F.ceil(n / 16)))
+    rows = F.least(F.lit(s.most_rows), F.greatest(F.lit(s.part_rows), F.ceil(n / 24)))
     return F.ceil(n / rows).cast("long")
 
 
