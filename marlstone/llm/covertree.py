@@ -19,6 +19,8 @@ import numpy as np
 _CENTRES = 64
 _LEAF = 32
 _EPS = 1e-6
+#: Children whose distances to others are held at once.
+_ROWS = 256
 
 
 @dataclass
@@ -32,6 +34,7 @@ class Node:
 
 
 def _distance(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """To one centre, or to each column of several."""
     return np.sqrt(np.maximum(0, 2 - 2 * (x @ centre)))
 
 
@@ -44,19 +47,21 @@ def build(x: np.ndarray, points: np.ndarray | None = None, centre: np.ndarray |
         return node
     while radius > least and node.reach <= radius:
         radius /= 2
-    rest, first = points, True
+    rest, centres = points, centre[None]
     while len(rest):
-        before = len(rest)
-        for _ in range(_CENTRES):
-            if not len(rest):
-                break
-            c = centre if first else x[rest[0]]
-            first = False
-            near = _distance(x[rest], c) <= radius
-            if near.any():
-                node.children.append(build(x, rest[near], c, radius / 2, least))
-            rest = rest[~near]
-        if before - len(rest) < 2 * _CENTRES and len(rest):
+        # The next centres, at once: of the first points that are left, those that no earlier one of them covers.
+        near = x[rest[:_CENTRES]] @ x[rest[:_CENTRES]].T >= 1 - radius**2 / 2
+        chosen: list[int] = []
+        for k in range(len(near)):
+            if not near[k, chosen].any():
+                chosen.append(k)
+        centres = np.concatenate([centres, x[rest[chosen]]])
+        within = _distance(x[rest], centres.T) <= radius
+        covered, of = within.any(1), within.argmax(1)
+        for k in np.unique(of[covered]).tolist():
+            node.children.append(build(x, rest[covered & (of == k)], centres[k], radius / 2, least))
+        before, rest, centres = len(rest), rest[~covered], x[:0]
+        if len(rest) and before - len(rest) < 2 * _CENTRES:
             break
     if len(rest) == len(points) or len(node.children) > len(points) // 2:
         node.children = []  # no compression here
@@ -115,19 +120,38 @@ def dual(x: np.ndarray, one: Node, two: Node, cosine: float, links: Links) -> No
     stack = [(one, two)]
     while stack:
         a, b = stack.pop()
-        d = 0.0 if a is b else float(_distance(a.centre[None], b.centre)[0])
-        if a is not b and d - a.reach - b.reach > far + _EPS:
-            continue
-        if d + a.reach + b.reach < far - _EPS:
-            links.all_of(a.points, b.points)
-        elif not a.children and not b.children:
+        if not a.children and not b.children:
             _compare(x, low, a.points, b.points, cosine, links)
-        elif a is b:
-            stack += [(p, q) for i, p in enumerate(a.children) for q in a.children[i:]]
-        elif b.children and (not a.children or b.reach >= a.reach):
-            stack += [(a, q) for q in b.children]
-        else:
-            stack += [(p, b) for p in a.children]
+            continue
+        # All pairs of children at once, some hundred rows of them at a time.
+        rows, columns = a.children or [a], b.children or [b]
+        centres, reach = np.stack([n.centre for n in columns]), np.array([n.reach for n in columns])
+        leaf = np.array([not n.children for n in columns])
+        for at in range(0, len(rows), _ROWS):
+            some = rows[at : at + _ROWS]
+            d = _distance(np.stack([n.centre for n in some]), centres.T)
+            both = np.array([n.reach for n in some])[:, None] + reach
+            open_ = d - both <= far + _EPS
+            whole = d + both < far - _EPS
+            if a is b:
+                here = at + np.arange(len(some))[:, None]
+                open_ &= here <= np.arange(len(columns))
+                whole |= (here == np.arange(len(columns))) & (both < far - _EPS)
+                d = np.where(here == np.arange(len(columns)), 0.0, d)
+            for i, j in np.argwhere(open_ & whole).tolist():
+                links.all_of(some[i].points, columns[j].points)
+            todo = open_ & ~whole
+            plain = todo & np.array([not n.children for n in some])[:, None] & leaf
+            if a is b:
+                plain &= here < np.arange(len(columns))
+            stack += [(some[i], columns[j]) for i, j in np.argwhere(todo & ~plain).tolist()]
+            # Leaves that meet the same leaf are compared with it together.
+            if plain.any(0).sum() <= plain.any(1).sum():
+                for j in np.flatnonzero(plain.any(0)).tolist():
+                    _compare(x, low, np.concatenate([some[i].points for i in np.flatnonzero(plain[:, j])]), columns[j].points, cosine, links)
+            else:
+                for i in np.flatnonzero(plain.any(1)).tolist():
+                    _compare(x, low, some[i].points, np.concatenate([columns[j].points for j in np.flatnonzero(plain[i])]), cosine, links)
 
 
 def _compare(x: np.ndarray, low: np.ndarray, a: np.ndarray, b: np.ndarray, cosine: float, links: Links) -> None:
