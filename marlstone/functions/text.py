@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,12 +13,26 @@ RATINGS = ("Buy", "Overweight", "Hold", "Underweight", "Sell")
 #: Placeholders of identity fields and of numbers.
 PLACEHOLDERS = ("none", "n/a", "nan", "null")
 NULLISH = ("", "none", "n/a", "na", "null", "nil", "-", "tbd", "unknown")
-#: Character references that are decoded; the ampersand's comes last.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+#: What rate limits and missing keys are told by.
+LIMIT_PHRASES = ("rate limit", "requests per day", "call frequency", "premium")
+KEY_PHRASES = ("api key", "apikey")
 
 
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """White space of any kind as single blanks, trimmed."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def unescape(text: Column) -> Column:
+    """Character references decoded, all named and numbered ones. The table of names has over two thousand entries, so texts with
+    an ampersand go through Python in Arrow batches; others stay where they are.
+    """
+
+    @F.pandas_udf("string")
+    def decoded(x: pd.Series) -> pd.Series:
+        return x.map(html.unescape, na_action="ignore")
+
+    return F.when(text.contains("&"), decoded(text)).otherwise(text)
 
 
 def strip_markup(content: Column) -> Column:
@@ -23,10 +40,7 @@ def strip_markup(content: Column) -> Column:
     begin, end = "<!-- SC_OFF -->", "<!-- SC_ON -->"
     inner = F.split_part(F.split_part(content, F.lit(begin), F.lit(2)), F.lit(end), F.lit(1))
     text = F.when(content.contains(begin) & content.contains(end), inner).otherwise(content)
-    text = F.regexp_replace(text, r"<[^>]+>", " ")
-    for reference, value in ENTITIES.items():
-        text = F.replace(text, F.lit(reference), F.lit(value))
-    return F.coalesce(squeeze(text), F.lit(""))
+    return F.coalesce(squeeze(unescape(F.regexp_replace(text, r"<[^>]+>", " "))), F.lit(""))
 
 
 def truncate(text: Column, longest: int, mark: str = "…") -> Column:
@@ -52,13 +66,18 @@ def identity(long_name: Column, short_name: Column) -> Column:
     return F.coalesce(clean_identity(long_name), clean_identity(short_name))
 
 
+def _labelled_word(line: Column) -> Column:
+    """In a line in lower case: the word after the label and a colon or dash, stars and blanks passed over; a mark that no word follows is passed over, too."""
+    after = F.split(F.get(F.split(line, "rating", 2), F.lit(1)), "[:-]")
+    heads = F.transform(F.slice(after, 2, 1 << 20), lambda x: F.regexp_extract(F.regexp_replace(x, r"^[\s*]+", ""), r"(?U)^\w+", 0))
+    return F.try_element_at(F.filter(heads, lambda x: x != ""), F.lit(1))
+
+
 def parse_rating(text: Column, default: str = "Hold") -> Column:
     """The rating of a decision: that of the first line with a label and a rating, else the first rating word, else the default."""
     scale = F.array(*(F.lit(r.lower()) for r in RATINGS))
-    lines = F.split(text, r"\r\n|\n|\r")
-    # (?i)(?U): letters of all scripts count, as in the label's word.
-    labelled = F.transform(lines, lambda x: F.lower(F.regexp_extract(x, r"(?iU)rating.*?[:\-][\s*]*(\w+)", 1)))
-    labelled = F.filter(labelled, lambda x: F.array_contains(scale, x))
+    lines = F.split(F.lower(text), r"\r\n|\n|\r")
+    labelled = F.filter(F.transform(lines, _labelled_word), lambda x: F.array_contains(scale, x))
     words = F.transform(F.split(F.lower(text), r"\s+"), lambda x: F.regexp_replace(x, r"^[*:.,]+|[*:.,]+$", ""))
     words = F.filter(words, lambda x: F.array_contains(scale, x))
     return F.coalesce(F.initcap(F.try_element_at(labelled, F.lit(1))), F.initcap(F.try_element_at(words, F.lit(1))), F.lit(default))
@@ -78,8 +97,27 @@ def signed_percent(value: Column) -> Column:
     return F.when(value.isNotNull(), F.format_string("%+.1f%%", value * 100))
 
 
+def signed_number(value: Column, places: int = 2) -> Column:
+    return F.format_string(f"%+.{places}f", value)
+
+
+def thousands(value: Column) -> Column:
+    """A whole number (half to even) with commas."""
+    return F.format_string("%,d", F.bround(value, 0).cast("long"))
+
+
+def whole_percent(share: Column) -> Column:
+    return F.concat(F.bround(share * 100, 0).cast("long").cast("string"), F.lit("%"))
+
+
+def points(change: Column) -> Column:
+    """A change of a share in percentage points; none of 0 or null."""
+    return F.when(change != 0, F.format_string("%+.1fpp", change * 100))
+
+
 def human_count(n: Column) -> Column:
-    return F.when(n >= 1000, F.format_string("%.1fk", n / 1000)).otherwise(n.cast("string"))
+    """Thousands with one place, half to even."""
+    return F.when(n >= 1000, F.format_string("%.1fk", F.bround(n / 1000, 1))).otherwise(n.cast("string"))
 
 
 def show(value: Column, kind: str) -> Column:
@@ -88,17 +126,18 @@ def show(value: Column, kind: str) -> Column:
     return F.coalesce(F.when(value.isNotNull(), text), F.lit("N/A"))
 
 
-def content_text(blocks: Column) -> Column:
-    """Texts of an array of typed blocks (structs of type and text), joined by one blank."""
-    return F.array_join(F.transform(F.filter(blocks, lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: F.trim(b["text"])), " ")
+def content_text(content: Column, joint: str = "\n") -> Column:
+    """A message's text: the content itself, or of a JSON array the strings and the texts of blocks of type text, joined; other blocks are left out."""
+    block = lambda b: F.when(b.startswith("{"), F.when(F.get_json_object(b, "$.type") == "text", F.get_json_object(b, "$.text"))).otherwise(b)
+    texts = F.filter(F.transform(F.from_json(content, "array<string>"), block), lambda t: F.coalesce(t, F.lit("")) != "")
+    return F.when(F.ltrim(content).startswith("["), F.coalesce(F.array_join(texts, joint), content)).otherwise(content)
 
 
 def classify_notice(message: Column) -> Column:
-    """What a vendor's notice means: rate limits are looked for before keys."""
+    """What a vendor's notice means. Rate limits are looked for before keys, since notices about limits name the key, too."""
     m = F.lower(message)
-    limit = m.contains("rate limit") | m.contains("call frequency") | m.contains("requests per") | m.contains("higher api call")
-    key = m.contains("api key") | m.contains("apikey")
-    return F.when(limit, "rate_limited").when(key, "not_configured").when(message.isNotNull(), "other")
+    some = lambda phrases: F.exists(F.array(*(F.lit(x) for x in phrases)), lambda x: F.contains(m, x))
+    return F.when(some(LIMIT_PHRASES), "rate_limited").when(some(KEY_PHRASES), "not_configured").when(message.isNotNull(), "other")
 
 
 def first_match(value: Column, exact: dict[str, str], patterns: dict[str, str], default: str) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..errors import NoData, StaleData
+
 #: Names that a date column may come under.
 DATE_NAMES = ("Date", "index", "Datetime", "date")
 STALE_DAYS = 10
@@ -19,6 +21,17 @@ def rename_date(df: DataFrame, to: str = "Date") -> DataFrame:
     return df.withColumnRenamed(found, to) if found else df
 
 
+def locate_dates(df: DataFrame) -> str | None:
+    """The column that holds the dates: one of the usual names, else the first of a date type, else the first text that can be read as dates."""
+    named = next((c for c in DATE_NAMES if c in df.columns), None)
+    typed = next((f.name for f in df.schema if f.dataType.typeName() in ("date", "timestamp", "timestamp_ntz")), None)
+    texts = [f.name for f in df.schema if f.dataType.typeName() == "string"]
+    if named or typed or not texts:
+        return named or typed
+    some = df.agg(*(F.count(F.col(c).try_cast("date")).alias(c) for c in texts)).first()
+    return next((c for c in texts if some[c]), None)
+
+
 def coerce(df: DataFrame, date: str = "date", close: str = "close", numbers: tuple[str, ...] = ("open", "high", "low", "volume")) -> DataFrame:
     """Dates and numbers by type; rows whose date or close is none are dropped, other numbers become null."""
     out = df.withColumn(date, F.col(date).try_cast("date"))
@@ -34,7 +47,28 @@ def as_of(df: DataFrame, date, column: str = "date") -> DataFrame:
 
 def between(df: DataFrame, start, end, column: str = "date") -> DataFrame:
     """Both ends included."""
-    return df.where(F.col(column).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    a, b = (x if isinstance(x, Column) else F.lit(x) for x in (start, end))
+    return df.where(F.col(column).between(a.cast("date"), b.cast("date")))
+
+
+def history(df: DataFrame, date, years: int = 5, today=None, column: str = "date") -> DataFrame:
+    """Rows known at the date, from so many years before today on (today: the date itself, unless given). Both bounds reach the scan."""
+    return between(df, F.add_months(F.lit(today or date).cast("date"), -12 * years), date, column)
+
+
+def require_rows(df: DataFrame, symbol: str, detail: str = "no rows") -> DataFrame:
+    """The rows; none are a typed answer of its own."""
+    if df.isEmpty():
+        raise NoData(symbol, detail=detail)
+    return df
+
+
+def require_fresh(df: DataFrame, date, symbol: str, most: int = STALE_DAYS, column: str = "date") -> DataFrame:
+    """The rows, unless the newest is more than ``most`` days older than the date. No rows are left to the caller."""
+    row = df.agg(F.max(column).alias("last"), F.datediff(F.lit(date).cast("date"), F.max(column)).alias("days")).first()
+    if row["days"] is not None and row["days"] > most:
+        raise StaleData(symbol, detail=f"the newest row is of {row['last']}, {row['days']} days before {date}")
+    return df
 
 
 def fill_gaps(df: DataFrame, columns: tuple[str, ...], by: tuple[str, ...] = ("symbol",), order: str = "date") -> DataFrame:

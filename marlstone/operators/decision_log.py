@@ -30,11 +30,14 @@ def append_pending(log: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def resolve(log: DataFrame, updates: DataFrame) -> DataFrame:
-    """Sets the outcome (raw, alpha, holding, reflection) of the first pending entry of each updated key; each update is used once."""
+    """Sets the outcome (raw, alpha, holding, reflection) of the first pending entry of each updated key; each update is used once.
+
+    Of several updates of a key the least by their values counts, in the order raw, alpha, holding, reflection.
+    """
     w = W.partitionBy(*KEY, "pending").orderBy("seq")
     rows = log.withColumn("_first", F.col("pending") & (F.row_number().over(w) == 1))
     new = [c for c in ("raw", "alpha", "holding", "reflection") if c in updates.columns]
-    once = updates.groupBy(*KEY).agg(F.first(F.struct(*(F.col(c).alias(f"_{c}") for c in new))).alias("_u"))
+    once = updates.groupBy(*KEY).agg(F.min(F.struct(*(F.col(c).alias(f"_{c}") for c in new))).alias("_u"))
     rows = rows.join(once, KEY, "left")
     hit = F.col("_first") & F.col("_u").isNotNull()
     rows = rows.withColumns({c: F.when(hit, F.col(f"_u._{c}")).otherwise(F.col(c)) for c in new})

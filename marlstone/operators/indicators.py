@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .timeseries import calendar_dense
+
 #: Rows of a block: at the slowest decay in use the weights inside stay within a factor of 10**8.
 BLOCK = 256
 
@@ -127,6 +129,8 @@ def atr(df: DataFrame, n: int = 14, by=("symbol",), order="date") -> DataFrame:
 
 #: Names that a caller may ask for.
 NAMES = ("close_50_sma", "close_200_sma", "close_10_ema", "macd", "macds", "macdh", "rsi", "boll", "boll_ub", "boll_lb", "atr", "vwma", "mfi")
+#: What each kind of source may be asked for.
+SERVED = {"computed": NAMES, "vendor": tuple(n for n in NAMES if n != "mfi")}
 #: The set of the verified snapshot.
 SNAPSHOT = tuple(n for n in NAMES if n not in ("vwma", "mfi"))
 _OPEN = re.compile(r"(open|high|low|close|volume)_(\d+)_(sma|ema)")
@@ -137,6 +141,39 @@ def parse_names(text: str) -> list[str]:
     return [n.strip().lower() for n in text.split(",") if n.strip()]
 
 
+def is_known(name: str, source: str = "computed") -> bool:
+    return name in SERVED[source] or (source == "computed" and bool(_OPEN.fullmatch(name)))
+
+
+def _errors(df: DataFrame, names: list[str]) -> DataFrame:
+    """One row for each unknown name: indicator, date, value, status, error."""
+    rows = [(n, f"unknown indicator {n}; known are {', '.join(NAMES)}") for n in names]
+    out = df.sparkSession.createDataFrame(rows, "indicator string, error string")
+    return out.select("indicator", F.lit(None).cast("date").alias("date"), F.lit(None).cast("double").alias("value"), F.lit("error").alias("status"), "error")
+
+
+def requested(bars: DataFrame, names: str, date, days: int = 30, source: str = "computed") -> DataFrame:
+    """indicator, date, value, status, error of one symbol's bars for every calendar day of the look-back. Names are separated by commas; an unknown one has a row with its error."""
+    wanted = list(dict.fromkeys(parse_names(names)))
+    known, unknown = [n for n in wanted if is_known(n, source)], [n for n in wanted if not is_known(n, source)]
+    out = _errors(bars, unknown)
+    if known:
+        values = long_form(with_indicators(bars, known), known)
+        dense = calendar_dense(values, "value", date, days, by=("indicator",))
+        out = dense.select("indicator", "date", "value", "status", F.lit(None).cast("string").alias("error")).unionByName(out)
+    return out
+
+
+def snapshot(bars: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
+    """symbol, indicator, date, value, error: the newest row of each symbol in long form. A name that is unknown has its error and leaves the others as they are."""
+    names = tuple(names or SNAPSHOT)
+    known = [n for n in names if is_known(n)]
+    wide = with_indicators(bars, known)
+    last = wide.groupBy("symbol").agg(F.max_by(F.struct("date", *known), "date").alias("_r")).select("symbol", "_r.*")
+    pairs = [F.struct(F.lit(n).alias("indicator"), (F.col(n) if n in known else F.lit(None)).cast("double").alias("value"), F.lit(None if n in known else f"unknown indicator {n}").cast("string").alias("error")) for n in names]
+    return last.select("symbol", "date", F.inline(F.array(*pairs)))
+
+
 def with_indicators(df: DataFrame, names: list[str] | tuple[str, ...], by=("symbol",), order="date") -> DataFrame:
     """Adds the named indicators, each family once. An unknown name is an error."""
     wanted = set(names)

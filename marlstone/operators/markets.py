@@ -19,7 +19,9 @@ def is_forward_looking(now, closed: str = "closed", end: str = "endDate", prices
     """Open, not past its end (an end that is no time doesn't count), with prices and outcomes."""
     ends = F.coalesce(F.try_to_timestamp(F.col(end)), F.try_to_timestamp(F.concat(F.col(end), F.lit("T00:00:00Z"))))
     past = F.coalesce(ends < F.lit(now).cast("timestamp"), F.lit(False))
-    return ~F.coalesce(F.col(closed), F.lit(False)) & ~past & (F.size(json_strings(F.col(prices))) > 0) & (F.size(json_strings(F.col(outcomes))) > 0)
+    # The cheap tests first: the lists are parsed only of markets that pass them.
+    listed = (F.size(json_strings(F.col(prices))) > 0) & (F.size(json_strings(F.col(outcomes))) > 0)
+    return F.when(~F.coalesce(F.col(closed), F.lit(False)) & ~past, listed).otherwise(False)
 
 
 def top_markets(markets: DataFrame, limit: int = 6, volume: str = "volumeNum", order: tuple[str, ...] = ("event_no", "market_no")) -> DataFrame:

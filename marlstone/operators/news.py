@@ -10,8 +10,8 @@ from ..functions.dates import from_epoch, parsed_instant
 from ..functions.text import one_line, strip_markup, truncate
 
 
-def flatten_articles(articles: DataFrame) -> DataFrame:
-    """title, summary, publisher, link, published of articles that come nested (under ``content``) or flat."""
+def flatten_articles(articles: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, title, summary, publisher, link, published of articles that come nested (under ``content``) or flat."""
     a, c = F.col, F.col("content")
     nested = c.isNotNull()
     link = F.coalesce(c["canonicalUrl"]["url"], c["clickThroughUrl"]["url"], F.lit(""))
@@ -24,26 +24,34 @@ def flatten_articles(articles: DataFrame) -> DataFrame:
             "_link": F.when(nested, link).otherwise(F.coalesce(a("link"), F.lit(""))),
             "_published": F.when(nested, parsed_instant(c["pubDate"])).otherwise(from_epoch(a("providerPublishTime"))),
         }
-    ).select(F.col("_title").alias("title"), F.col("_summary").alias("summary"), F.col("_publisher").alias("publisher"), F.col("_link").alias("link"), F.col("_published").alias("published"))
+    ).select(*keys, F.col("_title").alias("title"), F.col("_summary").alias("summary"), F.col("_publisher").alias("publisher"), F.col("_link").alias("link"), F.col("_published").alias("published"))
 
 
 def in_window(published: Column, start, end, live: bool = False) -> Column:
     """Published from the start to a day after the end, both included; undated articles only in a live window."""
-    first, last = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")
+    first, last = (x if isinstance(x, Column) else F.lit(x) for x in (start, end))
+    first, last = first.cast("timestamp_ntz"), last.cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")
     return F.when(published.isNotNull(), published.between(first, last)).otherwise(F.lit(live))
 
 
-def ordered_union(frames: list[DataFrame], order: Column | None = None) -> DataFrame:
-    """All rows of results of several queries with query_no and position in each."""
+def ordered_union(frames: list[DataFrame], order: list | None = None) -> DataFrame:
+    """All rows of results of several queries with query_no and position in each; without a column ``position``, the order gives it."""
     out = None
     for k, df in enumerate(frames):
         df = df.withColumn("query_no", F.lit(k))
         if "position" not in df.columns:
-            df = df.withColumn("position", F.row_number().over(W.partitionBy("query_no").orderBy(order if order is not None else F.monotonically_increasing_id())))
+            if not order:
+                raise ValueError("rows have no order by themselves: give a column position or an order")
+            df = df.withColumn("position", F.row_number().over(W.partitionBy("query_no").orderBy(*order)) - 1)
         out = df if out is None else out.unionByName(df)
     return out
 
 
+def ticker_news(articles: DataFrame, start, end, limit: int = 20, live: bool = False) -> DataFrame:
+    """Of the first ``limit`` articles by position, those in the window."""
+    return limit_then_filter(articles, ["position"], limit, in_window(F.col("published").cast("timestamp_ntz"), start, end, live))
+
+
 def keep_first(df: DataFrame, key: str, order: list) -> DataFrame:
     """One row for each key: the first in order. Rows with a null or empty key go. By one aggregate, so a common key costs a row for each task."""
     rest = [c for c in df.columns if c != key]

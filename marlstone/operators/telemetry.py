@@ -47,6 +47,16 @@ def stage_status(reports: DataFrame, stages: list[str], by: tuple[str, ...] = ("
     return reports.select(*by, F.inline(F.array(*out)))
 
 
+def progress(status: DataFrame, by: tuple[str, ...] = ("run",)) -> DataFrame:
+    """completed and stages of each run, from rows of stage_status."""
+    return status.groupBy(*by).agg(F.count_if(F.col("status") == "completed").alias("completed"), F.count(F.lit(1)).alias("stages"))
+
+
+def newest(messages: DataFrame, order: list[str], most: int = 100) -> DataFrame:
+    """The newest messages, as a buffer of bounded length keeps them."""
+    return messages.orderBy(*(F.col(c).desc() for c in order)).limit(most)
+
+
 def counters(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Calls, tool uses and tokens in and out (columns kind, tokens_in, tokens_out)."""
     return events.groupBy(*by).agg(

@@ -1,3 +1,3 @@
 """The queries; importing this package registers them."""
 
-from . import entities, market, records  # noqa: F401
+from . import answers, entities, market, records  # noqa: F401

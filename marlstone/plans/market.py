@@ -121,21 +121,23 @@ def atr_14(spark, sf_dir):
     return indicators.atr(line_bars(spark, sf_dir)).select("symbol", "date", *_r("atr"))
 
 
-def _snapshot(spark, sf_dir):
-    bars = cleaning.as_of(event_bars(spark, sf_dir), AS_OF)
-    return indicators.with_indicators(bars, ["close_50_sma", "boll", "boll_ub", "boll_lb", "close_10_ema"])
-
-
 _EVENTS_N = f"{BARS}, s AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM bars WHERE date <= DATE '{AS_OF}')"
 
 
-@query(f"""WITH {_EVENTS_N}, {_ewm_sql('s', 'close', '(2.0 / 11)', 'e')}, w AS (SELECT symbol, n, date, close, avg(close) OVER a AS s50, avg(close) OVER b AS m, stddev_samp(close) OVER b AS d FROM s
-    WINDOW a AS (PARTITION BY symbol ORDER BY date ROWS 49 PRECEDING), b AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING))
-    SELECT symbol, date, close, round(s50, 4) AS close_50_sma, round(m, 4) AS boll, round(m + 2 * d, 4) AS boll_ub, round(m - 2 * d, 4) AS boll_lb, round(e.v, 4) AS close_10_ema
-    FROM w JOIN e USING (symbol, n) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1""")
+@query(f"""WITH {_EVENTS_N}, p AS (SELECT *, coalesce(close - lag(close) OVER (PARTITION BY symbol ORDER BY n), 0) AS c, coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY n), close) AS prev FROM s),
+    d AS (SELECT symbol, n, greatest(c, 0) AS gain, greatest(-c, 0) AS loss, greatest(high - low, abs(high - prev), abs(low - prev)) AS tr FROM p),
+    {_ewm_sql('s', 'close', '(2.0 / 11)', 'e')}, {_ewm_sql('s', 'close', '(2.0 / 13)', 'f')}, {_ewm_sql('s', 'close', '(2.0 / 27)', 'g')}, m AS (SELECT f.symbol, f.n, f.v - g.v AS macd FROM f JOIN g USING (symbol, n)), {_ewm_sql('m', 'macd', '(2.0 / 10)', 'h')},
+    {_ewm_sql('d', 'gain', '(1.0 / 14)', 'u')}, {_ewm_sql('d', 'loss', '(1.0 / 14)', 'v')}, {_ewm_sql('d', 'tr', '(1.0 / 14)', 'a')},
+    w AS (SELECT symbol, n, date, close, avg(close) OVER x AS s50, avg(close) OVER z AS s200, avg(close) OVER y AS mid, stddev_samp(close) OVER y AS d FROM s
+    WINDOW x AS (PARTITION BY symbol ORDER BY date ROWS 49 PRECEDING), y AS (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING), z AS (PARTITION BY symbol ORDER BY date ROWS 199 PRECEDING))
+    SELECT symbol, date, close, round(s50, 4) AS close_50_sma, round(s200, 4) AS close_200_sma, round(e.v, 4) AS close_10_ema, round(macd, 4) AS macd, round(h.v, 4) AS macds, round(macd - h.v, 4) AS macdh, round(100 * u.v / nullif(u.v + v.v, 0), 4) AS rsi,
+    round(mid, 4) AS boll, round(mid + 2 * d, 4) AS boll_ub, round(mid - 2 * d, 4) AS boll_lb, round(a.v, 4) AS atr FROM w JOIN e USING (symbol, n) JOIN m USING (symbol, n) JOIN h USING (symbol, n) JOIN u USING (symbol, n) JOIN v USING (symbol, n) JOIN a USING (symbol, n)
+    QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1""")
 def verified_snapshot(spark, sf_dir):
-    names = ["close_50_sma", "boll", "boll_ub", "boll_lb", "close_10_ema"]
-    return cleaning.latest(_snapshot(spark, sf_dir).select("symbol", "date", "close", *names)).select("symbol", "date", "close", *_r(*names))
+    """All eleven indicators of the snapshot at the newest row of each symbol."""
+    names = list(indicators.SNAPSHOT)
+    bars = cleaning.as_of(event_bars(spark, sf_dir), AS_OF)
+    return cleaning.latest(indicators.with_indicators(bars, names).select("symbol", "date", "close", *names)).select("symbol", "date", "close", *_r(*names))
 
 
 @query(f"WITH {BARS} SELECT symbol, date, close FROM bars WHERE date <= DATE '{AS_OF}' QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) <= 30")
@@ -178,7 +180,7 @@ def forward_return(spark, sf_dir):
     return timeseries.forward_return(event_bars(spark, sf_dir), 5).select("symbol", "date", "close", F.round("fwd_return", 6).alias("fwd_return"))
 
 
-@query(f"""WITH {BARS}, bench AS (SELECT date, avg(close) AS close FROM bars GROUP BY date), k AS (SELECT symbol, date AS d FROM bars WHERE CAST(day(date) AS INT) % 6 = 0),
+@query(f"""WITH {BARS}, bench AS (SELECT date, avg(close) AS close FROM bars GROUP BY date), k AS (SELECT symbol, date AS d FROM bars),
     a AS (SELECT k.symbol, k.d, b.close, row_number() OVER (PARTITION BY k.symbol, k.d ORDER BY b.date) - 1 AS i, count(*) OVER (PARTITION BY k.symbol, k.d) AS n FROM k JOIN bars b ON b.symbol = k.symbol AND b.date BETWEEN k.d AND k.d + 11),
     c AS (SELECT k.d, b.close, row_number() OVER (PARTITION BY k.d ORDER BY b.date) - 1 AS i, count(*) OVER (PARTITION BY k.d) AS n FROM (SELECT DISTINCT d FROM k) k JOIN bench b ON b.date BETWEEN k.d AND k.d + 11),
     t AS (SELECT k.symbol, k.d, least(5, (SELECT max(n) FROM a WHERE a.symbol = k.symbol AND a.d = k.d) - 1, (SELECT max(n) FROM c WHERE c.d = k.d) - 1) AS h FROM k),
@@ -188,8 +190,7 @@ def forward_return(spark, sf_dir):
     LEFT JOIN c c0 ON c0.d = u.d AND c0.i = 0 LEFT JOIN c c1 ON c1.d = u.d AND c1.i = h""")
 def excess_return(spark, sf_dir):
     bars = event_bars(spark, sf_dir)
-    decisions = bars.where(F.dayofmonth("date") % 6 == 0).select("symbol", "date")
-    out = timeseries.holding_outcome(decisions, bars, average_bars(bars), rows=5)
+    out = timeseries.holding_outcome(bars.select("symbol", "date"), bars, average_bars(bars), rows=5)
     return out.select("symbol", "date", F.col("days").cast("int").alias("days"), F.round("raw", 6).alias("raw"), F.round("alpha", 6).alias("alpha"))
 
 
@@ -202,13 +203,13 @@ def as_of_lookup(spark, sf_dir):
 
 
 @query(f"""WITH {USERS}, one AS (SELECT symbol, date, close, 'primary' AS source, 0 AS p FROM users WHERE CAST(symbol AS BIGINT) % 3 = 0 AND date <= DATE '2024-01-10'),
-    two AS (SELECT symbol, date, close, 'backup' AS source, 1 AS p FROM users WHERE CAST(symbol AS BIGINT) % 2 = 0), u AS (SELECT * FROM one UNION ALL SELECT * FROM two)
+    two AS (SELECT symbol, date, close, 'backup' AS source, 1 AS p FROM users), u AS (SELECT * FROM one UNION ALL SELECT * FROM two)
     SELECT symbol, date, close, source FROM u WHERE p = (SELECT min(p) FROM u v WHERE v.symbol = u.symbol)""")
 def first_nonempty_source(spark, sf_dir):
     users = event_bars(spark, sf_dir, "user_id").select("symbol", "date", "close")
     n = F.col("symbol").cast("bigint")
     one = cleaning.as_of(users.where(n % 3 == 0), "2024-01-10")
-    return first_nonempty([("primary", one), ("backup", users.where(n % 2 == 0))], ["symbol"]).select("symbol", "date", "close", "source")
+    return first_nonempty([("primary", one), ("backup", users)], ["symbol"]).select("symbol", "date", "close", "source")
 
 
 @query(f"""WITH {LINES}, {'w AS (SELECT symbol, date, avg(close) OVER (PARTITION BY symbol ORDER BY date ROWS 49 PRECEDING) AS a, avg(close) OVER (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING) AS b FROM lines)'}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.dates import next_weekday
-from ..functions.text import ENTITIES, strip_markup, truncate
+from ..functions.text import strip_markup, truncate
 from ..operators import decision_log, news, telemetry
 from ..sources.tables import load
 from .registry import query
@@ -49,8 +49,9 @@ def sentiment_mix(spark, sf_dir):
 
 def _strip_sql(column: str) -> str:
     out = f"regexp_replace({column}, '<[^>]+>', ' ', 'g')"
-    for k, v in ENTITIES.items():
-        out = f"replace({out}, '{k}', '{v.replace(chr(39), chr(39) * 2)}')"
+    # Written out by itself, so that it shares nothing with what it is compared with: the references that the pages hold.
+    for k, v in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        out = f"replace({out}, '{k}', '{v}')"
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
 
@@ -68,24 +69,25 @@ def truncate_text(spark, sf_dir):
 def _log(spark, sf_dir):
     """Orders as a log: status O is pending; the customer is the symbol."""
     o = load(spark, sf_dir, "orders")
-    kept = o.where("o_orderkey % 10 < 8")
     pending = F.col("o_orderstatus") == "O"
     none = F.lit(None)
-    return kept.select(
+    return o.select(
         F.to_date("o_orderdate").cast("string").alias("date"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("symbol"), F.lit("Hold").alias("rating"), pending.alias("pending"),
         F.when(~pending, F.round("o_totalprice", 2)).alias("raw"), none.cast("double").alias("alpha"), none.cast("int").alias("holding"), F.col("o_orderpriority").alias("decision"), none.cast("string").alias("reflection"), F.col("o_orderkey").alias("seq"),
     )
 
 
 _LOG = """o AS (SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, 'C' || CAST(o_custkey AS VARCHAR) AS symbol, 'Hold' AS rating, o_orderstatus = 'O' AS pending, CASE WHEN o_orderstatus <> 'O' THEN round(o_totalprice, 2) END AS raw,
-    o_orderpriority AS decision, o_orderkey AS seq FROM orders), log AS (SELECT * FROM o WHERE seq % 10 < 8)"""
+    o_orderpriority AS decision, o_orderkey AS seq FROM orders), log AS (SELECT * FROM o)"""
 
 
-@query(f"""WITH {_LOG}, new AS (SELECT date, symbol, min(decision) AS decision FROM o WHERE seq % 10 >= 6 GROUP BY 1, 2), fresh AS (SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM log l WHERE l.pending AND l.date = n.date AND l.symbol = n.symbol))
+@query(f"""WITH {_LOG}, new AS (SELECT CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 2 AS INT) AS VARCHAR) AS date, 'C' || CAST(o_custkey AS VARCHAR) AS symbol, min(o_orderpriority) AS decision FROM orders GROUP BY 1, 2), fresh AS (SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM log l WHERE l.pending AND l.date = n.date AND l.symbol = n.symbol))
     SELECT date, symbol, pending, decision, seq FROM log UNION ALL SELECT date, symbol, true, decision, (SELECT max(seq) FROM log) + row_number() OVER (ORDER BY date, symbol) FROM fresh""")
 def log_upsert(spark, sf_dir):
-    o = load(spark, sf_dir, "orders").where("o_orderkey % 10 >= 6")
-    new = o.select(F.to_date("o_orderdate").cast("string").alias("date"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("symbol"), F.lit("Hold").alias("rating"), F.col("o_orderpriority").alias("decision"))
+    """A new entry for every order, half of them on the next day, so that some keys are pending and others are new."""
+    o = load(spark, sf_dir, "orders")
+    day = F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 2).cast("int"))
+    new = o.select(day.cast("string").alias("date"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("symbol"), F.lit("Hold").alias("rating"), F.col("o_orderpriority").alias("decision"))
     return decision_log.append_pending(_log(spark, sf_dir), new).select("date", "symbol", "pending", "decision", "seq")
 
 

@@ -6,11 +6,13 @@ An answer that is no JSON, or lacks the part, gives no rows.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import macro
-from ..operators import markets, news, statements
+from ..operators import cleaning, markets, news, statements
 
 ARTICLE = (
     "content struct<title:string,summary:string,provider:struct<displayName:string>,canonicalUrl:struct<url:string>,clickThroughUrl:struct<url:string>,pubDate:string>,"
@@ -82,13 +84,13 @@ def forum_search(df: DataFrame, column: str, keys: tuple[str, ...] = ()) -> Data
     return rows.select(*keys, "position", F.coalesce(d + "title", F.lit("")).alias("title"), d + "score", d + "num_comments", F.col(d + "created_utc").cast("long").alias("created_utc"), F.coalesce(d + "selftext", F.lit("")).alias("selftext"), F.lit("json").alias("source"))
 
 
-def statement_reports(df: DataFrame, column: str, date=None, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def statement_reports(df: DataFrame, column: str, at=None, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Line items of annual and quarterly reports that had ended at the date: keys, freq, period_end, line_item, value."""
     a = _parsed(df, column, REPORTS)
     out = None
     for freq, name in (("annual", "annualReports"), ("quarterly", "quarterlyReports")):
         rows = a.select(*keys, F.lit(freq).alias("freq"), F.col(f"_a.{name}").alias("reports"))
-        rows = statements.known_reports(rows, "reports", date) if date is not None else rows
+        rows = statements.known_reports(rows, "reports", at) if at is not None else rows
         rows = statements.report_rows(rows, "reports", (*keys, "freq"))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -104,3 +106,20 @@ def profile(df: DataFrame, column: str, keys: tuple[str, ...] = ("symbol",)) ->
 def insider_rows(df: DataFrame, column: str, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Transactions as maps: their fields are the vendor's own."""
     return df.select(*keys, F.posexplode(F.from_json(F.get_json_object(column, "$.data"), "array<map<string,string>>")).alias("position", "fields"))
+
+
+def insider_table(df: DataFrame, column: str, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """The same from the vendor whose answer is the list itself. An empty list is an answer without rows, and no error."""
+    return df.select(*keys, F.posexplode(F.from_json(column, "array<map<string,string>>")).alias("position", "fields"))
+
+
+def output_size(start, today) -> str:
+    """Which length of series to ask for: the compact one has the last hundred days."""
+    return "compact" if (date.fromisoformat(str(today)) - date.fromisoformat(str(start))).days < 100 else "full"
+
+
+def daily_csv(df: DataFrame, column: str, start, end, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Bars from CSV text with a header whose first column is the date, between the bounds; lines that are no bars go."""
+    lines = df.select(*keys, F.posexplode(F.split(F.col(column), r"\r?\n")).alias("_line", "_text")).where("_line > 0 AND trim(_text) <> ''")
+    bars = lines.select(*keys, F.from_csv("_text", "date string, open string, high string, low string, close string, volume string").alias("_r")).select(*keys, "_r.*")
+    return cleaning.between(cleaning.coerce(bars), start, end)

@@ -21,6 +21,17 @@ def csv_text(df: DataFrame, notes: dict[str, object] | None = None, order: list
     return out.getvalue()
 
 
+def heading(title: str, df: DataFrame) -> str:
+    """A heading that says how many rows follow."""
+    return f"## {title}\n\nTotal records: {df.count()}\n"
+
+
+def save_csv(df: DataFrame, path: str, notes: dict[str, object] | None = None, order: list | None = None) -> None:
+    """The CSV text of a result as one file."""
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(csv_text(df, notes, order))
+
+
 def markdown_table(df: DataFrame, order: list | None = None, limit: int | None = None) -> str:
     """A table in the order given; with a limit, the first rows and a note of how many there are."""
     rows = df.orderBy(*order) if order else df

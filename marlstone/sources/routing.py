@@ -64,7 +64,9 @@ class Router:
         return found
 
     def ask(self, method: str, *args, **kwargs) -> Answer:
-        """The first answer. If there is none: no_data if a source said so; unavailable for optional categories; else the first error."""
+        """The first answer. If there is none: no_data if a source said so; else the first error, for optional
+        categories as the status unavailable. Rate limits alone are an error in every category.
+        """
         no_data, error = None, None
         for source in self.chain(method):
             try:
@@ -77,9 +79,9 @@ class Router:
                 error = error or e
         if no_data is not None:
             return Answer("no_data", detail=str(no_data))
-        if category_of(method) in OPTIONAL:
-            return Answer("unavailable", detail=str(error or "all sources are rate limited"))
         if error is not None:
+            if category_of(method) in OPTIONAL:
+                return Answer("unavailable", detail=str(error))
             raise error
         raise RuntimeError(f"no source could serve {method!r}")
 
@@ -105,6 +107,15 @@ def with_backoff(call: Callable, retries: int = 3, base: float = 2.0, sleep: Cal
             sleep(base * 2**k)
 
 
+def retry_once(call: Callable, sleep: Callable = time.sleep):
+    """One more try after a rate limit, when the source says or after a few seconds; a second limit is raised."""
+    try:
+        return call()
+    except RateLimited as e:
+        sleep(retry_after(e.retry_after))
+        return call()
+
+
 def retry_after(header: str | None, default: float = 5.0, most: float = 30.0) -> float:
     """Seconds to wait as a header asks, held to a bound."""
     try:
@@ -136,4 +147,4 @@ def coerce_setting(text: str, like):
     return type(like)(text) if isinstance(like, (int, float)) else text
 
 
-__all__ = ["Answer", "NotConfigured", "Router", "category_of", "coerce_setting", "first_nonempty", "merge_config", "retry_after", "with_backoff"]
+__all__ = ["Answer", "NotConfigured", "Router", "category_of", "coerce_setting", "first_nonempty", "merge_config", "retry_after", "retry_once", "with_backoff"]

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.functions import dates, macro, symbols, text
+from marlstone.functions import dates, macro, render, symbols, text
 
 
 def values(spark, function, inputs, kind="string"):
@@ -45,6 +45,7 @@ def test_text(spark):
     assert values(spark, lambda c: text.show(c, "double"), [1.005, None], "double")[1] == "N/A"
     notices = ["Thank you; our rate limit is 25 requests per day with your API key", "the api key is invalid", "hello", None]
     assert values(spark, text.classify_notice, notices) == ["rate_limited", "not_configured", "other", None]
+    assert values(spark, text.classify_notice, ["a Premium endpoint", "higher api call volume", "25 requests per minute", "call frequency"]) == ["rate_limited", "other", "other", "rate_limited"]
 
 
 def test_dates(spark):
@@ -59,3 +60,43 @@ def test_dates(spark):
 def test_thread_key(spark, name, same):
     a, b = values(spark, lambda c: symbols.thread_key(c, F.lit("2026-01-15")), ["AAPL", name])
     assert (a == b) == same and len(a) == 16
+
+
+def test_references(spark):
+    given = ["it&#8217;s caf&eacute; &#x41;", "&amp;lt; &nbsp;x&hellip;&unknown;", "no &amp no;", "plain"]
+    assert values(spark, text.strip_markup, given) == ["it’s café A", "&lt; x…&unknown;", "no & no;", "plain"]
+
+
+def test_formats(spark):
+    assert values(spark, text.signed_percent, [0.042, -0.1, None], "double") == ["+4.2%", "-10.0%", None]
+    assert values(spark, text.signed_number, [0.3, -2.0], "double") == ["+0.30", "-2.00"]
+    assert values(spark, text.thousands, [1234567.5, 12.4], "double") == ["1,234,568", "12"]
+    assert values(spark, text.whole_percent, [0.76, 0.125], "double") == ["76%", "12%"]
+    assert values(spark, text.points, [-0.045, 0.0, None], "double") == ["-4.5pp", None, None]
+    assert values(spark, text.human_count, [1250, 1350], "long") == ["1.2k", "1.4k"]
+
+
+def test_contents(spark):
+    given = ["plain", '[{"type":"reasoning","text":"no"},{"type":"text","text":"one"},"two",{"type":"text","text":""}]', "[broken", None]
+    assert values(spark, text.content_text, given) == ["plain", "one\ntwo", "[broken", None]
+
+
+def test_strict_dates(spark):
+    assert values(spark, dates.strict_date, ["2025-01-31", "2025-1-5", None]) == [dt.date(2025, 1, 31), dt.date(2025, 1, 5), None]
+    for f, bad in ((dates.strict_date, "31.1.2025"), (dates.compact_from_text, "soon")):
+        with pytest.raises(Exception, match="date"):
+            values(spark, f, [bad])
+    assert values(spark, dates.compact_from_text, ["2025-05-05", "2025-05-05 10:07", "20250505T1010", None]) == ["20250505T0000", "20250505T1007", "20250505T1010", None]
+    assert values(spark, lambda c: dates.from_epoch_local(c, "America/New_York"), [1746403200], "long") == [dt.datetime(2025, 5, 4, 20)]
+
+
+def test_rendered_decisions(spark):
+    df = spark.createDataFrame([("Buy", "why", 189.5, None, "", 7.25, "HIGH")], "a string, r string, e double, s double, z string, x double, c string")
+    c = F.col
+    got = df.select(render.research_plan(c("a"), c("r"), c("r")), render.trader_proposal(c("a"), c("r"), c("e"), c("s"), c("z")), render.portfolio_decision(c("a"), c("r"), c("r"), c("s"), c("z")), render.sentiment_report(c("a"), c("x"), c("c"), c("r"))).first()
+    assert got[0] == "**Recommendation**: Buy\n\n**Rationale**: why\n\n**Strategic Actions**: why"
+    assert got[1] == "**Action**: Buy\n\n**Reasoning**: why\n\n**Entry Price**: 189.5\n\nFINAL TRANSACTION PROPOSAL: **BUY**"
+    assert got[2] == "**Rating**: Buy\n\n**Executive Summary**: why\n\n**Investment Thesis**: why"
+    assert got[3].split("\n") == ["**Overall Sentiment:** **Buy** (Score: 7.3/10)", "**Confidence:** High", "", "why"]
+    with pytest.raises(Exception, match="outside"):
+        df.select(render.in_range(c("e"), 0, 10)).collect()

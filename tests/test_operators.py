@@ -6,8 +6,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.errors import NoData, NotConfigured, RateLimited
-from marlstone.operators import cleaning, decision_log, indicators, markets, news, statements, telemetry, timeseries
+from marlstone import api
+from marlstone.errors import NoData, NotConfigured, RateLimited, StaleData
+from marlstone.functions import symbols
+from marlstone.operators import checkpoints, cleaning, decision_log, identity, indicators, markets, news, statements, telemetry, timeseries
 from marlstone.sources import files, routing
 
 D = dt.date
@@ -200,9 +202,20 @@ def test_csv(spark, tmp_path):
         files.read_price_csv(spark, str(path))
     with pytest.raises(NoData):
         files.write_price_csv(bars(spark).where("false"), str(tmp_path / "b"))
-    files.swap_in(bars(spark, 3), str(tmp_path / "t"))
-    files.swap_in(bars(spark, 4), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+    assert files.read_cache(spark, str(path)) is None and files.read_cache(spark, str(tmp_path / "none")) is None
+
+
+def test_swapped_tables(spark, tmp_path):
+    """Readers of the version before the last swap still find it; older ones are gone."""
+    where = str(tmp_path / "t")
+    with pytest.raises(NoData):
+        files.current(spark, where)
+    files.swap_in(bars(spark, 3), where)
+    first = files.current(spark, where)
+    files.swap_in(bars(spark, 4), where)
+    assert (first.count(), files.current(spark, where).count()) == (3, 4)
+    files.swap_in(bars(spark, 5), where)
+    assert files.current(spark, where).count() == 5 and len(list((tmp_path / "t").glob("v-*"))) == 2
 
 
 def failing(e):
@@ -238,9 +251,110 @@ def test_routing_settings():
         router.chain("get_news")
     router.register("get_macro_indicators", "m", failing(NotConfigured("k")))
     assert router.ask("get_macro_indicators").status == "unavailable"
+    router.register("get_macro_indicators", "m", failing(RateLimited()))
+    with pytest.raises(RuntimeError):
+        router.ask("get_macro_indicators")
     waits = []
     with pytest.raises(RateLimited):
         routing.with_backoff(failing(RateLimited()), sleep=waits.append)
     assert waits == [2, 4, 8] and routing.retry_after("99") == 30 and routing.retry_after(None) == 5
     assert routing.merge_config({"a": {"x": 1}, "b": 1}, {"a": {"y": 2}, "b": 2}) == {"a": {"x": 1, "y": 2}, "b": 2}
     assert routing.coerce_setting("yes", True) is True and routing.coerce_setting("3", 1) == 3
+
+
+def test_one_more_try():
+    waits, calls = [], iter([RateLimited("later", "7"), None])
+
+    def call():
+        e = next(calls)
+        if e:
+            raise e
+        return "done"
+
+    assert routing.retry_once(call, waits.append) == "done" and waits == [7]
+    with pytest.raises(RateLimited):
+        routing.retry_once(failing(RateLimited("later", "90")), waits.append)
+    assert waits == [7, 30]
+
+
+def test_updates_of_one_key(spark):
+    log = spark.createDataFrame([entry("2026-01-01", "A", True, 0)], LOG)
+    updates = spark.createDataFrame([("2026-01-01", "A", 0.2, 0.1, 5, "x"), ("2026-01-01", "A", 0.1, 0.3, 4, "y")] * 3, "date string, symbol string, raw double, alpha double, holding int, reflection string")
+    for n in (1, 5):
+        assert decision_log.resolve(log, updates.repartition(n)).first()["reflection"] == "y"
+
+
+def test_ordered_union(spark):
+    a, b = spark.createDataFrame([("x", 2), ("y", 1)], "title string, k int"), spark.createDataFrame([("z", 3)], "title string, k int")
+    got = [(r["query_no"], r["position"], r["title"]) for r in news.ordered_union([a, b], ["k"]).orderBy("query_no", "position").collect()]
+    assert got == [(0, 0, "y"), (0, 1, "x"), (1, 0, "z")]
+    with pytest.raises(ValueError, match="order"):
+        news.ordered_union([a, b])
+
+
+def test_old_rows_are_refused(spark):
+    df = spark.createDataFrame([("A", D(2026, 6, 2)), ("A", D(2019, 1, 1))], "symbol string, date date")
+    assert cleaning.require_fresh(df, "2026-06-12", "A") is df
+    with pytest.raises(StaleData, match="2026-06-02, 11 days"):
+        cleaning.require_fresh(df, "2026-06-13", "A")
+    with pytest.raises(NoData):
+        cleaning.require_rows(df.where("false"), "A")
+    assert cleaning.history(df, "2026-06-12").count() == 1 and cleaning.history(df, "2026-06-12", years=9).count() == 2
+
+
+def test_date_columns(spark):
+    made = lambda rows, schema: cleaning.locate_dates(spark.createDataFrame(rows, schema))
+    assert made([(1, "x")], "a int, Datetime string") == "Datetime" and made([(1, D(2026, 1, 1))], "a int, b date") == "b"
+    assert made([("x", "2026-01-01")], "a string, b string") == "b" and made([(1,)], "a int") is None
+
+
+def test_identity(spark):
+    profiles = spark.createDataFrame([("GC=F", "Gold", None, "n/a", None), ("B", " ", "Bee", "Tech", "X")], "symbol string, longName string, shortName string, sector string, exchange string")
+    asked = spark.createDataFrame([("XAUUSD+",), ("b",), ("zzz",)], "symbol string")
+    got = {r["symbol"]: r["identity"] for r in identity.with_identity(asked, profiles).collect()}
+    assert got == {"XAUUSD+": {"company_name": "Gold"}, "b": {"company_name": "Bee", "sector": "Tech", "exchange": "X"}, "zzz": {}}
+
+
+def test_checkpoints(spark):
+    store = spark.range(6).select(F.when(F.col("id") < 4, symbols.thread_key(F.lit("AAPL"), F.lit("2026-01-15"))).otherwise("other").alias("thread"), F.col("id").alias("step"))
+    assert checkpoints.latest_step(store, "aapl", "2026-01-15").first()["step"] == 3 and checkpoints.latest_step(store, "x", "2026-01-15").isEmpty()
+    assert checkpoints.clear(store, "AAPL", "2026-01-15").count() == 2 and checkpoints.clear(store).count() == 0
+
+
+def test_long_logs_are_read_in_many_tasks(spark, tmp_path):
+    text = "".join(f"[2026-01-01 | S{i} | Buy | pending]\n\nDECISION:\nfirst {i}\nRating: Buy\n\n{files.ENTRY_END}\n\n" for i in range(5000))
+    (tmp_path / "log.md").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        log = files.read_decision_log(spark, str(tmp_path / "log.md"))
+        rows, tasks = log.orderBy("seq").collect(), log.rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert tasks > 3 and [r["symbol"] for r in rows] == [f"S{i}" for i in range(5000)] and rows[7]["decision"] == "first 7\nRating: Buy"
+
+
+def test_requests(spark):
+    """The request API over small tables: typed answers, stale rows, unknown indicators, fallback to a second source."""
+    tables = {"bars": bars(spark, 36, "GC=F"), "insiders": spark.createDataFrame([("A", "x")], "symbol string, who string"), "series": spark.createDataFrame([("CPIAUCSL", D(2026, 5, 1), 4.1), ("CPIAUCSL", D(2026, 6, 1), None)], "series string, date date, value double")}
+    engine = api.Engine(tables)
+    assert set(engine.router.sources) == {m for methods in routing.CATEGORIES.values() for m in methods}
+    got = engine.get_stock_data("XAUUSD+", "2026-04-01", "2026-04-10")
+    assert got.status == "ok" and got.source == "tables" and got.value.count() == 8
+    assert engine.get_stock_data("ZZZ", "2026-04-01", "2026-04-10").status == "no_data"
+    stale = engine.get_stock_data("GOLD", "2026-04-01", "2027-04-10")
+    assert stale.status == "no_data" and "days before" in stale.detail
+    rows = engine.get_indicators("XAU", "RSI, magic,close_5_sma", "2026-05-13", 10).value.collect()
+    assert sorted({r["indicator"] for r in rows}) == ["close_5_sma", "magic", "rsi"] and [r["status"] for r in rows if r["indicator"] == "magic"] == ["error"]
+    assert sum(r["indicator"] == "rsi" and r["status"] == "ok" for r in rows) == 8 and sum(r["status"] == "non_trading" for r in rows) == 6
+    snap = {r["indicator"]: r for r in engine.get_verified_market_snapshot("XAU", "2026-05-16").collect()}
+    assert set(snap) == set(indicators.SNAPSHOT) and snap["rsi"]["value"] == 100 and snap["rsi"]["date"] == D(2026, 5, 15)
+    assert engine.get_insider_transactions("nobody").value.count() == 0 and engine.get_macro_indicators("cpi", "2026-06-11").value.count() == 1
+    assert engine.get_macro_indicators("gdp", "2026-06-11").status == "no_data" and engine.get_news("A", "2026-01-01", "2026-02-01").status == "no_data"
+    engine.router.register("get_news", "other", lambda *_: "served")
+    assert engine.get_news("A", "2026-01-01", "2026-02-01").source == "other"
+
+
+def test_snapshot_with_a_bad_name(spark):
+    got = {r["indicator"]: (r["value"], r["error"]) for r in indicators.snapshot(bars(spark), ("boll", "nope")).collect()}
+    assert got["boll"] == (pytest.approx(119.5), None) and got["nope"][0] is None and "nope" in got["nope"][1]
+    assert not indicators.is_known("mfi", "vendor") and indicators.is_known("vwma", "vendor")
