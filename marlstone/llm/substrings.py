@@ -50,7 +50,7 @@ class Settings:
     window: int = 20
     anchor: int = 6
     shard_words: int = 1 << 20
-    key_rows: int = 8192
+    key_rows: int = 1024
 
 
 def anchors(words: np.ndarray, first: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
