@@ -409,6 +409,60 @@ def test_every_occurrence_draws_for_itself(spark):
             assert (size == sizes).all() and (pool[pieces.ragged(at, size)] == want).all()
 
 
+def one_by_one(text: str, doc_id: int, sp, rate: float, seed: int) -> list[int]:
+    """Merge-dropout in plain Python numbers: the best candidate that its key doesn't skip, until there is none."""
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        h ^= h >> 30
+        h = h * 0xBF58476D1CE4E5B9 & mask
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB & mask
+        return h ^ h >> 31
+
+    keyed = lambda x, k: mix(mix(x + k & mask) * 0xD6E8FEB86659FD93 + 0x2545F4914F6CDD1D & mask)
+    prime = 0x9E3779B97F4A7C15 | 1
+    score = {sp.id_to_piece(i): (int(-sp.get_score(i)), i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+    whole, out, number, at = " " + text, [], 0, 0
+    while at < len(whole):
+        end = at + 1
+        while end < len(whole) and not (whole[end] == " " and whole[end - 1] != " " or "\n" in whole[end - 1 : end + 1]):
+            end += 1
+        word = whole[at:end]
+        run = mix(sum((ord(c) + 1) * pow(prime, i, 1 << 64) for i, c in enumerate(word)) + len(word) * 0xA0761D6478BD642F & mask)
+        key = mix(run + keyed(keyed(doc_id, seed + 2) + number & mask, seed) & mask)
+        cuts = list(range(len(word) + 1))
+        while True:
+            best = None
+            for i in range(len(cuts) - 2):
+                a, b, c = cuts[i : i + 3]
+                piece = word[a:c].replace(" ", "▁")
+                code = mix(a * 0x9FB21C651E98DF25 + b * 0xD6E8FEB86659FD93 + c & mask)
+                if piece in score and mix(key + code & mask) >> 11 >= int(rate * (1 << 53)):
+                    best = min(best or (9e9,), (score[piece][0], i))
+            if best is None:
+                break
+            del cuts[best[1] + 1]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            piece = word[a:b].replace(" ", "▁")
+            out += [score[piece][1]] if piece in score else [sp.piece_to_id(f"<0x{x:02X}>") for x in word[a:b].encode()]
+        number, at = number + 1, end
+    return out
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.5])
+def test_dropout_against_plain_python(spark, rate):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["The international organisation of straightforward documentation, again and again and again.", "Öffentlichkeit  und\nVerwaltung ☃ 日本語", " ".join(cases.words(60, 5)), "unbelievablycomplicatedwordsthatgoonandonwithoutanyblankinthemuntilthelineends x", "a", ""]
+    rows = [(7 * i + 3, t) for i, t in enumerate(texts)]
+    got = by_id(pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), path, pieces.Settings(dropout=rate), ("ids", "lossless")))
+    for i, t in rows:
+        assert got[i]["ids"] == (one_by_one(t, i, sp, rate, 29) if t else []) and got[i]["lossless"]
+
+
 @pytest.mark.parametrize("light", [1, 3, 24])
 @pytest.mark.parametrize("sided", [False, True])
 def test_linked_sets(light, sided):
