@@ -6,6 +6,7 @@ the values straight from the tables.
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..api import Engine
@@ -17,10 +18,11 @@ from .market import BARS, USERS
 from .records import _STATUS, _reports
 from .registry import query
 
-_NONE = F.lit(None).cast("string")
+def _none() -> Column:
+    return F.lit(None).cast("string")
 
 
-def _json(*fields) -> F.Column:
+def _json(*fields) -> Column:
     return F.to_json(F.struct(*fields))
 
 
@@ -30,8 +32,8 @@ def feed_articles(spark, sf_dir):
     d = load(spark, sf_dir, "documents")
     at = F.when(F.col("doc_id") % 7 == 0, "never").otherwise(F.concat(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 60).cast("int")), "yyyyMMdd"), F.lit("T101500")))
     fields = ("title", "summary", "source", "url", "time_published")
-    one = F.struct(*(v.alias(n) for n, v in zip(fields, (F.col("text"), _NONE, F.col("lang"), F.lit("u"), at), strict=True)))
-    two = F.struct(*(v.alias(n) for n, v in zip(fields, (F.lit("second"), _NONE, _NONE, _NONE, _NONE), strict=True)))
+    one = F.struct(*(v.alias(n) for n, v in zip(fields, (F.col("text"), _none(), F.col("lang"), F.lit("u"), at), strict=True)))
+    two = F.struct(*(v.alias(n) for n, v in zip(fields, (F.lit("second"), _none(), _none(), _none(), _none()), strict=True)))
     answers = d.select("doc_id", F.col("source").alias("symbol"), _json(F.array(one, two).alias("feed")).alias("answer"))
     return payloads.feed_articles(answers, "answer", ("doc_id", "symbol")).select("doc_id", "symbol", "position", "title", "publisher", "published")
 
@@ -41,7 +43,7 @@ def feed_articles(spark, sf_dir):
 def articles_nested_or_flat(spark, sf_dir):
     d, kind = load(spark, sf_dir, "documents"), F.col("doc_id") % 3
     nested = F.struct(
-        F.col("text").alias("title"), _NONE.alias("summary"), F.struct(F.when((kind == 0) & (F.col("lang") == "en"), None).otherwise(F.col("lang")).alias("displayName")).alias("provider"),
+        F.col("text").alias("title"), _none().alias("summary"), F.struct(F.when((kind == 0) & (F.col("lang") == "en"), None).otherwise(F.col("lang")).alias("displayName")).alias("provider"),
         F.struct(F.when(kind == 0, "a").alias("url")).alias("canonicalUrl"), F.struct(F.lit("b").alias("url")).alias("clickThroughUrl"), F.lit("2025-05-05T10:00:00+02:00").alias("pubDate"),
     )
     flat = kind == 2
@@ -56,7 +58,7 @@ def insider_transactions(spark, sf_dir):
     """Both vendors' shapes; every fourth list is empty and gives no rows."""
     o = load(spark, sf_dir, "orders")
     row = lambda value, kind: F.struct(value.alias("value"), kind.alias("kind"))
-    rows = F.when(F.col("o_orderkey") % 4 == 0, F.array().cast("array<struct<value:string,kind:string>>")).otherwise(F.array(row(F.col("o_totalprice").cast("string"), F.col("o_orderstatus")), row(_NONE, F.lit("second"))))
+    rows = F.when(F.col("o_orderkey") % 4 == 0, F.array().cast("array<struct<value:string,kind:string>>")).otherwise(F.array(row(F.col("o_totalprice").cast("string"), F.col("o_orderstatus")), row(_none(), F.lit("second"))))
     listed = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("symbol"), F.to_json(rows).alias("answer"))
     inside = o.where("o_orderkey % 2 <> 0").select(F.col("o_orderkey").alias("symbol"), _json(rows.alias("data")).alias("answer"))
     out = payloads.insider_table(listed, "answer").unionByName(payloads.insider_rows(inside, "answer"))
