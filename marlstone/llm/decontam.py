@@ -242,21 +242,28 @@ def _joined(documents: DataFrame, items: DataFrame, size: int, s: Settings) -> D
     a = docs.select("row", "text").mapInArrow(*seeds(runs, False)).withColumnRenamed("id", "doc_row")
     b = items.select("row", "text").mapInArrow(*seeds(tuple(range(1, least)), True)).withColumnRenamed("id", "item_row")
     pairs = a.join(b, "h").select("doc_row", "item_row").distinct()
-    rows = pairs.join(docs, pairs["doc_row"] == docs["row"]).drop("row").join(items.withColumnRenamed("text", "item"), pairs["item_row"] == items["row"])
+    # A document goes to its candidates once for each chunk of the benchmark, which is as large as a broadcast one may be.
+    chunk = F.pmod("item_row", F.lit(-(-size // max(1, s.broadcast_bytes))))
+    some = pairs.join(items, pairs["item_row"] == items["row"]).groupBy("doc_row", chunk).agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    rows = some.join(docs, some["doc_row"] == docs["row"]).select("doc_id", "text", "items")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for d, text, i, item in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                index = Index([0], [item], s)
+            for d, text, some in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                index = Index(list(range(len(some))), [x["text"] for x in some], s)
                 for _, _, buf, offsets in slices(pa.RecordBatch.from_pydict({"text": [text]}), "text", lower=True):
-                    out += [(d, i, *f[2:]) for f in find(*word_hashes(buf, offsets), index, s)]
+                    out += [(d, some[f[1]]["item_id"], *f[2:]) for f in find(*word_hashes(buf, offsets), index, s)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 6)], names=["doc_id", "item_id", "first_word", "n_words", "n_equal", "n_hits"])
 
-    return rows.select("doc_id", "text", "item_id", "item").mapInArrow(check, _SCHEMA)
+    return rows.mapInArrow(check, _SCHEMA)
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row for each contaminated doc_id: its items, and the longest overlap in equal words."""
+    """One row for each contaminated doc_id: its items, and the longest overlap in equal words.
+
+    Rows with the same doc_id are counted together, those with a null doc_id as one, too (``overlaps`` has them
+    apart); a null item_id is not among the items. Without documents or items there is no row.
+    """
     found = overlaps(documents, benchmark, settings)
     return found.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("n_equal").alias("most_equal"), F.max("n_words").alias("most_words"), F.sum("n_hits").alias("n_hits"))

@@ -242,11 +242,86 @@ def test_decontamination(spark, docs):
     extra = spark.createDataFrame([(101, " ".join(cases.words(60, 30) + swapped + cases.words(9, 31))), (102, "Here: TINY, but exact passage!"), (103, " ".join(item[:9])), (104, " ".join(item).upper())], "doc_id long, text string")
     rows = docs.select("doc_id", "text").unionByName(extra)
     assert {r["doc_id"]: r["item_ids"] for r in decontam.contaminated(rows, bench).collect()} == {101: [1], 102: [4], 104: [1]}
-    big = decontam.Settings(broadcast_bytes=0)
-    assert {r["doc_id"] for r in decontam.contaminated(rows, bench, big).collect()} == {101, 104, 102}
     assert decontam.contaminated(docs.where("false"), bench).count() == 0 and decontam.contaminated(docs, bench.where("false")).count() == 0
 
 
+def brute_overlaps(doc: list[str], item: list[str], s) -> tuple[int, int, int] | None:
+    """(equal words, words, seed hits) of the best overlap; every seed hit is extended, word by word."""
+    masks = [m for m in s.masks if len(m) <= len(item)] if len(item) >= min(map(len, s.masks)) else ["1" * len(item)]
+    hits = [(a, p) for m in masks for a in range(len(doc) - len(m) + 1) for p in range(len(item) - len(m) + 1) if all(c == "0" or doc[a + j] == item[p + j] for j, c in enumerate(m))]
+
+    def reach(a, p, step):
+        score = best = length = n = 0
+        while 0 <= a < len(doc) and 0 <= p < len(item):
+            score += 1 if doc[a] == item[p] else -3
+            n += 1
+            if score > best:
+                best, length = score, n
+            if max(best, 1 if doc[a] == item[p] and n == 1 else best) - score > s.drop:
+                break
+            a, p = a + step, p + step
+        return length
+
+    best = None
+    for a, p in hits:
+        back, ahead = reach(a - 1, p - 1, -1), reach(a, p, 1)
+        same = sum(doc[a + k] == item[p + k] for k in range(-back, ahead))
+        need = min(s.least_words, max(1, int(np.ceil(s.short_share * len(item)))))
+        if back + ahead >= need and same >= s.agree * (back + ahead):
+            best = max(best or (0, 0), (same, back + ahead))
+    return best and (*best, len(hits))
+
+
+def test_decontamination_against_brute_force(spark):
+    """Items with words replaced, of all lengths, in documents with null and repeated ids; a broadcast and a joined benchmark."""
+    import random
+
+    r, s = random.Random(12), decontam.Settings()
+    items = [(i, " ".join(cases.words(r.choice((4, 7, 9, 14, 30, 60)), 800 + i))) for i in range(25)] + [(None, " ".join(cases.words(20, 899))), (3, " ".join(cases.words(18, 898))), (99, None), (98, "")]
+    rows = [(1, None), (2, ""), (None, " ".join(cases.words(20, 899)))]
+    for k in range(90):
+        part = r.choice(items[:27])[1].split()
+        for _ in range(r.randint(0, 5)):
+            part[r.randrange(len(part))] = "other"
+        cut = r.randint(0, len(part) // 2)
+        rows.append((k % 50, ", ".join(cases.words(r.randint(0, 30), 1000 + k) + part[cut:] + cases.words(r.randint(0, 9), 2000 + k))))
+    rows.append(rows[-1])
+    want = []
+    for d, text in rows:
+        for i, item in items:
+            w, x = (re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", cases.lower(t or "")) for t in (text, item))
+            found = brute_overlaps(w, x, s) if w and x else None
+            if found:
+                want.append((d, i, *found))
+    assert len(want) > 30
+    df, bench = (spark.createDataFrame(x, f"{c} long, text string") for x, c in ((rows, "doc_id"), (items, "item_id")))
+    for settings in (s, decontam.Settings(broadcast_bytes=0), decontam.Settings(broadcast_bytes=900)):
+        got = decontam.overlaps(df, bench, settings).collect()
+        assert sorted(((x["doc_id"], x["item_id"], x["n_equal"], x["n_words"], x["n_hits"]) for x in got), key=repr) == sorted(want, key=repr)
+    ids = {x["doc_id"]: x["item_ids"] for x in decontam.contaminated(df, bench).collect()}
+    assert ids == {d: sorted({i for e, i, *_ in want if e == d and i is not None}) for d in {w[0] for w in want}}
+
+
+def test_rows_without_an_id_and_repeated_ones(spark):
+    """Each row is judged by its own text, and comes out as often as it goes in."""
+    text, other = "All rights reserved. " + " ".join(cases.words(30, 61)), " ".join(cases.words(30, 62))
+    rows = [(None, text), (None, other), (4, text), (4, text), (4, other), (None, None)]
+    df = spark.createDataFrame([(i, t, None) for i, t in rows], "doc_id long, text string, source string")
+    ids = sorted((repr(i) for i, _ in rows))
+    found = licenses.scan(df).collect()
+    assert sorted(repr(r["doc_id"]) for r in found) == ids and sorted((repr(r["doc_id"]), r["n_base"]) for r in found) == sorted((repr(i), int(t == text)) for i, t in rows)
+    dealt = sharding.shard_documents(df).collect()
+    assert sorted((repr(r["doc_id"]), r["text_crc32"]) for r in dealt) == sorted((repr(i), cases.crc(t)) for i, t in rows) and all(r["slot"] == 0 for r in dealt)
+    assert len({r["shard"] for r in dealt}) == len(rows)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(9)], "doc_id long, quality int, toxic int")
+    scored = quality.classify(df, labels).collect()
+    assert sorted(repr(r["doc_id"]) for r in scored) == ids and not any(r["held_out"] for r in scored if r["doc_id"] is None) and len({r["score"] for r in scored}) <= 3
+    path = P.path("piece_bpe_32k.model")
+    encoded = pieces.encode(df, path, pieces.Settings(), ("ids", "lossless", "decoded_crc32")).collect()
+    assert sorted((repr(r["doc_id"]), r["decoded_crc32"]) for r in encoded) == sorted((repr(i), cases.crc(t)) for i, t in rows) and all(r["lossless"] for r in encoded)
+    assert len({tuple(r["ids"]) for r in encoded if r["doc_id"] == 4}) == 2
+
+
 def test_masks_take_one_substitution():
     for size in (13, 14, 20):
         for bad in range(size):

@@ -1,6 +1,7 @@
 """The pipeline, and each stage against plain Python."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marlstone.llm.storage import Scratch
@@ -40,12 +41,29 @@ def test_stages(spark):
 
 
 def test_odd_rows(spark):
-    """Nulls, empty texts and repeated rows go through every stage."""
+    """Nulls, empty texts, repeated rows and columns with clashing names, in every stage by itself."""
     pytest.importorskip("public_tokenizers")
-    docs = cases.frame(spark, extra=False)
-    for _, stage in corpus_pipeline.STAGES[1:]:
-        docs = stage(spark, docs, FOLDER).cache()
-        assert docs.count() > 0
+    texts = dict(enumerate(cases.odd_texts()))
+    docs = cases.frame(spark)
+    docs = docs.unionByName(docs.where("doc_id IN (2, 4, 10)")).unionByName(docs.where("doc_id = 14").withColumn("doc_id", F.lit(None).cast("long"))).cache()
+    often = {i: 1 + (i in (2, 4, 10)) for i in texts}
+
+    def ids(df):
+        assert set(corpus_pipeline.COLUMNS) >= set(df.columns) or "ids" in df.columns
+        return sorted((r["doc_id"] for r in df.collect()), key=repr)
+
+    def want(kept):
+        return sorted((i for i in kept for _ in range(often.get(i, 1))), key=repr)
+
+    accepted = corpus_pipeline.keep_quality(spark, docs, FOLDER)
+    assert ids(accepted) == want({r["doc_id"] for r in accepted.collect()})
+    groups = cases.near_duplicates(texts, 5, 80)
+    assert ids(corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)) == want([*(i for i, c in groups.items() if i == c), None])
+    left = {i for i, (w, gone) in cases.kept_words(texts).items() if not w or not all(gone)}
+    assert ids(corpus_pipeline.cut_repeated_passages(spark, docs, FOLDER)) == want(left)  # the row without an id comes last, and all of it stands in 14
+    assert ids(corpus_pipeline.drop_benchmark_leaks(spark, docs, FOLDER)) == want([*texts, None])
+    encoded = corpus_pipeline.encode_pieces(spark, docs, FOLDER)
+    assert ids(encoded) == want([*texts, None]) and all(r["lossless"] for r in encoded.collect())
     empty = cases.frame(spark, extra=False).where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, FOLDER).count() == 0
