@@ -30,13 +30,21 @@ def _without(docs: DataFrame, gone: DataFrame, name: str, key: str = "doc_id") -
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    Each row is judged by its own text, a null one as empty, so repeated rows share their fate and a null doc_id
+    changes nothing. Without usable labels every row stays; an empty table gives an empty table.
+    """
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model).where("predicted = 1").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest doc_id."""
+    """One document of each group: that with the smallest doc_id.
+
+    Texts without words, null ones and rows with a null doc_id stay. Repeated rows are one document and stay or go
+    together. An empty table gives an empty table.
+    """
     found = neardup.near_duplicates(docs, neardup.Settings(words=5, percent=80))
     return _without(docs, found.where("NOT kept"), "duplicates")
 
@@ -44,7 +52,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of windows that start earlier in the corpus; those with no words left go.
 
-    A text that loses no word stays as it is; another one becomes its kept words, joined by one blank.
+    A text that loses no word stays as it is, but for a null one, which becomes empty; another one becomes its kept words,
+    joined by one blank. Repeated rows don't take words from one another; rows with a null doc_id come after all others. An
+    empty table gives an empty table.
     """
     found = substrings.remove_repeats(docs, carry=("lang", "source", "n_chars"))
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))
@@ -53,14 +63,21 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't overlap with a benchmark item, each row by itself: rows without a doc_id, too."""
+    """Documents that don't overlap with a benchmark item, each row by itself: rows without a doc_id, too.
+
+    Null and empty texts stay, repeated rows stay or go together; an empty table, or one without benchmark items, stays as it is.
+    """
     rows = docs.select(F.expr(_ROW).alias("doc_id"), "text")
     found = decontam.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, found, "leaks", _ROW)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with their checksum and whether they decode to its text."""
+    """Token ids of every document, with their checksum and whether they decode to its text.
+
+    A null text counts as empty and has no ids; repeated rows have equal ids, a null doc_id counts as 0. An empty table
+    gives an empty table.
+    """
     import public_tokenizers
 
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), pieces.Settings(), ("ids", "n_tokens", "ids_crc32", "lossless"))
