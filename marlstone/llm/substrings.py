@@ -43,13 +43,14 @@ _REMEMBERED = 1 << 19
 
 @dataclass(frozen=True)
 class Settings:
-    """window: in words (17 to 32). anchor: words of an anchor. shard_words: of an index, about. key_rows: occurrences of a key
+    """window: in words (17 to 32). anchor: words of an anchor. shard_words: of an index, about: some 2 MB of text, as the slices of other
+    steps, so that a worker needs no more memory for an index than for them. key_rows: occurrences of a key
     above which it is replaced by longer ones.
     """
 
     window: int = 20
     anchor: int = 6
-    shard_words: int = 1 << 20
+    shard_words: int = 1 << 18
     key_rows: int = 8192
 
 
