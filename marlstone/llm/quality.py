@@ -34,7 +34,7 @@ class Settings:
 
     dictionary_docs: int = 1200  #: labelled documents of each class for its dictionary, at most
     calibration_docs: int = 2500  #: further ones of each class for the calibration, at most
-    longest_sample: int = 16 << 10  #: labelled texts of more bytes are not used for the dictionaries (so at most 40 MB come to the driver)
+    longest_sample: int = 16 << 10  #: bytes of one labelled text for the dictionaries; a longer one gives so many in blocks spread evenly over it (so at most 40 MB come to the driver)
     dictionary_bytes: int = 96 << 10
     block_bytes: int = 2048
     level: int = 1
@@ -163,8 +163,13 @@ def _chosen(documents: DataFrame, ids: list[int]) -> DataFrame:
 
 
 def _texts(documents: DataFrame, ids: list[int], settings: Settings) -> list[bytes]:
-    rows = _chosen(documents, ids).where(F.octet_length("text") <= settings.longest_sample).collect()
-    return [r["text"].encode() for r in sorted(rows, key=lambda r: (zlib.crc32(b"%d" % r["doc_id"]), r["doc_id"], r["text"]))]
+    """The texts for a dictionary; of a long one blocks from its start to its end, cut out on the executors."""
+    n, block = settings.longest_sample // settings.block_bytes, settings.block_bytes
+    spread = f"transform(sequence(0, {n - 1}), i -> substring(data, cast(1 + cast(i as bigint) * (octet_length(data) - {block}) div {max(n - 1, 1)} as int), {block}))"
+    rows = _chosen(documents, ids).select("doc_id", F.col("text").cast("binary").alias("data"))
+    rows = rows.select("doc_id", F.expr(f"CASE WHEN octet_length(data) <= {settings.longest_sample} THEN array(data) ELSE {spread} END").alias("parts")).collect()
+    found = [(r["doc_id"], b"".join(r["parts"])) for r in rows]
+    return [t for _, t in sorted(found, key=lambda x: (zlib.crc32(b"%d" % x[0]), *x))]
 
 
 def _measured(documents: DataFrame, good: bytes, bad: bytes, of: dict[int, int], settings: Settings) -> list[tuple]:

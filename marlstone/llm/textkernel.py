@@ -27,20 +27,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 SLICE_BYTES = 2 << 20
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
-_tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for i, base in enumerate((_P, _P_INV)):
-            t = np.full(size, base, np.uint64)
-            t[0] = 1
-            np.cumprod(t, out=t)
-            _tables[i] = t
-    return _tables[0][:n], _tables[1]
+#: Places of a span that have a key in the table; further ones have theirs computed.
+_PLACES = 1 << 14
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -60,6 +48,9 @@ def keyed(x: np.ndarray | int, seed: int) -> np.ndarray:
         return mix(mix(x + np.uint64(seed % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x2545F4914F6CDD1D))
 
 
+_TABLE = keyed(np.arange(_PLACES + 1), 0x5EED)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, lower: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) for runs of rows of at most ``most`` bytes, or of one row. Null is empty.
 
@@ -95,16 +86,26 @@ def spans(buf: np.ndarray, offsets: np.ndarray, ends_word: np.ndarray) -> tuple[
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+def _place_keys(places: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each place in a span."""
+    out = _TABLE[np.minimum(places, _PLACES)]
+    far = np.flatnonzero(places >= _PLACES)
+    out[far] = keyed(places[far], 0x5EED)
+    return out
+
+
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from one running polynomial sum over the buffer."""
+    """A 64-bit hash of each byte span (in order, none within another): the sum of its bytes, each times a key of its place.
+
+    The keys have no relation to one another as the powers of a base have, so no pattern of letters cancels out.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(buf))
+    places = np.arange(len(buf)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(buf)]])))
     with np.errstate(over="ignore"):
         total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-        h = (total[ends] - total[starts]) * down[starts]
-        return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _place_keys(places), out=total[1:])
+        return mix(total[ends] - total[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:

@@ -496,7 +496,6 @@ def one_by_one(text: str, doc_id: int, sp, rate: float, seed: int) -> list[int]:
         return h ^ h >> 31
 
     keyed = lambda x, k: mix(mix(x + k & mask) * 0xD6E8FEB86659FD93 + 0x2545F4914F6CDD1D & mask)
-    prime = 0x9E3779B97F4A7C15 | 1
     score = {sp.id_to_piece(i): (int(-sp.get_score(i)), i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
     whole, out, number, at = " " + text, [], 0, 0
     while at < len(whole):
@@ -504,7 +503,7 @@ def one_by_one(text: str, doc_id: int, sp, rate: float, seed: int) -> list[int]:
         while end < len(whole) and not (whole[end] == " " and whole[end - 1] != " " or "\n" in whole[end - 1 : end + 1]):
             end += 1
         word = whole[at:end]
-        run = mix(sum((ord(c) + 1) * pow(prime, i, 1 << 64) for i, c in enumerate(word)) + len(word) * 0xA0761D6478BD642F & mask)
+        run = mix(sum((ord(c) + 1) * keyed(i, 0x5EED) for i, c in enumerate(word)) + len(word) * 0xA0761D6478BD642F & mask)
         key = mix(run + keyed(keyed(doc_id, seed + 2) + number & mask, seed) & mask)
         cuts = list(range(len(word) + 1))
         while True:
@@ -558,3 +557,31 @@ def test_linked_sets(light, sided):
     want = cases.component_ids(list(range(90)), link)
     e = neardup.linked(sets, side, 85, block=16, columns=32, light=light)
     assert cases.component_ids(list(range(90)), lambda a, b: bool(((e[0] == a) & (e[1] == b) | (e[0] == b) & (e[1] == a)).any())) == want
+
+
+def test_a_class_of_long_texts_only(spark):
+    """Labelled texts beyond the bound of a sample are learnt from in blocks, never left out."""
+    long = [" ".join(cases.words(7000, 100 + i)) for i in range(60)]
+    short = ["$$$ ### buy now *** " * (3 + i % 5) for i in range(60)]
+    assert min(map(len, long)) > quality.Settings().longest_sample
+    docs = spark.createDataFrame(list(enumerate(long + short)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, quality int")
+    got = by_id(quality.classify(docs, labels))
+    assert sum(got[i]["predicted"] == int(i < 60) for i in range(120)) >= 114
+
+
+def test_words_of_a_regular_pattern_are_told_apart(spark):
+    """The two words that a polynomial modulo 2^64 can't tell apart: a sequence of two letters and the one with both exchanged."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    pairs = [("".join(a[b] for b in bits), "".join(a[1 - b] for b in bits)) for a in ("ab", "xy", "01")]
+    texts = [w for p in pairs for w in p]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(r["kept"] for r in neardup.near_duplicates(df).collect())
+    cache = tokenfile.byte_bpe_cache(P.path("byte_bpe_50k.json"))
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for t in texts:
+        ids, _ = cache.ids(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    assert all(r["lossless"] for r in pieces.encode(df, P.path("piece_bpe_32k.model"), pieces.Settings(dropout=0.0), ("lossless",)).collect())
