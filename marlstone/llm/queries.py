@@ -95,6 +95,26 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), Settings(seed=29, dropout=0.1), columns)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import alignment
+
+    return alignment(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact import exact_duplicates
+
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embeddings": op1_embeddings,
@@ -107,6 +127,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_quality": op9_quality,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_alignment": op11_alignment,
+        "op12_divergence": op12_divergence,
+        "op13_exact": op13_exact,
         "planted_vector_links": planted_vector_links,
     }
 
@@ -140,6 +163,25 @@ OP10_SQL = r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''),
     SELECT w.doc_id, len(w.w) AS n_words, len(w.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
 
 
+#: Every group's count of every kept term, zeros included, in whole numbers.
+OP12_SQL = r"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    o AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM t GROUP BY 1, 2, 3), k AS MATERIALIZED (SELECT lang, term FROM o GROUP BY 1, 2 HAVING sum(docs) >= 30),
+    v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1), g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+    c AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(o.n, 0)::HUGEINT AS c FROM g JOIN k ON k.lang = g.lang LEFT JOIN o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+    n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY 1, 2), nl AS (SELECT lang, sum(n) AS n FROM n GROUP BY 1),
+    p AS MATERIALIZED (SELECT c.lang, c.source, c.term, c.c, 1 + (1000000000 * (c.c + 5)) // (n.n + 5 * v.v) AS p FROM c JOIN n ON n.lang = c.lang AND n.source = c.source JOIN v ON v.lang = c.lang),
+    q AS (SELECT c.lang, c.term, 1 + (1000000000 * (sum(c.c) + 5)) // (any_value(nl.n) + 5 * any_value(v.v)) AS q FROM c JOIN nl ON nl.lang = c.lang JOIN v ON v.lang = c.lang GROUP BY 1, 2),
+    f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY 1, 2, 4
+    UNION ALL SELECT a.lang, a.source, 'pair', b.source, 0 FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source WHERE a.lang NOT IN (SELECT lang FROM v)
+    UNION ALL SELECT p.lang, p.source, 'term', p.term, p - q FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.c > 0 AND p > q)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM f QUALIFY part = 'pair' OR rank <= 50"""
+
+#: Equal texts as groups of a window.
+OP13_SQL = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL counterparts where SQL can express a query and runs over whole tables; the others are tested against plain Python."""
-    return {"op1_embeddings": OP1_SQL, "planted_vector_links": PLANTED_SQL, "op7_minhash": OP7_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op1_embeddings": OP1_SQL, "planted_vector_links": PLANTED_SQL, "op7_minhash": OP7_SQL, "op10_substring_dedup": OP10_SQL, "op12_divergence": OP12_SQL, "op13_exact": OP13_SQL}

@@ -28,6 +28,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
+    @classmethod
+    def at(cls, spark: SparkSession, path: str) -> Scratch:
+        """A folder that is there already."""
+        found = cls.__new__(cls)
+        found.spark, found.path = spark, path
+        return found
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Writes ``df`` as a table and returns it as read from there: its lineage ends here."""
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
