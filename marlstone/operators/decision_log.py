@@ -13,17 +13,23 @@ from pyspark.sql import functions as F
 KEY = ["date", "symbol"]
 
 
-def append_pending(log: DataFrame, new: DataFrame) -> DataFrame:
-    """Adds pending entries (date, symbol, rating, decision) whose key is not pending yet; of several with one key the first by decision stays."""
+def append_pending(log: DataFrame, new: DataFrame, last: int | None = None) -> DataFrame:
+    """Adds pending entries (date, symbol, rating, decision) whose key is not pending yet; of several with one key the first by decision stays.
+
+    They are numbered from the greatest seq of the log on, or from ``last`` if that is known.
+    """
     open_keys = log.where("pending").select(*KEY).distinct()
     fresh = new.groupBy(*KEY).agg(F.min(F.struct("decision", "rating")).alias("_r")).select(*KEY, "_r.rating", "_r.decision").join(open_keys, KEY, "left_anti")
-    last = log.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_last"))
     # Numbers in order of the keys: ranks within a date, after the counts of earlier dates (one row for each date).
     before = fresh.groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
     before = before.select("date", F.coalesce(F.sum("_n").over(W.orderBy("date").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     fresh = fresh.withColumn("_rank", F.row_number().over(W.partitionBy("date").orderBy("symbol"))).join(before, "date")
     kinds = {f.name: f.dataType for f in log.schema}
-    numbered = fresh.crossJoin(F.broadcast(last)).withColumn("seq", F.col("_last") + F.col("_before") + F.col("_rank"))  # last: one row
+    if last is None:
+        fresh = fresh.crossJoin(F.broadcast(log.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_last"))))  # one row
+    else:
+        fresh = fresh.withColumn("_last", F.lit(last))
+    numbered = fresh.withColumn("seq", F.col("_last") + F.col("_before") + F.col("_rank"))
     made = {"pending": F.lit(True), "seq": F.col("seq").cast(kinds["seq"])}
     cols = [made[c].alias(c) if c in made else F.col(c).cast(kinds[c]).alias(c) if c in (*KEY, "rating", "decision") else F.lit(None).cast(kinds[c]).alias(c) for c in log.columns]
     return log.unionByName(numbered.select(*cols))

@@ -10,6 +10,7 @@ gathered into one list.
 from __future__ import annotations
 
 import re
+import sys
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -57,8 +58,8 @@ def mfi(df: DataFrame, n: int = 14, by=("symbol",), order="date") -> DataFrame:
     return df.withColumn("mfi", 100 * F.try_divide(up, up + down)).drop("_tp", "_prev")
 
 
-def ewm(df: DataFrame, sources: dict[str, tuple[str, float]], by=("symbol",), order="date") -> DataFrame:
-    """Adds exponentially weighted means: name -> (column, alpha). Columns must have no nulls.
+def weighted_sums(df: DataFrame, sources: dict[str, tuple[str, float]], by=("symbol",), order="date") -> DataFrame:
+    """Adds ``_n``, the place in the series, and for each name -> (column, alpha) the sum ``_s_<name>`` of all values so far, each times (1 - alpha) ** age.
 
     With q = 1 - alpha, a row at place j of its block has the sum P_j = q**j * sum(x_i * q**-i) of
     the block so far, and the weighted sum is P_j + q**(j + 1) * (E_1 + q**BLOCK * E_2 + ...) over
@@ -84,14 +85,19 @@ def ewm(df: DataFrame, sources: dict[str, tuple[str, float]], by=("symbol",), or
         ends[f"_e_{name}"] = F.when(F.col("_j") == BLOCK - 1, total)
     df = df.withColumns(ends)
     before = series.rowsBetween(W.unboundedPreceding, -1)
-    out = {}
-    for name, (_, alpha) in sources.items():
-        q = 1 - alpha
-        carried = F.coalesce(F.last(f"_e_{name}", True).over(before), F.lit(0.0))
-        total = F.col(f"_p_{name}") + F.pow(F.lit(q), F.col("_j") + 1) * carried
-        out[name] = total * alpha / (1 - F.pow(F.lit(q), F.col("_n").cast("double")))
-    extra = ["_n", "_block", "_j", *(f"_{k}_{n}" for n in sources for k in "pe")]
-    return df.withColumns(out).drop(*extra)
+    carried = {f"_s_{n}": F.col(f"_p_{n}") + F.pow(F.lit(1 - alpha), F.col("_j") + 1) * F.coalesce(F.last(f"_e_{n}", True).over(before), F.lit(0.0)) for n, (_, alpha) in sources.items()}
+    return df.withColumns(carried).drop("_block", "_j", *(f"_{k}_{n}" for n in sources for k in "pe"))
+
+
+def ewm(df: DataFrame, sources: dict[str, tuple[str, float]], by=("symbol",), order="date") -> DataFrame:
+    """Adds exponentially weighted means: name -> (column, alpha). Columns must have no nulls."""
+    out = {n: F.col(f"_s_{n}") * alpha / (1 - F.pow(F.lit(1 - alpha), F.col("_n").cast("double"))) for n, (_, alpha) in sources.items()}
+    return weighted_sums(df, sources, by, order).withColumns(out).drop("_n", *(f"_s_{n}" for n in sources))
+
+
+def previous(df: DataFrame, columns: dict[str, str], by=("symbol",), order="date") -> DataFrame:
+    """Adds the values of the row before: name -> column."""
+    return df.withColumns({n: F.lag(c).over(_series(by, order)) for n, c in columns.items()})
 
 
 def span(n: float) -> float:
@@ -99,32 +105,36 @@ def span(n: float) -> float:
     return 2 / (n + 1)
 
 
-def ema(df: DataFrame, n: int, value: str = "close", name: str | None = None, by=("symbol",), order="date") -> DataFrame:
-    return ewm(df, {name or f"{value}_{n}_ema": (value, span(n))}, by, order)
+#: How a function goes along a series, by its ``previous`` and ``ewm``: windows of this module, or the module :mod:`scan` for series in parts.
+_HERE = sys.modules[__name__]
+
+
+def ema(df: DataFrame, n: int, value: str = "close", name: str | None = None, by=("symbol",), order="date", over=_HERE) -> DataFrame:
+    return over.ewm(df, {name or f"{value}_{n}_ema": (value, span(n))}, by, order)
 
 
-def macd(df: DataFrame, value: str = "close", fast: int = 12, slow: int = 26, signal: int = 9, by=("symbol",), order="date") -> DataFrame:
+def macd(df: DataFrame, value: str = "close", fast: int = 12, slow: int = 26, signal: int = 9, by=("symbol",), order="date", over=_HERE) -> DataFrame:
     """macd, macds (its signal line) and macdh (their gap)."""
-    df = ewm(df, {"_fast": (value, span(fast)), "_slow": (value, span(slow))}, by, order)
+    df = over.ewm(df, {"_fast": (value, span(fast)), "_slow": (value, span(slow))}, by, order)
     df = df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    df = ewm(df, {"macds": ("macd", span(signal))}, by, order)
+    df = over.ewm(df, {"macds": ("macd", span(signal))}, by, order)
     return df.withColumn("macdh", F.col("macd") - F.col("macds"))
 
 
-def rsi(df: DataFrame, n: int = 14, value: str = "close", by=("symbol",), order="date") -> DataFrame:
+def rsi(df: DataFrame, n: int = 14, value: str = "close", by=("symbol",), order="date", over=_HERE) -> DataFrame:
     """rsi from 0 to 100; the first row counts as no change, 100 where nothing fell, null where nothing moved."""
-    change = F.coalesce(F.col(value) - F.lag(value).over(_series(by, order)), F.lit(0.0))
-    df = df.withColumn("_d", change).withColumn("_gain", F.greatest("_d", F.lit(0.0))).withColumn("_loss", F.greatest(-F.col("_d"), F.lit(0.0)))
-    df = ewm(df, {"_up": ("_gain", 1 / n), "_down": ("_loss", 1 / n)}, by, order)
-    return df.withColumn("rsi", 100 * F.try_divide(F.col("_up"), F.col("_up") + F.col("_down"))).drop("_d", "_gain", "_loss", "_up", "_down")
+    df = over.previous(df, {"_before": value}, by, order)
+    df = df.withColumn("_d", F.coalesce(F.col(value) - F.col("_before"), F.lit(0.0))).withColumn("_gain", F.greatest("_d", F.lit(0.0))).withColumn("_loss", F.greatest(-F.col("_d"), F.lit(0.0)))
+    df = over.ewm(df, {"_up": ("_gain", 1 / n), "_down": ("_loss", 1 / n)}, by, order)
+    return df.withColumn("rsi", 100 * F.try_divide(F.col("_up"), F.col("_up") + F.col("_down"))).drop("_before", "_d", "_gain", "_loss", "_up", "_down")
 
 
-def atr(df: DataFrame, n: int = 14, by=("symbol",), order="date") -> DataFrame:
+def atr(df: DataFrame, n: int = 14, by=("symbol",), order="date", over=_HERE) -> DataFrame:
     """Average true range; the first row's range is high less low."""
-    prev = F.coalesce(F.lag("close").over(_series(by, order)), F.col("close"))
+    df = over.previous(df, {"_before": "close"}, by, order)
+    prev = F.coalesce(F.col("_before"), F.col("close"))
     true_range = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
-    df = ewm(df.withColumn("_tr", true_range), {"atr": ("_tr", 1 / n)}, by, order)
-    return df.drop("_tr")
+    return over.ewm(df.withColumn("_tr", true_range), {"atr": ("_tr", 1 / n)}, by, order).drop("_tr", "_before")
 
 
 #: Names that a caller may ask for.

@@ -18,19 +18,32 @@ def calendar_dense(values: DataFrame, value: str, end, days: int, by: tuple[str,
     return out.select(*by, date, value, status.alias("status"))
 
 
-def as_of_join(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ("symbol",), date: str = "date", prefix: str = "asof_") -> DataFrame:
-    """For each left row the newest right row on or before its date, by a union and one window (no row blow-up).
-
-    Several right rows at one date must not be: reduce them first. Left rows without one get nulls.
-    """
+def as_of_rows(left: DataFrame, right: DataFrame, by: tuple[str, ...], date: str) -> DataFrame:
+    """The rows of both sides in one frame, as structs ``_l`` and ``_r``; ``_kind`` puts right rows of a date first."""
     theirs = [c for c in right.columns if c not in (*by, date)]
     mine = [c for c in left.columns if c not in (*by, date)]
     packed = F.struct(F.col(date).alias(date), *theirs)
     a = left.select(*by, date, F.struct(*(mine or [date])).alias("_l"), F.lit(1).alias("_kind")).withColumn("_r", F.lit(None).cast(right.select(packed.alias("x")).schema["x"].dataType))
     b = right.select(*by, date, F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), F.lit(0).alias("_kind"), packed.alias("_r"))
+    return a.unionByName(b)
+
+
+def as_of_result(rows: DataFrame, left: DataFrame, right: DataFrame, by: tuple[str, ...], date: str, prefix: str) -> DataFrame:
+    """The left rows with the columns of ``_r``."""
+    theirs = [c for c in right.columns if c not in (*by, date)]
+    mine = [c for c in left.columns if c not in (*by, date)]
+    return rows.where("_kind = 1").select(*by, date, *(F.col(f"_l.{c}").alias(c) for c in mine), *(F.col(f"_r.{c}").alias(prefix + c) for c in (date, *theirs)))
+
+
+def as_of_join(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ("symbol",), date: str = "date", prefix: str = "asof_") -> DataFrame:
+    """For each left row the newest right row on or before its date, by a union and one window (no row blow-up).
+
+    Several right rows at one date must not be: reduce them first. Left rows without one get nulls. For series of very many rows
+    there is :func:`scan.as_of_join`.
+    """
     w = W.partitionBy(*by).orderBy(date, "_kind").rowsBetween(W.unboundedPreceding, 0)
-    out = a.unionByName(b).withColumn("_r", F.last("_r", True).over(w)).where("_kind = 1")
-    return out.select(*by, date, *(F.col(f"_l.{c}").alias(c) for c in mine), *(F.col(f"_r.{c}").alias(prefix + c) for c in (date, *theirs)))
+    rows = as_of_rows(left, right, by, date).withColumn("_r", F.last("_r", True).over(w))
+    return as_of_result(rows, left, right, by, date, prefix)
 
 
 def forward_return(df: DataFrame, k: int, value: str = "close", name: str = "fwd_return", by: tuple[str, ...] = ("symbol",), order: str = "date") -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, indicators, timeseries
+from ..operators import cleaning, indicators, scan, timeseries
 from ..sources.routing import first_nonempty
-from ..sources.tables import average_bars, event_bars, line_bars, load
+from ..sources.tables import average_bars, event_bars, line_bars, line_ticks, load
 from .registry import query
 
 AS_OF = "2024-01-20"
@@ -217,3 +217,50 @@ def first_nonempty_source(spark, sf_dir):
 def indicator_long(spark, sf_dir):
     names = indicators.parse_names(" close_50_sma, BOLL ,")
     return indicators.long_form(indicators.with_indicators(line_bars(spark, sf_dir), names), names).withColumn("value", F.round("value", 4))
+
+
+#: Line items as one long series; a part is small, so that small tables are cut, too.
+TICK_ROWS = 1 << 11
+TICKS = """ticks AS MATERIALIZED (SELECT 'L' AS symbol, l_orderkey * 10 + l_linenumber AS tick, max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity * (1 - l_discount)) AS low, min(l_extendedprice / l_quantity) AS close FROM lineitem GROUP BY 2),
+    s AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY tick) AS n, lag(close) OVER (ORDER BY tick) AS prev FROM ticks)"""
+
+
+def _tick_ewm_sql(source: str, value: str, alpha: str, name: str, rows: int = 520) -> str:
+    """The newest rows by equal places; further back nothing is left of the weights."""
+    return f"""{name} AS (SELECT a.n, sum(b.{value} * power(1 - {alpha}, k)) / ((1 - power(1 - {alpha}, a.n)) / {alpha}) AS v FROM {source} a CROSS JOIN range({rows}) r(k) JOIN {source} b ON b.n = a.n - k GROUP BY a.n)"""
+
+
+def _ticks(spark, sf_dir):
+    return scan.cut(line_ticks(spark, sf_dir), order="tick", rows=TICK_ROWS)
+
+
+@query(f"WITH {TICKS}, {_tick_ewm_sql('s', 'close', '(2.0 / 11)', 'e')} SELECT tick, round(e.v, 4) AS close_10_ema FROM s JOIN e USING (n)")
+def tick_ema(spark, sf_dir):
+    return indicators.ema(_ticks(spark, sf_dir), 10, order="tick", over=scan).select("tick", *_r("close_10_ema"))
+
+
+@query(f"""WITH {TICKS}, d AS MATERIALIZED (SELECT n, tick, greatest(coalesce(close - prev, 0), 0) AS gain, greatest(coalesce(prev - close, 0), 0) AS loss FROM s), {_tick_ewm_sql('d', 'gain', '(1.0 / 14)', 'u')}, {_tick_ewm_sql('d', 'loss', '(1.0 / 14)', 'v')}
+    SELECT tick, round(100 * u.v / nullif(u.v + v.v, 0), 4) AS rsi FROM d JOIN u USING (n) JOIN v USING (n)""")
+def tick_rsi(spark, sf_dir):
+    return indicators.rsi(_ticks(spark, sf_dir), order="tick", over=scan).select("tick", *_r("rsi"))
+
+
+@query(f"""WITH {TICKS}, t AS MATERIALIZED (SELECT n, tick, greatest(high - low, abs(high - coalesce(prev, close)), abs(low - coalesce(prev, close))) AS tr FROM s), {_tick_ewm_sql('t', 'tr', '(1.0 / 14)', 'e')}
+    SELECT tick, round(e.v, 4) AS atr FROM t JOIN e USING (n)""")
+def tick_atr(spark, sf_dir):
+    return indicators.atr(_ticks(spark, sf_dir), order="tick", over=scan).select("tick", *_r("atr"))
+
+
+@query(f"""WITH {TICKS}, h AS (SELECT tick, CASE WHEN tick % 3 <> 0 AND tick > 500 AND tick NOT BETWEEN 9000 AND 60000 THEN close END AS close FROM ticks)
+    SELECT tick, coalesce(last_value(close IGNORE NULLS) OVER (ORDER BY tick ROWS UNBOUNDED PRECEDING), first_value(close IGNORE NULLS) OVER (ORDER BY tick ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS close FROM h""")
+def tick_gap_fill(spark, sf_dir):
+    """Holes everywhere, at the start and over several parts."""
+    here = (F.col("tick") % 3 != 0) & (F.col("tick") > 500) & ~F.col("tick").between(9000, 60000)
+    return scan.fill_gaps(_ticks(spark, sf_dir).withColumn("close", F.when(here, F.col("close"))), ("close",), order="tick").select("tick", "close")
+
+
+@query(f"""WITH {TICKS}, r AS (SELECT tick, close FROM ticks WHERE tick % 97 = 0) SELECT t.tick, r.tick AS asof_tick, r.close AS asof_close FROM ticks t ASOF LEFT JOIN r ON t.tick >= r.tick""")
+def tick_as_of(spark, sf_dir):
+    ticks = line_ticks(spark, sf_dir)
+    right = ticks.where(F.col("tick") % 97 == 0).select("symbol", "tick", "close")
+    return scan.as_of_join(ticks.select("symbol", "tick"), right, date="tick", rows=TICK_ROWS).select("tick", "asof_tick", "asof_close")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.dates import next_weekday
 from ..functions.text import strip_markup, truncate
 from ..operators import decision_log, news, telemetry
+from ..sources.log_table import LogTable
 from ..sources.tables import load
+from ..sources.work import work_folder
 from .registry import query
 
 _NEWS_SQL = """n AS (SELECT string_split(text, chr(10))[1] AS title, source AS publisher, doc_id % 5 AS query_no, doc_id AS position, CASE WHEN doc_id % 13 <> 0 THEN DATE '2024-01-01' + CAST(doc_id % 60 AS INT) END AS published FROM documents)"""
@@ -81,31 +83,77 @@ _LOG = """o AS (SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date, 'C' |
     o_orderpriority AS decision, o_orderkey AS seq FROM orders), log AS (SELECT * FROM o)"""
 
 
-@query(f"""WITH {_LOG}, new AS (SELECT CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 2 AS INT) AS VARCHAR) AS date, 'C' || CAST(o_custkey AS VARCHAR) AS symbol, min(o_orderpriority) AS decision FROM orders GROUP BY 1, 2), fresh AS (SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM log l WHERE l.pending AND l.date = n.date AND l.symbol = n.symbol))
-    SELECT date, symbol, pending, decision, seq FROM log UNION ALL SELECT date, symbol, true, decision, (SELECT max(seq) FROM log) + row_number() OVER (ORDER BY date, symbol) FROM fresh""")
+UPSERT_SQL = f"""WITH {_LOG}, new AS (SELECT CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 2 AS INT) AS VARCHAR) AS date, 'C' || CAST(o_custkey AS VARCHAR) AS symbol, min(o_orderpriority) AS decision FROM orders GROUP BY 1, 2), fresh AS (SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM log l WHERE l.pending AND l.date = n.date AND l.symbol = n.symbol))
+    SELECT date, symbol, pending, decision, seq FROM log UNION ALL SELECT date, symbol, true, decision, (SELECT max(seq) FROM log) + row_number() OVER (ORDER BY date, symbol) FROM fresh"""
+
+
+@query(UPSERT_SQL)
 def log_upsert(spark, sf_dir):
     """A new entry for every order, half of them on the next day, so that some keys are pending and others are new."""
+    return decision_log.append_pending(_log(spark, sf_dir), _new_entries(spark, sf_dir)).select("date", "symbol", "pending", "decision", "seq")
+
+
+def _new_entries(spark, sf_dir):
     o = load(spark, sf_dir, "orders")
     day = F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 2).cast("int"))
-    new = o.select(day.cast("string").alias("date"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("symbol"), F.lit("Hold").alias("rating"), F.col("o_orderpriority").alias("decision"))
-    return decision_log.append_pending(_log(spark, sf_dir), new).select("date", "symbol", "pending", "decision", "seq")
+    return o.select(day.cast("string").alias("date"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("symbol"), F.lit("Hold").alias("rating"), F.col("o_orderpriority").alias("decision"))
 
 
-@query(f"""WITH {_LOG}, u AS (SELECT date, symbol, max(seq) AS k FROM o WHERE pending AND seq % 3 = 0 GROUP BY 1, 2), r AS (SELECT *, pending AND row_number() OVER (PARTITION BY date, symbol, pending ORDER BY seq) = 1 AS one FROM log)
+RESOLVE_SQL = f"""WITH {_LOG}, u AS (SELECT date, symbol, max(seq) AS k FROM o WHERE pending AND seq % 3 = 0 GROUP BY 1, 2), r AS (SELECT *, pending AND row_number() OVER (PARTITION BY date, symbol, pending ORDER BY seq) = 1 AS one FROM log)
     SELECT r.date, r.symbol, r.seq, r.pending AND NOT (r.one AND u.k IS NOT NULL) AS pending, CASE WHEN r.one AND u.k IS NOT NULL THEN u.k / 1000.0 ELSE r.raw END AS raw, CASE WHEN r.one AND u.k IS NOT NULL THEN 'seen' END AS reflection
-    FROM r LEFT JOIN u ON u.date = r.date AND u.symbol = r.symbol""")
+    FROM r LEFT JOIN u ON u.date = r.date AND u.symbol = r.symbol"""
+
+
+@query(RESOLVE_SQL)
 def log_resolve(spark, sf_dir):
+    return decision_log.resolve(_log(spark, sf_dir), _outcomes(spark, sf_dir)).select("date", "symbol", "seq", "pending", "raw", "reflection")
+
+
+def _outcomes(spark, sf_dir):
     o = load(spark, sf_dir, "orders").where("o_orderstatus = 'O' AND o_orderkey % 3 = 0")
     updates = o.groupBy(F.to_date("o_orderdate").cast("string").alias("date"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("symbol")).agg((F.max("o_orderkey") / 1000.0).alias("raw"))
-    updates = updates.withColumns({"alpha": F.lit(None).cast("double"), "holding": F.lit(5), "reflection": F.lit("seen")})
-    return decision_log.resolve(_log(spark, sf_dir), updates).select("date", "symbol", "seq", "pending", "raw", "reflection")
+    return updates.withColumns({"alpha": F.lit(None).cast("double"), "holding": F.lit(5), "reflection": F.lit("seen")})
+
 
+ROTATE_SQL = f"WITH {_LOG} SELECT date, symbol, pending, seq FROM log WHERE pending UNION ALL SELECT date, symbol, pending, seq FROM (SELECT * FROM log WHERE NOT pending ORDER BY seq DESC LIMIT 100)"
 
-@query(f"WITH {_LOG} SELECT date, symbol, pending, seq FROM log WHERE pending UNION ALL SELECT date, symbol, pending, seq FROM (SELECT * FROM log WHERE NOT pending ORDER BY seq DESC LIMIT 100)")
+
+@query(ROTATE_SQL)
 def log_rotate(spark, sf_dir):
     return decision_log.rotate(_log(spark, sf_dir), 100).select("date", "symbol", "pending", "seq")
 
 
+def _log_table(spark, sf_dir):
+    """The same log in ranges of a month, made anew."""
+    table = LogTable(spark, work_folder(spark, "log"))
+    table.load(_log(spark, sf_dir))
+    return table
+
+
+@query(UPSERT_SQL)
+def log_table_upsert(spark, sf_dir):
+    """log_upsert on the log in ranges, in two batches by date of which each is sent twice."""
+    table, new = _log_table(spark, sf_dir), _new_entries(spark, sf_dir)
+    for batch, part in enumerate((new.where("date < '1998'"), new.where("date >= '1998'"))):
+        for _ in range(2):
+            table.apply(batch, part)
+    return table.read().select("date", "symbol", "pending", "decision", "seq")
+
+
+@query(RESOLVE_SQL)
+def log_table_resolve(spark, sf_dir):
+    table = _log_table(spark, sf_dir)
+    table.apply(0, updates=_outcomes(spark, sf_dir))
+    return table.read().select("date", "symbol", "seq", "pending", "raw", "reflection")
+
+
+@query(ROTATE_SQL)
+def log_table_rotate(spark, sf_dir):
+    table = _log_table(spark, sf_dir)
+    table.rotate(100)
+    return table.read().select("date", "symbol", "pending", "seq")
+
+
 @query(f"""WITH {_LOG}, d AS (SELECT *, CASE WHEN symbol = 'C1' THEN 'same' ELSE 'cross' END AS kind FROM log WHERE NOT pending), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY seq DESC) AS INT) AS rank FROM d)
     SELECT kind, rank, date, symbol, seq FROM r WHERE rank <= CASE kind WHEN 'same' THEN 5 ELSE 3 END""")
 def log_context(spark, sf_dir):

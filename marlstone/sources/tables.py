@@ -45,6 +45,13 @@ def line_bars(spark: SparkSession, folder: str, symbol: str = "l_returnflag") ->
     return daily_bars(load(spark, folder, "lineitem"), symbol, "l_shipdate", F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity"), order)
 
 
+def line_ticks(spark: SparkSession, folder: str) -> DataFrame:
+    """All line items as one series (symbol, tick, high, low, close): tick is the key of an item; prices are those per unit, the lowest after the discount."""
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    rows = load(spark, folder, "lineitem").groupBy(F.lit("L").alias("symbol"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tick"))
+    return rows.agg(F.max(price).alias("high"), F.min(price * (1 - F.col("l_discount"))).alias("low"), F.min(price).alias("close"))
+
+
 def average_bars(bars: DataFrame) -> DataFrame:
     """The average close of all symbols for each date, as a benchmark series."""
     return bars.groupBy("date").agg(F.avg("close").alias("close"))

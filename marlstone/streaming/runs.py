@@ -5,7 +5,7 @@ The windowed aggregates are an extension: the engine's own needs are the keyed s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,16 @@ def sessions(ticks: DataFrame, by: str, time: str, gap: str = "30 minutes", late
     return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), by, "n")
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """State on disk, as lists, maps and timers by key need it; for queries that start from now on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Starts writing what is there to a Parquet table and stops when it is done."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+
+
+def run_batches(stream: DataFrame, write, checkpoint: str):
+    """Starts giving what is there to ``write(rows, batch)``, one batch after another; a batch may come again after a failure."""
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
