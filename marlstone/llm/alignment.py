@@ -16,6 +16,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from .tokenfile import WordCache, _byte_tokens
 _AS_THEY_ARE = (*range(33, 127), *range(161, 173), *range(174, 256))
 #: A group with more pairs of tokens than this is reduced to distinct ids before its product is made.
 _LARGE_GROUP = 1 << 14
+#: Bytes of texts that are aligned at once (or one text), and words of either side that a process keeps.
+_SLICE, _WORDS = 1 << 20, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -71,11 +74,11 @@ class Sides:
         for token, i in vocab.items():
             parts[i] = bytes(chars[c] for c in token) if all(c in chars for c in token) else token.encode()
         self.a_bytes = Vocabulary(parts)
-        self.a_cache = WordCache(lambda texts: [np.array(e.ids, np.uint32) for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], _byte_tokens(self.a))
+        self.a_cache = WordCache(lambda texts: [np.array(e.ids, np.uint32) for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], _byte_tokens(self.a), _WORDS)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = Vocabulary([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)])
-        self.b_cache = pieces.PieceCache(pieces.Model(b_path), pieces.Settings(dropout=0.0))
+        self.b_cache = pieces.PieceCache(pieces.Model(b_path), pieces.Settings(dropout=0.0), _WORDS)
 
     @staticmethod
     def _equal(vocabulary: Vocabulary, ids: np.ndarray, first: np.ndarray, want: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -142,9 +145,15 @@ class Aligned:
     groups: int
 
 
+def _union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``union1d`` of two ascending arrays: a stable sort merges their two runs, which takes a fraction of the time."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return both[np.diff(both, prepend=-1) != 0]
+
+
 def align(a_ends: np.ndarray, b_ends: np.ndarray) -> Aligned:
     """Both arrays ascend and have the same last entry (or are empty)."""
-    intervals = np.union1d(a_ends, b_ends)
+    intervals = _union(a_ends, b_ends)
     a_owner, b_owner = np.searchsorted(a_ends, intervals), np.searchsorted(b_ends, intervals)
     closes = (a_ends[a_owner] == intervals) & (b_ends[b_owner] == intervals)
     group = np.cumsum(closes) - closes
@@ -193,20 +202,20 @@ def _written(a_ids: np.ndarray, b_ids: np.ndarray, found: Aligned, last_group: n
     end = np.cumsum(n_a + n_b)
     mark[end - n_b - 1] = ord("|")
     mark[end - 1] = np.where(last_group, 0, ord(";"))
-    digits = len(str(int(ids.max(initial=0))))
-    table = np.zeros((len(ids), digits + 1), np.uint8)
-    rest, size = ids.copy(), np.ones(len(ids), np.int64)
-    for k in range(1, digits):
-        size += ids >= 10**k
-    rows = np.arange(len(ids))
-    for k in range(digits):
-        inside = np.flatnonzero(size > k) if k else rows
-        table[inside, size[inside] - 1 - k] = 48 + rest[inside] % 10
-        rest //= 10
-    table[rows, size] = mark
+    digits, sizes = _digits(int(ids.max(initial=0)).bit_length())
+    table, size = digits[ids], sizes[ids]
+    table[np.arange(len(ids)), size] = mark
     return table[table != 0], size + (mark != 0)
 
 
+@lru_cache(maxsize=4)
+def _digits(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The digits of all numbers below 2 ** bits, with zeros behind them, and how many there are."""
+    texts = [str(i).encode() for i in range(1 << bits)]
+    table = np.array(texts, f"S{len(texts[-1]) + 1}").view(np.uint8).reshape(len(texts), -1)
+    return table, np.array([len(t) for t in texts])
+
+
 _ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_overlaps long, groups_sha256 string, pairs binary, times binary"
 _ARROW = pa.schema([*((c, pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_overlaps")), ("groups_sha256", pa.string()), ("pairs", pa.binary()), ("times", pa.binary())])
 
@@ -225,7 +234,7 @@ def aligned_rows(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
         s = sides(a_path, b_path)
         wide = len(s.b_bytes.at) - 1
         for batch in batches:
-            for lo, hi, buf, offsets in slices(batch, "text"):
+            for lo, hi, buf, offsets in slices(batch, "text", _SLICE):
                 good, a_ids, a_first, b_ids, b_first = s.encode(buf, offsets)
                 found = align(np.cumsum(s.a_bytes.sizes(a_ids)), np.cumsum(s.b_bytes.sizes(b_ids)))
                 n = hi - lo
