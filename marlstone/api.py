@@ -18,14 +18,15 @@ from .sources.routing import Answer, Router
 
 #: How far back and how many, where a request doesn't say.
 INDICATOR_DAYS, NEWS_DAYS, MACRO_DAYS = 30, 7, 365
+SERIES_INFO = ("title", "units", "frequency", "adjustment")
 TICKER_ARTICLES, GLOBAL_ARTICLES, MARKETS, OBSERVATIONS = 20, 10, 6, 40
 
 
 @dataclass
 class Engine:
     """tables: bars (symbol, date, open, high, low, close, volume), profiles (symbol and fields), statements (symbol, statement, freq,
-    period_end, line_item, value), news (symbol, title, position, published), insiders (symbol and fields), series (series, date,
-    value), markets (question, event_no, market_no, outcomes, outcomePrices, volumeNum, endDate, closed). Missing tables mean no data.
+    period_end, line_item, value), news (symbol, title, position, published; query_no if several queries gave them), insiders (symbol and fields),
+    series (series, date, value), series_info (series, title, units, frequency, adjustment), markets (question, event_no, market_no, outcomes, outcomePrices, volumeNum, endDate, closed). Missing tables mean no data.
     """
 
     tables: dict[str, DataFrame]
@@ -66,7 +67,7 @@ class Engine:
         return self.router.ask("get_news", symbol, start, end)
 
     def get_global_news(self, date: str, days: int | None = None, limit: int | None = None) -> Answer:
-        """Distinct titles of the window over all queries, first listed first."""
+        """The first distinct titles over all queries in order, ``limit`` of them, and of those the ones in the window."""
         return self.router.ask("get_global_news", date, days, limit)
 
     def get_insider_transactions(self, symbol: str) -> Answer:
@@ -74,16 +75,16 @@ class Engine:
         return self.router.ask("get_insider_transactions", symbol)
 
     def get_macro_indicators(self, indicator: str, date: str, days: int | None = None) -> Answer:
-        """The newest observations of a series by its name or id."""
+        """The newest observations of a series by its name or id, each with the change over the whole window (n, first and last value with their dates, delta, pct) and the series' title, units, frequency and adjustment, where they are known."""
         return self.router.ask("get_macro_indicators", indicator, date, days)
 
     def get_prediction_markets(self, topic: str, now: str, limit: int = MARKETS) -> Answer:
         """The most traded open markets whose question has the topic."""
         return self.router.ask("get_prediction_markets", topic, now, limit)
 
-    def get_verified_market_snapshot(self, symbol: str, date: str) -> DataFrame:
-        """The newest bar at the date and all indicators of the snapshot, one row for each: indicator, date, value, error."""
-        return indicators.snapshot(self._bars(symbol, date))
+    def get_verified_market_snapshot(self, symbol: str, date: str, days: int = indicators.RECENT, names: tuple[str, ...] | None = None) -> DataFrame:
+        """The newest bar at the date, the indicators there, and the newest closes (from 1 to 30): section, indicator, date, value, error."""
+        return indicators.verified(self._bars(symbol, date), names, days)
 
     def _table(self, name: str, symbol: str) -> DataFrame:
         if name not in self.tables:
@@ -120,16 +121,25 @@ class Engine:
         return cleaning.require_rows(news.ticker_news(self._of("news", symbol), start, end, TICKER_ARTICLES), symbol)
 
     def _global_news(self, date: str, days: int | None, limit: int | None) -> DataFrame:
-        rows = self._table("news", "all").where(news.in_window(F.col("published"), F.date_sub(F.lit(date).cast("date"), days or NEWS_DAYS), date))
-        return cleaning.require_rows(news.dedup_top(rows, "title", ["position"], limit or GLOBAL_ARTICLES), "all")
+        days, limit = NEWS_DAYS if days is None else days, GLOBAL_ARTICLES if limit is None else limit
+        rows = self._table("news", "all")
+        first = news.dedup_top(rows, "title", [c for c in ("query_no", "position") if c in rows.columns], limit)
+        inside = news.in_window(F.col("published").cast("timestamp_ntz"), F.date_sub(F.lit(date).cast("date"), days), date)
+        return cleaning.require_rows(first.where(inside), "all")
 
     def _insiders(self, symbol: str) -> DataFrame:
         return self._of("insiders", symbol)
 
     def _macro(self, indicator: str, date: str, days: int | None) -> DataFrame:
         rows = self._table("series", indicator).where(F.col("series") == macro.series_id(F.lit(indicator)))
-        rows = cleaning.between(rows, F.date_sub(F.lit(date).cast("date"), days or MACRO_DAYS), date).where("value IS NOT NULL")
-        return cleaning.require_rows(timeseries.recent(rows, OBSERVATIONS, ("series",), [F.col("date").desc()]), indicator)
+        rows = cleaning.between(rows, F.date_sub(F.lit(date).cast("date"), MACRO_DAYS if days is None else days), date).where("value IS NOT NULL")
+        shown = timeseries.recent(rows, OBSERVATIONS, ("series",), [F.col("date").desc()])
+        # The change is over all observations of the window, of which there is one row.
+        out = shown.join(F.broadcast(timeseries.change_over_window(rows)), "series")
+        if "series_info" in self.tables:
+            info = self.tables["series_info"].where(F.col("series") == macro.series_id(F.lit(indicator))).select("series", *SERIES_INFO).limit(1)
+            out = out.join(F.broadcast(info), "series", "left").withColumn("title", F.coalesce("title", "series"))
+        return cleaning.require_rows(out, indicator)
 
     def _markets(self, topic: str, now: str, limit: int) -> DataFrame:
         rows = self._table("markets", topic).where(F.lower("question").contains(topic.lower())).where(markets.is_forward_looking(now))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import json
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,16 +24,48 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def unescape(text: Column) -> Column:
-    """Character references decoded, all named and numbered ones. The table of names has over two thousand entries, so texts with
-    an ampersand go through Python in Arrow batches; others stay where they are.
-    """
+#: Named references, with and without a semicolon, as the standard library lists them.
+_NAMED = {n: c for n, c in html.entities.html5.items()}
+#: Those that need none, the longest first: they are read even where letters follow.
+_BARE = sorted((n for n in _NAMED if not n.endswith(";")), key=lambda n: (-len(n), n))
+_REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: Numbers that stand for the characters of an old code page.
+_CODE_PAGE = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)} | {0: "\ufffd", 13: "\r"}
+
+
+def _map(values: dict) -> Column:
+    """A constant map; the optimizer reads it once."""
+    return F.from_json(F.lit(json.dumps({str(k): v for k, v in values.items()})), "map<string,string>")
+
 
-    @F.pandas_udf("string")
-    def decoded(x: pd.Series) -> pd.Series:
-        return x.map(html.unescape, na_action="ignore")
+def _numbered(digits: Column, base: int) -> Column:
+    """The character of a number; one that is too long is out of range as well."""
+    short = F.regexp_replace(digits, "^0+(?=.)", "")
+    n = F.when(F.length(short) > 8, F.lit(0x110000)).otherwise(F.conv(short, base, 10).cast("long"))
+    page = F.try_element_at(_map(_CODE_PAGE), n.cast("string"))
+    out_of_range = (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    empty = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n % 0x10000 >= 0xFFFE)
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.coalesce(page, F.when(out_of_range, "\ufffd").when(empty, "").otherwise(char))
 
-    return F.when(text.contains("&"), decoded(text)).otherwise(text)
+
+def unescape(text: Column) -> Column:
+    """Character references decoded, all named and numbered ones, as the standard library does: a name without its semicolon by its longest known start.
+
+    Only texts with an ampersand are looked into, and all of it stays in the JVM.
+    """
+    names, bare = _map(_NAMED), "^(" + "|".join(_BARE) + ")"
+
+    def decoded(part: Column, i: Column) -> Column:
+        ref = F.regexp_extract(part, _REFERENCE, 1)
+        rest = F.substr(part, F.length(ref) + 1)
+        start = F.regexp_extract(ref, bare, 1)
+        digits = lambda pattern: F.regexp_extract(ref, pattern, 1)
+        named = F.coalesce(F.try_element_at(names, ref), F.when(start != "", F.concat(F.try_element_at(names, start), F.substr(ref, F.length(start) + 1))))
+        char = F.when(ref.rlike("^#[xX]"), _numbered(digits("^#[xX]([0-9a-fA-F]+)"), 16)).when(ref.startswith("#"), _numbered(digits("^#([0-9]+)"), 10)).when(ref != "", named)
+        return F.when(i == 0, part).otherwise(F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), part)))
+
+    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&"), decoded), "")).otherwise(text)
 
 
 def strip_markup(content: Column) -> Column:

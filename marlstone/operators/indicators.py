@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -143,6 +144,8 @@ NAMES = ("close_50_sma", "close_200_sma", "close_10_ema", "macd", "macds", "macd
 SERVED = {"computed": NAMES, "vendor": tuple(n for n in NAMES if n != "mfi")}
 #: The set of the verified snapshot.
 SNAPSHOT = tuple(n for n in NAMES if n not in ("vwma", "mfi"))
+#: Newest rows of a snapshot, at most.
+RECENT = 30
 _OPEN = re.compile(r"(open|high|low|close|volume)_(\d+)_(sma|ema)")
 
 
@@ -175,13 +178,75 @@ def requested(bars: DataFrame, names: str, date, days: int = 30, source: str = "
 
 
 def snapshot(bars: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
-    """symbol, indicator, date, value, error: the newest row of each symbol in long form. A name that is unknown has its error and leaves the others as they are."""
-    names = tuple(names or SNAPSHOT)
-    known = [n for n in names if is_known(n)]
-    wide = with_indicators(bars, known)
-    last = wide.groupBy("symbol").agg(F.max_by(F.struct("date", *known), "date").alias("_r")).select("symbol", "_r.*")
-    pairs = [F.struct(F.lit(n).alias("indicator"), (F.col(n) if n in known else F.lit(None)).cast("double").alias("value"), F.lit(None if n in known else f"unknown indicator {n}").cast("string").alias("error")) for n in names]
-    return last.select("symbol", "date", F.inline(F.array(*pairs)))
+    """symbol, indicator, date, value, error: the newest row of each symbol in long form. A name that is unknown, or can't be computed from these columns, has its error and leaves the others as they are."""
+    return verified(bars, names).where("section = 'indicator'").drop("section")
+
+
+def failures(bars: DataFrame, names) -> dict[str, str]:
+    """The error of each name that can't be computed from the columns of the bars."""
+    out = {}
+    for n in names:
+        try:
+            with_indicators(bars, [n]).schema  # noqa: B018 - the plan is made and checked, nothing runs
+        except ValueError:
+            out[n] = f"unknown indicator {n}"
+        except AnalysisException as e:
+            out[n] = f"{n} can't be computed: {e.getCondition() or 'error'}"
+    return out
+
+
+def verified(bars: DataFrame, names: tuple[str, ...] | None = None, look_back: int = RECENT) -> DataFrame:
+    """symbol, section, indicator, date, value, error of each symbol: the fields of its newest bar (section ``bar``), the
+    indicators there (``indicator``), and its newest closes (``close``, from 1 to RECENT rows). One pass over the bars.
+    """
+    names = tuple(dict.fromkeys(names or SNAPSHOT))
+    wrong = failures(bars, names)
+    known = [n for n in names if n not in wrong]
+    rank = F.row_number().over(W.partitionBy("symbol").orderBy(F.col("date").desc()))
+    some = with_indicators(bars, known).withColumn("_rank", rank).where(F.col("_rank") <= max(1, min(look_back, RECENT)))
+    kept = lambda section, name, value, error=None: F.struct(F.lit(section).alias("section"), F.lit(name).alias("indicator"), value.cast("double").alias("value"), F.lit(error).cast("string").alias("error"))
+    there = {c.lower(): c for c in bars.columns}
+    newest = [kept("bar", c.capitalize(), F.col(there[c])) for c in ("open", "high", "low", "close", "volume") if c in there]
+    newest += [kept("indicator", n, F.lit(None) if n in wrong else F.col(n), wrong.get(n)) for n in names]
+    close = F.array(kept("close", "Close", F.col("close")))
+    return some.select("symbol", "date", F.inline(F.when(F.col("_rank") == 1, F.concat(F.array(*newest), close)).otherwise(close))).select("symbol", "section", "indicator", "date", "value", "error")
+
+
+#: What a vendor's indicator can be asked for.
+INTERVALS, PRICES = ("daily", "weekly", "monthly"), ("open", "high", "low", "close")
+
+
+def resampled(bars: DataFrame, interval: str = "daily") -> DataFrame:
+    """Bars of weeks (from Monday) or months, dated by their last row."""
+    if interval not in INTERVALS:
+        raise ValueError(f"unknown interval {interval!r}; known are {', '.join(INTERVALS)}")
+    if interval == "daily":
+        return bars
+    first, last = (lambda c: F.min_by(c, "date").alias(c)), (lambda c: F.max_by(c, "date").alias(c))
+    rows = bars.groupBy("symbol", F.date_trunc("week" if interval == "weekly" else "month", "date").alias("_period"))
+    return rows.agg(F.max("date").alias("date"), first("open"), F.max("high").alias("high"), F.min("low").alias("low"), last("close"), F.sum("volume").alias("volume")).drop("_period")
+
+
+def parameterised(bars: DataFrame, function: str, interval: str = "daily", time_period: int = 14, series_type: str = "close") -> DataFrame:
+    """symbol, date and value of sma, ema, rsi, atr, vwma, boll, boll_ub or boll_lb over so many rows of bars of the interval. series_type: the price that it is of (not for atr and vwma)."""
+    if series_type not in PRICES:
+        raise ValueError(f"unknown series type {series_type!r}; known are {', '.join(PRICES)}")
+    df = resampled(bars, interval)
+    if function == "sma":
+        df = df.withColumn("value", sma(series_type, time_period))
+    elif function == "ema":
+        df = ema(df, time_period, series_type, "value")
+    elif function == "rsi":
+        df = rsi(df, time_period, series_type).withColumnRenamed("rsi", "value")
+    elif function == "atr":
+        df = atr(df, time_period).withColumnRenamed("atr", "value")
+    elif function == "vwma":
+        df = df.withColumn("value", vwma(time_period))
+    elif function in ("boll", "boll_ub", "boll_lb"):
+        df = bollinger(df, series_type, time_period).withColumnRenamed(function, "value")
+    else:
+        raise ValueError(f"unknown indicator {function!r}")
+    return df.select("symbol", "date", "value")
 
 
 def with_indicators(df: DataFrame, names: list[str] | tuple[str, ...], by=("symbol",), order="date") -> DataFrame:

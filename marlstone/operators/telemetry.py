@@ -52,9 +52,12 @@ def progress(status: DataFrame, by: tuple[str, ...] = ("run",)) -> DataFrame:
     return status.groupBy(*by).agg(F.count_if(F.col("status") == "completed").alias("completed"), F.count(F.lit(1)).alias("stages"))
 
 
-def newest(messages: DataFrame, order: list[str], most: int = 100) -> DataFrame:
-    """The newest messages, as a buffer of bounded length keeps them."""
-    return messages.orderBy(*(F.col(c).desc() for c in order)).limit(most)
+def newest(messages: DataFrame, order: list[str], most: int = 100, by: tuple[str, ...] = ()) -> DataFrame:
+    """The newest messages, as a buffer of bounded length keeps them: one for all, or one for each key."""
+    last = [F.col(c).desc() for c in order]
+    if not by:
+        return messages.orderBy(*last).limit(most)
+    return messages.withColumn("_rank", F.row_number().over(W.partitionBy(*by).orderBy(*last))).where(F.col("_rank") <= most).drop("_rank")
 
 
 def counters(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

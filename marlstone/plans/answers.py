@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..api import Engine
 from ..functions import dates, render, symbols, text
-from ..operators import checkpoints, identity, news, telemetry, timeseries
+from ..operators import checkpoints, identity, indicators, news, telemetry, timeseries
 from ..sources import files, payloads
 from ..sources.tables import event_bars, load
 from .market import BARS, USERS
@@ -240,11 +240,23 @@ def csv_answers(spark, sf_dir):
 def _engine(spark, sf_dir) -> Engine:
     """The request API over entities made from the tables."""
     d, o = load(spark, sf_dir, "documents"), load(spark, sf_dir, "orders")
-    articles = d.select(F.lit("ALL").alias("symbol"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("doc_id").alias("position"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 60).cast("int")).cast("timestamp_ntz").alias("published"))
+    articles = d.select(F.lit("ALL").alias("symbol"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), (F.col("doc_id") % 5).alias("query_no"), F.col("doc_id").alias("position"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 60).cast("int")).cast("timestamp_ntz").alias("published"))
     series = o.groupBy(F.lit("GDP").alias("series"), F.to_date("o_orderdate").alias("date")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     sheets = load(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("symbol"), F.lit("balance_sheet").alias("statement"), F.lit("annual").alias("freq"), F.lit("2024-12-31").cast("date").alias("period_end"), F.lit("cash").alias("line_item"), F.col("s_acctbal").alias("value"))
+    # Orders by priority as cash flows of quarters, by status as income of years.
+    customer = F.concat(F.lit("C"), F.col("o_custkey") % 20).alias("symbol")
+    for statement, freq, unit, item in (("cashflow", "quarterly", "quarter", "o_orderpriority"), ("income_statement", "annual", "year", "o_orderstatus")):
+        ends = F.last_day(F.add_months(F.date_trunc(unit, "o_orderdate"), 2 if unit == "quarter" else 11)).alias("period_end")
+        rows = o.groupBy(customer, ends, F.col(item).alias("line_item")).agg(F.sum("o_totalprice").alias("value"))
+        sheets = sheets.unionByName(rows.withColumns({"statement": F.lit(statement), "freq": F.lit(freq)}))
+    insiders = o.select(customer, F.to_date("o_orderdate").alias("filed"), F.col("o_totalprice").alias("amount"), F.col("o_orderkey").alias("number"))
+    listed = load(spark, sf_dir, "part").select(
+        F.concat(F.lit("Will there be a "), "p_name", F.lit("?")).alias("question"), F.col("p_partkey").alias("event_no"), F.lit(0).alias("market_no"), F.lit('["Yes", "No"]').alias("outcomes"), F.concat(F.lit('["0.'), (F.col("p_size") + 10).cast("string"), F.lit('", "0.1"]')).alias("outcomePrices"),
+        F.when(F.col("p_size") % 5 != 0, F.col("p_retailprice")).alias("volumeNum"), F.when(F.col("p_partkey") % 3 == 0, "2023-01-01T00:00:00Z").otherwise("2025-01-01T00:00:00Z").alias("endDate"), (F.col("p_partkey") % 7 == 0).alias("closed"),
+    )
     profiles = load(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("symbol"), F.col("s_name").alias("longName"))
-    return Engine({"bars": event_bars(spark, sf_dir, "user_id"), "news": articles, "series": series, "statements": sheets, "profiles": profiles})
+    info = series.select("series", F.lit("Gross domestic product").alias("title"), F.lit("Bil. $").alias("units"), F.lit("Daily").alias("frequency"), F.lit("SA").alias("adjustment")).limit(1)
+    return Engine({"bars": event_bars(spark, sf_dir, "user_id"), "news": articles, "series": series, "statements": sheets, "profiles": profiles, "insiders": insiders, "markets": listed, "series_info": info})
 
 
 @query(f"WITH {USERS} SELECT symbol, date, round_even(open, 2) AS open, round_even(close, 2) AS close, volume FROM users WHERE symbol = '7' AND date BETWEEN DATE '2024-01-02' AND DATE '2024-01-20'")
@@ -264,15 +276,72 @@ def request_news(spark, sf_dir):
     return _engine(spark, sf_dir).get_news("all", "2024-01-03", "2024-01-15").value.select("title", "position", "published")
 
 
-@query("""WITH n AS (SELECT string_split(text, chr(10))[1] AS title, doc_id AS position, DATE '2024-01-01' + CAST(doc_id % 60 AS INT) AS published FROM documents), w AS (SELECT * FROM n WHERE published BETWEEN DATE '2024-01-13' AND DATE '2024-01-21' AND title <> '')
-    SELECT title, min(position) AS position FROM w GROUP BY title ORDER BY min(position) LIMIT 12""")
+@query("""WITH n AS (SELECT string_split(text, chr(10))[1] AS title, doc_id % 5 AS query_no, doc_id AS position, DATE '2024-01-01' + CAST(doc_id % 60 AS INT) AS published FROM documents WHERE string_split(text, chr(10))[1] <> ''),
+    u AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY title ORDER BY query_no, position) = 1), f AS (SELECT * FROM u ORDER BY query_no, position LIMIT 60)
+    SELECT title, query_no, position FROM f WHERE published BETWEEN DATE '2024-01-13' AND DATE '2024-01-21'""")
 def request_global_news(spark, sf_dir):
-    return _engine(spark, sf_dir).get_global_news("2024-01-20", 7, 12).value.select("title", "position")
+    return _engine(spark, sf_dir).get_global_news("2024-01-20", 7, 60).value.select("title", "query_no", "position")
+
+
+@query("""WITH n AS (SELECT string_split(text, chr(10))[1] AS title, doc_id % 5 AS query_no, doc_id AS position, DATE '2024-01-01' + CAST(doc_id % 60 AS INT) AS published FROM documents WHERE string_split(text, chr(10))[1] <> ''),
+    u AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY title ORDER BY query_no, position) = 1), f AS (SELECT * FROM u ORDER BY query_no, position LIMIT 200)
+    SELECT title, query_no, position FROM f WHERE published BETWEEN DATE '2024-01-26' AND DATE '2024-01-27'""")
+def request_global_news_one_day(spark, sf_dir):
+    """A look-back of no days is the day itself, not the usual look-back."""
+    return _engine(spark, sf_dir).get_global_news("2024-01-26", 0, 200).value.select("title", "query_no", "position")
+
+
+@query("""WITH c AS (SELECT last_day(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH) AS period_end, o_orderpriority AS line_item, sum(o_totalprice) AS value FROM orders WHERE o_custkey % 20 = 7 GROUP BY 1, 2)
+    SELECT period_end, line_item, round(value, 2) AS value FROM c WHERE period_end <= DATE '1997-08-15'""")
+def request_cashflow(spark, sf_dir):
+    return _engine(spark, sf_dir).get_cashflow("c7", "Quarterly", "1997-08-15").value.withColumn("value", F.round("value", 2))
+
+
+@query("""SELECT last_day(date_trunc('year', o_orderdate) + INTERVAL 11 MONTH) AS period_end, o_orderstatus AS line_item, round(sum(o_totalprice), 2) AS value FROM orders WHERE o_custkey % 20 = 7 GROUP BY 1, 2""")
+def request_income_statement(spark, sf_dir):
+    """Without a date all periods."""
+    return _engine(spark, sf_dir).get_income_statement("C7", "annual").value.withColumn("value", F.round("value", 2))
+
+
+@query("SELECT 'C3' AS symbol, CAST(o_orderdate AS DATE) AS filed, o_totalprice AS amount, o_orderkey AS number FROM orders WHERE o_custkey % 20 = 3")
+def request_insiders(spark, sf_dir):
+    return _engine(spark, sf_dir).get_insider_transactions("c3").value
+
+
+@query("""SELECT 'Will there be a ' || p_name || '?' AS question, CASE WHEN p_size % 5 <> 0 THEN p_retailprice ELSE 0 END AS volume, CAST('0.' || CAST(p_size + 10 AS VARCHAR) AS DOUBLE) AS probability, 'Yes' AS label, p_partkey AS event_no FROM part
+    WHERE contains(lower(p_name), 'red') AND p_partkey % 3 <> 0 AND p_partkey % 7 <> 0 ORDER BY CASE WHEN p_size % 5 <> 0 THEN p_retailprice ELSE 0 END DESC, p_partkey LIMIT 9""")
+def request_prediction_markets(spark, sf_dir):
+    return _engine(spark, sf_dir).get_prediction_markets("RED", "2024-06-01", 9).value.select("question", "volume", "probability", "label", "event_no")
+
+
+@query(f"""WITH {USERS}, u AS (SELECT *, row_number() OVER (ORDER BY date DESC) AS k, avg(close) OVER x AS a, avg(close) OVER y AS b FROM users WHERE symbol = '7' AND date <= DATE '2024-01-20' WINDOW x AS (ORDER BY date ROWS 49 PRECEDING), y AS (ORDER BY date ROWS 19 PRECEDING))
+    SELECT 'bar' AS section, unnest(['Open', 'High', 'Low', 'Close', 'Volume']) AS indicator, date, round(unnest([open, high, low, close, volume]), 4) AS value, NULL AS error FROM u WHERE k = 1
+    UNION ALL SELECT 'indicator', unnest(['close_50_sma', 'boll', 'magic']), date, round(unnest([a, b, NULL]), 4), unnest([NULL, NULL, 'unknown indicator magic']) FROM u WHERE k = 1
+    UNION ALL SELECT 'close', 'Close', date, round(close, 4), NULL FROM u WHERE k <= 4""")
+def request_snapshot(spark, sf_dir):
+    """The bar, the indicators (one of them unknown) and the newest closes."""
+    rows = _engine(spark, sf_dir).get_verified_market_snapshot("7", "2024-01-20", 4, ("close_50_sma", "boll", "magic"))
+    return rows.select("section", "indicator", "date", F.round("value", 4).alias("value"), "error")
+
+
+@query(f"""WITH {USERS}, w AS (SELECT symbol, max(date) AS date, arg_min(open, date) AS open, max(high) AS high, min(low) AS low, arg_max(close, date) AS close, sum(volume) AS volume FROM users GROUP BY symbol, date_trunc('week', date))
+    SELECT symbol, date, round(avg(high) OVER (PARTITION BY symbol ORDER BY date ROWS 2 PRECEDING), 4) AS value FROM w""")
+def indicator_parameters(spark, sf_dir):
+    """Of weeks, over three rows, of the high."""
+    return indicators.parameterised(event_bars(spark, sf_dir, "user_id"), "sma", "weekly", 3, "high").withColumn("value", F.round("value", 4))
+
+
+@query("""WITH s AS (SELECT CAST(o_orderdate AS DATE) AS date, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1), w AS (SELECT * FROM s WHERE date BETWEEN DATE '1998-06-30' - 365 AND DATE '1998-06-30'),
+    c AS (SELECT count(*) AS n, arg_min(value, date) AS a, arg_max(value, date) AS b FROM w)
+    SELECT date, value, n, b - a AS delta, round(100 * (b - a) / nullif(a, 0), 4) AS pct, 'Gross domestic product' AS title, 'Bil. $' AS units FROM w, c ORDER BY date DESC LIMIT 40""")
+def request_macro_change(spark, sf_dir):
+    """Forty rows, the change over all of the window, and what the series is."""
+    return _engine(spark, sf_dir).get_macro_indicators("GDP", "1998-06-30").value.select("date", "value", "n", "delta", F.round("pct", 4).alias("pct"), "title", "units")
 
 
 @query("""WITH s AS (SELECT CAST(o_orderdate AS DATE) AS date, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1) SELECT 'GDP' AS series, date, value FROM s WHERE date BETWEEN DATE '1998-06-30' - 365 AND DATE '1998-06-30' ORDER BY date DESC LIMIT 40""")
 def request_macro(spark, sf_dir):
-    return _engine(spark, sf_dir).get_macro_indicators("gdp", "1998-06-30").value
+    return _engine(spark, sf_dir).get_macro_indicators("gdp", "1998-06-30").value.select("series", "date", "value")
 
 
 @query("""SELECT 'Name' AS field, s_name AS value FROM supplier WHERE s_suppkey = 3 UNION ALL SELECT 'cash', CAST(s_acctbal AS VARCHAR) FROM supplier WHERE s_suppkey = 3""")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import cleaning, indicators, scan, timeseries
 from ..sources.routing import first_nonempty
 from ..sources.tables import average_bars, event_bars, line_bars, line_ticks, load
+from ..sources.work import work_folder
+from ..streaming import outcomes, runs
 from .registry import query
 
 AS_OF = "2024-01-20"
@@ -180,18 +182,36 @@ def forward_return(spark, sf_dir):
     return timeseries.forward_return(event_bars(spark, sf_dir), 5).select("symbol", "date", "close", F.round("fwd_return", 6).alias("fwd_return"))
 
 
-@query(f"""WITH {BARS}, bench AS (SELECT date, avg(close) AS close FROM bars GROUP BY date), k AS (SELECT symbol, date AS d FROM bars),
+EXCESS_SQL = f"""WITH {BARS}, bench AS (SELECT date, avg(close) AS close FROM bars GROUP BY date), k AS (SELECT symbol, date AS d FROM bars),
     a AS (SELECT k.symbol, k.d, b.close, row_number() OVER (PARTITION BY k.symbol, k.d ORDER BY b.date) - 1 AS i, count(*) OVER (PARTITION BY k.symbol, k.d) AS n FROM k JOIN bars b ON b.symbol = k.symbol AND b.date BETWEEN k.d AND k.d + 11),
     c AS (SELECT k.d, b.close, row_number() OVER (PARTITION BY k.d ORDER BY b.date) - 1 AS i, count(*) OVER (PARTITION BY k.d) AS n FROM (SELECT DISTINCT d FROM k) k JOIN bench b ON b.date BETWEEN k.d AND k.d + 11),
     t AS (SELECT k.symbol, k.d, least(5, (SELECT max(n) FROM a WHERE a.symbol = k.symbol AND a.d = k.d) - 1, (SELECT max(n) FROM c WHERE c.d = k.d) - 1) AS h FROM k),
     u AS (SELECT t.symbol, t.d, CASE WHEN h >= 1 THEN h END AS h FROM t)
     SELECT u.symbol, u.d AS date, CAST(h AS INT) AS days, round((a1.close - a0.close) / a0.close, 6) AS raw, round((a1.close - a0.close) / a0.close - (c1.close - c0.close) / c0.close, 6) AS alpha
     FROM u LEFT JOIN a a0 ON a0.symbol = u.symbol AND a0.d = u.d AND a0.i = 0 LEFT JOIN a a1 ON a1.symbol = u.symbol AND a1.d = u.d AND a1.i = h
-    LEFT JOIN c c0 ON c0.d = u.d AND c0.i = 0 LEFT JOIN c c1 ON c1.d = u.d AND c1.i = h""")
+    LEFT JOIN c c0 ON c0.d = u.d AND c0.i = 0 LEFT JOIN c c1 ON c1.d = u.d AND c1.i = h"""
+
+
+@query(EXCESS_SQL)
 def excess_return(spark, sf_dir):
     bars = event_bars(spark, sf_dir)
     out = timeseries.holding_outcome(bars.select("symbol", "date"), bars, average_bars(bars), rows=5)
-    return out.select("symbol", "date", F.col("days").cast("int").alias("days"), F.round("raw", 6).alias("raw"), F.round("alpha", 6).alias("alpha"))
+    return out.select("symbol", "date", F.col("days").cast("int").alias("days"), *_r("raw", "alpha", places=6))
+
+
+@query(EXCESS_SQL)
+def excess_return_stream(spark, sf_dir):
+    """The same rows from a stream: a decision for every bar, pending until its outcome is due. A last clock row lets all windows end."""
+    work = work_folder(spark, "outcomes")
+    bars = event_bars(spark, sf_dir)
+    rows = outcomes.outcome_rows(bars.select("symbol", "date"), bars, average_bars(bars))
+    clock = rows.groupBy("symbol").agg(F.lit(outcomes.CLOCK).alias("kind"), F.date_add(F.max("date"), 40).alias("date"), F.lit(None).cast("double").alias("close"))
+    rows.unionByName(clock).write.parquet(f"{work}/in")
+    stream = spark.readStream.schema(outcomes.INPUT).parquet(f"{work}/in")
+    with runs.rocksdb(spark):
+        running = runs.run_to_table(outcomes.resolved(stream), f"{work}/out", f"{work}/checkpoint")
+    running.awaitTermination()
+    return spark.read.schema(outcomes.RESOLVED).parquet(f"{work}/out").select("symbol", "date", "days", *_r("raw", "alpha", places=6))
 
 
 @query(f"""WITH {USERS}, {BARS}, q AS (SELECT symbol, date FROM users), b AS (SELECT symbol, date, close FROM users WHERE CAST(volume AS INT) % 2 = 0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import next_weekday
@@ -10,6 +11,7 @@ from ..operators import decision_log, news, telemetry
 from ..sources.log_table import LogTable
 from ..sources.tables import load
 from ..sources.work import work_folder
+from ..streaming import run_state, runs
 from .registry import query
 
 _NEWS_SQL = """n AS (SELECT string_split(text, chr(10))[1] AS title, source AS publisher, doc_id % 5 AS query_no, doc_id AS position, CASE WHEN doc_id % 13 <> 0 THEN DATE '2024-01-01' + CAST(doc_id % 60 AS INT) END AS published FROM documents)"""
@@ -220,3 +222,39 @@ def next_weekdays(spark, sf_dir):
 def message_dedup(spark, sf_dir):
     c = load(spark, sf_dir, "conversations").withColumn("key", F.concat_ws("/", "conv_id", "turn"))
     return news.keep_first_known(c, "key", ["role", "text"]).select("conv_id", "turn", "role", "text")
+
+
+STAGES = ("market", "social", "news", "fundamentals")
+
+
+def run_snapshots(spark, sf_dir):
+    """Conversations as runs: a turn is a snapshot a minute after the one before, with the reports of all turns so far; some messages have no id."""
+    c = load(spark, sf_dir, "conversations")
+    seq = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    rows = c.select(F.col("conv_id").cast("string").alias("run"), seq.cast("long").alias("seq"), F.when(F.col("turn") % 5 != 4, F.concat_ws("/", "role", F.substr("text", F.lit(1), F.lit(3)))).alias("id"), "text", "turn")
+    so_far = W.partitionBy("run").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    reports = {s: F.last(F.when(F.col("turn") == 2 * k, F.col("text")), True).over(so_far) for k, s in enumerate(STAGES)}
+    return rows.withColumns(reports).withColumn("at", F.timestamp_seconds(F.lit(1704067200) + 60 * F.col("seq"))).drop("turn")
+
+
+RUN_STATE_SQL = """WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS run, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS seq, CASE WHEN turn % 5 <> 4 THEN role || '/' || substr(text, 1, 3) END AS id, text, turn FROM conversations),
+    m AS (SELECT * FROM c QUALIFY id IS NULL OR row_number() OVER (PARTITION BY run, id ORDER BY seq) = 1), n AS (SELECT run, count(*) AS n FROM m GROUP BY run),
+    f AS (SELECT run, unnest(['market', 'social', 'news', 'fundamentals']) AS name, unnest([1, 2, 3, 4]) AS k FROM (SELECT DISTINCT run FROM c)),
+    e AS (SELECT f.run, f.name, f.k, min(c.seq) AS ended FROM f LEFT JOIN c ON c.run = f.run AND c.turn = 2 * (f.k - 1) AND c.text <> '' GROUP BY 1, 2, 3),
+    g AS (SELECT *, max(CASE WHEN ended IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS waits, coalesce(max(coalesce(ended, 1000000)) OVER (PARTITION BY run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS before FROM e)
+    SELECT run, 'stage' AS kind, CAST(k AS INT) AS rank, name, CASE WHEN ended IS NOT NULL THEN 'completed' WHEN waits = 1 THEN 'pending' ELSE 'in_progress' END AS status, CASE WHEN ended IS NOT NULL THEN CAST(60 * (ended - least(ended, before)) AS DOUBLE) END AS wall_s, NULL AS text, n AS n_messages FROM g JOIN n USING (run)
+    UNION ALL SELECT run, 'message', CAST(row_number() OVER (PARTITION BY run ORDER BY seq DESC) AS INT) AS rank, id, NULL, NULL, text, n FROM m JOIN n USING (run) QUALIFY rank <= 3"""
+
+
+@query(RUN_STATE_SQL)
+def run_state_stream(spark, sf_dir):
+    """Buffers of three messages, so that they overflow; a row of another run lets time go on."""
+    work = work_folder(spark, "runs")
+    rows = run_snapshots(spark, sf_dir)
+    rows = rows.unionByName(rows.limit(1).withColumn("run", F.lit("clock")).withColumn("at", F.timestamp_seconds(F.lit(1704067200 + 10**7))))
+    rows.write.parquet(f"{work}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{work}/in")
+    with runs.rocksdb(spark):
+        running = runs.run_to_table(run_state.run_states(stream, list(STAGES), most=3), f"{work}/out", f"{work}/checkpoint")
+    running.awaitTermination()
+    return spark.read.schema(run_state.STATE).parquet(f"{work}/out")

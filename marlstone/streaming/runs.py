@@ -5,6 +5,8 @@ The windowed aggregates are an extension: the engine's own needs are the keyed s
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +35,16 @@ def sessions(ticks: DataFrame, by: str, time: str, gap: str = "30 minutes", late
     return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), by, "n")
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """State on disk, as lists, maps and timers by key need it; for queries that start from now on."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """State on disk, as lists, maps and timers by key need it, for queries that are started inside."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):

@@ -100,3 +100,28 @@ def test_rendered_decisions(spark):
     assert got[3].split("\n") == ["**Overall Sentiment:** **Buy** (Score: 7.3/10)", "**Confidence:** High", "", "why"]
     with pytest.raises(Exception, match="outside"):
         df.select(render.in_range(c("e"), 0, 10)).collect()
+
+
+def test_references_like_the_standard_library(spark):
+    """Every name with and without its semicolon and with letters behind it, numbers at all bounds, and random mixtures."""
+    import html
+    import html.entities
+    import random
+
+    r = random.Random(8)
+    names = list(html.entities.html5)
+    texts = [f"a&{n}b" for n in names] + [f"&{n.rstrip(';')}" for n in names] + [f"&{n.rstrip(';')}zz; &" for n in names]
+    for n in [*range(0, 300), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFDEF, 0xFFFD, 0xFFFE, 0x1F600, 0x1FFFF, 0x10FFFF, 0x110000, 10**12]:
+        texts += [f"&#{n};x", f"&#{n} ", f"&#x{n:x};", f"&#X{n:X}g", f"&#000{n};"]
+    pieces = ["&", "amp", "AMP", ";", "#", "x", "65", "lt", "notit", "not", "é", " ", "\n", "<", "copy", "&&", "nbsp;", "#x41", "frac12", "x" * 40]
+    texts += ["".join(r.choice(pieces) for _ in range(r.randint(1, 9))) for _ in range(3000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string")
+    got = {x["i"]: x["u"] for x in df.select("i", text.unescape(F.col("t")).alias("u")).collect()}
+    assert got[-1] is None
+    wrong = [(t, got[i], html.unescape(t)) for i, t in enumerate(texts) if got[i] != html.unescape(t)]
+    assert wrong == []
+
+
+def test_markup_needs_no_python(spark):
+    plan = spark.createDataFrame([("a&amp;b",)], "t string").select(text.strip_markup(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "ArrowEval" not in plan

@@ -346,7 +346,9 @@ def test_requests(spark):
     rows = engine.get_indicators("XAU", "RSI, magic,close_5_sma", "2026-05-13", 10).value.collect()
     assert sorted({r["indicator"] for r in rows}) == ["close_5_sma", "magic", "rsi"] and [r["status"] for r in rows if r["indicator"] == "magic"] == ["error"]
     assert sum(r["indicator"] == "rsi" and r["status"] == "ok" for r in rows) == 8 and sum(r["status"] == "non_trading" for r in rows) == 6
-    snap = {r["indicator"]: r for r in engine.get_verified_market_snapshot("XAU", "2026-05-16").collect()}
+    whole = engine.get_verified_market_snapshot("XAU", "2026-05-16", 999).collect()
+    snap = {r["indicator"]: r for r in whole if r["section"] == "indicator"}
+    assert {r["indicator"]: r["value"] for r in whole if r["section"] == "bar"}["Close"] == 131 and sum(r["section"] == "close" for r in whole) == 30
     assert set(snap) == set(indicators.SNAPSHOT) and snap["rsi"]["value"] == 100 and snap["rsi"]["date"] == D(2026, 5, 15)
     assert engine.get_insider_transactions("nobody").value.count() == 0 and engine.get_macro_indicators("cpi", "2026-06-11").value.count() == 1
     assert engine.get_macro_indicators("gdp", "2026-06-11").status == "no_data" and engine.get_news("A", "2026-01-01", "2026-02-01").status == "no_data"
@@ -357,4 +359,25 @@ def test_requests(spark):
 def test_snapshot_with_a_bad_name(spark):
     got = {r["indicator"]: (r["value"], r["error"]) for r in indicators.snapshot(bars(spark), ("boll", "nope")).collect()}
     assert got["boll"] == (pytest.approx(119.5), None) and got["nope"][0] is None and "nope" in got["nope"][1]
+    # One that lacks its columns is an error of its own, too.
+    got = {r["indicator"]: (r["value"], r["error"]) for r in indicators.snapshot(bars(spark).drop("high"), ("boll", "atr")).collect()}
+    assert got["boll"] == (pytest.approx(119.5), None) and got["atr"][0] is None and "atr" in got["atr"][1]
     assert not indicators.is_known("mfi", "vendor") and indicators.is_known("vwma", "vendor")
+
+
+def test_global_news_in_order(spark):
+    """The first titles are taken before the window: of twenty dated ones with a limit of five none is left of a late window."""
+    rows = [("all", f"t{i}", i, dt.datetime(2026, 1, 1) + dt.timedelta(i)) for i in range(20)]
+    engine = api.Engine({"news": spark.createDataFrame(rows, "symbol string, title string, position int, published timestamp_ntz")})
+    assert engine.get_global_news("2026-01-17", 4, 5).status == "no_data"
+    assert [r["title"] for r in engine.get_global_news("2026-01-17", 4, 15).value.collect()] == ["t12", "t13", "t14"]
+    assert engine.get_global_news("2026-01-04", 0, 20).value.count() == 2 and engine.get_global_news("2026-01-04", 3, 0).status == "no_data"
+
+
+def test_vendor_parameters(spark):
+    got = indicators.parameterised(bars(spark, 10), "sma", "weekly", 2, "open").orderBy("date").collect()
+    assert [(r["date"], r["value"]) for r in got] == [(D(2026, 4, 3), 99.5), (D(2026, 4, 10), 101.0), (D(2026, 4, 14), 105.0)]
+    assert indicators.parameterised(bars(spark, 10), "ema", time_period=3).count() == indicators.parameterised(bars(spark, 10), "boll_ub").count() == 10
+    for wrong in ({"interval": "hourly"}, {"series_type": "volume"}, {"function": "magic"}):
+        with pytest.raises(ValueError):
+            indicators.parameterised(bars(spark, 10), **{"function": "sma", **wrong})

@@ -14,8 +14,8 @@ D0 = dt.date(2024, 1, 1)
 
 @pytest.fixture()
 def rocks(spark):
-    runs.use_rocksdb(spark)
-    return spark
+    with runs.rocksdb(spark):
+        yield spark
 
 
 def market(spark, seed, symbols=6, days=60):
