@@ -7,13 +7,15 @@ the values straight from the tables.
 from __future__ import annotations
 
 from pyspark.sql import Column
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..api import Engine
 from ..functions import dates, render, symbols, text
 from ..operators import checkpoints, identity, indicators, news, telemetry, timeseries
-from ..sources import files, payloads
+from ..sources import files, payloads, routing
 from ..sources.tables import event_bars, load
+from ..sources.work import work_folder
 from .market import BARS, USERS
 from .records import _STATUS, _reports
 from .registry import query
@@ -349,3 +351,40 @@ def request_fundamentals(spark, sf_dir):
     engine = _engine(spark, sf_dir)
     sheet = engine.get_balance_sheet("s3", "annual", "2025-01-01").value.select(F.col("line_item").alias("field"), F.col("value").cast("string").alias("value"))
     return engine.get_fundamentals("S3").value.select("field", "value").unionByName(sheet)
+
+
+_TRIES = """t AS (SELECT o_custkey AS key, o_orderkey % 4 AS priority, CASE WHEN o_orderkey % 11 < 2 THEN 'ok' WHEN o_orderkey % 11 < 5 THEN 'no_data' WHEN o_orderkey % 11 < 8 THEN 'rate_limited' WHEN o_orderkey % 11 < 9 THEN 'not_configured' ELSE 'error' END AS status,
+    o_totalprice AS value, CAST(o_orderkey AS VARCHAR) AS detail FROM orders WHERE o_custkey % 7 <> 3 OR o_orderkey % 11 BETWEEN 5 AND 7 QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderkey % 4 ORDER BY o_orderkey) = 1)"""
+
+
+@query(f"""WITH {_TRIES}, g AS (SELECT key, min(priority) FILTER (status = 'ok') AS a, max(priority) FILTER (status = 'no_data') AS b, min(priority) FILTER (status IN ('error', 'not_configured')) AS c FROM t GROUP BY key)
+    SELECT g.key, CASE WHEN a IS NOT NULL THEN 'ok' WHEN b IS NOT NULL THEN 'no_data' WHEN c IS NOT NULL AND g.key % 2 = 0 THEN 'unavailable' ELSE 'error' END AS status, 's' || CAST(a AS VARCHAR) AS source, x.value,
+    CASE WHEN a IS NOT NULL THEN NULL WHEN b IS NOT NULL THEN y.detail WHEN c IS NOT NULL THEN z.detail ELSE 'no source could serve it' END AS detail
+    FROM g LEFT JOIN t x ON x.key = g.key AND x.priority = a LEFT JOIN t y ON y.key = g.key AND y.priority = b LEFT JOIN t z ON z.key = g.key AND z.priority = c""")
+def settled_answers(spark, sf_dir):
+    """Orders as tries of four sources for each customer; every second customer's request is an optional one."""
+    o = load(spark, sf_dir, "orders").where("o_custkey % 7 <> 3 OR o_orderkey % 11 BETWEEN 5 AND 7")
+    first = o.groupBy(F.col("o_custkey").alias("key"), (F.col("o_orderkey") % 4).alias("priority")).agg(F.min("o_orderkey").alias("k"), F.min_by("o_totalprice", "o_orderkey").alias("value"))
+    kind = F.col("k") % 11
+    status = F.when(kind < 2, "ok").when(kind < 5, "no_data").when(kind < 8, "rate_limited").when(kind < 9, "not_configured").otherwise("error")
+    tries = first.select("key", "priority", F.concat(F.lit("s"), F.col("priority").cast("string")).alias("source"), status.alias("status"), "value", F.col("k").cast("string").alias("detail"))
+    return routing.settled(tries, ["key"], F.col("key") % 2 == 0)
+
+
+@query("""WITH e AS (SELECT o_orderkey, '[' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ' | C' || CAST(o_custkey AS VARCHAR) || ' | Hold | pending]' AS tag, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders WHERE o_orderstatus = 'P'),
+    f AS (SELECT *, CASE WHEN n < 3 THEN 'a' WHEN n < 200 THEN 'b' ELSE 'c' END AS file FROM e)
+    SELECT substr(tag, 2, 10) AS date, string_split(tag, ' | ')[2] AS symbol, CAST(o_orderkey AS VARCHAR) AS decision, CAST(row_number() OVER (ORDER BY n) AS BIGINT) AS rank FROM f QUALIFY row_number() OVER (ORDER BY n DESC) <= 50 OR n < 10""")
+def decision_log_files(spark, sf_dir):
+    """A log in three files, the first of them the smallest: its first and its newest entries by seq."""
+    o = load(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    work = work_folder(spark, "logs")
+    # Places by a window, and each file as one text of its entries.
+    n = F.row_number().over(W.orderBy("o_orderkey")) - 1
+    tag = F.concat(F.lit("["), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" | C"), F.col("o_custkey").cast("string"), F.lit(" | Hold | pending]"))
+    entry = F.concat(tag, F.lit("\n\nDECISION:\n"), F.col("o_orderkey").cast("string"), F.lit(f"\n\n{files.ENTRY_END}"))
+    rows = o.select(n.alias("n"), entry.alias("entry")).withColumn("file", F.when(F.col("n") < 3, "a").when(F.col("n") < 200, "b").otherwise("c"))
+    whole = rows.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "entry"))), lambda x: x["entry"]), "\n\n").alias("value"))
+    whole.repartition("file").write.partitionBy("file").text(f"{work}/log")
+    log = files.read_decision_log(spark, f"{work}/log/*/*.txt").withColumn("seq", F.row_number().over(W.orderBy("seq")).cast("long"))
+    last = log.agg(F.max("seq")).first()[0] or 0
+    return log.where((F.col("seq") <= 10) | (F.col("seq") > last - 50)).select("date", "symbol", "decision", F.col("seq").alias("rank"))

@@ -6,7 +6,8 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import NoData, NotConfigured, RateLimited
@@ -87,13 +88,56 @@ class Router:
 
 
 def first_nonempty(frames: list[tuple[str, DataFrame]], keys: list[str]) -> DataFrame:
-    """For each key the rows of the first source, in order, that has any; with ``source``."""
+    """For each key the rows of the first source, in order, that has any; with ``source``. Each source is scanned once, and rows of a key meet in one exchange."""
     out = None
     for k, (name, df) in enumerate(frames):
         df = df.withColumn("source", F.lit(name)).withColumn("_priority", F.lit(k))
         out = df if out is None else out.unionByName(df)
-    best = out.groupBy(*keys).agg(F.min("_priority").alias("_priority"))
-    return out.join(best, [*keys, "_priority"], "left_semi").drop("_priority")
+    best = F.min("_priority").over(W.partitionBy(*keys))
+    return out.withColumn("_best", best).where("_priority = _best").drop("_priority", "_best")
+
+
+#: What a source's try for a key came to.
+OK, NO_DATA, RATE_LIMITED, NOT_CONFIGURED, ERROR = "ok", "no_data", "rate_limited", "not_configured", "error"
+
+
+def chains(methods: DataFrame, settings: DataFrame) -> DataFrame:
+    """method, source, priority and explicit: who is asked for each method, in which order, from tables.
+
+    methods (method, source, place): the sources that serve a method, place being their usual order. settings
+    (scope, sources): a list separated by commas for a method, or for its category; a method's own beats its category's, and a setting is exact: others aren't
+    asked, names that don't serve the method drop out. No setting, or only ``default``, asks all. A method whose setting leaves none has one row without a source.
+    """
+    category = {m: c for c, names in CATEGORIES.items() for m in names}
+    named = methods.select("method").distinct()
+    of = F.create_map(*(F.lit(x) for pair in category.items() for x in pair))
+    own = settings.select(F.col("scope").alias("method"), F.col("sources").alias("_own"))
+    shared = settings.select(F.col("scope").alias("_category"), F.col("sources").alias("_shared"))
+    asked = named.withColumn("_category", F.try_element_at(of, F.col("method"))).join(own, "method", "left").join(shared, "_category", "left")
+    listed = F.filter(F.transform(F.split(F.coalesce("_own", "_shared", F.lit("default")), ","), lambda x: F.trim(x)), lambda x: (x != "") & (x != "default"))
+    asked = asked.select("method", listed.alias("_named"))
+    rows = methods.join(asked, "method").withColumn("explicit", F.size("_named") > 0)
+    rows = rows.withColumn("priority", F.when(F.col("explicit"), F.array_position("_named", F.col("source")).cast("int") - 1).otherwise(F.col("place").cast("int")))
+    found = rows.where("priority >= 0").select("method", "source", "priority", "explicit")
+    none = rows.groupBy("method").agg(F.max("priority").alias("_p")).where("_p < 0").select("method", F.lit(None).cast("string").alias("source"), F.lit(None).cast("int").alias("priority"), F.lit(True).alias("explicit"))
+    return found.unionByName(none)
+
+
+def settled(tries: DataFrame, keys: list[str], optional: Column | None = None) -> DataFrame:
+    """keys, status, source, value and detail of each key: what :meth:`Router.ask` makes of the tries of its sources, by one aggregate.
+
+    tries: keys, priority, source, status (one of the names above), value and detail. The first source that is ok answers. Else
+    no_data, with the detail of the last one to say so; else the first error (of a source that isn't configured, too), which is ``unavailable`` where optional holds. Rate limits alone are an
+    error in every case. Sources after the one that answers count for nothing.
+    """
+    at = lambda *kinds: F.when(F.col("status").isin(*kinds), F.col("priority"))
+    out = tries.withColumn("_optional", F.lit(False) if optional is None else optional).groupBy(*keys).agg(
+        F.min_by(F.struct("source", "value"), at(OK)).alias("_ok"), F.max_by("detail", at(NO_DATA)).alias("_why"), F.max(at(NO_DATA)).alias("_none"),
+        F.min_by("detail", at(ERROR, NOT_CONFIGURED)).alias("_error"), F.min(at(ERROR, NOT_CONFIGURED)).alias("_failed"), F.bool_or("_optional").alias("_optional"),
+    )
+    status = F.when(F.col("_ok").isNotNull(), OK).when(F.col("_none").isNotNull(), NO_DATA).when(F.col("_failed").isNotNull() & F.col("_optional"), "unavailable").otherwise(ERROR)
+    detail = F.when(status == NO_DATA, F.col("_why")).when(F.col("_failed").isNotNull(), F.col("_error")).otherwise("no source could serve it")
+    return out.select(*keys, status.alias("status"), F.col("_ok.source").alias("source"), F.col("_ok.value").alias("value"), F.when(status != OK, detail).alias("detail"))
 
 
 def with_backoff(call: Callable, retries: int = 3, base: float = 2.0, sleep: Callable = time.sleep):
@@ -147,4 +191,4 @@ def coerce_setting(text: str, like):
     return type(like)(text) if isinstance(like, (int, float)) else text
 
 
-__all__ = ["Answer", "NotConfigured", "Router", "category_of", "coerce_setting", "first_nonempty", "merge_config", "retry_after", "retry_once", "with_backoff"]
+__all__ = ["Answer", "NotConfigured", "Router", "category_of", "chains", "coerce_setting", "first_nonempty", "settled", "merge_config", "retry_after", "retry_once", "with_backoff"]

@@ -348,7 +348,7 @@ def test_requests(spark):
     assert sum(r["indicator"] == "rsi" and r["status"] == "ok" for r in rows) == 8 and sum(r["status"] == "non_trading" for r in rows) == 6
     whole = engine.get_verified_market_snapshot("XAU", "2026-05-16", 999).collect()
     snap = {r["indicator"]: r for r in whole if r["section"] == "indicator"}
-    assert {r["indicator"]: r["value"] for r in whole if r["section"] == "bar"}["Close"] == 131 and sum(r["section"] == "close" for r in whole) == 30
+    assert {r["indicator"]: r["value"] for r in whole if r["section"] == "bar"}["Close"] == 132 and sum(r["section"] == "close" for r in whole) == 30
     assert set(snap) == set(indicators.SNAPSHOT) and snap["rsi"]["value"] == 100 and snap["rsi"]["date"] == D(2026, 5, 15)
     assert engine.get_insider_transactions("nobody").value.count() == 0 and engine.get_macro_indicators("cpi", "2026-06-11").value.count() == 1
     assert engine.get_macro_indicators("gdp", "2026-06-11").status == "no_data" and engine.get_news("A", "2026-01-01", "2026-02-01").status == "no_data"
@@ -381,3 +381,64 @@ def test_vendor_parameters(spark):
     for wrong in ({"interval": "hourly"}, {"series_type": "volume"}, {"function": "magic"}):
         with pytest.raises(ValueError):
             indicators.parameterised(bars(spark, 10), **{"function": "sma", **wrong})
+
+
+def test_a_log_of_several_files(spark, tmp_path):
+    """Files follow one another by name, a small one before a larger one; rotation and context take the newest of the log."""
+    entry = lambda day, symbol: f"[{day} | {symbol} | Buy | 1.0% | 0.5% | 5d]\n\nDECISION:\nx\n\n{files.ENTRY_END}\n\n"
+    (tmp_path / "2026-01.md").write_text(entry("2026-01-02", "JAN"))
+    (tmp_path / "2026-02.md").write_text("".join(entry(f"2026-02-{i:02d}", f"F{i}") for i in range(1, 29)))
+    (tmp_path / "2026-03.md").write_text(entry("2026-03-02", "MAR"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512b")
+    try:
+        log = files.read_decision_log(spark, str(tmp_path))
+        assert [r["symbol"] for r in log.orderBy("seq").collect()] == ["JAN", *(f"F{i}" for i in range(1, 29)), "MAR"]
+        assert {r["symbol"] for r in decision_log.rotate(log, 2).collect()} == {"F28", "MAR"}
+        assert [r["symbol"] for r in decision_log.past_context(log, "MAR", 1, 2).orderBy("kind", "rank").collect()] == ["F28", "F27", "MAR"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_chains_from_tables(spark):
+    """A method's setting beats its category's and is exact; names that don't serve drop out; none left is a row of its own; default asks all."""
+    methods = spark.createDataFrame([(m, s, k) for m in ("get_news", "get_global_news", "get_stock_data", "get_indicators", "get_macro_indicators") for k, s in enumerate(("a", "b"))], "method string, source string, place int")
+    settings = spark.createDataFrame([("news_data", "a"), ("get_news", " b , a,zzz"), ("technical_indicators", "zzz"), ("core_stock_apis", "default")], "scope string, sources string")
+    got = sorted(((r["method"], r["priority"], r["source"], r["explicit"]) for r in routing.chains(methods, settings).collect()), key=repr)
+    assert got == sorted([("get_news", 0, "b", True), ("get_news", 1, "a", True), ("get_global_news", 0, "a", True), ("get_stock_data", 0, "a", False), ("get_stock_data", 1, "b", False), ("get_indicators", None, None, True), ("get_macro_indicators", 0, "a", False), ("get_macro_indicators", 1, "b", False)], key=repr)
+
+
+def test_settled_like_the_router(spark):
+    """All statuses of three sources, as rows and as calls."""
+    import itertools
+
+    def call(status, k):
+        def f():
+            if status == "ok":
+                return f"v{k}"
+            raise {"no_data": NoData("x", detail=f"d{k}"), "rate_limited": RateLimited(), "not_configured": NotConfigured(f"e{k}"), "error": KeyError(f"e{k}")}[status]
+
+        return f
+
+    rows, want = [], {}
+    for n, (statuses, optional) in enumerate(itertools.product(itertools.product(("ok", "no_data", "rate_limited", "not_configured", "error"), repeat=3), (False, True))):
+        router, method = routing.Router(), "get_macro_indicators" if optional else "get_news"
+        for k, s in enumerate(statuses):
+            router.register(method, f"s{k}", call(s, k))
+            rows.append((n, optional, k, f"s{k}", s, f"v{k}" if s == "ok" else None, f"{'d' if s == 'no_data' else 'e'}{k}"))
+        try:
+            a = router.ask(method)
+            want[n] = (a.status, a.source, a.value)
+        except Exception:  # noqa: BLE001
+            want[n] = ("error", None, None)
+    tries = spark.createDataFrame(rows, "key int, optional boolean, priority int, source string, status string, value string, detail string")
+    got = {r["key"]: r for r in routing.settled(tries, ["key"], F.col("optional")).collect()}
+    assert {k: (r["status"], r["source"], r["value"]) for k, r in got.items()} == want
+    last = [r for r in got.values() if r["status"] == "no_data" and r["detail"] == "d2"]
+    assert last and all(r["detail"] is None for r in got.values() if r["status"] == "ok")
+
+
+def test_one_scan_of_each_source(spark, tmp_path):
+    bars(spark).write.parquet(str(tmp_path / "a"))
+    df = spark.read.parquet(str(tmp_path / "a"))
+    plan = routing.first_nonempty([("one", df.where("close > 110")), ("two", df)], ["symbol"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 4 and plan.count("Exchange hash") <= 2 and "Join" not in plan
