@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, indicators, scan, timeseries
+from ..sources import vendor
 from ..sources.routing import first_nonempty
 from ..sources.tables import average_bars, event_bars, line_bars, line_ticks, load
 from ..sources.work import work_folder
@@ -46,6 +47,15 @@ def range_scan(spark, sf_dir):
     return cleaning.between(event_bars(spark, sf_dir, "user_id"), "2024-01-05", "2024-01-12").select("symbol", "date", "close")
 
 
+@query(f"WITH {USERS} SELECT symbol, date, close FROM users WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'")
+def vendor_range_scan(spark, sf_dir):
+    """The same rows from a vendor's answers, a file for each symbol and month; the bounds are pushed into the source."""
+    work = work_folder(spark, "answers")
+    vendor.record(event_bars(spark, sf_dir, "user_id"), work)
+    vendor.use_vendor(spark)
+    return cleaning.between(spark.read.format("vendor_bars").option("path", work).load(), "2024-01-05", "2024-01-12").select("symbol", "date", "close")
+
+
 @query("""WITH raw AS (SELECT CASE WHEN event_id % 11 = 0 THEN 'n/a' ELSE CAST(CAST(ts AS DATE) AS VARCHAR) END AS d, CASE WHEN event_id % 7 = 0 THEN '-' ELSE CAST(value AS VARCHAR) END AS c,
     CASE WHEN event_id % 5 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END AS v, event_id FROM events)
     SELECT event_id, TRY_CAST(d AS DATE) AS date, round(TRY_CAST(c AS DOUBLE), 4) AS close, TRY_CAST(v AS DOUBLE) AS volume FROM raw WHERE TRY_CAST(d AS DATE) IS NOT NULL AND TRY_CAST(c AS DOUBLE) IS NOT NULL""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import next_weekday
 from ..functions.text import strip_markup, truncate
 from ..operators import decision_log, news, telemetry
+from ..sources import report_files
 from ..sources.log_table import LogTable
 from ..sources.tables import load
 from ..sources.work import work_folder
@@ -258,3 +259,20 @@ def run_state_stream(spark, sf_dir):
         running = runs.run_to_table(run_state.run_states(stream, list(STAGES), most=3), f"{work}/out", f"{work}/checkpoint")
     running.awaitTermination()
     return spark.read.schema(run_state.STATE).parquet(f"{work}/out")
+
+
+_PARTS = "r AS (SELECT CAST(conv_id AS VARCHAR) AS run, max(text) FILTER (turn = 0) AS a, max(text) FILTER (turn = 1) AS b, max(text) FILTER (turn = 2) AS c, max(text) FILTER (turn = 3) AS d FROM conversations GROUP BY 1)"
+
+
+@query(f"""WITH {_PARTS}, p AS (SELECT run, 1 AS n, 'analysts' AS section, 'market' AS part, a AS text FROM r UNION ALL SELECT run, 1, 'analysts', 'social', b FROM r UNION ALL SELECT run, 2, 'research', 'news', c FROM r UNION ALL SELECT run, 3, 'portfolio', 'fundamentals', d FROM r),
+    k AS (SELECT * FROM p WHERE trim(text, E' \\n\\t\\r') <> ''), s AS (SELECT run, n, section, string_agg('### ' || part || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY part) AS body FROM k GROUP BY 1, 2, 3)
+    SELECT run, n || '_' || section || '/' || part || '.md' AS path, text FROM k UNION ALL SELECT run, 'complete_report.md', '# Report: ' || run || chr(10) || chr(10) || string_agg('## ' || n || '. ' || section || chr(10) || chr(10) || body, chr(10) ORDER BY n) FROM s GROUP BY run
+    UNION ALL SELECT CAST(conv_id AS VARCHAR), 'messages.log', string_agg(role || ': ' || replace(text, chr(10), ' '), chr(10) ORDER BY turn, role || ': ' || replace(text, chr(10), ' ')) || chr(10) FROM conversations GROUP BY 1""")
+def report_tree_files(spark, sf_dir):
+    """Reports and logs of all conversations as files, written by the executors and read back."""
+    sections = {"analysts": {"market": "market", "social": "social"}, "research": {"news": "news"}, "portfolio": {"fundamentals": "fundamentals"}}
+    messages = load(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "run")
+    rows = report_files.tree_rows(_reports(spark, sf_dir), sections).unionByName(report_files.log_rows(messages, ["turn"], F.concat_ws(": ", "role", "text")))
+    work = work_folder(spark, "reports")
+    report_files.write_files(rows, work)
+    return report_files.read_files(spark, work)
