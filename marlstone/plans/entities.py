@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import macro, symbols
 from ..functions.text import first_probability, json_strings, parse_rating
-from ..operators import markets, statements, timeseries
+from ..operators import markets, rules, statements, timeseries
 from ..sources.tables import load
 from .registry import query
 
@@ -16,51 +16,46 @@ MACRO = ["cpi", "Fed Funds Rate", "10y-treasury", " VIX ", "dgs30", "bank of jap
 TEXTS = ["Rating: Buy", "**Rating**: **Sell** now", "I would hold.\nRating - Underweight", "nothing here", "We Overweight this", "rating: maybe\nsell*", "Final RATING:   overweight", ""]
 
 
+#: What is expected of each of them, written out.
+CANONICAL = ["GC=F", "^GSPC", "EURUSD=X", "BTC-USD", "BTC-USD", "ABCDEF", "", "AAPL", "GC=F", "USDUSD=X", "ETH-USD", "XUSDT", "7203.T", "0700.HK", "600519.SS", "BRK.B", "ABC$", "...", "GC=F", "DOT-USD"]
+CRYPTO_AT, UNSAFE_AT, UNSAFE_PATH_AT, REFUSED_AT = (3, 4, 10, 19), (0, 6, 7, 16, 18), (6, 7, 16, 17), (0, 16, 18)
+INDEX_OF = {12: "^N225", 13: "^HSI", 14: "000001.SS"}
+SERIES_OF = ["CPIAUCSL", "FEDFUNDS", "DGS10", "VIXCLS", "DGS30", None, None, None, "M2SL", "GDP"]
+RATING_OF = ["Buy", "Sell", "Underweight", "Hold", "Overweight", "Sell", "Overweight", "Hold"]
+
+
 def _pick(values: list[str], key: str):
     return F.get(F.array(*(F.lit(v) for v in values)), (F.col(key) % len(values)).cast("int"))
 
 
 def _pick_sql(values: list[str], key: str) -> str:
-    quoted = ", ".join("'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for v in values)
+    quoted = ", ".join("NULL" if v is None else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for v in values)
     return f"list_extract([{quoted}], CAST({key} % {len(values)} AS INT) + 1)"
 
 
-def _case(values: dict[str, str], key: str) -> str:
-    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
-
-
-def _in(values) -> str:
-    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+def _at(places: tuple[int, ...], n: int) -> str:
+    return f"p_partkey % {n} IN ({', '.join(map(str, places))})"
 
 
-_CANON = f"""r AS (SELECT p_partkey, {_pick_sql(RAW, 'p_partkey')} AS raw FROM part), s AS (SELECT *, regexp_replace(upper(trim(raw)), '\\++$', '') AS s FROM r),
-    c AS (SELECT *, regexp_extract(replace(s, '-', ''), '^(.*?)(USDT|USDC|USD)$', 1) AS base FROM s),
-    n AS (SELECT p_partkey, raw, CASE WHEN trim(raw) = '' THEN raw WHEN {_case(symbols.ALIASES, 's')} IS NOT NULL THEN {_case(symbols.ALIASES, 's')} WHEN base IN {_in(symbols.CRYPTO)} THEN base || '-USD'
-    WHEN length(s) = 6 AND substr(s, 1, 3) IN {_in(symbols.CURRENCIES)} AND substr(s, 4, 3) IN {_in(symbols.CURRENCIES)} THEN s || '=X' ELSE s END AS canonical FROM c)"""
-
-
-@query(f"WITH {_CANON} SELECT p_partkey, raw, canonical FROM n")
+@query(f"SELECT p_partkey, {_pick_sql(RAW, 'p_partkey')} AS raw, {_pick_sql(CANONICAL, 'p_partkey')} AS canonical FROM part")
 def normalize_symbol(spark, sf_dir):
     df = load(spark, sf_dir, "part").select("p_partkey", _pick(RAW, "p_partkey").alias("raw"))
     return df.withColumn("canonical", symbols.normalize_symbol(F.col("raw")))
 
 
-@query(f"""WITH {_CANON} SELECT p_partkey, CASE WHEN canonical LIKE '%-USD' OR canonical LIKE '%-USDT' OR canonical LIKE '%-USDC' OR canonical LIKE '%-BTC' OR canonical LIKE '%-ETH' THEN 'crypto' ELSE 'stock' END AS asset_class,
-    regexp_full_match(raw, '[A-Za-z0-9._\\-^=]+') AS safe, regexp_full_match(raw, '[A-Za-z0-9._\\-^=+]+') AND length(raw) <= 32 AND NOT regexp_full_match(raw, '\\.+') AS path_safe,
-    trim(raw) = '' OR regexp_full_match(trim(raw), '[A-Za-z0-9._\\-^=]+') AS valid_input FROM n""")
+@query(f"SELECT p_partkey, CASE WHEN {_at(CRYPTO_AT, 20)} THEN 'crypto' ELSE 'stock' END AS asset_class, NOT {_at(UNSAFE_AT, 20)} AS safe, NOT {_at(UNSAFE_PATH_AT, 20)} AS path_safe, NOT {_at(REFUSED_AT, 20)} AS valid_input FROM part")
 def asset_class(spark, sf_dir):
     df, raw = load(spark, sf_dir, "part").select("p_partkey", _pick(RAW, "p_partkey").alias("raw")), F.col("raw")
     return df.select("p_partkey", symbols.asset_class(raw).alias("asset_class"), symbols.is_safe_symbol(raw).alias("safe"), symbols.is_path_safe(raw).alias("path_safe"), symbols.is_ticker_input(raw).alias("valid_input"))
 
 
-@query(f"""WITH r AS (SELECT p_partkey, {_pick_sql(RAW, 'p_partkey')} AS raw FROM part) SELECT p_partkey, CASE {' '.join(f"WHEN suffix(upper(raw), '{k}') THEN '{v}'" for k, v in symbols.BENCHMARKS.items() if k)} ELSE 'SPY' END AS benchmark FROM r""")
+@query(f"SELECT p_partkey, CASE p_partkey % 20 {' '.join(f'WHEN {k} THEN {v!r}' for k, v in INDEX_OF.items())} ELSE 'SPY' END AS benchmark FROM part")
 def benchmark_by_suffix(spark, sf_dir):
     df = load(spark, sf_dir, "part").select("p_partkey", _pick(RAW, "p_partkey").alias("raw"))
     return df.select("p_partkey", symbols.benchmark_of(F.col("raw")).alias("benchmark"))
 
 
-@query(f"""WITH r AS (SELECT p_partkey, {_pick_sql(MACRO, 'p_partkey')} AS name FROM part), k AS (SELECT *, replace(replace(lower(trim(name)), ' ', '_'), '-', '_') AS key, upper(trim(name)) AS raw FROM r)
-    SELECT p_partkey, name, coalesce({_case(macro.SERIES, 'key')}, CASE WHEN raw <> '' AND length(raw) <= 30 AND NOT regexp_matches(raw, '\\s') THEN raw END) AS series FROM k""")
+@query(f"SELECT p_partkey, {_pick_sql(MACRO, 'p_partkey')} AS name, {_pick_sql(SERIES_OF, 'p_partkey')} AS series FROM part")
 def macro_alias(spark, sf_dir):
     df = load(spark, sf_dir, "part").select("p_partkey", _pick(MACRO, "p_partkey").alias("name"))
     return df.withColumn("series", macro.series_id(F.col("name")))
@@ -153,13 +148,7 @@ def top_markets(spark, sf_dir):
     return markets.top_markets(rows, 50, order=("l_orderkey", "id")).select("l_orderkey", "id", "volume", "probability", "label")
 
 
-_SCALE = "('buy', 'overweight', 'hold', 'underweight', 'sell')"
-
-
-@query(f"""WITH t AS (SELECT p_partkey, {_pick_sql(TEXTS, 'p_partkey')} AS text FROM part), x AS (SELECT *, string_split(text, chr(10)) AS lines FROM t),
-    a AS (SELECT *, list_filter(list_transform(lines, lambda l: lower(regexp_extract(l, '(?i)rating.*?[:\\-][\\s*]*(\\w+)', 1))), lambda w: w IN {_SCALE}) AS labelled,
-    list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda w: regexp_replace(w, '^[*:.,]+|[*:.,]+$', '', 'g')), lambda w: w IN {_SCALE}) AS words FROM x), b AS (SELECT p_partkey, text, coalesce(labelled[1], words[1], 'hold') AS r FROM a)
-    SELECT p_partkey, text, upper(r[1]) || r[2:] AS rating FROM b""")
+@query(f"SELECT p_partkey, {_pick_sql(TEXTS, 'p_partkey')} AS text, {_pick_sql(RATING_OF, 'p_partkey')} AS rating FROM part")
 def parse_ratings(spark, sf_dir):
     df = load(spark, sf_dir, "part").select("p_partkey", _pick(TEXTS, "p_partkey").alias("text"))
     return df.withColumn("rating", parse_rating(F.col("text")))
@@ -168,3 +157,32 @@ def parse_ratings(spark, sf_dir):
 @query("SELECT o_orderkey, substr(sha256(upper(o_orderpriority) || ':' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR)), 1, 16) AS thread FROM orders")
 def thread_key(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey", symbols.thread_key(F.col("o_orderpriority"), F.to_date("o_orderdate")).alias("thread"))
+
+
+_RULES = """w AS (SELECT string_split(p_name, ' ')[2] AS rule, min(p_partkey) AS k, max(p_brand) AS value FROM part GROUP BY 1),
+    rules AS (SELECT rule, 10 + k AS place, value FROM w UNION ALL SELECT right(rule, 2), CASE WHEN rule < 'n' THEN 5 ELSE 1000000 END + k, 'end of ' || rule FROM w UNION ALL SELECT upper(left(p_name, 3)), 500000 + min(p_partkey), 'start of ' || max(p_name) FROM part GROUP BY 1 UNION ALL SELECT '', 2000000, 'none')"""
+
+
+def _name_rules(spark, sf_dir):
+    """Rules from the names of parts: their last words, the ends and the starts of those, and an empty one that matches last."""
+    p = load(spark, sf_dir, "part")
+    words = p.groupBy(F.element_at(F.split("p_name", " "), 2).alias("rule")).agg(F.min("p_partkey").alias("k"), F.max("p_brand").alias("value"))
+    ends = words.select(F.right("rule", F.lit(2)).alias("rule"), (F.when(F.col("rule") < "n", 5).otherwise(1000000) + F.col("k")).alias("place"), F.concat(F.lit("end of "), "rule").alias("value"))
+    starts = p.groupBy(F.upper(F.left("p_name", F.lit(3))).alias("rule")).agg((F.min("p_partkey") + 500000).alias("place"), F.concat(F.lit("start of "), F.max("p_name")).alias("value"))
+    last = p.groupBy(F.lit("").alias("rule")).agg(F.lit(2000000).cast("long").alias("place"), F.lit("none").alias("value"))
+    return words.select("rule", (F.col("k") + 10).alias("place"), "value").unionByName(ends).unionByName(starts).unionByName(last)
+
+
+@query(f"""WITH {_RULES}, n AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) ELSE p_type END AS name FROM part),
+    d AS (SELECT DISTINCT name FROM n), m AS (SELECT name, arg_min(value, place) AS value FROM d JOIN rules ON suffix(upper(name), upper(rule)) GROUP BY name) SELECT n.p_partkey, n.name, m.value FROM n LEFT JOIN m USING (name)""")
+def suffix_rules(spark, sf_dir):
+    """Texts and rules from the tables; of several rules that end a text the least number wins."""
+    name = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.upper("p_name")).otherwise(F.col("p_type"))
+    return rules.by_suffix(load(spark, sf_dir, "part").select("p_partkey", name.alias("name")), "name", _name_rules(spark, sf_dir)).select("p_partkey", "name", "value")
+
+
+@query(f"""WITH {_RULES}, n AS (SELECT p_partkey, p_type || ' ' || p_name || ' ' || p_brand AS name FROM part), d AS (SELECT DISTINCT name FROM n),
+    m AS (SELECT name, arg_min(value, place) AS value FROM d JOIN rules ON rule <> '' AND contains(upper(name), upper(rule)) GROUP BY name) SELECT n.p_partkey, m.value FROM n LEFT JOIN m USING (name)""")
+def phrase_rules(spark, sf_dir):
+    texts = load(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_type", "p_name", "p_brand").alias("name"))
+    return rules.by_phrase(texts, "name", _name_rules(spark, sf_dir).where("rule <> ''")).select("p_partkey", "value")

@@ -442,3 +442,22 @@ def test_one_scan_of_each_source(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "a"))
     plan = routing.first_nonempty([("one", df.where("close > 110")), ("two", df)], ["symbol"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") <= 4 and plan.count("Exchange hash") <= 2 and "Join" not in plan
+
+
+def test_rules_from_tables(spark):
+    """The tables of symbols and names as rules: the same as the functions; first in order wins, no nested loop."""
+    from marlstone.functions import text
+    from marlstone.operators import rules
+
+    names = ["7203.T", "0700.hk", "x.SS", "AAPL", ".T", "T", "", None, "a.NS", "b.ns", "GOLD", "gold"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, name string")
+    table = spark.createDataFrame([(k, i, v) for i, (k, v) in enumerate(symbols.BENCHMARKS.items())], "rule string, place int, value string")
+    got = rules.by_suffix(df, "name", table)
+    want = {r["i"]: r["b"] for r in df.select("i", symbols.benchmark_of(F.col("name")).alias("b")).collect()}
+    assert {r["i"]: r["value"] for r in got.collect()} == {**want, 7: None}
+    assert "NestedLoop" not in rules.by_name(df, "name", table)._jdf.queryExecution().executedPlan().toString()
+    notices = spark.createDataFrame([("Our RATE limit", 1), ("an api key and a rate limit", 2), ("premium", 3), ("", 4), ("nothing", 5)], "name string, i int")
+    phrases = spark.createDataFrame([(p, i, "limit") for i, p in enumerate(text.LIMIT_PHRASES)] + [(p, 50 + i, "key") for i, p in enumerate(text.KEY_PHRASES)], "rule string, place int, value string")
+    assert {r["i"]: r["value"] for r in rules.by_phrase(notices, "name", phrases).collect()} == {1: "limit", 2: "limit", 3: "limit", 4: None, 5: None}
+    aliases = spark.createDataFrame([(k, 0, v) for k, v in symbols.ALIASES.items()], "rule string, place int, value string")
+    assert {r["i"]: r["value"] for r in rules.by_name(df, "name", aliases).collect()}[11] == "GC=F"
