@@ -99,7 +99,9 @@ def features(root: Node, texts: list[str]) -> tuple[list[Node], np.ndarray]:
             p = parent[i]
             above[i] = above[p] | flags[p]
             up = _TAGS.get(nodes[p].tag, 16)
-            boiler[i] = boiler[p] or up in _BOILER_TAGS or (up == 8 and not inside[p])
+            # A form around most of the page is its frame, not a part of it.
+            frame = nodes[p].tag == "form" and sub[p] > 0.5 * total
+            boiler[i] = boiler[p] or (up in _BOILER_TAGS and not frame) or (up == 8 and not inside[p])
             inside[i] = inside[p] or up == 5
             brothers = nodes[p].children
             k = rows[p, 14]  # next place among the siblings
@@ -134,7 +136,8 @@ def decode(nodes: list[Node], p: np.ndarray, switch: float = 1.0) -> np.ndarray:
     weight = np.array([1.0 if x.segments else 0.25 for x in nodes])
     keep, drop = weight * np.log(p), weight * np.log(1 - p)
     own = np.maximum(keep, drop)
-    mixed = own - switch
+    # The page and its body hold all kinds of things, so for them to be mixed costs nothing.
+    mixed = own - np.where([x.tag in ("#root", "body") for x in nodes], 0.0, switch)
     best = np.zeros(len(nodes))
     for i in range(len(nodes) - 1, -1, -1):
         children = [index[id(c)] for c in nodes[i].children]
@@ -196,7 +199,7 @@ class Generator:
         kind = self.r.random()
         w = self.words(n).split()
         if kind < 0.4:
-            mark = self.r.choice("*#$%@~^+=_") * self.r.randint(1, 4)
+            mark = self.r.choice("~^+=_@<>") * self.r.randint(1, 2)
             return " ".join(x + (mark if self.r.random() < 0.7 else "") for x in w)
         return " ".join(w).upper() if kind < 0.7 else " | ".join(w)
 
@@ -219,10 +222,10 @@ class Generator:
     def boiler(self, where: str) -> str:
         r = self.r
         kinds = {
-            "top": ("nav", "header", "notice", "ad", "search", "crumbs", "divnav"),
-            "bottom": ("footer", "footer", "divfooter", "comments", "related", "newsletter", "ad", "notice"),
-            "side": ("aside", "sidebar", "ad", "related"),
-            "inside": ("ad", "share", "related", "newsletter", "innernav"),
+            "top": ("nav", "header", "notice", "ad", "search", "crumbs", "divnav", "bar", "tablenav"),
+            "bottom": ("footer", "footer", "divfooter", "comments", "related", "newsletter", "ad", "notice", "lastline", "form"),
+            "side": ("aside", "sidebar", "ad", "related", "tablenav", "form"),
+            "inside": ("ad", "share", "related", "newsletter", "innernav", "form", "form"),
         }[where]
         k = r.choice(kinds)
         w = self.words
@@ -238,6 +241,18 @@ class Generator:
             return f"<div{self.attr('breadcrumb', 'breadcrumbs')}><a href=/>{w(1)}</a> &gt; <a href=/x>{w(1)}</a> &gt; {w(2)}</div>"
         if k == "search":
             return f"<form{self.attr('search', 'login', 'form')}><p>{w(r.randint(1, 6))}</p><label>{w(2)}</label><input type=text><fieldset><legend>{w(2)}</legend>{w(3)}</fieldset></form>"
+        if k == "form":
+            # What a form says stands in any element, often without a name.
+            parts = [r.choice((f"<label>{w(r.randint(1, 3))}</label>", f"<label>{w(1)} <input name=a></label>", f"<p>{w(r.randint(2, 14))}</p>", f"<div>{w(r.randint(1, 5))} <input type=text></div>", f"<fieldset><legend>{w(2)}</legend><p>{w(r.randint(2, 8))}</p></fieldset>", f"<h3>{w(2)}</h3>", f"{w(2)}<br><textarea></textarea>", f"<ul><li>{w(2)}<input type=checkbox><li>{w(1)}</ul>")) for _ in range(r.randint(1, 5))]
+            return f"<form{r.choice(('', '', ' action=/go method=post', self.attr('contact', 'form', 'login', 'register')))}>{''.join(parts)}{r.choice(('', '<button>Go</button>', '<input type=submit>'))}</form>"
+        if k == "bar":
+            # Some words, no link, hardly a name.
+            return f"<div{r.choice(('', self.attr('top', 'head', 'bar', 'upper', 'logo')))}>{r.choice((w(r.randint(1, 5)), f'<span>{w(1)}</span> <span>{w(1)}</span> <span>{w(2)}</span>', f'<b>{w(2)}</b>'))}</div>"
+        if k == "lastline":
+            return f"<{(t := r.choice(('div', 'p', 'center')))}{r.choice(('', self.attr('bot', 'end', 'lower', 'bottom', 'copyright')))}>{r.choice(('Copyright', '©', '&copy;', 'All rights reserved', w(1)))} {r.choice((str(r.randint(1990, 2030)), w(2)))} {r.choice(('', w(2)))}</{t}>"
+        if k == "tablenav":
+            cells = "".join(f"<td>{r.choice((f'<a href=/{i}>{w(r.randint(1, 2))}</a>',) * 5 + (w(1),))}</td>" for i in range(r.randint(2, 8)))
+            return f"<table{r.choice(('', ' width=100%', self.attr('menu', 'layout', 'head')))}><tr>{cells}</tr></table>"
         if k == "notice":
             return f"<div{self.attr('cookie', 'consent', 'notice', 'alert', 'cookie-notice', 'popup')} role=\"{r.choice(('alert', 'dialog', 'note'))}\"><p>{w(r.randint(6, 40))}</p>{r.choice(('', '<button>OK</button>'))}</div>"
         if k == "ad":
@@ -302,10 +317,16 @@ class Generator:
             main = body
         else:
             main = f"<main><article>{body}</article></main>"
+        if r.random() < 0.08:  # a table as the layout
+            plain = r.choice((" ", " | ", "<br>")).join(f"<a href=/{i}>{self.words(1)}</a>" for i in range(r.randint(2, 6)))
+            left = r.choice((plain, plain, self.links(3), self.boiler("side")))
+            main = f"<table><tr><td>{left}</td><td>{main}</td></tr></table>"
         side = "".join(self.boiler("side") for _ in range(r.choice((0, 0, 1, 2))))
         main = r.choice((main + side, side + main, f'<div id="wrap">{main}{side}</div>', f'<div class="row"><div>{main}</div>{side}</div>'))
         top = "".join(self.boiler("top") for _ in range(r.choice((0, 1, 2, 3))))
         bottom = "".join(self.boiler("bottom") for _ in range(r.choice((0, 1, 1, 2, 3))))
+        if r.random() < 0.06:  # one form around all that the page has
+            top, bottom = f"<form{r.choice((' id=form1', ' action=/page method=post', ''))}>{top}", f"{bottom}</form>"
         return f"<!DOCTYPE html><html><head><title>{self.words(4)}</title></head><body>{top}<!-- x -->{main}{bottom}" + r.choice(("</body></html>", ""))
 
 
