@@ -101,7 +101,3 @@ def last_rows(df: DataFrame, n: int, by: tuple[str, ...] = ("symbol",), order: s
     n = max(least, min(n, most))
     rank = F.row_number().over(W.partitionBy(*by).orderBy(F.col(order).desc()))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
-
-
-def clamp(n: Column, least: int, most: int) -> Column:
-    return F.greatest(F.lit(least), F.least(n, F.lit(most)))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..api import Engine
 from ..functions import dates, render, symbols, text
 from ..operators import checkpoints, identity, indicators, news, telemetry, timeseries
-from ..sources import files, payloads, routing
+from ..sources import files, payloads, routing, vendor_answers
 from ..sources.tables import event_bars, load
 from ..sources.work import work_folder
 from .market import BARS, USERS
@@ -388,3 +388,19 @@ def decision_log_files(spark, sf_dir):
     log = files.read_decision_log(spark, f"{work}/log/*/*.txt").withColumn("seq", F.row_number().over(W.orderBy("seq")).cast("long"))
     last = log.agg(F.max("seq")).first()[0] or 0
     return log.where((F.col("seq") <= 10) | (F.col("seq") > last - 50)).select("date", "symbol", "decision", F.col("seq").alias("rank"))
+
+
+@query(f"""WITH {USERS} SELECT symbol, date, round_even(close, 2) AS close, CASE WHEN CAST(symbol AS BIGINT) = 7 THEN 'tables' ELSE 'vendor' END AS source FROM users WHERE symbol IN ('7', '9') AND date BETWEEN DATE '2024-01-02' AND DATE '2024-01-20'""")
+def request_fallback(spark, sf_dir):
+    """Two symbols, of which the first source has one; the other comes from the vendor's CSV. A third vendor only sends notices."""
+    bars = event_bars(spark, sf_dir, "user_id")
+    engine = Engine({"bars": bars.where("symbol = '7'")})
+    lines = F.concat_ws(",", F.date_format("date", "yyyy-MM-dd"), *(F.col(c).cast("string") for c in ("open", "high", "low", "close", "volume")))
+    body = F.concat(F.lit("timestamp,open,high,low,close,volume\r\n"), F.array_join(F.array_sort(F.collect_list(lines)), "\r\n"))
+    answers = bars.groupBy("symbol").agg(body.alias("body")).withColumns({"method": F.lit("get_stock_data"), "size": F.lit("compact")})
+    limited = answers.withColumn("body", F.lit('{"Note": "Our rate limit is 25 requests per day"}'))
+    vendor_answers.VendorAnswers(limited, "2024-01-31").register(engine.router, "limited")
+    vendor_answers.VendorAnswers(answers, "2024-01-31").register(engine.router, "vendor")
+    found = [engine.get_stock_data(s, "2024-01-02", "2024-01-20") for s in ("7", "9")]
+    one, two = (a.value.select("symbol", "date", "close").withColumn("source", F.lit(a.source)) for a in found)
+    return one.unionByName(two)

@@ -56,3 +56,52 @@ def test_lookups(spark):
     df = spark.createDataFrame([("m1", ["b", "zzz", "a"]), ("x-9", []), ("?", None)], "m string, n array<string>")
     got = df.select(text.first_match(F.col("m"), {"m1": "exact"}, {"^x-": "family"}, "none"), text.in_order(F.col("n"), ["a", "b", "c"])).collect()
     assert [tuple(r) for r in got] == [("exact", ["a", "b"]), ("family", []), ("none", None if got[2][1] is None else [])]
+
+
+def test_a_vendor_behind_the_tables(spark):
+    """Answers in the vendor's shapes, by its length of series; notices are errors of their kind, and the chain goes on."""
+    from marlstone import api
+    from marlstone.sources.vendor_answers import VendorAnswers
+
+    csv = "timestamp,open,high,low,close,volume\n2026-05-05,1,2,0.5,1.5,10\n2026-05-06,1,2,0.5,1.255,10\nbroken\n"
+    rows = [
+        ("get_stock_data", "A", "compact", csv), ("get_stock_data", "A", "full", csv.replace("1.5", "9.5")), ("get_stock_data", "KEY", "compact", '{"Information": "the apikey is invalid"}'), ("get_stock_data", "BAD", "compact", '{"Error Message": "no such symbol"}'),
+        ("get_fundamentals", "A", None, '{"longName": "Apple"}'), ("get_news", "A", None, '{"feed": [{"title": "x", "time_published": "20260505T101500"}]}'), ("get_insider_transactions", "A", None, '{"data": [{"x": "1"}]}'),
+        ("get_cashflow", "A", None, '{"annualReports": [{"fiscalDateEnding": "2024-12-31", "cash": "5"}, {"fiscalDateEnding": "2027-12-31", "cash": "6"}]}'),
+    ]
+    engine = api.Engine({})
+    VendorAnswers(spark.createDataFrame(rows, "method string, symbol string, size string, body string"), "2026-05-10").register(engine.router, "vendor")
+    got = engine.get_stock_data("a", "2026-05-01", "2026-05-08")
+    assert got.source == "vendor" and got.value.orderBy("date").first()["close"] == 1.5 and got.value.count() == 2
+    assert engine.get_stock_data("A", "2025-01-01", "2026-05-08").value.orderBy("date").first()["close"] == 9.5
+    assert engine.get_stock_data("A", "2026-05-01", "2026-06-30").status == "no_data" and engine.get_stock_data("BAD", "2026-05-01", "2026-05-08").status == "no_data"
+    # The tables have no data either, and that is what counts; the key is asked for where there is no other source.
+    assert engine.get_stock_data("KEY", "2026-05-01", "2026-05-08").status == "no_data" and engine.get_stock_data("none", "2026-05-01", "2026-05-08").status == "no_data"
+    assert engine.get_fundamentals("A").value.first()["value"] == "Apple" and engine.get_news("A", "2026-05-01", "2026-05-05").value.count() == 1
+    assert engine.get_insider_transactions("A").value.first()["fields"] == {"x": "1"}
+    assert [tuple(r) for r in engine.get_cashflow("A", "annual", "2026-01-01").value.collect()] == [(dt.date(2024, 12, 31), "cash", 5.0)]
+
+
+def test_output_size():
+    assert payloads.output_size("2026-02-01", "2026-05-11") == "compact" and payloads.output_size("2026-01-31", "2026-05-11") == "full"
+
+
+def test_files_and_headings(spark, tmp_path):
+    from marlstone.sources import files
+
+    df = spark.createDataFrame([(1, "x"), (2, None)], "a int, b string")
+    files.write_json(df, str(tmp_path / "j"))
+    (tmp_path / "one.json").write_text('[{"a": 1,\n "b": "x"}, {"a": 2}]')
+    assert [tuple(r) for r in files.read_json(spark, str(tmp_path / "one.json"), "a int, b string").orderBy("a").collect()] == [(1, "x"), (2, None)]
+    assert spark.read.schema("a int, b string").json(str(tmp_path / "j")).count() == 2
+    reports.save_csv(df, str(tmp_path / "x.csv"), {"n": 2}, ["a"])
+    assert (tmp_path / "x.csv").read_text() == "# n: 2\na,b\n1,x\n2,\n" and reports.heading("T", df) == "## T\n\nTotal records: 2\n"
+
+
+def test_sentiment_of_the_first_messages(spark):
+    from marlstone.operators import news
+
+    df = spark.createDataFrame([("a", i, "Bullish" if i < 3 else "Bearish") for i in range(6)] + [("b", 0, None)], "s string, i int, label string")
+    got = {r["s"]: (r["bullish"], r["bearish"], r["total"], r["bullish_pct"]) for r in news.sentiment_mix(df, "label", ("s",), 4, ["i"]).collect()}
+    assert got == {"a": (3, 1, 4, 75), "b": (0, 0, 1, 0)}
+    assert news.sentiment_mix(df, "label", (), 2, ["s", "i"]).first()["bullish_pct"] == 100

@@ -34,3 +34,13 @@ def test_last_state(spark, tmp_path):
     q.awaitTermination()
     want = df.groupBy("user_id").agg(F.max_by("value", "event_id").alias("value"), F.max("event_id").alias("event_id"))
     assert spark.table("state").exceptAll(want).isEmpty()
+
+
+def test_sessions(spark, tmp_path):
+    df, s = stream(spark, tmp_path)
+    runs.run_to_table(runs.sessions(s, "user_id", "ts", "1 day", late="0 seconds"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    ends = df.agg(F.max("ts")).first()[0]
+    batch = df.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.session_window("ts", "1 day"), "user_id").agg(F.count("*").alias("n"))
+    want = batch.where(F.col("session_window.end") <= F.lit(str(ends)).cast("timestamp")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "user_id", "n")
+    assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
