@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..api import Engine
 from ..functions import dates, render, symbols, text
 from ..operators import checkpoints, identity, indicators, news, telemetry, timeseries
-from ..sources import files, payloads, routing, vendor_answers
+from ..sources import files, payloads, routing, typed, vendor_answers
 from ..sources.tables import event_bars, load
 from ..sources.work import work_folder
 from .market import BARS, USERS
@@ -404,3 +404,17 @@ def request_fallback(spark, sf_dir):
     found = [engine.get_stock_data(s, "2024-01-02", "2024-01-20") for s in ("7", "9")]
     one, two = (a.value.select("symbol", "date", "close").withColumn("source", F.lit(a.source)) for a in found)
     return one.unionByName(two)
+
+
+@query("""WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, user_id, event_type, value FROM events)
+    SELECT event_id, '$.k' AS path, CASE WHEN k % 3 = 0 THEN 'STRING' ELSE 'BIGINT' END AS kind, CASE WHEN k % 3 <> 0 THEN CAST(k AS DOUBLE) END AS number, CASE WHEN k % 3 = 0 THEN CAST(k AS VARCHAR) END AS text, CAST(NULL AS BOOLEAN) AS flag FROM e
+    UNION ALL SELECT event_id, '$.user.id', 'BIGINT', user_id, NULL, NULL FROM e UNION ALL SELECT event_id, '$.user.name', 'STRING', NULL, event_type, NULL FROM e
+    UNION ALL SELECT event_id, '$.tags[0]', 'BOOLEAN', NULL, NULL, k > 50 FROM e UNION ALL SELECT event_id, '$.tags[1]', 'VOID', NULL, NULL, NULL FROM e UNION ALL SELECT event_id, '$.tags[2].deep[0]', 'STRING', NULL, 'x', NULL FROM e""")
+def typed_props(spark, sf_dir):
+    """Properties of events within objects and lists, one field as a number or as text: all come back with the type they were sent with."""
+    e = load(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    sent = F.when(k.cast("int") % 3 == 0, F.concat(F.lit('"'), k, F.lit('"'))).otherwise(k)
+    body = F.concat(F.lit('{"k": '), sent, F.lit(', "user": {"id": '), F.col("user_id").cast("string"), F.lit(', "name": "'), F.col("event_type"), F.lit('"}, "tags": ['), (k.cast("int") > 50).cast("string"), F.lit(', null, {"deep": ["x"]}]}'))
+    found = typed.leaves(e.select("event_id", body.alias("body")), "body", ("event_id",))
+    return found.select("event_id", "path", "kind", typed.number(F.col("value")).alias("number"), typed.text(F.col("value")).alias("text"), typed.flag(F.col("value")).alias("flag"))

@@ -9,7 +9,7 @@ from ..operators import cleaning, indicators, scan, timeseries
 from ..sources import vendor
 from ..sources.routing import first_nonempty
 from ..sources.tables import average_bars, event_bars, line_bars, line_ticks, load
-from ..sources.work import work_folder
+from ..sources.work import saved, work_folder
 from ..streaming import outcomes, runs
 from .registry import query
 
@@ -204,7 +204,7 @@ EXCESS_SQL = f"""WITH {BARS}, bench AS (SELECT date, avg(close) AS close FROM ba
 
 @query(EXCESS_SQL)
 def excess_return(spark, sf_dir):
-    bars = event_bars(spark, sf_dir)
+    bars = saved(event_bars(spark, sf_dir), "bars")
     out = timeseries.holding_outcome(bars.select("symbol", "date"), bars, average_bars(bars), rows=5)
     return out.select("symbol", "date", F.col("days").cast("int").alias("days"), *_r("raw", "alpha", places=6))
 

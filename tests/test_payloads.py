@@ -105,3 +105,17 @@ def test_sentiment_of_the_first_messages(spark):
     got = {r["s"]: (r["bullish"], r["bearish"], r["total"], r["bullish_pct"]) for r in news.sentiment_mix(df, "label", ("s",), 4, ["i"]).collect()}
     assert got == {"a": (3, 1, 4, 75), "b": (0, 0, 1, 0)}
     assert news.sentiment_mix(df, "label", (), 2, ["s", "i"]).first()["bullish_pct"] == 100
+
+
+def test_values_with_their_types(spark):
+    from marlstone.sources import typed
+
+    rows = [("A", '{"data": [{"shares": 5, "price": 1.5, "who": "x", "sold": true}, {"shares": "n/a", "at": {"day": null}}]}'), ("B", '[{"shares": 12345678901}]'), ("C", "[]"), ("D", "oops"), ("E", None)]
+    df = spark.createDataFrame(rows, "symbol string, a string")
+    got = {(r["symbol"], r["position"], r["field"]): (r["kind"], r["number"], r["text"]) for r in typed.insider_fields(df, "a").collect()}
+    assert got == {
+        ("A", 0, "shares"): ("BIGINT", 5.0, None), ("A", 0, "price"): ("DECIMAL", 1.5, None), ("A", 0, "who"): ("STRING", None, "x"), ("A", 0, "sold"): ("BOOLEAN", None, None),
+        ("A", 1, "shares"): ("STRING", None, "n/a"), ("A", 1, "at.day"): ("VOID", None, None), ("B", 0, "shares"): ("BIGINT", 12345678901.0, None),
+    }
+    assert [(r["path"], r["kind"]) for r in typed.leaves(df.where("symbol = 'C'"), "a").collect()] == [("$", "ARRAY")]
+    assert typed.merged_schema(spark.createDataFrame([('{"a": 1}',), ('{"a": "x", "b": 2.5}',)], "a string"), "a").first()["schema"] == "OBJECT<a: VARIANT, b: DECIMAL(2,1)>"
