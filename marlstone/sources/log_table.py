@@ -9,24 +9,19 @@ it. The number of the last batch is in the manifest too, so a batch that is trie
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decision_log
+from .commits import Commits, Conflict
 
 SCHEMA = "date string, symbol string, rating string, pending boolean, raw double, alpha double, holding int, decision string, reflection string, seq bigint"
 RANGE = "_range"
 
 
-class Conflict(RuntimeError):
-    """Another writer has committed in the meantime."""
-
-
 class LogTable:
     """The log at ``path``.
 
@@ -36,43 +31,13 @@ class LogTable:
 
     def __init__(self, spark: SparkSession, path: str, chars: int = 7, buckets: int = 1):
         self.spark, self.path = spark, path
-        self._jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        self._fs = self._at("").getFileSystem(conf)
-        self._context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at("").toUri(), conf)
-        if self._newest() is None:
-            self._commit({"number": 0, "batch": -1, "seq": -1, "chars": chars, "buckets": buckets, "ranges": {}})
-
-    def _at(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-
-    def _newest(self) -> int | None:
-        if not self._fs.exists(self._at("manifests")):
-            return None
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._at("manifests"))]
-        return max((int(n) for n in names if n.isdigit()), default=None)
+        self.commits = Commits(spark, path)
+        if self.commits.newest() is None:
+            self.commits.commit({"number": 0, "batch": -1, "seq": -1, "chars": chars, "buckets": buckets, "ranges": {}})
 
     def manifest(self) -> dict:
         """number, batch, seq, chars, buckets, and for each range its folder and how many rows it has."""
-        stream = self._fs.open(self._at(f"manifests/{self._newest():012d}"))
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _commit(self, manifest: dict) -> None:
-        """Creates the manifest under its number, at once and only if there is none."""
-        temporary, final = self._at(f"manifests/.{uuid.uuid4().hex}"), self._at(f"manifests/{manifest['number']:012d}")
-        out = self._fs.create(temporary, True)
-        out.writeBytes(json.dumps(manifest))
-        out.close()
-        none = self.spark._sc._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        try:
-            self._context.rename(temporary, final, none)
-        except Py4JJavaError as e:
-            self._fs.delete(temporary, False)
-            if "FileAlreadyExists" in e.java_exception.getClass().getName():
-                raise Conflict(f"commit {manifest['number']} of {self.path} is there already") from e
-            raise
+        return self.commits.read()
 
     def range_of(self, manifest: dict) -> Column:
         """The range of a row."""
@@ -102,7 +67,7 @@ class LogTable:
             found = written.groupBy(RANGE).agg(F.count(F.lit(1)).alias("rows"), F.count_if("pending").alias("pending"), F.max("seq").alias("seq")).collect()  # a row for each touched range
             ranges |= {r[RANGE]: {"folder": folder, "rows": r["rows"], "pending": r["pending"]} for r in found}
             changes["seq"] = max([manifest["seq"], *(r["seq"] for r in found)])
-        self._commit({**manifest, "number": manifest["number"] + 1, "ranges": ranges, **changes})
+        self.commits.commit({**manifest, "number": manifest["number"] + 1, "ranges": ranges, **changes})
 
     def apply(self, batch: int, new: DataFrame | None = None, updates: DataFrame | None = None) -> bool:
         """Appends pending entries (date, symbol, rating, decision), then sets outcomes (date, symbol, raw, alpha, holding, reflection); false if this batch or a later one was applied before.
@@ -144,15 +109,7 @@ class LogTable:
 
     def vacuum(self) -> None:
         """Deletes manifests but the newest, and folders that it has nothing in. Not while others read or write."""
-        newest, m = self._newest(), self.manifest()
-        used = {v["folder"].split("/")[1] for v in m["ranges"].values()}
-        for status in self._fs.listStatus(self._at("manifests")):
-            if status.getPath().getName() != f"{newest:012d}":
-                self._fs.delete(status.getPath(), False)
-        if self._fs.exists(self._at("data")):
-            for status in self._fs.listStatus(self._at("data")):
-                if status.getPath().getName() not in used:
-                    self._fs.delete(status.getPath(), True)
+        self.commits.vacuum({v["folder"].split("/")[1] for v in self.manifest()["ranges"].values()})
 
     def sink(self, split: Callable[[DataFrame], tuple[DataFrame | None, DataFrame | None]]) -> Callable[[DataFrame, int], None]:
         """For ``foreachBatch``: split gives the new entries and the outcomes in a batch's rows."""
@@ -167,3 +124,6 @@ class LogTable:
                 kept.unpersist()
 
         return write
+
+
+__all__ = ["Conflict", "LogTable", "SCHEMA"]
