@@ -299,7 +299,7 @@ def tick_as_of(spark, sf_dir):
 
 @query(f"""WITH {USERS}, s AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n, coalesce(close - lag(close) OVER (PARTITION BY symbol ORDER BY date), 0) AS c FROM users), d AS (SELECT *, greatest(c, 0) AS gain, greatest(-c, 0) AS loss FROM s),
     {_ewm_sql('s', 'close', '(2.0 / 11)', 'e')}, {_ewm_sql('d', 'gain', '(1.0 / 14)', 'u')}, {_ewm_sql('d', 'loss', '(1.0 / 14)', 'v')}
-    SELECT s.symbol, s.date, round(avg(close) OVER (PARTITION BY s.symbol ORDER BY s.date ROWS 49 PRECEDING), 4) AS close_50_sma, round(e.v, 4) AS close_10_ema, round(100 * u.v / nullif(u.v + v.v, 0), 4) AS rsi FROM s JOIN e USING (symbol, n) JOIN u USING (symbol, n) JOIN v USING (symbol, n)""")
+    SELECT s.symbol, s.date, round(avg(close) OVER (PARTITION BY s.symbol ORDER BY s.date ROWS 49 PRECEDING), 6) AS close_50_sma, round(e.v, 6) AS close_10_ema, round(100 * u.v / nullif(u.v + v.v, 0), 6) AS rsi FROM s JOIN e USING (symbol, n) JOIN u USING (symbol, n) JOIN v USING (symbol, n)""")
 def indicator_table_days(spark, sf_dir):
     """Indicators kept up to date: the bars to the twentieth, then a wrong bar of the day after, then that one as it is with all later days."""
     bars = event_bars(spark, sf_dir, "user_id")
@@ -307,4 +307,4 @@ def indicator_table_days(spark, sf_dir):
     table.update(bars.where("date <= DATE '2024-01-20'"))
     table.update(bars.where("date = DATE '2024-01-21'").withColumn("close", F.col("close") + 1))
     table.update(bars.where("date >= DATE '2024-01-21'"))
-    return table.read().select("symbol", "date", *_r("close_50_sma", "close_10_ema", "rsi"))
+    return table.read().select("symbol", "date", *_r("close_50_sma", "close_10_ema", "rsi", places=6))
