@@ -585,3 +585,20 @@ def test_words_of_a_regular_pattern_are_told_apart(spark):
         ids, _ = cache.ids(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
         assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids
     assert all(r["lossless"] for r in pieces.encode(df, P.path("piece_bpe_32k.model"), pieces.Settings(dropout=0.0), ("lossless",)).collect())
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs of a similarity from 0.85 to 0.9, and as many just below it: all of the first are linked, none of the others."""
+    r, rows, want = np.random.default_rng(17), [], {}
+    for p in range(900):
+        n, replaced = 300, int(r.integers(6, 12))
+        a = [f"w{p}x{k}" for k in range(n)]
+        b = list(a)
+        for k in range(replaced):  # far apart, so each takes three shingles from either side
+            b[5 + k * 24] = f"v{p}x{k}"
+        same, every = n - 2 - 3 * replaced, n - 2 + 3 * replaced
+        rows += [(2 * p, " ".join(a)), (2 * p + 1, " ".join(b))]
+        want[2 * p + 1] = 2 * p if 100 * same >= 85 * every else 2 * p + 1
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    linked = [i for i, c in want.items() if c != i]
+    assert 250 < len(linked) < 650 and {i: got[i]["component_id"] for i in want} == want
