@@ -219,7 +219,7 @@ def excess_return_stream(spark, sf_dir):
     clock = rows.groupBy("symbol").agg(F.lit(outcomes.CLOCK).alias("kind"), F.date_add(F.max("date"), 40).alias("date"), F.lit(None).cast("double").alias("close"))
     rows.unionByName(clock).write.parquet(f"{work}/in")
     stream = spark.readStream.schema(outcomes.INPUT).parquet(f"{work}/in")
-    with runs.rocksdb(spark):
+    with runs.rocksdb(spark, 8):
         running = runs.run_to_table(outcomes.resolved(stream), f"{work}/out", f"{work}/checkpoint")
     running.awaitTermination()
     return spark.read.schema(outcomes.RESOLVED).parquet(f"{work}/out").select("symbol", "date", "days", *_r("raw", "alpha", places=6))

@@ -255,7 +255,7 @@ def run_state_stream(spark, sf_dir):
     rows = rows.unionByName(rows.limit(1).withColumn("run", F.lit("clock")).withColumn("at", F.timestamp_seconds(F.lit(1704067200 + 10**7))))
     rows.write.parquet(f"{work}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{work}/in")
-    with runs.rocksdb(spark):
+    with runs.rocksdb(spark, 8):
         running = runs.run_to_table(run_state.run_states(stream, list(STAGES), most=3), f"{work}/out", f"{work}/checkpoint")
     running.awaitTermination()
     return spark.read.schema(run_state.STATE).parquet(f"{work}/out")

@@ -36,15 +36,18 @@ def sessions(ticks: DataFrame, by: str, time: str, gap: str = "30 minutes", late
 
 
 @contextmanager
-def rocksdb(spark: SparkSession):
-    """State on disk, as lists, maps and timers by key need it, for queries that are started inside."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def rocksdb(spark: SparkSession, partitions: int | None = None):
+    """State on disk, as lists, maps and timers by key need it, for queries that are started inside; partitions: into how many the state is dealt, fixed by the first start."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    wanted |= {"spark.sql.shuffle.partitions": str(partitions)} if partitions else {}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
