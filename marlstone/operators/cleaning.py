@@ -74,8 +74,9 @@ def require_fresh(df: DataFrame, date, symbol: str, most: int = STALE_DAYS, colu
 def fill_gaps(df: DataFrame, columns: tuple[str, ...], by: tuple[str, ...] = ("symbol",), order: str = "date") -> DataFrame:
     """The last value before, else the first one after. Cut to the point in time first: filling back reads later rows."""
     w = W.partitionBy(*by).orderBy(order)
-    before, after = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    return df.withColumns({c: F.coalesce(F.last(c, True).over(before), F.first(c, True).over(after)) for c in columns})
+    # Where nothing is before, the first value after is the first of all: a frame that starts anew at each row would take quadratic time.
+    before, every = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return df.withColumns({c: F.coalesce(F.last(c, True).over(before), F.first(c, True).over(every)) for c in columns})
 
 
 def round_prices(df: DataFrame, columns: tuple[str, ...] = ("open", "high", "low", "close"), places: int = 2) -> DataFrame:

@@ -89,10 +89,11 @@ def fill_gaps(df: DataFrame, columns: tuple[str, ...], by: tuple[str, ...] = ("s
     known = lambda c: F.when(F.col(c).isNotNull(), F.col(order))
     ends = {f"_last_{c}": F.max_by(c, known(c)) for c in columns} | {f"_first_{c}": F.min_by(c, known(c)) for c in columns}
     ends = _cut_only(df.groupBy(*by, PART).agg(*(v.alias(k) for k, v in ends.items())), by)
-    before, after = _series(by).rowsBetween(W.unboundedPreceding, -1), _series(by).rowsBetween(1, W.unboundedFollowing)
-    carried = [F.last(f"_last_{c}", True).over(before).alias(f"_before_{c}") for c in columns] + [F.first(f"_first_{c}", True).over(after).alias(f"_after_{c}") for c in columns]
+    before, after = _series(by).rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*by).orderBy(F.desc(PART)).rowsBetween(W.unboundedPreceding, -1)
+    carried = [F.last(f"_last_{c}", True).over(before).alias(f"_before_{c}") for c in columns] + [F.last(f"_first_{c}", True).over(after).alias(f"_after_{c}") for c in columns]
     df = _apply(df, ends.select(*by, PART, *carried), by)
-    inside = lambda c: (F.last(c, True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.first(c, True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    # Where nothing is before, the first value after is the first of the whole part: a frame that starts anew at each row would take quadratic time.
+    inside = lambda c: (F.last(c, True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.first(c, True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     filled = {c: F.coalesce(inside(c)[0], F.col(f"_before_{c}"), inside(c)[1], F.col(f"_after_{c}")) for c in columns}
     return df.withColumns(filled).drop(*(f"_{k}_{c}" for c in columns for k in ("before", "after")))
 

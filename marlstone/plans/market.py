@@ -262,7 +262,7 @@ def _tick_ewm_sql(source: str, value: str, alpha: str, name: str, rows: int = 52
 
 
 def _ticks(spark, sf_dir):
-    return scan.cut(line_ticks(spark, sf_dir), order="tick", rows=TICK_ROWS)
+    return scan.cut(saved(line_ticks(spark, sf_dir), "ticks"), order="tick", rows=TICK_ROWS)
 
 
 @query(f"WITH {TICKS}, {_tick_ewm_sql('s', 'close', '(2.0 / 11)', 'e')} SELECT tick, round(e.v, 4) AS close_10_ema FROM s JOIN e USING (n)")
@@ -292,7 +292,7 @@ def tick_gap_fill(spark, sf_dir):
 
 @query(f"""WITH {TICKS}, r AS (SELECT tick, close FROM ticks WHERE tick % 97 = 0) SELECT t.tick, r.tick AS asof_tick, r.close AS asof_close FROM ticks t ASOF LEFT JOIN r ON t.tick >= r.tick""")
 def tick_as_of(spark, sf_dir):
-    ticks = line_ticks(spark, sf_dir)
+    ticks = saved(line_ticks(spark, sf_dir), "ticks")
     right = ticks.where(F.col("tick") % 97 == 0).select("symbol", "tick", "close")
     return scan.as_of_join(ticks.select("symbol", "tick"), right, date="tick", rows=TICK_ROWS).select("tick", "asof_tick", "asof_close")
 

@@ -65,3 +65,11 @@ def test_no_task_reads_a_whole_series(spark):
     """The shuffle is by series and part, and what parts hand on is sent to all tasks."""
     plan = indicators.rsi(scan.cut(bars(spark), rows=64), over=scan)._jdf.queryExecution().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("fill", [cleaning.fill_gaps, lambda df, columns: scan.fill_gaps(scan.cut(df, rows=64), columns)])
+def test_filling_is_linear(spark, fill):
+    """No frame runs from each row to the end of its series, which would be read anew for every row."""
+    plan = fill(bars(spark), ("open",))._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding$(), currentrow$()" in plan and "unboundedpreceding$(), unboundedfollowing$()" in plan
+    assert "currentrow$(), unboundedfollowing$()" not in plan and "1, unboundedfollowing$()" not in plan
