@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from marlstone import api
 from marlstone.errors import NoData, NotConfigured, RateLimited, StaleData
 from marlstone.functions import symbols
-from marlstone.operators import checkpoints, cleaning, decision_log, identity, indicators, markets, news, statements, telemetry, timeseries
+from marlstone.operators import checkpoints, cleaning, decision_log, identity, indicators, markets, news, rules, statements, telemetry, timeseries
 from marlstone.sources import files, routing
 
 D = dt.date
@@ -461,3 +461,15 @@ def test_rules_from_tables(spark):
     assert {r["i"]: r["value"] for r in rules.by_phrase(notices, "name", phrases).collect()} == {1: "limit", 2: "limit", 3: "limit", 4: None, 5: None}
     aliases = spark.createDataFrame([(k, 0, v) for k, v in symbols.ALIASES.items()], "rule string, place int, value string")
     assert {r["i"]: r["value"] for r in rules.by_name(df, "name", aliases).collect()}[11] == "GC=F"
+
+
+@pytest.mark.parametrize("back", [False, True])
+def test_rules_of_equal_numbers(spark, back):
+    """The longest rule wins, then the least one, then the least value, in whatever order the rules come."""
+    rows = [("ring", 10, "word"), ("ar", 10, "end"), ("ge", 10, "other"), ("ring", 10, "z"), ("bolt", 11, "later")]
+    table = spark.createDataFrame(rows[::-1] if back else rows, "rule string, place long, value string").coalesce(1)
+    df = spark.createDataFrame([(1, "LARGE ring"), (2, "large bolt"), (3, "string"), (4, "bar")], "i int, name string")
+    found = lambda got: {r["i"]: r["value"] for r in got.collect()}
+    assert found(rules.by_phrase(df, "name", table)) == {1: "word", 2: "end", 3: "word", 4: "end"}
+    assert found(rules.by_suffix(df, "name", table)) == {1: "word", 2: "later", 3: "word", 4: "end"}
+    assert found(rules.by_name(df.withColumn("name", F.lit("RING")), "name", table)) == dict.fromkeys((1, 2, 3, 4), "word")
