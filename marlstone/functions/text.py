@@ -49,9 +49,10 @@ def _numbered(digits: Column, base: int) -> Column:
     return F.coalesce(page, F.when(out_of_range, "\ufffd").when(empty, "").otherwise(char))
 
 
-def unescape(text: Column) -> Column:
+def unescape(text: Column, ended: bool = False) -> Column:
     """Character references decoded, all named and numbered ones, as the standard library does: a name without its semicolon by its longest known start.
 
+    ended: only those that end with a semicolon, as markup that is well formed has them; others stay as they are.
     Only texts with an ampersand are looked into, and all of it stays in the JVM.
     """
     names, bare = _map(_NAMED), "^(" + "|".join(_BARE) + ")"
@@ -61,19 +62,21 @@ def unescape(text: Column) -> Column:
         rest = F.substr(part, F.length(ref) + 1)
         start = F.regexp_extract(ref, bare, 1)
         digits = lambda pattern: F.regexp_extract(ref, pattern, 1)
-        named = F.coalesce(F.try_element_at(names, ref), F.when(start != "", F.concat(F.try_element_at(names, start), F.substr(ref, F.length(start) + 1))))
+        known = F.try_element_at(names, ref)
+        named = known if ended else F.coalesce(known, F.when(start != "", F.concat(F.try_element_at(names, start), F.substr(ref, F.length(start) + 1))))
         char = F.when(ref.rlike("^#[xX]"), _numbered(digits("^#[xX]([0-9a-fA-F]+)"), 16)).when(ref.startswith("#"), _numbered(digits("^#([0-9]+)"), 10)).when(ref != "", named)
+        char = F.when(ref.endswith(";"), char) if ended else char
         return F.when(i == 0, part).otherwise(F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), part)))
 
     return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&"), decoded), "")).otherwise(text)
 
 
-def strip_markup(content: Column) -> Column:
-    """Text of an HTML fragment: what stands between the feed's markers if both are there, without tags, references decoded, white space squeezed."""
+def strip_markup(content: Column, ended: bool = False) -> Column:
+    """Text of an HTML fragment: what stands between the feed's markers if both are there, without tags, references decoded (ended: see :func:`unescape`), white space squeezed."""
     begin, end = "<!-- SC_OFF -->", "<!-- SC_ON -->"
     inner = F.split_part(F.split_part(content, F.lit(begin), F.lit(2)), F.lit(end), F.lit(1))
     text = F.when(content.contains(begin) & content.contains(end), inner).otherwise(content)
-    return F.coalesce(squeeze(unescape(F.regexp_replace(text, r"<[^>]+>", " "))), F.lit(""))
+    return F.coalesce(squeeze(unescape(F.regexp_replace(text, r"<[^>]+>", " "), ended)), F.lit(""))
 
 
 def truncate(text: Column, longest: int, mark: str = "…") -> Column:

@@ -67,6 +67,11 @@ def test_references(spark):
     assert values(spark, text.strip_markup, given) == ["it’s café A", "&lt; x…&unknown;", "no & no;", "plain"]
 
 
+def test_references_that_end(spark):
+    given = ["by%%% the&amp</title> x&amp;amp", "&ampx; &amp;lt; caf&eacute; &eacute", "&#65;&#65 &#x41;&", "no &lt no&gt;"]
+    assert values(spark, lambda c: text.strip_markup(c, ended=True), given) == ["by%%% the&amp x&amp", "&ampx; &lt; café &eacute", "A&#65 A&", "no &lt no>"]
+
+
 def test_formats(spark):
     assert values(spark, text.signed_percent, [0.042, -0.1, None], "double") == ["+4.2%", "-10.0%", None]
     assert values(spark, text.signed_number, [0.3, -2.0], "double") == ["+0.30", "-2.00"]
