@@ -50,7 +50,7 @@ def range_scan(spark, sf_dir):
 
 @query(f"WITH {USERS} SELECT symbol, date, close FROM users WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'")
 def vendor_range_scan(spark, sf_dir):
-    """The same rows from a vendor's answers, a file for each symbol and month; the bounds are pushed into the source."""
+    """The same rows from a vendor's answers, a text for each symbol and month; the bounds are pushed into the source."""
     work = work_folder(spark, "answers")
     vendor.record(event_bars(spark, sf_dir, "user_id"), work)
     vendor.use_vendor(spark)

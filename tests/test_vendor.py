@@ -45,6 +45,18 @@ def test_bounds_in_the_plan_and_fewer_tasks(spark, recorded):
     assert recorded(symbols="a, d", start="2024-02", end="2024-02").agg(F.min("date"), F.max("date"), F.count_distinct("symbol")).first()[:] == (dt.date(2024, 2, 2), dt.date(2024, 2, 28), 2)
 
 
+def test_files_and_tasks_do_not_grow_with_symbols(spark, tmp_path):
+    """Answers are many to a file and a task reads a file, so both are bounded; names of any kind and appended months come back."""
+    vendor.use_vendor(spark)
+    many = spark.range(1200).select(F.concat(F.lit("s/é="), "id").alias("symbol"), F.date_add(F.lit(D0), (F.col("id") % 50).cast("int")).alias("date"), *(F.col("id").cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")))
+    for part in (many, many.withColumn("date", F.date_add("date", 3))):
+        vendor.record(part, f"file://{tmp_path}/many")
+    df = spark.read.format("vendor_bars").option("path", f"file://{tmp_path}/many").load()
+    assert len(list((tmp_path / "many").rglob("*.parquet"))) <= 2 * vendor.BUCKETS and df.rdd.getNumPartitions() <= vendor.BUCKETS
+    assert rows(df) == rows(many.unionByName(many.withColumn("date", F.date_add("date", 3))))
+    assert rows(df.where("symbol = 's/é=7'")) == rows(many.unionByName(many.withColumn("date", F.date_add("date", 3))).where("symbol = 's/é=7'"))
+
+
 def test_limited_answers_are_asked_again(spark, recorded, tmp_path):
     (tmp_path / "limits").write_text("2")
     flaky = {"client": "tests.flaky_vendor:Flaky", "pause": 0, "per_task": 2}
