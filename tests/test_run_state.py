@@ -67,3 +67,18 @@ def test_an_idle_run_is_given_out_and_forgotten(spark, tmp_path):
         q.awaitTermination()
     found = spark.read.parquet(out).where("kind = 'message' AND run = 'r'")
     assert sorted(r["text"] for r in found.collect()) == ["t1", "t2"]
+
+
+def test_few_calls_of_the_state_store():
+    """A run's first batch reads and writes its state once, however many messages it has: every call is a round trip."""
+    calls = []
+
+    class Store:
+        def __getattr__(self, name):
+            return lambda *given: calls.append(name)
+
+    tracker = run_state._Tracker(tuple(STAGES), 5, 60_000)
+    tracker.handle = tracker.seen = tracker.state = Store()
+    rows = [{"at_us": 10**6 * k, "seq": k, "id": f"m{k}", "text": "t", "a": None, "b": "x", "c": None} for k in range(50)]
+    assert list(tracker.handleInputRows(("r",), iter(rows), None)) == []
+    assert calls == ["get", "update", "registerTimer"]
