@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.work import saved
 from .indicators import weighted_sums
 from .timeseries import as_of_result, as_of_rows
 
@@ -109,8 +110,11 @@ def as_of_join(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ("symbol
 
 
 def ewm(df: DataFrame, sources: dict[str, tuple[str, float]], by: tuple[str, ...] = ("symbol",), order: str = "date") -> DataFrame:
-    """As :func:`indicators.ewm`: name -> (column, alpha). A part hands on its number of rows and the weighted sum at its last row."""
-    local = weighted_sums(df, sources, (*by, PART), order)
+    """As :func:`indicators.ewm`: name -> (column, alpha). A part hands on its number of rows and the weighted sum at its last row.
+
+    Those within the parts are read twice, so they are written to the work folder: a long chain of windows runs once.
+    """
+    local = saved(weighted_sums(df, sources, (*by, PART), order), "sums")
     ends = local.groupBy(*by, PART).agg(F.max("_n").alias("_m"), *(F.max_by(f"_s_{n}", "_n").alias(n) for n in sources))
     # The parts of one series are at most SERIES_PARTS rows.
     lists = _cut_only(ends, by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(PART, "_m", *sources))).alias("_all"))

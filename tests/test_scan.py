@@ -73,3 +73,9 @@ def test_filling_is_linear(spark, fill):
     plan = fill(bars(spark), ("open",))._jdf.queryExecution().optimizedPlan().toString()
     assert "unboundedpreceding$(), currentrow$()" in plan and "unboundedpreceding$(), unboundedfollowing$()" in plan
     assert "currentrow$(), unboundedfollowing$()" not in plan and "1, unboundedfollowing$()" not in plan
+
+
+def test_weighted_sums_are_computed_once(spark):
+    """What is read twice is read from a table: no window over rows is left in the plan, which each of the two readers would run again."""
+    plan = scan.ewm(scan.cut(bars(spark), rows=64), {"e": ("close", 0.5)})._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number()" not in plan
