@@ -2,11 +2,13 @@
 
 Texts are made as columns, a row for each file (run, path, text), and written by a data source: tasks write to the folder of a new version, and
 one pointer, replaced at the end of the job, makes it part of the tree. A job that fails deletes its folder; what a task that was still running has
-written after that is in no version, so nobody reads it, and :func:`vacuum` deletes it.
+written after that is in no version, so nobody reads it, and :func:`vacuum` deletes it. Each task lists its files in one more, and the version names the lists
+that count, so readers need no listing of folders.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,6 +24,8 @@ from ..errors import NoData
 
 FILES = "run string, path string, text string"
 POINTER = "_versions"
+#: Of a version: the lists of its tasks. Files that a task reads, and bytes of a batch, about.
+LISTS, TASK_FILES, BATCH_BYTES = ".lists", 1 << 11, 1 << 22
 
 
 def tree_rows(states: DataFrame, sections: dict[str, dict[str, str]], title: str = "Report") -> DataFrame:
@@ -71,6 +75,7 @@ def table_rows(df: DataFrame, columns: list[str], order: list[Column], limit: in
 @dataclass
 class _Written(WriterCommitMessage):
     files: int
+    names: str
 
 
 class _Writer(DataSourceArrowWriter):
@@ -83,7 +88,7 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         """A task that is tried again writes the same files once more."""
         fs, top = self._folder()
-        n, made = 0, set()
+        n, made, names = 0, set(), []
         for batch in iterator:
             for run, path, text in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("run", "path", "text")), strict=True):
                 name = f"{run}/{path}"
@@ -95,13 +100,20 @@ class _Writer(DataSourceArrowWriter):
                     made.add(folder)
                 with fs.open_output_stream(target) as out:
                     out.write((text or "").encode())
+                names.append(json.dumps([run, path]))
                 n += 1
-        return _Written(n)
+        mine = f".list-{uuid.uuid4().hex}"
+        if n:
+            with fs.open_output_stream(f"{top}/{self.version}/{mine}") as out:
+                out.write("\n".join(names).encode())
+        return _Written(n, mine)
 
     def commit(self, messages: list) -> None:
         """The pointer names the versions that count: this one, and the earlier ones unless they are overwritten."""
         fs, top = self._folder()
         fs.create_dir(f"{top}/{self.version}", recursive=True)
+        with fs.open_output_stream(f"{top}/{self.version}/{LISTS}") as out:
+            out.write("\n".join(json.dumps([m.files, m.names]) for m in messages if m is not None and m.files).encode())
         before = versions(self.uri)
         temporary = f"{top}/.{self.version}"
         with fs.open_output_stream(temporary) as out:
@@ -160,7 +172,44 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     found = versions(path)
     if not found:
         raise NoData(path, detail="there is no tree")
-    rows = spark.read.text([f"{path}/{v}" for v in found], wholetext=True, recursiveFileLookup=True)
-    name = F.regexp_extract(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), r"/v-[0-9a-f]{32}/([^/]+)/(.+)$", 0)
-    rows = rows.select(F.substr(name, F.lit(37)).alias("_name"), F.col("value").alias("text"))
-    return rows.select(F.split_part("_name", F.lit("/"), F.lit(1)).alias("run"), F.regexp_replace("_name", "^[^/]+/", "").alias("path"), "text")
+    uri = path if ":" in path else f"file://{path}"
+    fs, top = pafs.FileSystem.from_uri(uri)
+    lists = [(v, *json.loads(x)) for v in found for x in fs.open_input_stream(f"{top}/{v}/{LISTS}").read().decode().split("\n") if x]  # one for each task that wrote
+    few = max(1, min(len(lists), spark.sparkContext.defaultParallelism))
+    named = spark.createDataFrame(lists, "version string, files long, list string").repartition(few).mapInArrow(_names(uri), "folder string, run string, path string")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-sum(n for _, n, _ in lists) // TASK_FILES))
+    return named.repartition(tasks).mapInArrow(_texts(uri), FILES)
+
+
+def _names(uri: str):
+    """The files of each list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = pafs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for version, name in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                rows = [json.loads(x) for x in fs.open_input_stream(f"{top}/{version}/{name}").read().decode().split("\n")]
+                yield pa.RecordBatch.from_arrays([pa.array([version] * len(rows)), *(pa.array([r[k] for r in rows], pa.string()) for k in range(2))], names=["folder", "run", "path"])
+
+    return run
+
+
+def _texts(uri: str):
+    """The files themselves, some megabytes at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = pafs.FileSystem.from_uri(uri)
+        as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["run", "path", "text"])
+        for batch in batches:
+            rows, held = [], 0
+            for folder, run, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = fs.open_input_stream(f"{top}/{folder}/{run}/{path}").read()
+                rows.append((run, path, data.decode()))
+                held += len(data)
+                if held >= BATCH_BYTES:
+                    yield as_batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield as_batch(rows)
+
+    return run

@@ -66,3 +66,14 @@ def test_append_and_overwrite(spark, tmp_path):
     assert rf.read_files(spark, path).count() == 7
     rf.write_files(good.where("run = 'C'"), path, "overwrite")
     assert rf.read_files(spark, path).count() == 3 and len(list(Path(path).glob("v-*"))) == 1
+
+
+def test_reading_takes_no_listing_and_few_tasks(spark, tmp_path):
+    """Tasks are as many as cores, not as some files; files that are in no list, and empty ones, are told apart."""
+    rows = spark.range(600).select(F.concat(F.lit("r%+ "), "id").alias("run"), F.lit("a/b.md").alias("path"), F.when(F.col("id") > 0, F.concat(F.lit("t\n"), "id")).otherwise("").alias("text"))
+    rf.write_files(rows, str(tmp_path / "t"))
+    (version,) = rf.versions(str(tmp_path / "t"))
+    (tmp_path / "t" / version / "r%+ 1" / "stray.md").write_text("of a task that was given up")
+    df = rf.read_files(spark, str(tmp_path / "t"))
+    assert df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, rows.collect()))
