@@ -6,7 +6,11 @@ again. Two nodes are compared by their centres and the true distance to their fu
 pairs that are too far are dropped whole, pairs whose points are all near enough are counted
 whole, others are split. Where a level stops compressing (each further centre would cover little
 but itself, as in high dimensions without clusters) the points that are left stay in one leaf,
-and leaves are compared in blocks.
+as do those of children too small to be worth a visit, and leaves are compared in blocks.
+
+A block is first compared by a bound: the product of the leading coordinates in some basis, and
+that of the lengths of what is left of the two vectors. It is never below the cosine, so no pair
+is lost, and the few pairs that it leaves are decided on whole vectors in double precision.
 """
 
 from __future__ import annotations
@@ -15,9 +19,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-#: A level goes on as long as so many centres in a row cover twice as many points.
+#: Centres that are tried at once; a level goes on as long as they cover so many points each.
 _CENTRES = 64
+_WORTH = 8
 _LEAF = 32
+#: Rows and columns of a block, and its pairs, at most, that are decided one by one.
+_BLOCK = 1024
+_FEW = 2048
 _EPS = 1e-6
 #: Children whose distances to others are held at once.
 _ROWS = 256
@@ -47,7 +55,7 @@ def build(x: np.ndarray, points: np.ndarray | None = None, centre: np.ndarray |
         return node
     while radius > least and node.reach <= radius:
         radius /= 2
-    rest, centres = points, centre[None]
+    rest, centres, loose = points, centre[None], []
     while len(rest):
         # The next centres, at once: of the first points that are left, those that no earlier one of them covers.
         near = x[rest[:_CENTRES]] @ x[rest[:_CENTRES]].T >= 1 - radius**2 / 2
@@ -59,13 +67,16 @@ def build(x: np.ndarray, points: np.ndarray | None = None, centre: np.ndarray |
         within = _distance(x[rest], centres.T) <= radius
         covered, of = within.any(1), within.argmax(1)
         for k in np.unique(of[covered]).tolist():
-            node.children.append(build(x, rest[covered & (of == k)], centres[k], radius / 2, least))
+            part = rest[covered & (of == k)]
+            if len(part) < _WORTH:
+                loose.append(part)
+            else:
+                node.children.append(build(x, part, centres[k], radius / 2, least))
         before, rest, centres = len(rest), rest[~covered], x[:0]
-        if len(rest) and before - len(rest) < 2 * _CENTRES:
+        if len(rest) and before - len(rest) < _WORTH * len(chosen):
             break
-    if len(rest) == len(points) or len(node.children) > len(points) // 2:
-        node.children = []  # no compression here
-    elif len(rest):
+    rest = np.concatenate([rest, *loose])
+    if node.children and len(rest):
         c = x[rest[0]]
         node.children.append(Node(rest, c, float(_distance(x[rest], c).max(initial=0))))
     return node
@@ -90,6 +101,12 @@ class Links:
         every = np.concatenate([a, b])
         self.edges.append(np.stack([np.full(len(every), a[0]), every]))
 
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Each a with its b."""
+        np.add.at(self.count, a, self.weights[b])
+        np.add.at(self.count, b, self.weights[a])
+        self.edges.append(np.stack([a, b]))
+
     def some_of(self, a: np.ndarray, b: np.ndarray, mask: np.ndarray) -> None:
         """The pairs that the mask marks (within one set: each marked twice)."""
         same = a is b
@@ -113,10 +130,37 @@ class Links:
             self.edges.append(np.stack([rows[other], b]))
 
 
-def dual(x: np.ndarray, one: Node, two: Node, cosine: float, links: Links) -> None:
+def leading(x: np.ndarray, basis: np.ndarray | None) -> np.ndarray:
+    """Rows in single precision whose products are no less than the cosines: coordinates in the (orthonormal) basis and the length of the rest."""
+    if basis is None:
+        return x.astype(np.float32)
+    lead = x @ basis
+    return np.concatenate([lead, np.sqrt(np.maximum(0, 1 - (lead * lead).sum(1, keepdims=True)))], axis=1).astype(np.float32)
+
+
+def leading_basis(sample: np.ndarray, cosine: float) -> np.ndarray | None:
+    """The fewest principal directions of a sample that rule out nearly all of its pairs without a link; None if only whole vectors do.
+
+    The choice decides how fast blocks are compared, not what links.
+    """
+    dim = sample.shape[1]
+    one, two = sample[0::2][:_BLOCK], sample[1::2][:_BLOCK]
+    sizes = [k for k in (16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512) if k <= 3 * dim // 4]
+    if not sizes or not len(two):
+        return None
+    axes = np.linalg.eigh(sample.T @ sample)[1][:, ::-1]
+    apart = one @ two.T < cosine
+    for k in sizes:
+        basis = np.ascontiguousarray(axes[:, : k - 1])
+        if ((leading(one, basis) @ leading(two, basis).T >= cosine - 1e-4) & apart).mean() <= 2.0**-12:
+            return basis
+    return None
+
+
+def dual(x: np.ndarray, one: Node, two: Node, cosine: float, links: Links, basis: np.ndarray | None = None) -> None:
     """Adds all pairs of a point of ``one`` and a point of ``two`` whose cosine is at least so much; the same node: all pairs within."""
     far = float(np.sqrt(2 - 2 * cosine))
-    low = x.astype(np.float32)
+    low = leading(x, basis)
     stack = [(one, two)]
     while stack:
         a, b = stack.pop()
@@ -155,20 +199,33 @@ def dual(x: np.ndarray, one: Node, two: Node, cosine: float, links: Links) -> No
 
 
 def _compare(x: np.ndarray, low: np.ndarray, a: np.ndarray, b: np.ndarray, cosine: float, links: Links) -> None:
-    """Leaf against leaf in blocks: single precision rules out, double precision decides."""
+    """Leaf against leaf in blocks: bounds in single precision rule out, whole vectors in double precision decide."""
     same = a is b
-    for i in range(0, len(a), 1024):
-        p = a[i : i + 1024]
-        for j in range(i if same else 0, len(b), 1024):
-            q = b[j : j + 1024]
+    right = low[b]
+    bound, above = np.empty(_BLOCK * _BLOCK, np.float32), np.empty(_BLOCK * _BLOCK, bool)
+    for i in range(0, len(a), _BLOCK):
+        p = a[i : i + _BLOCK]
+        left = low[p]
+        for j in range(i if same else 0, len(b), _BLOCK):
+            q = b[j : j + _BLOCK]
             inside = same and i == j
             links.compared += len(p) * (len(p) - 1) // 2 if inside else len(p) * len(q)
-            maybe = low[p] @ low[q].T >= cosine - 1e-4
+            shape = len(p), len(q)
+            block, maybe = (m[: len(p) * len(q)].reshape(shape) for m in (bound, above))
+            np.matmul(left, right[j : j + _BLOCK].T, out=block)
+            np.greater_equal(block, cosine - 1e-4, out=maybe)
             if inside:
                 np.fill_diagonal(maybe, False)
-            rows = np.flatnonzero(maybe.any(1))
-            if not len(rows):
+            found = np.flatnonzero(maybe)
+            if len(found) <= _FEW:
+                row, column = np.divmod(found, len(q))
+                if inside:
+                    row, column = row[row < column], column[row < column]
+                linked = np.einsum("ij,ij->i", x[p[row]], x[q[column]]) >= cosine
+                if linked.any():
+                    links.pairs(p[row[linked]], q[column[linked]])
                 continue
+            rows = np.flatnonzero(maybe.any(1))
             if inside:
                 p2 = q2 = p[rows]
             else:

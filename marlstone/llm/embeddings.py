@@ -2,7 +2,8 @@
 
 1. Equal vectors are one class with a weight; only classes are compared.
 2. A bounded sample gives pivots. Every class goes to the cell of its nearest pivot; a cell with
-   too many classes is split by hash, so a crowded region fills several cells.
+   too many classes is split by hash, so a crowded region fills several cells, and small cells
+   are packed into one.
 3. Two cells meet in one task if any of their members can be near enough: a vector is sent to
    meet a cell only if its distance to the cell's pivot is within the cell's radius and the link
    distance, and it stands no further from the plane between the two pivots than that distance.
@@ -12,7 +13,8 @@
 
 The result is exact. Where vectors have many dimensions and no clusters, no metric bound
 separates cells at this distance and every two cells meet, in blocks. So cells are as large as a
-task may hold, but for small tables, where there are enough of them for all cores.
+task may hold, but for small tables, where there are enough of them for all cores; and blocks are
+compared by a bound of a few coordinates first, of which the sample tells how many are enough.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components, small
-from .covertree import Links, build, dual
+from .covertree import Links, build, dual, leading_basis
 from .neardup import whole_groups
 from .storage import Scratch
 from .textkernel import keyed
@@ -35,25 +37,30 @@ from .textkernel import keyed
 
 @dataclass(frozen=True)
 class Settings:
-    """cosine: of a link, at least. cell_rows, cell_bytes: of a cell, at most, about. sample: vectors that pivots are chosen from, at
+    """cosine: of a link, at least. cell_rows, cell_bytes: of a cell, at most, about, as doubles. sample: vectors that pivots are chosen from, at
     most; they decide where vectors meet, not which link.
     """
 
     cosine: float = 0.95
-    cell_rows: int = 1 << 16
-    cell_bytes: int = 16 << 20
+    cell_rows: int = 1 << 17
+    cell_bytes: int = 64 << 20
     sample: int = 4096
     most_pivots: int = 1024
 
 
 def _matrix(column: pa.Array, dim: int, kind: str) -> np.ndarray:
-    """Rows of doubles from vectors kept as bytes of the type they came in."""
-    return np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.float64).reshape(-1, dim)
+    """Rows of numbers from vectors kept as bytes of the type they came in."""
+    start = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], kind, len(column) * dim, int(start)).reshape(-1, dim)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(1, keepdims=True)
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+    out = np.empty(x.shape)
+    for at in range(0, len(x), 4096):
+        part = x[at : at + 4096].astype(np.float64)
+        part /= np.abs(part).max(1, keepdims=True)
+        out[at : at + 4096] = part / np.sqrt((part * part).sum(1, keepdims=True))
+    return out
 
 
 def _pivots(x: np.ndarray, n: int) -> np.ndarray:
@@ -86,11 +93,25 @@ def _assign(pivots: np.ndarray, dim: int, kind: str):
     return run, "rep long, v1 long, weight long, vector binary, cell int, distance double"
 
 
-def _meet(pivots: np.ndarray, cells: list[tuple[int, float, int]], far: float, dim: int, kind: str):
-    """Rows for each two (split) cells that a vector has to meet in: key, side, rep, v1, weight, vector."""
-    parts = np.array([c[2] for c in cells], np.int64)
-    base = np.cumsum(parts) - parts  # a split cell's first number
-    of = np.repeat(np.arange(len(cells)), parts)
+def _numbers(rows: list[int], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell of so many rows its first number and how many it has: large cells have several, small ones share one."""
+    base, parts, used, room = np.zeros(len(rows), np.int64), np.ones(len(rows), np.int64), 0, 0
+    for k in sorted(range(len(rows)), key=lambda k: rows[k]):
+        if rows[k] > room:
+            parts[k] = -(-rows[k] // most)
+            base[k], used, room = used, used + int(parts[k]), most if parts[k] == 1 else 0
+        else:
+            base[k] = used - 1
+        room -= rows[k] if parts[k] == 1 else 0
+    return base, parts
+
+
+def _meet(pivots: np.ndarray, cells: list[tuple[int, float, int]], most: int, far: float, dim: int, kind: str):
+    """Rows for each two (split or packed) cells that a vector has to meet in: key, side, rep, v1, weight, vector."""
+    base, parts = _numbers([c[2] for c in cells], most)
+    holds = np.zeros((len(cells), int((base + parts).max())), np.float32)
+    for k in range(len(cells)):
+        holds[k, base[k] : base[k] + parts[k]] = 1
     where = {c[0]: k for k, c in enumerate(cells)}
     centre = pivots[[c[0] for c in cells]]
     radius = np.array([c[1] for c in cells])
@@ -110,7 +131,7 @@ def _meet(pivots: np.ndarray, cells: list[tuple[int, float, int]], far: float, d
                 # A member y of a cell is nearer to its pivot q than to p: (x - y)(p - q) >= x(p - q).
                 near &= cos[one, k][:, None] - cos <= far * apart[k] + 1e-6
                 near[one, k] = True
-                row, other = np.nonzero(near[:, of])
+                row, other = np.nonzero(near.astype(np.float32) @ holds)
                 a, b = np.minimum(own[row], other), np.maximum(own[row], other)
                 side = (own[row] > other).astype(np.int8)
                 rows = pa.array(row)
@@ -119,7 +140,7 @@ def _meet(pivots: np.ndarray, cells: list[tuple[int, float, int]], far: float, d
     return run, "key long, side byte, rep long, v1 long, weight long, vector binary"
 
 
-def _walk(cosine: float, dim: int, kind: str):
+def _walk(cosine: float, dim: int, kind: str, basis: np.ndarray | None):
     """For each vector the weight that it links with here; and links enough to connect those that are connected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,13 +158,14 @@ def _walk(cosine: float, dim: int, kind: str):
                 links = Links(len(x), weight)
                 if inside:
                     tree = build(x)
-                    dual(x, tree, tree, cosine, links)
+                    dual(x, tree, tree, cosine, links, basis)
                 else:
-                    dual(x, build(x, np.flatnonzero(side == 0)), build(x, np.flatnonzero(side == 1)), cosine, links)
+                    dual(x, build(x, np.flatnonzero(side == 0)), build(x, np.flatnonzero(side == 1)), cosine, links, basis)
                 some = np.flatnonzero(links.count)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(v1[some]), pa.array(links.count[some]), pa.array(np.full(len(some), None), pa.int64())], names=["rep", "v1", "links", "other"])
                 if links.edges:
-                    e = np.unique(np.concatenate(links.edges, axis=1), axis=1)
+                    e = np.concatenate(links.edges, axis=1)
+                    e = np.stack(np.divmod(np.unique(e[0] * len(x) + e[1]), len(x)))
                     e = e[:, e[0] != e[1]]
                     yield pa.RecordBatch.from_arrays([pa.array(rep[e[1]]), pa.array(v1[e[1]]), pa.array(np.zeros(e.shape[1], np.int64)), pa.array(rep[e[0]])], names=["rep", "v1", "links", "other"])
 
@@ -178,15 +200,16 @@ def near_duplicate_vectors(embeddings: DataFrame, settings: Settings = Settings(
     at_least = int(np.ceil(np.sqrt(6 * spark.sparkContext.defaultParallelism)))
     for dim, n in sorted(counts.items()):
         own = classes.where(F.size("embedding") == dim).select("rep", "v1", "weight", "embedding")
-        most = max(1, min(s.cell_rows, s.cell_bytes // (dim * int(kind[-1]))))
+        most = max(1, min(s.cell_rows, s.cell_bytes // (dim * 8)))
         n_cells = max(-(-n // most), min(at_least, -(-n // 1024)))
         most = -(-n // n_cells)
         sample = own.select("embedding", "rep").orderBy(F.xxhash64(F.lit(11), "rep"), "rep", "v1").limit(s.sample).collect()
-        pivots = _pivots(_unit(np.array([r[0] for r in sample], float)), min(s.most_pivots, n_cells))
+        sampled = _unit(np.array([r[0] for r in sample], float))
+        pivots, basis = _pivots(sampled, min(s.most_pivots, n_cells)), leading_basis(sampled, s.cosine)
         assigned = scratch.save(own.mapInArrow(*_assign(pivots, dim, kind)), f"assigned-{dim}")
         # One row for each pivot.
-        cells = sorted((r["cell"], r["radius"], -(-r["n"] // most)) for r in assigned.groupBy("cell").agg(F.max("distance").alias("radius"), F.count(F.lit(1)).alias("n")).collect())
-        met = assigned.mapInArrow(*_meet(pivots, cells, far, dim, kind)).repartition("key").sortWithinPartitions("key").mapInArrow(*_walk(s.cosine, dim, kind))
+        cells = sorted((r["cell"], r["radius"], r["n"]) for r in assigned.groupBy("cell").agg(F.max("distance").alias("radius"), F.count(F.lit(1)).alias("n")).collect())
+        met = assigned.mapInArrow(*_meet(pivots, cells, most, far, dim, kind)).repartition("key").sortWithinPartitions("key").mapInArrow(*_walk(s.cosine, dim, kind, basis))
         found = met if found is None else found.unionByName(met)
     if found is None:
         found = classes.select("rep", "v1", F.lit(0).cast("long").alias("links"), F.lit(None).cast("long").alias("other"))

@@ -197,6 +197,71 @@ def test_cover_tree(spread):
     within(tree)
 
 
+def unclustered(n, dim, seed):
+    """Vectors without clusters, each with two more that lean towards the next one."""
+    r = np.random.default_rng(seed)
+    v = r.normal(size=(n, dim))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    x = np.concatenate([v, v + 0.2 * np.roll(v, -1, 0), v + 0.35 * np.roll(v, -1, 0)])
+    return r.permutation(x / np.linalg.norm(x, axis=1, keepdims=True))
+
+
+@pytest.mark.parametrize("dim", [12, 64])
+def test_unclustered_vectors_are_compared_in_whole_blocks(dim):
+    """No tree of some thousand nodes of two or three vectors each: their visits took twenty times as long as the blocks."""
+    x = unclustered(1200, dim, 6)
+    x[:40] = x[0] + 0.01 * x[40:80]  # and one block with more links than are decided one by one
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    extra = np.concatenate([x, x[:1] + 0.005 * np.random.default_rng(7).normal(size=(100, dim))])
+    extra /= np.linalg.norm(extra, axis=1, keepdims=True)
+    weights = 1 + np.arange(len(extra)) % 3
+    want = extra @ extra.T >= 0.95
+    np.fill_diagonal(want, False)
+    basis = covertree.leading_basis(extra, 0.95)
+    assert (basis is None) == (dim == 12)
+
+    def nodes(node):
+        return 1 + sum(map(nodes, node.children))
+
+    half = len(extra) // 2
+    for b in (basis, None):
+        tree, links = covertree.build(extra), covertree.Links(len(extra), weights)
+        assert nodes(tree) < len(extra) // 16 or dim == 12
+        covertree.dual(extra, tree, tree, 0.95, links, b)
+        assert (links.count == want @ weights).all()
+        one, two, links = covertree.build(extra, np.arange(half)), covertree.build(extra, np.arange(half, len(extra))), covertree.Links(len(extra), weights)
+        covertree.dual(extra, one, two, 0.95, links, b)
+        across = want.copy()
+        across[:half, :half] = across[half:, half:] = False
+        assert (links.count == across @ weights).all()
+        e = np.concatenate(links.edges, axis=1)
+        assert set(np.unique(e[:, e[0] != e[1]])) == set(np.flatnonzero(across.any(1)))
+
+
+def test_leading_coordinates_bound_the_cosine():
+    x = unclustered(3000, 48, 9)
+    basis = covertree.leading_basis(x, 0.95)
+    x = x[:1000]
+    low = covertree.leading(x, basis)
+    assert low.shape[1] < 48 and (low @ low.T >= x @ x.T - 1e-5).all()
+    r = np.random.default_rng(3)  # all vectors lie near one direction: few coordinates rule nothing out
+    near = 1 + 0.2 * r.normal(size=(600, 48))
+    assert covertree.leading_basis(near / np.linalg.norm(near, axis=1, keepdims=True), 0.95) is None
+
+
+def test_numbers_of_cells():
+    base, parts = embeddings._numbers([5, 1, 2, 12, 3, 9, 10, 25], 10)
+    assert base.tolist() == [1, 0, 0, 4, 0, 2, 3, 6] and parts.tolist() == [1, 1, 1, 2, 1, 1, 1, 3]
+    assert embeddings._numbers([1] * 7, 3)[0].tolist() == [0, 0, 0, 1, 1, 1, 2]
+
+
+def test_unclustered_vectors_in_many_cells(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(unclustered(60, 32, 8))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = embeddings.near_duplicate_vectors(df, embeddings.Settings(cell_rows=25)).collect()
+    assert {g["vec_id"]: (g["n_links"], g["component_id"]) for g in got} == brute(rows)
+
+
 _ONE = "The river ran high that spring, and the town waited for news from the valley above."
 _TWO = "By noon, the bridge was closed; nobody crossed until evening came."
 _BODY = f"<p>{_ONE}</p><p>{_TWO}</p>"
