@@ -208,7 +208,7 @@ def unclustered(n, dim, seed):
 
 @pytest.mark.parametrize("dim", [12, 64])
 def test_unclustered_vectors_are_compared_in_whole_blocks(dim):
-    """No tree of some thousand nodes of two or three vectors each: their visits took twenty times as long as the blocks."""
+    """No tree of some thousand nodes of two or three vectors each: their visits took many times as long as the blocks."""
     x = unclustered(1200, dim, 6)
     x[:40] = x[0] + 0.01 * x[40:80]  # and one block with more links than are decided one by one
     x /= np.linalg.norm(x, axis=1, keepdims=True)
